@@ -6,6 +6,7 @@ import base64
 import functools
 import json
 import os
+import re
 
 import numpy as np
 
@@ -29,6 +30,19 @@ def _tokenizer(path: str):
     return out
 
 
+#: Longer texts are encoded in parts, cut before a space between letters: there the vocabulary's own word pattern always cuts, too.
+PART = 1 << 19
+_GAP = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+
+
+def _parts(text: str):
+    at = 0
+    while len(text) - at > 2 * PART and (gap := _GAP.search(text, at + PART)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
 class Encoder:
     """Encodes texts; the vocabulary file at `path` is read in each worker once.
 
@@ -49,6 +63,11 @@ class Encoder:
                 self.size = len(json.load(f)["model"]["vocab"])
 
     def encode(self, text: str) -> np.ndarray:
+        if len(text) > 2 * PART:
+            return np.concatenate([self._encode(x) for x in _parts(text)])
+        return self._encode(text)
+
+    def _encode(self, text: str) -> np.ndarray:
         if self.fast:
             return np.array(_encoding(self.path).encode_ordinary(text), np.uint32)
         return np.array(_tokenizer(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
