@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import chat, decontaminate, language_id, packing, quality, separator_scan, sharding, substring_dedup, vptree
-from graphmill.llm.workspace import folder
+from graphmill.llm import bagminhash, chat, decontaminate, language_id, packing, quality, separator_scan, sharding, substring_dedup, vptree
+from graphmill.workspace import folder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_OF_DOCUMENT = 50256
@@ -71,6 +71,10 @@ def op8_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark, docs, model).withColumn("held_out", _fold(3, 1)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_vantage_point_search,
         op7_winnowing_decontamination,
         op8_bradley_terry_quality,
+        op9_bagminhash,
         op10_dynamic_packing,
     ]
     return {f.__name__: f for f in own}
