@@ -154,3 +154,10 @@ def _extend(keyed: DataFrame, seen: DataFrame, items: DataFrame, longest: int, k
 def contaminated() -> Column:
     """The contract's rule: at least a twentieth of the words are hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, all columns, that the rule does not call contaminated."""
+    bad = checkpointed(find(docs.select("doc_id", "text"), benchmark).where(contaminated()).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_bad_id"), F.col("_text").alias("_bad_text")).distinct())
+    match = (F.coalesce(docs["doc_id"], F.lit(_NO_ID)) == F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_text"))
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST else bad, match, "left_anti")
