@@ -23,6 +23,10 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder; later steps read these whatever becomes of executors."""
-    _base(df.sparkSession)
-    return df.checkpoint()
+    """The rows, written once as a table in the shared folder; later steps read it whatever becomes of executors.
+
+    Unlike DataFrame.checkpoint() this computes the rows once, and keeps them compressed and in columns.
+    """
+    path = folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
