@@ -15,10 +15,15 @@ document costs about one point for each shingle.
 
 Candidates.  The COMPONENTS components make BANDS bands; two documents of similarity
 0.8 share none with probability 5e-8.  In each band's bucket the documents are
-compared with its smallest one only.  That leaves pairs that neither is, so buckets
-that then still hold several classes are compared in full, in blocks, by signature,
-and pairs of different classes whose signatures agree on LEAST_AGREEMENT of the
-components (five standard deviations below the threshold) are verified, too.
+compared with its smallest one only, and what is similar becomes a class.  That
+leaves pairs that neither of them is.  Buckets that now hold several classes are
+compared again, in blocks, by signature: members of other classes than the smallest
+one's against all.  Signatures that agree on LEAST_AGREEMENT of the components (five
+standard deviations below the threshold) tie documents to families, and in a family of
+several classes every document outside the main class is held against every other,
+word for word, in blocks: one matrix product for a pair of blocks.  From a block only
+the links that join classes come out, fewer than it has documents, so rows never grow
+with the square of a group.
 
 Verification counts shingles in both texts.  Links are joined to classes by connected
 components.  Equal texts are one document throughout, whatever their number.
@@ -42,13 +47,14 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.textarrays import blocks, flat, mix, mix2, ranges, spans, window_hashes, within, word_hashes
 from graphmill.operators.components import connected_components
-from graphmill.workspace import checkpointed, folder
+from graphmill.workspace import checkpointed
 
 SHINGLE, SIMILARITY = 5, 0.8
 COMPONENTS, BANDS = 128, 32
 LEAST_AGREEMENT = 0.62
-#: Members compared with one copy of a bucket's smallest document, texts in a verifying group (bytes), members of a block.
-CELL, BIN_BYTES, SIDE = 256, 6 << 20, 1024
+#: Members compared with one copy of a bucket's smallest document; bytes of text in a verifying task's group; bytes and
+#: documents in a block of a family; signatures in a block.
+CELL, BIN_BYTES, BLOCK_BYTES, BLOCK_ROWS, SIDE = 256, 4 << 20, 2 << 20, 768, 1024
 #: Most rows of ids that are broadcast to the texts (24 bytes each); more are joined by shuffle.
 BROADCAST = 200_000
 
@@ -132,7 +138,7 @@ def _sign(batches):
             empty[i + np.unique(owner)] = False
         listed = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
         sign = pa.array([signs[k].tobytes() for k in range(rows)], pa.binary(), mask=empty)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), listed, sign], ["doc_id", "digest", "bands", "sign"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(offsets)), listed, sign], ["doc_id", "digest", "bytes", "bands", "sign"])
 
 
 def _verify(similarity: float):
@@ -182,85 +188,191 @@ def _links(docs: DataFrame, pairs: DataFrame, text_bytes: float, similarity: flo
     return rows.groupBy("_bin").applyInArrow(_verify(similarity), "a long, b long").distinct()
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Blocks of buckets (bucket, first, second, side, label, node, sign) -> pairs of different labels with near signatures."""
-    bucket, first, second, side, label, node = (table.column(c).to_numpy() for c in ("bucket", "first", "second", "side", "label", "node"))
+class _Forest:
+    """Joins items 0..n-1; keeps of all links only those that join two sets."""
+
+    def __init__(self, label: np.ndarray):
+        self.root = np.unique(label, return_inverse=True)[1] if len(label) else np.zeros(0, np.int64)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, i: int, others: np.ndarray) -> None:
+        roots, at = np.unique(self.root[others], return_index=True)
+        for root, k in zip(roots, others[at]):
+            if root != self.root[i]:
+                self.links.append((i, int(k)))
+                self.root[self.root == root] = self.root[i]
+
+
+def _cells(table: pa.Table, names: list[str]):
+    """Row indices of each cell of a task's group."""
+    keys = [table.column(c).to_numpy() for c in names]
+    order = np.lexsort(keys[::-1])
+    cut = np.flatnonzero(np.append(True, np.any([x[order][1:] != x[order][:-1] for x in keys], axis=0))[: len(order)])
+    for i, j in zip(cut, np.append(cut[1:], len(order))):
+        yield order[i:j]
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _linked(pairs: set[tuple[int, int]]) -> pa.Table:
+    pairs = sorted(pairs)
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())}, _LINKS)
+
+
+def _tie(table: pa.Table) -> pa.Table:
+    """Cells (bucket, i, j) of documents (outside, node, label, sign) -> links that tie near signatures of different classes."""
+    outside, node, label = (table.column(c).to_numpy(zero_copy_only=False) for c in ("outside", "node", "label"))
     sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(len(node), -1)
     least = math.ceil(LEAST_AGREEMENT * sign.shape[1])
-    order = np.lexsort((second, first, bucket))
-    cut = np.flatnonzero(np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (bucket, first, second)], axis=0))[: len(order)])
     out = set()
-    for i, j in zip(cut, np.append(cut[1:], len(order))):
-        rows = order[i:j]
-        left, right = rows[side[rows] != 1], rows[side[rows] != 0]
+    for rows in _cells(table, ["bucket", "i", "j"]):
+        left, right = np.flatnonzero(outside[rows]), np.flatnonzero(~outside[rows])
+        forest = _Forest(label[rows])
+        signs = sign[rows]
         for at in range(0, len(left), 16):
             some = left[at : at + 16]
-            near = (sign[some][:, None] == sign[right][None]).sum(2) >= least
-            near &= label[some][:, None] != label[right][None]
-            for x, y in zip(*np.nonzero(near)):
-                a, b = int(node[some[x]]), int(node[right[y]])
-                out.add((min(a, b), max(a, b)))
-    out = sorted(out)
-    return pa.table({"centre": pa.array([a for a, _ in out], pa.int64()), "member": pa.array([b for _, b in out], pa.int64())})
+            near = (signs[some][:, None] == signs[right][None]).sum(2) >= least
+            for x, k in enumerate(some):
+                forest.add(k, right[near[x]])
+        out |= {(int(node[rows[i]]), int(node[rows[k]])) for i, k in forest.links}
+    return _linked(out)
+
+
+def _hold(similarity: float):
+    """Cells (family, i, j) of documents (outside, node, label, text) -> links that join similar ones of different classes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        outside, node, label = (table.column(c).to_numpy(zero_copy_only=False) for c in ("outside", "node", "label"))
+        buffer, offsets = flat(table.column("text"))
+        owner, code, count = shingles(buffer, offsets)
+        # The n-th occurrence of a shingle is an element of its own, so smaller counts add up to common elements.
+        nth = ranges(np.zeros(len(count), np.int64), count).astype(np.uint64)
+        code, owner = mix2(np.repeat(code, count), nth), np.repeat(owner, count)
+        total = np.bincount(owner, minlength=len(node))
+        first = np.searchsorted(owner, np.arange(len(node) + 1))
+        out = set()
+        for rows in _cells(table, ["family", "i", "j"]):
+            left, right = np.flatnonzero(outside[rows]), np.flatnonzero(~outside[rows])
+            if not len(left) or not len(right):
+                continue
+            own, other = rows[left], rows[right]
+            l_at = ranges(first[own], first[own + 1] - first[own])
+            r_at = ranges(first[other], first[other + 1] - first[other])
+            common = np.intersect1d(code[l_at], code[r_at])
+            both = np.zeros((len(left), len(right)))
+            l_row, r_row = np.repeat(np.arange(len(left)), first[own + 1] - first[own]), np.repeat(np.arange(len(right)), first[other + 1] - first[other])
+            l_col, r_col = np.searchsorted(common, code[l_at]), np.searchsorted(common, code[r_at])
+            l_in = (l_col < len(common)) & (common[np.minimum(l_col, len(common) - 1)] == code[l_at]) if len(common) else np.zeros(len(l_at), bool)
+            r_in = (r_col < len(common)) & (common[np.minimum(r_col, len(common) - 1)] == code[r_at]) if len(common) else np.zeros(len(r_at), bool)
+            for at in range(0, len(common), 2048):
+                l_own, r_own = l_in & (l_col >= at) & (l_col < at + 2048), r_in & (r_col >= at) & (r_col < at + 2048)
+                x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+                x[l_row[l_own], l_col[l_own] - at] = 1
+                y[r_row[r_own], r_col[r_own] - at] = 1
+                both += x @ y.T
+            near = both * (1 + similarity) >= similarity * (total[own][:, None] + total[other][None]) - 1e-3
+            near &= both > 0
+            forest = _Forest(label[rows])
+            for x, k in enumerate(left):
+                forest.add(k, right[near[x]])
+            out |= {(int(node[rows[i]]), int(node[rows[k]])) for i, k in forest.links}
+        return _linked(out)
+
+    return run
 
 
-def _pairs_left(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates of different classes in buckets that hold several, without those tested against a bucket's smallest.
+def _in_cells(rows: DataFrame, key: str, left: DataFrame) -> DataFrame:
+    """Rows (key, node, label, main) in cells (key, i, j): i of the documents outside the main class, j of all.
 
-    A bucket is compared in blocks of about SIDE members by SIDE members.
+    left: key, ni, nj, the numbers of blocks.  A document outside stands in its own i with every j, and as one of all
+    in its own j with every i; so do the others in the latter way.
     """
-    rows = nodes.select("node", F.explode("bands").alias("bucket")).join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high").select("bucket", F.ceil(F.col("n") / SIDE).alias("blocks"))
-    rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.select("bucket", "node", "label", "block", other.alias("_other"))
-    first, second = F.least("block", "_other"), F.greatest("block", "_other")
-    side = F.when(F.col("block") == F.col("_other"), 2).when(F.col("block") < F.col("_other"), 0).otherwise(1)
-    rows = checkpointed(rows.select("bucket", first.alias("first"), second.alias("second"), side.alias("side"), "label", "node"))
-    bins = max(1, math.ceil(rows.count() / (16 * SIDE)))
-    rows = rows.join(nodes.select("node", "sign"), "node").withColumn("_bin", F.pmod(F.xxhash64("bucket", "first", "second"), F.lit(bins)))
-    return rows.groupBy("_bin").applyInArrow(_compare, "centre long, member long").distinct()
+    rows = rows.join(left, key)
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    own = rows.where(F.col("label") != F.col("main")).select(key, "node", "label", F.lit(True).alias("outside"), block("ni").alias("i"), every("nj").alias("j"))
+    other = rows.select(key, "node", "label", F.lit(False).alias("outside"), every("ni").alias("i"), block("nj").alias("j"))
+    return own.unionByName(other)
+
+
+def _ties(shared: DataFrame, signs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between documents of different classes that share a bucket and have near signatures.
+
+    shared: bucket, node, centre.  A bucket's main class is that of its smallest document.
+    """
+    rows = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("label", "node").alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high").select("bucket", "n", "main")
+    rows = checkpointed(rows.join(mixed, "bucket"))
+    blocks_of = rows.groupBy("bucket").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / SIDE).alias("ni"), F.ceil(F.count("*") / SIDE).alias("nj"))
+    cells = checkpointed(_in_cells(rows.drop("n"), "bucket", blocks_of))
+    bins = max(1, math.ceil(cells.count() / (8 * SIDE)))
+    cells = cells.join(signs, "node").withColumn("_bin", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bins)))
+    return cells.groupBy("_bin").applyInArrow(_tie, "a long, b long").distinct()
+
+
+def _held(docs: DataFrame, sizes: DataFrame, ties: DataFrame, labels: DataFrame, text_bytes: float, similarity: float) -> DataFrame:
+    """True links between classes of a family.  ties: links between near signatures; sizes: node, bytes."""
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    between = ties.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    families = checkpointed(connected_components(between, "a", "b"))  # of classes
+    classes_of = labels.select("node", F.col("component").alias("label")).unionByName(families.select(F.col("node"), F.col("node").alias("label")).join(labels, "node", "left_anti"))
+    rows = classes_of.join(families.select(F.col("node").alias("label"), F.col("component").alias("family")), "label").select("family", "node", "label")
+    rows = checkpointed(rows.join(sizes, "node"))
+    main = rows.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rows = rows.join(main, "family")
+    outside = F.col("label") != F.col("main")
+    needed = lambda n, size: F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES))
+    blocks_of = rows.groupBy("family").agg(needed(F.count_if(outside), F.sum(F.when(outside, F.col("bytes")))).alias("ni"), needed(F.count("*"), F.sum("bytes")).alias("nj"))
+    cells = checkpointed(_in_cells(rows.drop("bytes"), "family", blocks_of))
+    n = cells.count()
+    bins = max(1, math.ceil(n * text_bytes / BIN_BYTES))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where(F.col("node").isNotNull())
+    held = texts.join(F.broadcast(cells) if n <= BROADCAST else cells, "node").withColumn("_bin", F.pmod(F.xxhash64("family", "i", "j"), F.lit(bins)))
+    return held.groupBy("_bin").applyInArrow(_hold(similarity), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id of every row; class_id is the smallest doc_id of the row's class."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     ids = F.col("doc_id").cast("long").alias("doc_id")
-    path = folder(spark, "signatures")
-    signed = docs.select(ids, "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).mapInArrow(_sign, "doc_id long, digest string, bands array<long>, sign binary")
-    signed.write.parquet(path)
-    signed = spark.read.schema(signed.schema).parquet(path)
-    size = docs.agg(F.avg(F.octet_length("text")).alias("n")).first()["n"] or 1.0
+    signed = docs.select(ids, "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).mapInArrow(_sign, "doc_id long, digest string, bytes long, bands array<long>, sign binary")
+    signed = checkpointed(signed)
+    size = signed.agg(F.avg("bytes").alias("n")).first()["n"] or 1.0
 
     texts = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"))
     members = checkpointed(signed.select("doc_id", "digest").join(texts, "digest", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")))
     # One row for each text: bands and sign are functions of the text.
-    path = folder(spark, "texts")
-    nodes = signed.where(F.col("sign").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sign").alias("sign")).drop("digest")
-    nodes.write.parquet(path)
-    nodes = spark.read.schema(nodes.schema).parquet(path)
+    nodes = signed.where(F.col("sign").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bytes").alias("bytes"), F.any_value("bands").alias("bands"), F.any_value("sign").alias("sign")).drop("digest")
+    nodes = checkpointed(nodes)
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-    pairs = checkpointed(buckets.join(centres, "bucket").where("node <> centre").select("centre", F.col("node").alias("member")).distinct())
-    links = checkpointed(_links(docs, pairs, size, similarity))
+    shared = checkpointed(buckets.join(centres, "bucket"))
+    pairs = checkpointed(shared.where("node <> centre").select("centre", F.col("node").alias("member")).distinct())
+    links = _links(docs, pairs, size, similarity)
     # Texts that repeat a doc_id make links as well: the id is one document.
     same = members.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
-    labels = connected_components(links.unionByName(same), "a", "b")
-    labels = checkpointed(labels)
-    left = checkpointed(_pairs_left(nodes, labels).join(pairs, ["centre", "member"], "left_anti"))
-    if not left.isEmpty():
-        more = _links(docs, left, size, similarity)
-        name = lambda c: more.join(labels.withColumnRenamed("node", c), c, "left")
-        more = name("a").select(F.coalesce("component", "a").alias("a"), "b").join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
-        merged = checkpointed(connected_components(more, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_to")))
-        known = labels.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
-        labels = known.unionByName(merged.select(F.col("component").alias("node"), F.col("_to").alias("component")).join(known, "node", "left_anti"))
+    labels = checkpointed(connected_components(links.unionByName(same), "a", "b"))
+    ties = checkpointed(_ties(shared.select("bucket", "node"), nodes.select("node", "sign"), labels))
+    if not ties.isEmpty():
+        more = checkpointed(_held(docs, nodes.groupBy("node").agg(F.max("bytes").alias("bytes")), ties, labels, size, similarity))
+        if not more.isEmpty():
+            labels = checkpointed(_merged(labels, more))
     out = members.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("class_id").cast(kind).alias("class_id"))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after links (a, b) have joined classes; a node without a label is its own."""
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    between = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    moved = checkpointed(connected_components(between, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_to")))
+    known = labels.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    fresh = moved.select(F.col("component").alias("node"), F.col("_to").alias("component")).join(labels, "node", "left_anti")
+    return known.unionByName(fresh)
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of each class's smallest doc_id, once; rows with a null doc_id stay."""
     found = classes(docs, similarity)
