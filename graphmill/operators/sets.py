@@ -28,7 +28,7 @@ def merged_ranges(ranges: DataFrame, key: str, start: str = "start", end: str =
     own = Window.partitionBy(key).orderBy(start, end)
     before = F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0)
-    island = F.sum("_opens").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum("_opens").over(Window.partitionBy(key).orderBy(start, end, F.desc("_opens")).rowsBetween(Window.unboundedPreceding, 0))
     return ranges.withColumn("_opens", opens).withColumn("_island", island).groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 

@@ -33,12 +33,12 @@ def round_robin(rows: DataFrame, bucket: str, order: list[Column | str], limit:
     return dealt.drop("_size")
 
 
-def capped_per_source(rows: DataFrame, source: str, order: list[Column | str], least: int = 10, single: int = 100) -> DataFrame:
-    """At most max(n // 2, least) rows a source if there are several sources, else `single`."""
-    totals = rows.agg(F.count("*").alias("_n"), F.countDistinct(source).alias("_sources"))
+def capped_per_source(rows: DataFrame, keys: list[str], source: str, order: list[Column | str], least: int = 10, single: int = 100) -> DataFrame:
+    """Per key, at most max(n // 2, least) rows a source if there are several sources, else `single`."""
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.countDistinct(source).alias("_sources"))
     cap = F.when(F.col("_sources") > 1, F.greatest(F.floor(F.col("_n") / 2), F.lit(least))).otherwise(F.lit(single))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
-    return ranked.join(F.broadcast(totals)).where(F.col("_rank") <= cap).drop("_n", "_sources", "_rank")
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, source).orderBy(*order)))
+    return ranked.join(totals, keys).where(F.col("_rank") <= cap).drop("_n", "_sources", "_rank")
 
 
 def carried(value: Column, keys: list[str], order: list[str]) -> Column:

@@ -35,12 +35,12 @@ def roundrobin_sources(c: Catalog) -> DataFrame:
     return W.first_by_key(dealt, ["entity_id"], ["turn", "source"]).orderBy("turn", "source").limit(50).orderBy(F.desc("score"), "entity_id").select("entity_id", "source", "score", "turn")
 
 
-@query(f"""WITH {ITEMS}, i AS (SELECT * FROM items WHERE entity_id = 'part:7'), n AS (SELECT count(*) AS n, count(DISTINCT source) AS s FROM i),
-r AS (SELECT entity_id, source, score, pos, page, row_number() OVER (PARTITION BY source ORDER BY score DESC, pos, page) AS k FROM i)
-SELECT entity_id, source, score, pos, page FROM r, n WHERE k <= CASE WHEN s > 1 THEN greatest(n // 2, 10) ELSE 100 END""")
+@query(f"""WITH {ITEMS}, n AS (SELECT entity_id, count(*) AS n, count(DISTINCT source) AS s FROM items GROUP BY entity_id),
+r AS (SELECT entity_id, source, score, pos, page, row_number() OVER (PARTITION BY entity_id, source ORDER BY score DESC, pos, page) AS k FROM items)
+SELECT entity_id, source, score, pos, page FROM r JOIN n USING (entity_id) WHERE k <= CASE WHEN s > 1 THEN greatest(n // 2, 10) ELSE 100 END""")
 def cap_per_source(c: Catalog) -> DataFrame:
-    rows = c.items().where("entity_id = 'part:7'").select("entity_id", "source", "score", "pos", "page")
-    return W.capped_per_source(rows, "source", [F.desc("score"), "pos", "page"])
+    rows = c.items().select("entity_id", "source", "score", "pos", "page")
+    return W.capped_per_source(rows, ["entity_id"], "source", [F.desc("score"), "pos", "page"])
 
 
 @query(f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, source ORDER BY pos, entity_id) AS k FROM items) SELECT doc_id, page, source, entity_id, pos FROM r WHERE k = 1""")
@@ -177,15 +177,15 @@ def expected_vs_actual(c: Catalog) -> DataFrame:
     return U.difference(c.table("documents"), c.table("labels"), "doc_id")
 
 
-_RANGES = """r AS (SELECT l_suppkey AS file, l_linenumber * 10 + l_orderkey % 7 AS "start", l_linenumber * 10 + l_orderkey % 7 + l_partkey % 5 AS "end" FROM lineitem WHERE l_orderkey % 40 = 1),
+_RANGES = """r AS (SELECT l_suppkey AS file, (l_orderkey * 7 + l_linenumber) % 9973 + 1 AS "start", (l_orderkey * 7 + l_linenumber) % 9973 + 1 + l_partkey % 5 AS "end" FROM lineitem),
 o AS (SELECT *, CASE WHEN max("end") OVER w IS NULL OR "start" > max("end") OVER w + 1 THEN 1 ELSE 0 END AS opens FROM r WINDOW w AS (PARTITION BY file ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-i AS (SELECT *, sum(opens) OVER (PARTITION BY file ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM o),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY file ORDER BY "start", "end", opens DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM o),
 m AS (SELECT file, min("start")::BIGINT AS "start", max("end")::BIGINT AS "end" FROM i GROUP BY file, island)"""
 
 
 def _ranges(c: Catalog) -> DataFrame:
-    start = F.col("l_linenumber") * 10 + F.col("l_orderkey") % 7
-    return c.table("lineitem").where("l_orderkey % 40 = 1").select(F.col("l_suppkey").alias("file"), start.alias("start"), (start + F.col("l_partkey") % 5).alias("end"))
+    start = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 9973 + 1
+    return c.table("lineitem").select(F.col("l_suppkey").alias("file"), start.alias("start"), (start + F.col("l_partkey") % 5).alias("end"))
 
 
 @query(f'WITH {_RANGES} SELECT file, "start", "end" FROM m')
@@ -193,18 +193,18 @@ def ledger_merge(c: Catalog) -> DataFrame:
     return U.merged_ranges(_ranges(c), "file")
 
 
-@query(f"""WITH {_RANGES}, t AS (SELECT s_suppkey AS file, 80 AS total FROM supplier), b AS (SELECT file, coalesce(lag("end") OVER (PARTITION BY file ORDER BY "start"), 0) + 1 AS f, coalesce("start" - 1, total) AS e FROM t LEFT JOIN m USING (file)),
+@query(f"""WITH {_RANGES}, t AS (SELECT s_suppkey AS file, 10000 AS total FROM supplier), b AS (SELECT file, coalesce(lag("end") OVER (PARTITION BY file ORDER BY "start"), 0) + 1 AS f, coalesce("start" - 1, total) AS e FROM t LEFT JOIN m USING (file)),
 l AS (SELECT file, max("end") + 1 AS f, any_value(total) AS e FROM m JOIN t USING (file) GROUP BY file) SELECT file, f::BIGINT AS "start", e::BIGINT AS "end" FROM (SELECT * FROM b UNION ALL SELECT * FROM l) WHERE f <= e""")
 def pages_pending(c: Catalog) -> DataFrame:
-    totals = c.table("supplier").select(F.col("s_suppkey").alias("file"), F.lit(80).alias("total"))
+    totals = c.table("supplier").select(F.col("s_suppkey").alias("file"), F.lit(10000).alias("total"))
     return U.pending_ranges(U.merged_ranges(_ranges(c), "file"), totals, "file")
 
 
-@query(f"""WITH {_RANGES}, n AS (SELECT file, sum("end" - "start" + 1) AS done FROM m GROUP BY file) SELECT s_suppkey AS file, CASE WHEN coalesce(done, 0) >= 40 THEN 'completed' WHEN coalesce(done, 0) > 0 THEN 'partial' ELSE 'pending' END AS status FROM supplier LEFT JOIN n ON n.file = s_suppkey""")
+@query(f"""WITH {_RANGES}, n AS (SELECT file, sum("end" - "start" + 1) AS done FROM m GROUP BY file) SELECT s_suppkey AS file, CASE WHEN coalesce(done, 0) >= 1700 THEN 'completed' WHEN coalesce(done, 0) > 0 THEN 'partial' ELSE 'pending' END AS status FROM supplier LEFT JOIN n ON n.file = s_suppkey""")
 def ledger_status(c: Catalog) -> DataFrame:
     done = U.merged_ranges(_ranges(c), "file").groupBy("file").agg(F.sum(F.col("end") - F.col("start") + 1).alias("done"))
     n = F.coalesce("done", F.lit(0))
-    return c.table("supplier").select(F.col("s_suppkey").alias("file")).join(done, "file", "left").select("file", F.when(n >= 40, "completed").when(n > 0, "partial").otherwise("pending").alias("status"))
+    return c.table("supplier").select(F.col("s_suppkey").alias("file")).join(done, "file", "left").select("file", F.when(n >= 1700, "completed").when(n > 0, "partial").otherwise("pending").alias("status"))
 
 
 # -- joins ----------------------------------------------------------------------------------------------------------
@@ -233,13 +233,14 @@ def orphan_nodes(c: Catalog) -> DataFrame:
     return c.nodes().where(F.col("label").isin("Customer", "Part")).join(used, "id", "left_anti").select("id", "label", "name")
 
 
-@query(f"""WITH {EDGES}, p AS (SELECT DISTINCT s.src, r.src AS dst FROM edges s JOIN edges r ON s.dst = r.dst WHERE s.rel = 'PROVIDES' AND r.rel = 'REQUIRES' AND s.src = 'supplier:3') SELECT src, 'SERVES' AS rel, dst FROM p""")
+@query(f"""WITH {EDGES}, p AS (SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel = 'CONTAINS' AND b.rel = 'PROVIDES'),
+x AS (SELECT DISTINCT a.src, c.dst FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src WHERE a.rel = 'CONTAINS' AND b.rel = 'PLACED' AND c.rel = 'REQUIRES')
+SELECT src, 'EXPORTS' AS rel, dst FROM p WHERE (src, dst) NOT IN (SELECT (src, dst) FROM x)""")
 def new_edges_absent(c: Catalog) -> DataFrame:
-    """Supplier serves an order that requires one of its parts, unless such an edge exists."""
-    edges = c.edges()
-    provides = edges.where("rel = 'PROVIDES' AND src = 'supplier:3'").select("src", F.col("dst").alias("part"))
-    requires = edges.where("rel = 'REQUIRES'").select(F.col("src").alias("dst"), F.col("dst").alias("part"))
-    return J.without(provides.join(requires, "part").select("src", F.lit("SERVES").alias("rel"), "dst").distinct(), edges, ["src", "rel", "dst"])
+    """A nation exports a part that one of its suppliers provides, unless one of its customers has ordered it."""
+    contains, provides, placed, requires = (c.edges().where(F.col("rel") == r) for r in ("CONTAINS", "PROVIDES", "PLACED", "REQUIRES"))
+    hop = lambda a, b: a.select("src", F.col("dst").alias("mid")).join(b.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+    return J.without(hop(contains, provides), hop(hop(contains, placed), requires), ["src", "dst"]).select("src", F.lit("EXPORTS").alias("rel"), "dst")
 
 
 @query(f"""WITH {EDGES}, p AS (SELECT src, dst FROM edges WHERE rel = 'PROVIDES') SELECT a.src AS a, b.src AS b, count(DISTINCT a.dst) AS common FROM p a JOIN p b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(DISTINCT a.dst) >= 8""")
