@@ -11,6 +11,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphmill.functions.text import INVERSE, inverse_relation
 from graphmill.operators.components import connected_components
@@ -52,7 +53,7 @@ def cooccurrence(mentions: DataFrame, existing: DataFrame | None = None, window:
     return out if existing is None else without(out, existing.select("a", "b"), ["a", "b"], both_ways=("a", "b"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / total length of the longest matching blocks, as difflib counts them."""
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
