@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.textarrays import blocks, flat, mix, mix2, ranges, spans, window_hashes, within, word_hashes
+from graphmill.llm.textarrays import blocks, flat, mix, mix2, ranges, spans, tidy, window_hashes, within, word_hashes
 from graphmill.operators.components import connected_components
 from graphmill.workspace import checkpointed
 
@@ -185,7 +185,7 @@ def _links(docs: DataFrame, pairs: DataFrame, text_bytes: float, similarity: flo
     bins = max(1, math.ceil(n * 1.5 * text_bytes / BIN_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
     rows = texts.join(F.broadcast(wanted) if 2 * n <= BROADCAST else wanted, "doc").withColumn("_bin", F.pmod(F.xxhash64("centre", "cell"), F.lit(bins)))
-    return rows.groupBy("_bin").applyInArrow(_verify(similarity), "a long, b long").distinct()
+    return rows.groupBy("_bin").applyInArrow(tidy(_verify(similarity)), "a long, b long").distinct()
 
 
 class _Forest:
@@ -308,7 +308,7 @@ def _ties(shared: DataFrame, signs: DataFrame, labels: DataFrame) -> DataFrame:
     cells = checkpointed(_in_cells(rows.drop("n"), "bucket", blocks_of))
     bins = max(1, math.ceil(cells.count() / (8 * SIDE)))
     cells = cells.join(signs, "node").withColumn("_bin", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bins)))
-    return cells.groupBy("_bin").applyInArrow(_tie, "a long, b long").distinct()
+    return cells.groupBy("_bin").applyInArrow(tidy(_tie), "a long, b long").distinct()
 
 
 def _held(docs: DataFrame, sizes: DataFrame, ties: DataFrame, labels: DataFrame, text_bytes: float, similarity: float) -> DataFrame:
@@ -329,19 +329,19 @@ def _held(docs: DataFrame, sizes: DataFrame, ties: DataFrame, labels: DataFrame,
     bins = max(1, math.ceil(n * text_bytes / BIN_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where(F.col("node").isNotNull())
     held = texts.join(F.broadcast(cells) if n <= BROADCAST else cells, "node").withColumn("_bin", F.pmod(F.xxhash64("family", "i", "j"), F.lit(bins)))
-    return held.groupBy("_bin").applyInArrow(_hold(similarity), "a long, b long").distinct()
+    return held.groupBy("_bin").applyInArrow(tidy(_hold(similarity)), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id of every row; class_id is the smallest doc_id of the row's class."""
     kind = docs.schema["doc_id"].dataType
     ids = F.col("doc_id").cast("long").alias("doc_id")
-    signed = docs.select(ids, "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).mapInArrow(_sign, "doc_id long, digest string, bytes long, bands array<long>, sign binary")
+    signed = docs.select(ids, "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).mapInArrow(tidy(_sign), "doc_id long, digest string, bytes long, bands array<long>, sign binary")
     signed = checkpointed(signed)
     size = signed.agg(F.avg("bytes").alias("n")).first()["n"] or 1.0
 
     texts = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = checkpointed(signed.select("doc_id", "digest").join(texts, "digest", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")))
+    members = checkpointed(signed.select("doc_id", "digest").join(texts, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")))
     # One row for each text: bands and sign are functions of the text.
     nodes = signed.where(F.col("sign").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bytes").alias("bytes"), F.any_value("bands").alias("bands"), F.any_value("sign").alias("sign")).drop("digest")
     nodes = checkpointed(nodes)

@@ -42,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.llm.textarrays import tidy
+
 
 OPEN, CLOSE, LOSS_ROLE = "<|im_start|>", "<|im_end|>\n", "assistant"
 _ESCAPE = re.compile(r"\\(.)", re.DOTALL)
@@ -143,7 +145,7 @@ def read_back(segments: DataFrame) -> DataFrame:
     kind = segments.schema["conv_id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     schema = pa.schema([("conv_id", arrow), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return segments.select("conv_id", "segment", "loss_start", "loss_length").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return segments.select("conv_id", "segment", "loss_start", "loss_length").mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def format_log(events: DataFrame) -> DataFrame:

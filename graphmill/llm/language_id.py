@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.textarrays import blocks, flat
+from graphmill.llm.textarrays import blocks, flat, tidy
 
 UNKNOWN = "und"
 #: Labelled rows of each language that train the model; the only bound on what it learns from.
@@ -202,7 +202,7 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mo
     for row in cuts:
         cut = F.when(F.col("lang") == row["lang"], F.lit(row["cut"])).otherwise(cut)
     sample = labelled.where(F.col("_hash") <= cut).select("lang", "text")
-    counts = sample.mapInArrow(_count, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(tidy(_count), _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return build(counts) if len(counts) else None
 
 
@@ -234,7 +234,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(bits, mask=best < 0)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _letter().alias("has_letter")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return docs.select("doc_id", "text", _letter().alias("has_letter")).mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, model: Model | None, most_bits: float = UNIFORM_BITS) -> DataFrame:
@@ -254,4 +254,4 @@ def keep_known(spark: SparkSession, docs: DataFrame, model: Model | None, most_b
             kept = pa.Table.from_batches([batch]).select(list(range(len(names)))).filter(pa.array((best >= 0) & (bits <= most_bits)))
             yield from kept.to_batches()
 
-    return docs.select("*", _letter().alias("_has_letter")).mapInArrow(run, schema)
+    return docs.select("*", _letter().alias("_has_letter")).mapInArrow(tidy(run), schema)

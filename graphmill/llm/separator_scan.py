@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.llm.tokens import Encoder
+from graphmill.llm.textarrays import tidy
 
 #: Ids in a block, and blocks that the first level of the prefix scan takes together.
 BLOCK, GROUP = 1 << 16, 1 << 12
@@ -68,7 +69,7 @@ def write_flat(docs: DataFrame, vocabulary: str, separator: int, path: str) -> N
         if waiting:
             yield rows("ids", block, np.concatenate(pending).tobytes())
 
-    docs.select("doc_id", "text").mapInArrow(run, f"kind string, {BLOCKS}").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    docs.select("doc_id", "text").mapInArrow(tidy(run), f"kind string, {BLOCKS}").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def _summaries(separator: int, width: type):
@@ -91,7 +92,7 @@ def _summaries(separator: int, width: type):
 
 def scan(blocks: DataFrame, separator: int, wide: bool = False) -> DataFrame:
     """file, ordinal, n_tokens, complete of every document in the files (file, block, data)."""
-    one = blocks.select("file", "block", "data").mapInArrow(_summaries(separator, np.uint32 if wide else np.uint16), "file long, block long, n_ids long, n_separators long, head long, tail long, inner array<long>")
+    one = blocks.select("file", "block", "data").mapInArrow(tidy(_summaries(separator, np.uint32 if wide else np.uint16)), "file long, block long, n_ids long, n_separators long, head long, tail long, inner array<long>")
     one = one.withColumn("_group", F.floor(F.col("block") / GROUP))
     inside = Window.partitionBy("file", "_group").orderBy("block")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +134,7 @@ def names(rows: DataFrame) -> DataFrame:
                 none = ids == -(1 << 63)
                 yield pa.RecordBatch.from_pydict({"file": np.full(len(ids), file.as_py()), "ordinal": start.as_py() + np.arange(len(ids)), "doc_id": pa.array(ids, mask=none)})
 
-    return rows.where("kind = 'names'").select("file", "block", "data").mapInArrow(run, "file long, ordinal long, doc_id long")
+    return rows.where("kind = 'names'").select("file", "block", "data").mapInArrow(tidy(run), "file long, ordinal long, doc_id long")
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, separator: int, path: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmill.llm.recompression import keys
-from graphmill.llm.textarrays import SPACE, blocks, flat, ranges, spans, window_hashes, within, word_hashes
+from graphmill.llm.textarrays import SPACE, blocks, flat, ranges, spans, tidy, window_hashes, within, word_hashes
 
 WINDOW = 13
 #: Text in a unit, and text that a bucket's keys stand for, about.
@@ -265,10 +265,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False,
     names = docs.columns
     dealt = docs.withColumn("_unit", F.pmod(F.xxhash64("doc_id"), F.lit(units)))
     by_unit = dealt.groupBy("_unit")
-    symbols = by_unit.applyInArrow(_symbol_keys(window, buckets), _MESSAGE)
-    shared = symbols.groupBy("_bucket").applyInArrow(_shared_keys, "_unit long, _bucket long, keys binary")
-    windows = by_unit.cogroup(shared.groupBy("_unit")).applyInArrow(_candidates(window, buckets), _MESSAGE)
-    repeats = windows.groupBy("_bucket").applyInArrow(_smaller_elsewhere, "_unit long, _bucket long, keys binary")
+    symbols = by_unit.applyInArrow(tidy(_symbol_keys(window, buckets)), _MESSAGE)
+    shared = symbols.groupBy("_bucket").applyInArrow(tidy(_shared_keys), "_unit long, _bucket long, keys binary")
+    windows = by_unit.cogroup(shared.groupBy("_unit")).applyInArrow(tidy(_candidates(window, buckets)), _MESSAGE)
+    repeats = windows.groupBy("_bucket").applyInArrow(tidy(_smaller_elsewhere), "_unit long, _bucket long, keys binary")
     fields = [T.StructField(f.name, T.LongType() if f.name == "n_chars" and not joined and isinstance(f.dataType, T.LongType) else f.dataType, True) for f in docs.schema]
     schema = T.StructType(fields + ([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())] if measures else []))
-    return by_unit.cogroup(repeats.groupBy("_unit")).applyInArrow(_strip(window, joined, names, measures), schema)
+    return by_unit.cogroup(repeats.groupBy("_unit")).applyInArrow(tidy(_strip(window, joined, names, measures)), schema)

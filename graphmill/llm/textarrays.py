@@ -7,6 +7,10 @@ the batch instead of a Python loop over words.  Nothing here knows about Spark.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
+
 import numpy as np
 import pyarrow as pa
 
@@ -127,3 +131,46 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def within(first: np.ndarray, k: int) -> np.ndarray:
     """Indices of words at which a window of k words starts and stays in its row; first is spans()'s third result."""
     return ranges(first[:-1], np.diff(first) - k + 1)
+
+
+def _give_back() -> None:
+    """Returns what this worker has freed to the system: idle workers of an executor share its memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function for mapInArrow or applyInArrow that leaves its worker small."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def stream(batches):
+            try:
+                yield from run(batches)
+            finally:
+                _give_back()
+
+        return stream
+
+    if len(inspect.signature(run).parameters) == 2:  # Spark reads the number of tables off the function
+
+        @functools.wraps(run)
+        def cogroup(left, right):
+            try:
+                return run(left, right)
+            finally:
+                _give_back()
+
+        return cogroup
+
+    @functools.wraps(run)
+    def group(table):
+        try:
+            return run(table)
+        finally:
+            _give_back()
+
+    return group

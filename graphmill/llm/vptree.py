@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.llm.textarrays import tidy
+
 K = 20
 #: Rows of a shard, queries of a block, points of a leaf.
 SHARD, BLOCK, LEAF = 8192, 2048, 128
@@ -158,6 +160,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, relax: float = RELA
     candidates = rows.select("vec_id", "_vector", deal(shards, 1).alias("_shard"), every(block_count).alias("_block"))
     queries = rows.where("_query").select("vec_id", "_vector", F.xxhash64("_vector").alias("_key"), deal(block_count, 2).alias("_block"))
     queries = queries.dropDuplicates(["vec_id", "_key"]).select("vec_id", "_vector", "_key", "_block", every(shards).alias("_shard"))
-    found = candidates.groupBy("_shard", "_block").cogroup(queries.groupBy("_shard", "_block")).applyInArrow(_search_cell(common["_dim"], k, relax, common["most"]), "query_id long, query_key long, vec_id long, score double")
+    found = candidates.groupBy("_shard", "_block").cogroup(queries.groupBy("_shard", "_block")).applyInArrow(tidy(_search_cell(common["_dim"], k, relax, common["most"])), "query_id long, query_key long, vec_id long, score double")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
