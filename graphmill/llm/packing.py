@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.tokens import Encoder
+from graphmill.llm.textarrays import tidy
 
 LENGTH, END = 2048, 1
 #: Cost of a cut in the unit of one padding id.
-SENTENCE, FORCED = 8, 48
+SENTENCE, FORCED = 8, 12
 #: A stretch without sentence ends longer than LONG may be cut every GRID ids.
-LONG, GRID = 256, 64
+LONG, GRID = 64, 16
 STRETCH = 1 << 17
 
 
@@ -180,7 +181,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END)
         for rows in packer.finish():
             yield pa.RecordBatch.from_pydict(rows, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def with_checksums(pieces: DataFrame) -> DataFrame:
