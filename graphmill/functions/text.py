@@ -330,3 +330,17 @@ def is_reasonable_match(query: Column, name: Column, least: float = 0.2) -> Colu
 
 def whitelisted(props: Column, allowed: list[str]) -> Column:
     return F.map_filter(props, lambda k, v: k.isin(allowed))
+
+
+def tidy_layout(text: Column) -> Column:
+    """Citations of a heading move to the end of the line after it, leading ones to the end of their line; decorative
+    symbols go and a code fence begins a line of its own."""
+    out = F.regexp_replace(text, "[■□◆◇★☆●►▶]+[ \\t]*", "")
+    out = F.regexp_replace(out, r"([^\n`])```", "$1\n```")
+    out = F.regexp_replace(out, r"(?m)^(#+ [^\n\[]*?)[ \t]*((?:\[[0-9]+\])+)[ \t]*\n([^\n#][^\n]*)", "$1\n$3$2")
+    return F.regexp_replace(out, r"(?m)^((?:\[[0-9]+\])+)[ \t]*([^\n\[][^\n]*)$", "$2$1")
+
+
+def evidence_line(number: Column, snippet: Column, source: Column, page: Column, most: int = 80) -> Column:
+    """One line of a Markdown list of evidence."""
+    return F.concat(F.lit("- ["), number.cast("string"), F.lit("] "), shortened(snippet, most), F.lit(" ("), source, F.lit(", p. "), page.cast("string"), F.lit(")"))

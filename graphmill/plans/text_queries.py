@@ -316,3 +316,21 @@ def section_hierarchy(c: Catalog) -> DataFrame:
     heading = F.when(F.col("l_linenumber") > 4, F.concat(n, F.lit(".2 Wards"))).otherwise(F.concat(F.lit("Chapter "), n, F.lit(" Wards")))
     rows = c.table("lineitem").select("l_linenumber").distinct()
     return rows.select(F.col("l_linenumber").alias("n"), X.section_parts(heading).alias("s")).select("n", "s.*")
+
+
+@query("SELECT doc_id, '## Wards' || chr(10) || 'from ' || source || '[1][2]' || chr(10) || lang || ' text[3]' || chr(10) || '```' AS tidy FROM documents")
+def answer_layout(c: Catalog) -> DataFrame:
+    raw = F.concat(F.lit("■ ## Wards [1][2]\nfrom "), "source", F.lit("\n[3] "), "lang", F.lit(" text```"))
+    return c.table("documents").select("doc_id", X.tidy_layout(raw).alias("tidy"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_returnflag, l_linestatus) AS i, l_returnflag || ' ' || l_linestatus AS snippet FROM lineitem)
+SELECT l_orderkey AS k, string_agg('- [' || i || '] ' || snippet || ' (supplier ' || l_suppkey || ', p. ' || l_linenumber || ')', chr(10) ORDER BY i) AS evidence FROM r GROUP BY l_orderkey""")
+def evidence_markdown(c: Catalog) -> DataFrame:
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "snippet"))
+    rows = c.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("snippet")).withColumn("number", number)
+    line = X.evidence_line(F.col("number"), F.col("snippet"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")), F.col("l_linenumber"))
+    lines = rows.select(F.col("l_orderkey").alias("k"), "number", line.alias("line")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("number", "line"))).alias("s"))
+    return lines.select("k", F.array_join("s.line", "\n").alias("evidence"))
