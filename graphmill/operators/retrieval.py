@@ -1,9 +1,10 @@
 """Vector and keyword retrieval.
 
-A set of queries is searched in one job: queries are broadcast if there are at most
-BROADCAST of them (their number is counted), else vectors and queries are dealt to
-blocks and each pair of blocks is one task.  A top-k leaves k rows per query and
-task before the shuffle.
+A set of queries is searched in one job.  If there are at most BROADCAST of them (they
+are counted), every task gets them as one matrix and keeps the best k rows of each
+over all it reads; else vectors and queries are dealt to blocks and each pair of
+blocks is one task.  Either way k rows per query and task are shuffled, and scores
+are matrix products, not expressions evaluated for every pair.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column |
     """
     rows = (vectors if keep is None else vectors.where(keep)).select("id", "vector")
     few = queries.limit(BROADCAST + 1).count() <= BROADCAST
+    schema = "query_id long, id long, _s double"
     if few:
-        scored = rows.join(F.broadcast(queries)).select("query_id", "id", dot(F.col("vector"), F.col("q")).alias("_s"))
+        found = queries.select("query_id", "q").toPandas().sort_values("query_id")  # at most BROADCAST rows
+        shared = rows.sparkSession.sparkContext.broadcast((found["query_id"].to_numpy(), np.stack(found["q"]).astype(float) if len(found) else np.zeros((0, 0))))
+        scored = rows.mapInPandas(_scan(shared, k), schema)
     else:
         n, m = max(1, rows.count() // 20_000), max(1, queries.count() // 2_000)
         a = rows.withColumns({"_i": F.pmod(F.xxhash64("id"), F.lit(n)), "_j": F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
         b = queries.withColumns({"_j": F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int"), "_i": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))})
-        scored = a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(_block(k), "query_id long, id long, _s double")
+        scored = a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(_block(k), schema)
     own = Window.partitionBy("query_id").orderBy(F.desc("_s"), "id")
     out = scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     if least is not None:
@@ -41,14 +45,40 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column |
     return out.select("query_id", "id", F.round("_s", digits).alias("score"), "rank")
 
 
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each row of s the places of its k largest, ties to the smaller id."""
+    return np.lexsort((ids, -s), axis=1)[:, :k]
+
+
+def _scores(q: np.ndarray, vectors: pd.Series) -> np.ndarray:
+    """Inner products; the 10th decimal is the last, so equal vectors tie wherever they stand in a product."""
+    return np.round(q @ np.stack(vectors).astype(float).T, 10)
+
+
+def _scan(shared, k: int):
+    def run(batches):
+        query_ids, q = shared.value
+        best, best_ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        for batch in batches:
+            if batch.empty or not len(q):
+                continue
+            s = np.concatenate([best, _scores(q, batch["vector"])], 1)
+            ids = np.concatenate([best_ids, np.broadcast_to(batch["id"].to_numpy(), (len(q), len(batch)))], 1)
+            order = _best(s, ids, k)
+            best, best_ids = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
+        yield pd.DataFrame({"query_id": np.repeat(query_ids, best.shape[1]), "id": best_ids.ravel(), "_s": best.ravel()})
+
+    return run
+
+
 def _block(k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or queries.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "_s": pd.Series(dtype="float64")})
-        s = np.stack(queries["q"]).astype(float) @ np.stack(rows["vector"]).astype(float).T
-        ids = rows["id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "_s": np.take_along_axis(s, order, 1).ravel()})
+        s = _scores(np.stack(queries["q"]).astype(float), rows["vector"])
+        ids = np.broadcast_to(rows["id"].to_numpy(), s.shape)
+        order = _best(s, ids, k)
+        return pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), order.shape[1]), "id": np.take_along_axis(ids, order, 1).ravel(), "_s": np.take_along_axis(s, order, 1).ravel()})
 
     return run
 
@@ -59,9 +89,13 @@ def probes(n_lists: Column, share: float = 0.05, low: int = 8, high: int = 128)
 
 
 def clustered(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Vectors with the id of their nearest centroid: the column that an inverted-file search filters on."""
-    near = vectors.join(F.broadcast(centroids)).withColumn("_s", dot(F.col("vector"), F.col("centroid")))
-    return near.groupBy("id").agg(F.max_by("list_id", F.struct("_s", -F.col("list_id"))).alias("list_id"))
+    """Vectors with the id of their nearest centroid: the column that an inverted-file search filters on.
+
+    The centroids (their number is that of the lists) come to each row as one array, so rows are not multiplied.
+    """
+    lists = centroids.agg(F.collect_list(F.struct("list_id", "centroid")).alias("_lists"))
+    best = F.array_max(F.transform("_lists", lambda c: F.struct(F.round(dot(F.col("vector"), c["centroid"]), 10).alias("s"), (-c["list_id"]).alias("list_id"))))
+    return vectors.join(F.broadcast(lists)).select("id", (-best["list_id"]).alias("list_id"))
 
 
 def reranked(hits: DataFrame, score: Callable[[DataFrame], DataFrame], head: int = 80, top: int | None = None) -> DataFrame:

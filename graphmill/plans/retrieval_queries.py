@@ -174,10 +174,9 @@ def embedding_cache(c: Catalog) -> DataFrame:
 @query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src3')")
 def doc_scope(c: Catalog) -> DataFrame:
     """Titles are normalised and resolved to documents; ids, if there were any, would win."""
-    titles = ["a/《src1》", "src3.pdf"]
-    wanted = c.table("documents").select("source").distinct().where(X.normalized_title(F.col("source")).isin("src1.pdf", "src3.pdf"))
-    assert titles  # what the wanted names come from: both normalise to the names above
-    return c.table("documents").select("doc_id", "source").join(F.broadcast(wanted), "source", "left_semi").select("doc_id", "source")
+    titles = c.spark.createDataFrame([("a/《src1》",), ("src3.pdf",)], "title string").select(X.normalized_title(F.col("title")).alias("_t"))
+    docs = c.table("documents").select("doc_id", "source").withColumn("_t", X.normalized_title(F.col("source")))
+    return docs.join(F.broadcast(titles), "_t", "left_semi").select("doc_id", "source")
 
 
 @query(f"""WITH {ITEMS}, w AS (SELECT *, abs(page - 2) <= 1 OR abs(page - 6) <= 1 AS near FROM items), a AS (SELECT entity_id, bool_or(near) AS any_near FROM w GROUP BY entity_id) SELECT entity_id, pos, page FROM w JOIN a USING (entity_id) WHERE near OR NOT any_near""")

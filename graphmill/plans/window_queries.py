@@ -137,7 +137,7 @@ def layout(c: Catalog) -> DataFrame:
 
 
 @query(f"""WITH {ITEMS}, d AS (SELECT doc_id, count(*) AS n, max(score) AS top, CASE WHEN count(*) > 620 THEN 0 WHEN count(*) > 580 THEN 1 ELSE 2 END AS tier, min(source) AS role FROM items GROUP BY doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY tier, role ORDER BY top DESC, n DESC, doc_id) AS turn FROM d) SELECT doc_id, tier, role, row_number() OVER (ORDER BY tier, turn, role)::INT AS place FROM r""")
+r AS (SELECT *, row_number() OVER (PARTITION BY tier, role ORDER BY top DESC, n DESC, doc_id) AS turn FROM d) SELECT doc_id, tier, role, turn::INT AS turn FROM r ORDER BY tier, turn, role""")
 def document_view_order(c: Catalog) -> DataFrame:
     """Priority tiers; within a tier the roles take turns."""
     from pyspark.sql import Window
@@ -145,7 +145,7 @@ def document_view_order(c: Catalog) -> DataFrame:
     tier = F.when(F.col("n") > 620, 0).when(F.col("n") > 580, 1).otherwise(2)
     d = c.items().groupBy("doc_id").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.min("source").alias("role")).withColumn("tier", tier)
     dealt = d.withColumn("turn", F.row_number().over(Window.partitionBy("tier", "role").orderBy(F.desc("top"), F.desc("n"), "doc_id")))
-    return dealt.select("doc_id", "tier", "role", F.row_number().over(Window.orderBy("tier", "turn", "role")).alias("place"))
+    return dealt.select("doc_id", "tier", "role", "turn").orderBy("tier", "turn", "role")
 
 
 # -- sets -----------------------------------------------------------------------------------------------------------
