@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.llm.tokens import Encoder
+from graphmill.workspace import checkpointed
 from graphmill.llm.textarrays import tidy
 
 #: Ids in a block, and blocks that the first level of the prefix scan takes together.
@@ -93,7 +94,7 @@ def _summaries(separator: int, width: type):
 def scan(blocks: DataFrame, separator: int, wide: bool = False) -> DataFrame:
     """file, ordinal, n_tokens, complete of every document in the files (file, block, data)."""
     one = blocks.select("file", "block", "data").mapInArrow(tidy(_summaries(separator, np.uint32 if wide else np.uint16)), "file long, block long, n_ids long, n_separators long, head long, tail long, inner array<long>")
-    one = one.withColumn("_group", F.floor(F.col("block") / GROUP))
+    one = checkpointed(one).withColumn("_group", F.floor(F.col("block") / GROUP))  # the files are read once
     inside = Window.partitionBy("file", "_group").orderBy("block")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     has = F.col("n_separators") > 0
