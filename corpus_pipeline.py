@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphmill.llm import bagminhash, decontaminate, language_id, packing, substring_dedup
 from graphmill.llm.queries import VOCABULARY
+from graphmill.partitioning import spread
 from graphmill.workspace import folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letters or that no learned language explains."""
+    docs = spread(docs, "doc_id")
     return language_id.keep_known(spark, docs, language_id.train(docs))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest doc_id."""
-    return bagminhash.keep_one(docs)
+    return bagminhash.keep_one(spread(docs, "doc_id"))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +32,12 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents of which a twentieth or more is text of the benchmark."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.drop_contaminated(spread(docs, "doc_id"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens, with their ids."""
-    return packing.pack(docs, VOCABULARY)
+    return packing.pack(spread(docs, "doc_id"), VOCABULARY)
 
 
 STAGES = [

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.llm import bagminhash, chat, decontaminate, language_id, packing, quality, separator_scan, sharding, substring_dedup, vptree
+from graphmill.partitioning import spread
 from graphmill.workspace import folder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,13 +20,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _fold(parts: int, own: int) -> Column:
     """Whether the row is in the fold: crc32 of doc_id as text, modulo parts."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == own, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = language_id.train(docs.where(~_fold(4, 2)))
     return language_id.predict(spark, docs, model).withColumn("held_out", _fold(4, 2)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
@@ -36,7 +41,7 @@ def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return separator_scan.count_tokens(spark, docs, VOCABULARY, END_OF_DOCUMENT, folder(spark, "flat_tokens"))
 
 
@@ -59,24 +64,24 @@ def op6_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    out = decontaminate.find(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     joined = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), joined.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
 def op8_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~_fold(3, 1)).select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels)
     return quality.score(spark, docs, model).withColumn("held_out", _fold(3, 1)).select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.classes(_table(spark, sf_dir, "documents"))
+    return bagminhash.classes(_documents(spark, sf_dir))
 
 
 def op10_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_checksums(packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY))
+    return packing.with_checksums(packing.pack(_documents(spark, sf_dir), VOCABULARY))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
