@@ -98,7 +98,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     found = []
     for low, longest, k, w in [b for n, b in enumerate(bounds) if b[0] in present or n == 0]:
         own = items.where(kind == low)
-        marks = fingerprints(own.withColumn("_words", F.col("_item")), k, w).select("item_id", "_item", F.explode("_fps").alias("_v"))
+        # explode_outer: for explode, Spark would infer a filter that evaluates all the array expressions once more.
+        marks = fingerprints(own.withColumn("_words", F.col("_item")), k, w).select("item_id", "_item", F.explode_outer("_fps").alias("_v")).where("_v IS NOT NULL")
         marks = marks.select(_hash(F.col("_v")).alias("_fp"), F.col("item_id"), F.xxhash64("_item").alias("_item_key"), _place(F.col("_v")).alias("_q"))
         small = present.get(low, 0) <= BROADCAST
         cut = fingerprints(keyed.withColumn("_words", words(F.col("text"))), k, w)
@@ -139,7 +140,7 @@ def _extend(keyed: DataFrame, seen: DataFrame, items: DataFrame, longest: int, k
     texts = keyed.select(*key, "text").join(hit_docs, key).dropDuplicates(key).select(*key, "_hits", words(F.col("text")).alias("_words"))
     reach = longest - k
     near = F.transform("_hits", lambda h: F.struct(h["p"].alias("p"), h["q"].alias("q"), h["item_id"].alias("item_id"), h["_item_key"].alias("_item_key"), F.slice("_words", F.greatest(h["p"] - reach, F.lit(0)) + 1, F.lit(longest + reach)).alias("part")))
-    rows = texts.select(*key, F.explode(near).alias("h")).select(*key, "h.*").withColumn("_base", F.greatest(F.col("p") - reach, F.lit(0)))
+    rows = texts.select(*key, F.explode_outer(near).alias("h")).select(*key, "h.*").withColumn("_base", F.greatest(F.col("p") - reach, F.lit(0)))
     whole = items.select("item_id", F.xxhash64("_item").alias("_item_key"), "_item")
     rows = rows.join(F.broadcast(whole) if small else whole, ["item_id", "_item_key"])
     size = F.least(F.size("_item"), F.lit(longest))
