@@ -119,6 +119,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         spans = part if spans is None else spans.unionByName(part)
     if spans is None:
         return _expand(counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")}))
+    spans = checkpointed(spans.distinct())  # read twice below, and the texts are gone from here on
     key = ["_id", "_text"]
     before = F.max("_end").over(W.partitionBy(*key).orderBy("_start", "_end").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.col("_end") - F.greatest(F.col("_start"), F.coalesce(before, F.lit(0))), F.lit(0))
