@@ -59,21 +59,37 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
 
 
-def fuzzy_pairs(names: DataFrame, kind: str, name: str, least: float = 0.9, score=matching_ratio) -> DataFrame:
-    """kind, a, b, score: pairs of distinct names of a kind whose ratio is at least `least`.
+#: Names of a block that are held against those of another cell in one key of the join.
+CELL = 2048
 
-    A ratio of 0.9 leaves both lengths within a factor 1.23 and, of the names cut into parts, at least one part equal;
-    names are blocked by their first and by their last third, so a pair must agree on one of them.
+
+def fuzzy_pairs(names: DataFrame, kind: str, name: str, least: float = 0.9, score=matching_ratio, cell: int = CELL) -> DataFrame:
+    """kind, a, b, score: all pairs of distinct names of a kind whose ratio is at least `least` (above 0).
+
+    A ratio counts matched characters, so it is at most 2 * common / (length a + length b) with the characters that both
+    have, repeats counted.  A name's characters, numbered by occurrence, are a set; put in one order for all names (rare
+    ones first), two sets with so much in common share one of the first n - ceil(n * least / (2 - least)) + 1 members of
+    each.  Names are blocked by these, and no pair is missed.  Blocks of more than `cell` names are dealt to cells, and
+    each cell meets each cell under its own key.  A score other than the ratio must keep to the same bound.
     """
-    distinct = names.select(kind, name).where(F.col(name).isNotNull()).distinct()
-    third = F.greatest(F.floor(F.length(name) / 3).cast("int"), F.lit(1))
-    blocks = F.array(F.concat(F.lit("<"), F.substring(F.col(name), F.lit(1), third)), F.concat(F.lit(">"), F.substring(F.col(name), -third, third)))
-    keyed = distinct.withColumn("_block", F.explode(blocks))
-    a, b = keyed.withColumnRenamed(name, "a"), keyed.withColumnRenamed(name, "b")
-    pairs = a.join(b, [kind, "_block"]).where("a < b").select(kind, "a", "b").distinct()
-    shorter, longer = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    pairs = pairs.where(2 * shorter >= least * (shorter + longer))
-    return pairs.withColumn("score", F.round(score(F.col("a"), F.col("b")), 4)).where(F.col("score") >= least)
+    chars = F.array_sort(F.split(name, ""))
+    numbered = F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 1).cast("string")))
+    distinct = names.select(kind, name).where(F.length(name) > 0).distinct().withColumn("_set", numbered)
+    members = distinct.select(kind, name, "_set", F.explode("_set").alias("_block"))
+    # The counts only order the members: bounded by the alphabet, and the same for all names.
+    counts = distinct.select(F.explode("_set").alias("_block")).groupBy("_block").agg(F.count("*").alias("_n"))
+    first = F.row_number().over(Window.partitionBy(kind, name).orderBy("_n", "_block"))
+    prefix = F.size("_set") - F.ceil(F.size("_set") * (least / (2 - least)) - 1e-9) + 1
+    keyed = members.join(F.broadcast(counts), "_block").withColumn("_first", first).where(F.col("_first") <= prefix).drop("_n", "_first")
+    cells = keyed.groupBy(kind, "_block").agg(F.ceil(F.count("*") / cell).cast("int").alias("_cells"))
+    keyed = keyed.join(cells, [kind, "_block"]).withColumn("_own", F.pmod(F.xxhash64(name), F.col("_cells")).cast("int"))
+    keyed = keyed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    a = keyed.select(kind, "_block", F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col(name).alias("a"), F.col("_set").alias("_a"))
+    b = keyed.select(kind, "_block", F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col(name).alias("b"), F.col("_set").alias("_b"))
+    needed = least * (F.size("_a") + F.size("_b")) - 1e-9
+    pairs = a.join(b, [kind, "_block", "_x", "_y"]).where((F.col("a") < F.col("b")) & (2 * F.least(F.size("_a"), F.size("_b")) >= needed))
+    pairs = pairs.where(2 * F.size(F.array_intersect("_a", "_b")) >= needed).select(kind, "a", "b").distinct()
+    return pairs.withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= least).withColumn("score", F.round("score", 4))
 
 
 def redirects(merges: DataFrame) -> DataFrame:

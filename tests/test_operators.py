@@ -27,6 +27,23 @@ def test_fuzzy_pairs_against_all_pairs(spark):
     assert got <= want and all(a[: len(a) // 3] != b[: len(b) // 3] and a[-(len(a) // 3) :] != b[-(len(b) // 3) :] for a, b in missed)
 
 
+def test_fuzzy_pairs_misses_none(spark):
+    rng = random.Random(7)
+    names = {"seventeen letters", "seventeen letterss", "a" + "x" * 28 + "b", "c" + "x" * 28 + "d", "", "Ünï😀cödé größe", "Ünï😀cödé grösse"}
+    for _ in range(60):
+        n = "".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 40)))
+        names.add(n)
+        for _ in range(rng.randrange(1, 4)):  # edits at any place
+            k = rng.randrange(len(n) + 1)
+            n = n[:k] + rng.choice(["", "z"]) + n[k + rng.randrange(2) :]
+            names.add(n)
+    want = {(a, b) for a in names for b in names if a < b and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.9}
+    df = spark.createDataFrame([("t", n) for n in names] + [("u", "seventeen letters"), ("t", None)], "kind string, name string")
+    for cell in (B.CELL, 5):
+        got = [(r.a, r.b) for r in B.fuzzy_pairs(df, "kind", "name", cell=cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and ("seventeen letters", "seventeen letterss") in want
+
+
 def fold(parts, most, overlap):
     done, open_ = [], ""
     for p in parts:
