@@ -122,15 +122,19 @@ def strongest_statements(triplets: DataFrame) -> DataFrame:
     return triplets.groupBy(*key).agg(F.max("confidence").alias("confidence"))
 
 
-def latent_candidates(mentions: DataFrame, existing: DataFrame, most_in_doc: int, most: int) -> DataFrame:
+def latent_candidates(mentions: DataFrame, existing: DataFrame, most: int, cell: int = CELL) -> DataFrame:
     """a, b, docs: unordered pairs of entities of a document without an edge either way, by number of documents.
 
-    mentions: doc_id, entity, rank.  Only a document's first most_in_doc entities (by rank) make pairs: that is the
-    operator's definition, and it bounds the pairs of a document.
+    mentions: doc_id, entity.  All entities of a document make pairs.  Documents of more than `cell` entities are dealt
+    to cells, and each cell meets each cell under its own key.
     """
-    rows = mentions.where(F.col("rank") <= most_in_doc).select("doc_id", "entity").distinct()
-    a, b = rows.withColumnRenamed("entity", "a"), rows.withColumnRenamed("entity", "b")
-    pairs = a.join(b, "doc_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("docs"))
+    rows = mentions.select("doc_id", "entity").where("entity IS NOT NULL").distinct()
+    cells = rows.groupBy("doc_id").agg(F.ceil(F.count("*") / cell).cast("int").alias("_cells"))
+    rows = rows.join(cells, "doc_id").withColumn("_own", F.pmod(F.xxhash64("entity"), F.col("_cells")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    a = rows.select("doc_id", F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col("entity").alias("a"))
+    b = rows.select("doc_id", F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col("entity").alias("b"))
+    pairs = a.join(b, ["doc_id", "_x", "_y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("docs"))
     return without(pairs, existing.select("a", "b"), ["a", "b"], both_ways=("a", "b")).orderBy(F.desc("docs"), "a", "b").limit(most)
 
 

@@ -86,10 +86,9 @@ def rule_augmentation(c: Catalog) -> DataFrame:
 SELECT a.entity AS a, b.entity AS b, count(*) AS docs FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL ORDER BY docs DESC, a, b LIMIT 100""")
 def latent_candidates(c: Catalog) -> DataFrame:
     edges = c.edges()
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    mentions = edges.where("rel = 'REQUIRES'").select(F.col("src").alias("doc_id"), F.col("dst").alias("entity"), rank.alias("rank"))
+    mentions = edges.where("rel = 'REQUIRES'").select(F.col("src").alias("doc_id"), F.col("dst").alias("entity"))
     known = edges.where("rel = 'PROVIDES'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return B.latent_candidates(mentions, known, 6, 100)
+    return B.latent_candidates(mentions, known, 100)
 
 
 @query()

@@ -44,6 +44,22 @@ def test_fuzzy_pairs_misses_none(spark):
         assert len(got) == len(set(got)) and set(got) == want and ("seventeen letters", "seventeen letterss") in want
 
 
+def test_latent_candidates_pair_all_entities(spark):
+    rng = random.Random(8)
+    docs = {d: {f"e{rng.randrange(25):02}" for _ in range(rng.randrange(20))} for d in range(12)}
+    known = [("e03", "e01"), ("e02", "e05")]
+    count = {}
+    for own in docs.values():
+        for a, b in ((a, b) for a in own for b in own if a < b and (a, b) not in known and (b, a) not in known):
+            count[a, b] = count.get((a, b), 0) + 1
+    want = sorted(((a, b, n) for (a, b), n in count.items()), key=lambda r: (-r[2], r[0], r[1]))
+    mentions = spark.createDataFrame([(d, e) for d, own in docs.items() for e in sorted(own) * 2] + [(0, None)], "doc_id long, entity string")
+    existing = spark.createDataFrame(known, "a string, b string")
+    for cell in (B.CELL, 4):
+        assert [tuple(r) for r in B.latent_candidates(mentions, existing, 1000, cell).collect()] == want
+        assert [tuple(r) for r in B.latent_candidates(mentions, existing, 30, cell).collect()] == want[:30]
+
+
 def fold(parts, most, overlap):
     done, open_ = [], ""
     for p in parts:
