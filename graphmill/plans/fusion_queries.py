@@ -67,7 +67,7 @@ def diagnostics_merge(c: Catalog) -> DataFrame:
 @query(f"""WITH {CHUNKS}, t AS (SELECT doc_id, unnest(regexp_extract_all(lower(content), '[a-z]{{4,}}')) AS w FROM chunks WHERE sequence = 1), d AS (SELECT DISTINCT doc_id, w FROM t WHERE w NOT IN ('that', 'with')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS k FROM d) SELECT doc_id, string_agg(w, ',' ORDER BY w) AS entities FROM r WHERE k <= 20 GROUP BY doc_id""")
 def chunk_entities(c: Catalog) -> DataFrame:
     words = F.slice(F.array_sort(X.tokens(F.col("content"), "[a-z]{4,}", ("that", "with"))), 1, 20)
-    return c.chunks().where("sequence = 1").select("doc_id", F.array_join(words, ",").alias("entities")).where("entities <> ''")
+    return c.chunks().select("doc_id", "sequence", F.array_join(words, ",").alias("entities")).where("entities <> ''")
 
 
 # -- chunking and ingestion -----------------------------------------------------------------------------------------

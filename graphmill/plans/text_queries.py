@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphmill.catalog import Catalog
 from graphmill.functions import text as X
+from graphmill.operators.windows import keywords_by_length
 from graphmill.plans.oracle import CHUNKS, TRIPLETS
 from graphmill.plans.registry import query
 
@@ -14,8 +15,7 @@ from graphmill.plans.registry import query
 @query("SELECT doc_id, translate(substr(text, 1, 60), 'abcxyz', 'ABCXYZ') AS folded, length(text) AS n FROM documents")
 def half_width(c: Catalog) -> DataFrame:
     """Full-width letters made from the text's own come back as plain ones."""
-    head = F.substring("text", 1, 60)
-    wide = F.translate(head, "abcxyz", "ＡＢＣＸＹＺ")
+    wide = F.translate("text", "abcxyz", "ＡＢＣＸＹＺ")
     return c.table("documents").select("doc_id", X.half_width(wide).alias("folded"), F.length("text").cast("long").alias("n"))
 
 
@@ -154,9 +154,9 @@ def query_kind(c: Catalog) -> DataFrame:
 
 @query(r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{3,}')[1:4] AS w FROM benchmark) SELECT item_id, w[1] || w[2] AS g1, w[2] || w[3] AS g2, w[1] || w[2] || w[3] AS t1 FROM w WHERE len(w) >= 4""")
 def ngrams(c: Catalog) -> DataFrame:
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), 1, 4)
-    rows = c.table("benchmark").select("item_id", words.alias("w")).where("size(w) >= 4").select("item_id", X.ngrams(F.col("w")).alias("g"))
-    return rows.select("item_id", F.get("g", F.lit(0)).alias("g1"), F.get("g", F.lit(1)).alias("g2"), F.get("g", F.lit(3)).alias("t1"))
+    """All n-grams of the keywords of the whole text; empty where there are fewer than two."""
+    rows = c.table("benchmark").select("item_id", keywords_by_length(X.tokens(F.col("text"), "[a-z]{3,}")).alias("w"))
+    return rows.select("item_id", F.array_join(X.ngrams(F.col("w")), " ").alias("grams"))
 
 
 @query("""SELECT n_nationkey AS k, CASE WHEN n_name = 'FRANCE' THEN 'gallia,west' WHEN contains(n_name, 'UNITED') THEN 'allied' ELSE '' END AS found FROM nation""")
@@ -167,8 +167,7 @@ def synonym_lookup(c: Catalog) -> DataFrame:
 
 @query(r"""WITH w AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')))[1:3] AS w FROM benchmark) SELECT item_id, array_to_string(list_concat(w, CASE WHEN len(w) >= 2 THEN [w[1] || w[2]] ELSE [] END, CASE WHEN len(w) >= 3 THEN [w[2] || w[3], w[1] || w[2] || w[3]] ELSE [] END, ['extra']), ' ') AS terms FROM w""")
 def query_expand(c: Catalog) -> DataFrame:
-    words = F.slice(F.array_sort(X.tokens(F.col("text"), "[a-z]{5,}")), 1, 3)
-    rows = c.table("benchmark").select("item_id", words.alias("w"))
+    rows = c.table("benchmark").select("item_id", keywords_by_length(X.tokens(F.col("text"), "[a-z]{5,}")).alias("w"))
     return rows.select("item_id", F.array_join(X.expansion(F.col("w"), X.ngrams(F.col("w")), F.array(F.lit("extra"))), " ").alias("terms"))
 
 
