@@ -309,9 +309,9 @@ def normalized_title(title: Column) -> Column:
 
 
 def page_numbers(text: Column, most: int = 10) -> Column:
-    """Page numbers 1..10000 that a query names as p12, page 12 or pages 3-5 (their ends), in order."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?:p|page|pages)\s*\.?\s*([0-9]{1,5})"), F.lit(1))
-    ends = F.regexp_extract_all(F.lower(text), F.lit(r"(?:p|page|pages)\s*\.?\s*[0-9]{1,5}\s*-\s*([0-9]{1,5})"), F.lit(1))
+    """Page numbers 1..10000 that a query names as p12, page 12 or pages 3-5 (their ends), in order; longer numbers are none."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?:p|page|pages)\s*\.?\s*([0-9]{1,5})(?![0-9])"), F.lit(1))
+    ends = F.regexp_extract_all(F.lower(text), F.lit(r"(?:p|page|pages)\s*\.?\s*[0-9]{1,5}\s*-\s*([0-9]{1,5})(?![0-9])"), F.lit(1))
     numbers = F.transform(F.concat(found, ends), lambda n: n.cast("int"))
     return F.slice(F.array_distinct(F.filter(numbers, lambda n: n.between(1, 10000))), 1, most)
 

@@ -21,9 +21,11 @@ def half_width(c: Catalog) -> DataFrame:
 
 @query("""SELECT p_partkey AS partkey, regexp_replace(p_size || 'level ' || (p_partkey % 10) || ' ' || p_brand, '\\s+', '', 'g') AS plain FROM part WHERE p_size BETWEEN 1 AND 10""")
 def normalize_numbers(c: Catalog) -> DataFrame:
+    """Sizes up to ten are written as Roman numerals first; others are Arabic as they stand."""
     roman = F.create_map(*(F.lit(x) for kv in {v: k for k, v in X.ROMAN.items()}.items() for x in kv))
-    raw = F.concat(roman[F.col("p_size").cast("string")], F.lit(" level "), (F.col("p_partkey") % 10).cast("string"), F.lit(" "), "p_brand")
-    return c.table("part").where("p_size BETWEEN 1 AND 10").select(F.col("p_partkey").alias("partkey"), X.normalize_numbers(raw).alias("plain"))
+    size = F.col("p_size").cast("string")
+    raw = F.concat(F.coalesce(F.try_element_at(roman, size), size), F.lit(" level "), (F.col("p_partkey") % 10).cast("string"), F.lit(" "), "p_brand")
+    return c.table("part").select(F.col("p_partkey").alias("partkey"), X.normalize_numbers(raw).alias("plain"))
 
 
 @query(r"""SELECT s_suppkey AS suppkey, CASE WHEN lower(regexp_replace(n_name, '\s+', '', 'g')) = 'france' THEN 'gallia' ELSE lower(regexp_replace(n_name, '\s+', '', 'g')) END AS name FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
@@ -289,10 +291,11 @@ def intent_flags(c: Catalog) -> DataFrame:
 
 @query("""SELECT page_id, 'page' || page_id || '.pdf' AS title, page_id || ',4' AS pages, 'alpha,beta' AS must FROM pages WHERE page_id BETWEEN 5 AND 5000""")
 def query_hints(c: Catalog) -> DataFrame:
+    """Ids that are no page number (1 to 10000) leave p.4 as the only page."""
     i = F.col("page_id").cast("string")
     q = F.concat(F.lit("what does page "), i, F.lit(" of 【alpha】 and [beta] say, and p.4?"))
     title = X.normalized_title(F.concat(F.lit("a/b/《page"), i, F.lit("》")))
-    return c.table("pages").where("page_id BETWEEN 5 AND 5000").select("page_id", title.alias("title"), F.array_join(F.transform(X.page_numbers(q), lambda p: p.cast("string")), ",").alias("pages"), F.array_join(X.must_include(q), ",").alias("must"))
+    return c.table("pages").select("page_id", title.alias("title"), F.array_join(F.transform(X.page_numbers(q), lambda p: p.cast("string")), ",").alias("pages"), F.array_join(X.must_include(q), ",").alias("must"))
 
 
 @query("""SELECT n_nationkey AS k, r_name AS region, lower(n_name) = lower(r_name) OR ((contains(lower(n_name), lower(r_name)) OR contains(lower(r_name), lower(n_name))) AND least(length(n_name), length(r_name)) >= 2 AND least(length(n_name), length(r_name)) / greatest(length(n_name), length(r_name)) >= 0.2) AS is_match FROM nation JOIN region ON n_regionkey = r_regionkey""")

@@ -10,6 +10,8 @@ from graphmill.plans import QUERIES
 
 LONG = "small words begin this text and \n\n" + "filler " * 40 + "extraordinarily abcxyz unbelievable late"
 
+PAGES = [0, 3, 4, 5, 5000, 5001, 10000, 10001, 64101, 100000, 1234567]
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -20,6 +22,9 @@ def folder(spark, tmp_path_factory):
 
     write("documents", [(1, LONG, "en", "s"), (2, "\nsecond line only", "en", "s"), (3, None, "en", "s")], "doc_id long, text string, lang string, source string")
     write("benchmark", [(1, LONG), (2, "two words"), (3, "one"), (4, "")], "item_id long, text string")
+    write("pages", [(i, f"u{i}", "h") for i in PAGES], "page_id long, url string, html string")
+    write("labels", [(3,), (4,)], "doc_id long")
+    write("part", [(k, k, "Brand#1") for k in range(1, 51)] + [(51, None, "Brand#1")], "p_partkey long, p_size int, p_brand string")
     return str(path)
 
 
@@ -47,3 +52,17 @@ def test_ngrams_and_expansion_of_eight_keywords(spark, folder):
 def test_entities_of_every_chunk(spark, folder):
     got = {(r.doc_id, r.sequence): r.entities for r in QUERIES["chunk_entities"](spark, folder).collect()}
     assert got == {(1, 1): "begin,small,text,this,words", (1, 3): "abcxyz,extraordinarily,filler,late,unbelievable", (2, 2): "line,only,second"}
+
+
+def test_hints_of_every_page(spark, folder):
+    got = {r.page_id: (r.title, r.pages, r.must) for r in QUERIES["query_hints"](spark, folder).collect()}
+    assert got == {i: (f"page{i}.pdf", "4" if i == 4 or not 1 <= i <= 10000 else f"{i},4", "alpha,beta") for i in PAGES}
+
+
+def test_numbers_of_every_part(spark, folder):
+    got = {r.partkey: r.plain for r in QUERIES["normalize_numbers"](spark, folder).collect()}
+    assert got == {**{k: f"{k}level{k % 10}Brand#1" for k in range(1, 51)}, 51: None}
+
+
+def test_the_whole_manifest_is_skipped(spark, folder):
+    assert {r.page_id for r in QUERIES["manifest_skip"](spark, folder).collect()} == set(PAGES) - {3, 4}
