@@ -7,19 +7,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables' folder of each application that has any.
+_opened: dict[str, str] = {}
+
 
 def _base(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; where that is unset, as in local runs, a temporary one."""
+    """This application's own folder in the shared one that spark.checkpoint.dir names.
+
+    Where that is unset, a temporary folder serves a local master; on a cluster other machines couldn't read it, so
+    there it is an error.  The folder goes, with all tables in it, when the driver's JVM ends.
+    """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.applicationId in _opened:
+        return _opened[context.applicationId]
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return named or context.getCheckpointDir()
+        context.setCheckpointDir(named)
+    own = context._jvm.org.apache.hadoop.fs.Path(f"{named.rstrip('/')}/tables-{context.applicationId}")
+    files = own.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(own)
+    files.deleteOnExit(own)
+    _opened[context.applicationId] = own.toString()
+    return _opened[context.applicationId]
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
