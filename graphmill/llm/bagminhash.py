@@ -26,14 +26,18 @@ the links that join classes come out, fewer than it has documents, so rows never
 with the square of a group.
 
 Verification counts shingles in both texts.  Links are joined to classes by connected
-components.  Equal texts are one document throughout, whatever their number.
+components.  Equal texts are one node throughout, whatever their number and ids, and a
+node is a text, not a doc_id.  Cells of documents that are compared in a task are cut
+by their number and by their bytes; what says how many cells a group has is a written
+table, so Spark splits a group that is joined with it (skew join).
 
 Defined cases
     Words are split at ASCII white space, unchanged.  One to four words are a single
     shingle.  Texts without words, or null, have no near copies: equal ones that
     aren't null are a class, a null is its own.  A row with a null doc_id is in no
-    class.  A doc_id with several different texts joins their classes.  An empty
-    table gives no rows.
+    class.  doc_id may have any type that can be ordered.  Rows with equal doc_id and
+    different texts are documents of their own, each in the class of its text.  An
+    empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,20 +46,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.textarrays import blocks, flat, mix, mix2, ranges, spans, tidy, window_hashes, within, word_hashes
+from graphmill.llm.textarrays import blocks, flat, free_name, mix, mix2, ranges, spans, tidy, window_hashes, within, word_hashes
 from graphmill.operators.components import connected_components
 from graphmill.workspace import checkpointed
 
 SHINGLE, SIMILARITY = 5, 0.8
 COMPONENTS, BANDS = 128, 32
 LEAST_AGREEMENT = 0.62
-#: Members compared with one copy of a bucket's smallest document; bytes of text in a verifying task's group; bytes and
-#: documents in a block of a family; signatures in a block.
+#: Members compared with one copy of a bucket's smallest document; bytes of text in such a cell and in a verifying
+#: task's group; bytes and documents in a block of a family; signatures in a block.
 CELL, BIN_BYTES, BLOCK_BYTES, BLOCK_ROWS, SIDE = 256, 4 << 20, 2 << 20, 768, 1024
-#: Most rows of ids that are broadcast to the texts (24 bytes each); more are joined by shuffle.
+#: Most rows of ids that are broadcast to the texts (50 bytes each); more are joined by shuffle.
 BROADCAST = 200_000
 
 
@@ -138,7 +142,7 @@ def _sign(batches):
             empty[i + np.unique(owner)] = False
         listed = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
         sign = pa.array([signs[k].tobytes() for k in range(rows)], pa.binary(), mask=empty)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(offsets)), listed, sign], ["doc_id", "digest", "bytes", "bands", "sign"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), batch.column("mark"), pa.array(np.diff(offsets)), listed, sign], ["doc_id", "digest", "mark", "bytes", "bands", "sign"])
 
 
 def _verify(similarity: float):
@@ -175,16 +179,25 @@ def _verify(similarity: float):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, text_bytes: float, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose texts are similar.  pairs: checkpointed (centre, member), distinct."""
-    sizes = pairs.groupBy("centre").agg(F.count("*").alias("_n"))
-    cells = pairs.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("member"), F.ceil(F.col("_n") / CELL)).alias("cell"), "member")
+def _with_texts(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """wanted (doc, mark, ...), so many rows, with the text that has this id and hash."""
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").where(F.col("doc").isNotNull())
+    joined = texts.join(F.broadcast(wanted) if rows <= BROADCAST else wanted, "doc")
+    return joined.where(F.xxhash64("text") == F.col("mark")).drop("doc", "mark")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose texts are similar.  pairs: checkpointed (centre, node), distinct; nodes: node, doc, mark, bytes."""
+    own = checkpointed(pairs.join(nodes, "node"))
+    sizes = own.groupBy("centre").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("bytes") / BIN_BYTES)).alias("_cells"))
+    cells = own.join(checkpointed(sizes), "centre").withColumn("cell", F.pmod(F.xxhash64("node"), F.greatest("_cells", F.lit(1)))).drop("_cells")
     cells = checkpointed(cells)
-    wanted = cells.select("centre", "cell", F.col("member").alias("doc")).unionByName(cells.select("centre", "cell").distinct().withColumn("doc", F.col("centre")))
-    n = cells.count()
-    bins = max(1, math.ceil(n * 1.5 * text_bytes / BIN_BYTES))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
-    rows = texts.join(F.broadcast(wanted) if 2 * n <= BROADCAST else wanted, "doc").withColumn("_bin", F.pmod(F.xxhash64("centre", "cell"), F.lit(bins)))
+    heads = cells.select("centre", "cell").distinct().withColumn("node", F.col("centre")).join(nodes, "node")
+    wanted = checkpointed(cells.unionByName(heads))
+    total = wanted.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    bins = max(1, math.ceil((total["bytes"] or 0) / BIN_BYTES))
+    rows = _with_texts(docs, wanted.withColumnRenamed("node", "_node").drop("bytes"), total["n"])
+    rows = rows.select("centre", "cell", F.col("_node").alias("doc"), "text", F.pmod(F.xxhash64("centre", "cell"), F.lit(bins)).alias("_bin"))
     return rows.groupBy("_bin").applyInArrow(tidy(_verify(similarity)), "a long, b long").distinct()
 
 
@@ -288,7 +301,7 @@ def _in_cells(rows: DataFrame, key: str, left: DataFrame) -> DataFrame:
     left: key, ni, nj, the numbers of blocks.  A document outside stands in its own i with every j, and as one of all
     in its own j with every i; so do the others in the latter way.
     """
-    rows = rows.join(left, key)
+    rows = rows.join(checkpointed(left), key)
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
     own = rows.where(F.col("label") != F.col("main")).select(key, "node", "label", F.lit(True).alias("outside"), block("ni").alias("i"), every("nj").alias("j"))
@@ -303,7 +316,7 @@ def _ties(shared: DataFrame, signs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rows = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("label", "node").alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high").select("bucket", "n", "main")
-    rows = checkpointed(rows.join(mixed, "bucket"))
+    rows = checkpointed(rows.join(checkpointed(mixed), "bucket"))
     blocks_of = rows.groupBy("bucket").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / SIDE).alias("ni"), F.ceil(F.count("*") / SIDE).alias("nj"))
     cells = checkpointed(_in_cells(rows.drop("n"), "bucket", blocks_of))
     bins = max(1, math.ceil(cells.count() / (8 * SIDE)))
@@ -311,56 +324,67 @@ def _ties(shared: DataFrame, signs: DataFrame, labels: DataFrame) -> DataFrame:
     return cells.groupBy("_bin").applyInArrow(tidy(_tie), "a long, b long").distinct()
 
 
-def _held(docs: DataFrame, sizes: DataFrame, ties: DataFrame, labels: DataFrame, text_bytes: float, similarity: float) -> DataFrame:
-    """True links between classes of a family.  ties: links between near signatures; sizes: node, bytes."""
+def _held(docs: DataFrame, nodes: DataFrame, ties: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """True links between classes of a family.  ties: links between near signatures; nodes: node, doc, mark, bytes."""
     named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     between = ties.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     families = checkpointed(connected_components(between, "a", "b"))  # of classes
     classes_of = labels.select("node", F.col("component").alias("label")).unionByName(families.select(F.col("node"), F.col("node").alias("label")).join(labels, "node", "left_anti"))
     rows = classes_of.join(families.select(F.col("node").alias("label"), F.col("component").alias("family")), "label").select("family", "node", "label")
-    rows = checkpointed(rows.join(sizes, "node"))
+    rows = checkpointed(rows.join(nodes.select("node", "bytes"), "node"))
     main = rows.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rows = rows.join(main, "family")
+    rows = rows.join(checkpointed(main), "family")
     outside = F.col("label") != F.col("main")
     needed = lambda n, size: F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES))
     blocks_of = rows.groupBy("family").agg(needed(F.count_if(outside), F.sum(F.when(outside, F.col("bytes")))).alias("ni"), needed(F.count("*"), F.sum("bytes")).alias("nj"))
-    cells = checkpointed(_in_cells(rows.drop("bytes"), "family", blocks_of))
-    n = cells.count()
-    bins = max(1, math.ceil(n * text_bytes / BIN_BYTES))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where(F.col("node").isNotNull())
-    held = texts.join(F.broadcast(cells) if n <= BROADCAST else cells, "node").withColumn("_bin", F.pmod(F.xxhash64("family", "i", "j"), F.lit(bins)))
+    cells = checkpointed(_in_cells(rows.drop("bytes"), "family", blocks_of).join(nodes, "node"))
+    total = cells.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    bins = max(1, math.ceil((total["bytes"] or 0) / BIN_BYTES))
+    held = _with_texts(docs, cells.drop("bytes"), total["n"]).withColumn("_bin", F.pmod(F.xxhash64("family", "i", "j"), F.lit(bins)))
     return held.groupBy("_bin").applyInArrow(tidy(_hold(similarity)), "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id of every row; class_id is the smallest doc_id of the row's class."""
-    kind = docs.schema["doc_id"].dataType
-    ids = F.col("doc_id").cast("long").alias("doc_id")
-    signed = docs.select(ids, "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).mapInArrow(tidy(_sign), "doc_id long, digest string, bytes long, bands array<long>, sign binary")
-    signed = checkpointed(signed)
-    size = signed.agg(F.avg("bytes").alias("n")).first()["n"] or 1.0
-
-    texts = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = checkpointed(signed.select("doc_id", "digest").join(texts, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")))
-    # One row for each text: bands and sign are functions of the text.
-    nodes = signed.where(F.col("sign").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bytes").alias("bytes"), F.any_value("bands").alias("bands"), F.any_value("sign").alias("sign")).drop("digest")
-    nodes = checkpointed(nodes)
-
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+def _digest() -> Column:
+    """What tells a text from every other one; null for a null text."""
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+
+
+def _classified(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, digest, first of every row: first is the (doc_id, digest) that comes first in the row's class.
+
+    Null where the row has no doc_id or no text.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = docs.select("doc_id", "text", _digest().alias("digest"), F.xxhash64("text").alias("mark"))
+    signed = checkpointed(signed.mapInArrow(tidy(_sign), f"doc_id {kind}, digest binary, mark long, bytes long, bands array<long>, sign binary"))
+    named = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
+    # One row for each text: mark, bytes, bands and sign are functions of the text.
+    texts = named.groupBy("digest").agg(F.min("doc_id").alias("doc"), *(F.any_value(c).alias(c) for c in ("mark", "bytes", "bands", "sign")))
+    texts = checkpointed(texts.sortWithinPartitions("digest").withColumn("node", F.monotonically_increasing_id()))
+    nodes = texts.select("node", "doc", "mark", "bytes")
+    if not named.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        docs = docs.select("doc_id", "text").dropDuplicates()  # so that a row that is there many times is compared once
+
+    buckets = texts.where(F.col("sign").isNotNull()).select("node", F.explode("bands").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-    shared = checkpointed(buckets.join(centres, "bucket"))
-    pairs = checkpointed(shared.where("node <> centre").select("centre", F.col("node").alias("member")).distinct())
-    links = _links(docs, pairs, size, similarity)
-    # Texts that repeat a doc_id make links as well: the id is one document.
-    same = members.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
-    labels = checkpointed(connected_components(links.unionByName(same), "a", "b"))
-    ties = checkpointed(_ties(shared.select("bucket", "node"), nodes.select("node", "sign"), labels))
+    shared = checkpointed(buckets.join(checkpointed(centres), "bucket"))
+    pairs = checkpointed(shared.where("node <> centre").select("centre", "node").distinct())
+    labels = checkpointed(connected_components(_links(docs, pairs, nodes, similarity), "a", "b"))
+    ties = checkpointed(_ties(shared.select("bucket", "node"), texts.select("node", "sign"), labels))
     if not ties.isEmpty():
-        more = checkpointed(_held(docs, nodes.groupBy("node").agg(F.max("bytes").alias("bytes")), ties, labels, size, similarity))
+        more = checkpointed(_held(docs, nodes, ties, labels, similarity))
         if not more.isEmpty():
             labels = checkpointed(_merged(labels, more))
-    out = members.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("class_id").cast(kind).alias("class_id"))
+    own = checkpointed(texts.select("node", "doc", "digest").join(labels, "node", "left").select("doc", "digest", F.coalesce("component", "node").alias("component")))
+    firsts = own.groupBy("component").agg(F.min(F.struct(F.col("doc").alias("doc_id"), "digest")).alias("first"))
+    found = checkpointed(own.join(checkpointed(firsts), "component").select("digest", "first"))
+    row = signed.select("doc_id", "digest").join(found, "digest", "left")
+    return row.select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id of every row; class_id is the smallest doc_id of the row's class."""
+    return _classified(docs, similarity).select("doc_id", F.coalesce(F.col("first.doc_id"), F.col("doc_id")).alias("class_id"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -374,12 +398,22 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of each class's smallest doc_id, once; rows with a null doc_id stay."""
-    found = classes(docs, similarity)
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeats = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if repeats.isEmpty():
-        return kept
-    named, nameless = kept.where(F.col("doc_id").isNotNull()), kept.where(F.col("doc_id").isNull())
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless)
+    """One document of each class: that with the smallest doc_id (of texts with equal ids, the smallest digest).
+
+    Rows equal in doc_id and text are one document; which of them stays is open.  Rows with a null doc_id or text stay.
+    """
+    found = checkpointed(_classified(docs, similarity).where(F.col("first").isNotNull()))
+    key = [free_name(docs, "_digest"), "doc_id"]
+    named = lambda rows: rows.select(F.col("digest").alias(key[0]), "doc_id")
+    first = F.col("first") == F.struct("doc_id", "digest")
+    gone = checkpointed(named(found.where(~first)).distinct())
+    kept = docs.withColumn(key[0], _digest()).join(_small(gone), key, "left_anti")
+    repeated = checkpointed(named(found.where(first)).groupBy(*key).count().where("count > 1").drop("count"))
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(_small(repeated), key, "left_anti")
+    return once.unionByName(kept.join(_small(repeated), key, "left_semi").dropDuplicates(key)).select(docs.columns)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids

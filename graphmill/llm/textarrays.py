@@ -2,7 +2,7 @@
 
 A batch of texts is one flat byte buffer plus row offsets, so that cutting words,
 hashing them and hashing every window of them are a handful of numpy passes over
-the batch instead of a Python loop over words.  Nothing here knows about Spark.
+the batch instead of a Python loop over words.  Nothing here starts Spark jobs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import inspect
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: ASCII white space that separates words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -20,7 +21,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -105,10 +107,28 @@ def spans(buffer: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    sums = _sums(_BYTES[buffer])
-    return mix((sums[end] - sums[start]) * powers(len(buffer) + 1, inverse=True)[start] + (end - start).astype(np.uint64))
+def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word's bytes; hashes of another seed are independent of these.
+
+    Eight bytes at a time are mixed into the hash, so what a word looks like doesn't matter.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buffer) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each byte on
+    own = np.arange(len(start)) if size.max(initial=0) <= LONG_WORD else np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        if k:
+            own = own[size[own] > k]
+        if not len(own):
+            break
+        part, left = eight[start[own] + k], size[own] - k
+        cut = np.flatnonzero(left < 8)
+        part[cut] &= (np.uint64(1) << (left[cut] * 8).astype(np.uint64)) - np.uint64(1)
+        out[own] = mix2(out[own], part)
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(padded[start[i] : end[i]], seed)
+    return out
 
 
 def window_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -133,6 +153,14 @@ def within(first: np.ndarray, k: int) -> np.ndarray:
     return ranges(first[:-1], np.diff(first) - k + 1)
 
 
+def free_name(rows, name: str) -> str:
+    """The name, with underscores before it until no column of the table has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def _give_back() -> None:
     """Returns what this worker has freed to the system: idle workers of an executor share its memory with the JVM."""
     pa.default_memory_pool().release_unused()

@@ -3,10 +3,12 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphmill.llm import bagminhash as B
 from graphmill.llm.textarrays import flat
@@ -20,23 +22,30 @@ def bag(text):
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
-def brute(rows):
-    """Classes of doc_ids by all pairs; equal texts are similar."""
-    own = [(r[0], r[1], bag(r[1])) for r in rows if r[0] is not None]
-    root = {d: d for d, _, _ in own}
+def brute_rows(rows):
+    """For each row the (doc_id, text) that its class starts with, by all pairs of texts; None where it is in none."""
+    texts = sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None}, key=lambda x: (x[0], sha256(x[1].encode()).digest()))
+    bags = [bag(t) for _, t in texts]
+    root = list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, (a, s, x) in enumerate(own):
-        for b, t, y in own[:i]:
+    for i, (x, (_, s)) in enumerate(zip(bags, texts)):
+        for j, (y, (_, t)) in enumerate(zip(bags[:i], texts)):
             both = sum((x & y).values())
-            if (s is not None and s == t) or (both and both >= 0.8 * (sum(x.values()) + sum(y.values()) - both) - 1e-9):
-                p, q = find(a), find(b)
+            if s == t or (both and both >= 0.8 * (sum(x.values()) + sum(y.values()) - both) - 1e-9):
+                p, q = find(i), find(j)
                 root[max(p, q)] = min(p, q)
-    return {d: find(d) for d in root}
+    at = {t: find(i) for i, t in enumerate(texts)}
+    return [texts[at[r[0], r[1]]] if (r[0], r[1]) in at else None for r in rows]
+
+
+def brute(rows):
+    """Class of each doc_id; doc_ids are different."""
+    return {r[0]: r[0] if first is None else first[0] for r, first in zip(rows, brute_rows(rows)) if r[0] is not None}
 
 
 def test_signature_agreement_is_weighted_jaccard():
@@ -58,14 +67,50 @@ def test_signature_agreement_is_weighted_jaccard():
         assert abs((sign[i] == sign[i + 1]).mean() - true) < 5 * np.sqrt(true * (1 - true) / 4096) + 1e-3
 
 
+def check(spark, docs, rows):
+    """classes() and keep_one() against brute force."""
+    want = brute_rows(rows)
+    classes = Counter((r[0], r[0] if f is None else f[0]) for r, f in zip(rows, want))
+    assert Counter(map(tuple, B.classes(docs).collect())) == classes
+    kept = B.keep_one(docs)
+    assert kept.columns == docs.columns
+    stay = {(r[0], r[1]) for r, f in zip(rows, want) if f == (r[0], r[1])}
+    others = Counter((r[0], r[1]) for r, f in zip(rows, want) if f is None)
+    assert Counter((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()) == Counter(stay) + others
+
+
 def test_awkward_rows(spark):
-    got = B.classes(documents(spark)).collect()
-    want = brute(awkward())
-    assert len(got) == len(awkward())
-    assert all(r.class_id == want.get(r.doc_id) for r in got)
-    kept = B.keep_one(documents(spark))
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert kept.columns == documents(spark).columns and sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
+    check(spark, documents(spark), awkward())
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """No text goes because another one has its doc_id; only copies go."""
+    rng = random.Random(4)
+    own = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(6)]
+    near = own[0].split()
+    near[30] = "other"
+    rows = [(5, own[0]), (5, own[1]), (5, own[1]), (7, " ".join(near)), (7, own[2]), (3, own[1]), (9, own[2]), (9, own[3]), (None, own[4]), (None, own[5]), (None, own[0]), (1, None), (1, None), (1, ""), (2, "")]
+    rows = [(*r, *[None] * 8) for r in rows]
+    check(spark, documents(spark, rows), rows)
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    rows = [("b", "one two three four five six", 1), ("a", "one two three four five six", 2), ("c", "other", 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _digest long").withColumns({"node": F.lit(1), "class_id": F.lit(2), "digest": F.lit(3), "first": F.lit(4)})
+    assert {tuple(r) for r in B.classes(docs).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    kept = B.keep_one(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r["_digest"]) for r in kept.collect()} == {("a", 2), ("c", 3)}
+
+
+def test_very_long_texts(spark):
+    """Two near copies of a megabyte and one other text."""
+    rng = random.Random(9)
+    long = [rng.choice(WORDS) for _ in range(200_000)]
+    near = list(long)
+    near[1000:2000] = ["x"] * 1000
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[::-1]))]
+    got = {tuple(r) for r in B.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
