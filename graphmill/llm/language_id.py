@@ -8,7 +8,8 @@ of an escape, -log2(kinds / (total + kinds)), and the same with the next shorter
 context, down to 8 bits for a byte never seen.  A context never seen costs
 nothing.  Statistics are frozen after training, so the code length of a byte is a
 function of it and the three bytes before it, and a whole text is scored by table
-lookups over its byte array.
+lookups over its byte array.  Every context of the labelled sample is kept: the
+tables hold what occurs in it and are looked up by hashing.
 
 Defined cases
     A null text, or one without any letter, is `und` with score 0.
@@ -33,25 +34,69 @@ from graphmill.llm.textarrays import blocks, flat, tidy
 UNKNOWN = "und"
 #: Labelled rows of each language that train the model; the only bound on what it learns from.
 ROWS_PER_LANGUAGE = 1500
-#: Contexts of three bytes in the model; those seen most are kept.
-CONTEXTS = 8192
 #: A text that costs more bits a byte than this under every language is in none of them.
 UNIFORM_BITS = 8.0
 _COUNTS = "lang string, gram long, n long"
 
 
+class _Index:
+    """Position, from 1, of each of some different 32-bit keys in their order; 0 for other keys."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = keys.astype(np.uint32)
+        self.n = len(keys)
+        self.bits = max(4, int(4 * len(keys) + 1).bit_length())
+        self.keys, self.at = np.zeros(1 << self.bits, np.uint32), np.zeros(1 << self.bits, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.at[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.at[slot[won]] = keys[left[won]], left[won] + 1
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, slot = left[rest], self._next(slot[rest])
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.at[slot]
+        left = np.flatnonzero((self.keys[slot] != keys) & (out > 0))
+        slot = slot[left]
+        while len(left):
+            slot = self._next(slot)
+            here = self.at[slot]
+            out[left] = here
+            on = (self.keys[slot] != keys[left]) & (here > 0)
+            left, slot = left[on], slot[on]
+        return out
+
+
 @dataclass
 class Model:
-    """Tables of a trained model; about 256 * (bigrams + CONTEXTS) * 4 bytes, whatever the corpus holds."""
+    """Tables of a trained model.
+
+    Rows of `bits`, the code length of a byte for each language: order 0, order 1, then each three and each four bytes
+    of the sample.  A row of three or four bytes that a language has not seen holds its escapes, too.
+    """
 
     languages: list[str]
-    pair_id: np.ndarray  # of the 65,536 pairs of bytes: dense id, 0 if never seen
-    triple_id: np.ndarray  # pair id * 256 + byte: id of the context of three, 0 if not kept
-    seen: np.ndarray  # context id * 256 + byte: row of `bits`, 0 if never seen after that context
-    bits: np.ndarray  # row x language: code length
-    escape: np.ndarray  # context id x language: price of leaving it
+    threes: _Index  # rows of three bytes
+    fours: _Index  # rows of four bytes
+    pairs: np.ndarray  # of the 65,536 contexts of two bytes: row of `leave_two`, 0 if never seen
+    contexts: _Index  # contexts of three bytes: row of `leave_three`
+    bits: np.ndarray  # row x language
+    leave_two: np.ndarray  # context x language: price of an escape, the first row being 0
+    leave_three: np.ndarray
 
-    #: Rows of `bits`: order 0, order 1, then pair id * 256 + byte, then those that `seen` names.
     ORDER1, ORDER2 = 256, 256 + 65536
 
     def code_lengths(self, buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -74,43 +119,42 @@ class Model:
         n = len(b)
         if not n:
             return
-        s = b.astype(np.int64)
-        row = s.copy()  # order 0
-        row[1:] = self.ORDER1 + s[:-1] * 256 + s[1:]
+        s = b.astype(np.uint32)
         start = np.unique(o[:-1][o[:-1] < n])
-        escape = np.zeros(n, np.int64)
-        if n > 2:
-            pair = self.pair_id[s[:-1] * 256 + s[1:]].astype(np.int64)
-            pair[start[start > 0] - 1] = 0  # no context reaches into another row
-            two = pair[:-1]
-            np.copyto(row[2:], self.ORDER2 + two * 256 + s[2:], where=two > 0)
-            if n > 3:
-                three = self.triple_id[pair[:-2] * 256 + s[2:-1]].astype(np.int64)
-                hit = self.seen[three * 256 + s[3:]].astype(np.int64)
-                np.copyto(row[3:], hit, where=hit > 0)
-                np.copyto(escape[3:], three, where=hit == 0)
-        row[start] = s[start]
-        second = start + 1
-        second = second[second < n]
-        row[second] = np.where(np.isin(second, start), row[second], self.ORDER1 + s[second - 1] * 256 + s[second])
-        for back in range(3):
-            own = start + back
-            escape[own[own < n]] = 0
+        depth = np.full(n, 3, np.int8)  # bytes of context
+        for k in (2, 1, 0):
+            own = start + k
+            depth[own[own < n]] = k
+        gram = s.copy()
+        for k in (1, 2, 3):
+            gram[k:] |= s[:-k] << np.uint32(8 * k)
+        row = np.where(depth > 0, self.ORDER1 + (gram & np.uint32(0xFFFF)).astype(np.int64), s.astype(np.int64))
+        deep = np.flatnonzero(depth == 3)
+        four = self.fours.find(gram[deep])
+        row[deep[four > 0]] = self.ORDER2 + len(self.threes) + four[four > 0] - 1
+        escaped = deep[four == 0]
+        lower = np.union1d(escaped, np.flatnonzero(depth == 2))
+        three = self.threes.find(gram[lower] & np.uint32(0xFFFFFF))
+        row[lower[three > 0]] = self.ORDER2 + three[three > 0] - 1
+        lowest = lower[three == 0]
         cost = np.take(self.bits, row, axis=0)
-        left_early = np.flatnonzero(escape)
-        cost[left_early] += self.escape[escape[left_early]]
+        cost[escaped] += self.leave_three[self.contexts.find(gram[escaped] >> np.uint32(8))]
+        cost[lowest] += self.leave_two[self.pairs[(gram[lowest] >> np.uint32(8)) & np.uint32(0xFFFF)]]
         cost[:left] = 0
         full = o[1:] > o[:-1]
         out[full] += np.add.reduceat(cost, o[:-1][full], axis=0, dtype=np.float64)
 
 
-def _context_costs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """counts: contexts x 256.  Bits of each byte (inf if not seen), and of an escape (0 for a context not seen)."""
-    total, kinds = counts.sum(1), (counts > 0).sum(1)
+def _ppm(context: np.ndarray, contexts: int, n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each (context, byte) that is seen n times by one language, and the price of leaving each context.
+
+    lower: what a byte that the language has not seen costs after the escape.
+    """
+    total, kinds = np.bincount(context, n, contexts), np.bincount(context, n > 0, contexts)
     with np.errstate(divide="ignore", invalid="ignore"):
-        bits = np.log2((total + kinds)[:, None] / counts)
-        escape = np.where(total > 0, np.log2((total + kinds) / np.maximum(kinds, 1)), 0.0)
-    return bits, escape
+        leave = np.where(total > 0, np.log2((total + kinds) / np.maximum(kinds, 1)), 0.0)
+        bits = np.where(n > 0, np.log2((total + kinds)[context] / n), leave[context] + lower)
+    return bits, leave
 
 
 def build(counts: pd.DataFrame) -> Model:
@@ -119,47 +163,24 @@ def build(counts: pd.DataFrame) -> Model:
     grams, index = np.unique(counts["gram"].to_numpy(np.int64), return_inverse=True)
     table = np.zeros((len(languages), len(grams)))
     np.add.at(table, (np.searchsorted(languages, counts["lang"].to_numpy(str)), index), counts["n"].to_numpy(float))
-    total = table.sum(0)
-
-    pairs = np.unique((grams >> 8) & 0xFFFF)
-    pair_id = np.zeros(65536, np.int32)
-    pair_id[pairs] = np.arange(1, len(pairs) + 1)
-    contexts, of = np.unique(grams >> 8, return_inverse=True)
-    weight = np.bincount(of, weights=total)
-    kept = np.sort(np.lexsort((contexts, -weight))[:CONTEXTS])
-    first_pair = pair_id[contexts >> 8]
-    kept = kept[first_pair[kept] > 0]
-    triple_id = np.zeros((len(pairs) + 1) * 256, np.int32)
-    triple_id[first_pair[kept].astype(np.int64) * 256 + (contexts[kept] & 255)] = np.arange(1, len(kept) + 1)
-    context_id = np.zeros(len(contexts), np.int64)
-    context_id[kept] = np.arange(1, len(kept) + 1)
-
-    own = np.flatnonzero(context_id[of] > 0)
-    base = Model.ORDER2 + (len(pairs) + 1) * 256
-    seen = np.zeros((len(kept) + 1) * 256, np.int32)
-    seen[context_id[of[own]] * 256 + (grams[own] & 255)] = base + np.arange(len(own))
-    bits = np.zeros((base + len(own), len(languages)), np.float32)
-    escapes = np.zeros((len(kept) + 1, len(languages)), np.float32)
-    byte, last, two = grams & 255, (grams >> 8) & 255, pair_id[(grams >> 8) & 0xFFFF]
+
+    threes, in_three = np.unique(grams & 0xFFFFFF, return_inverse=True)
+    contexts, in_context = np.unique(grams >> 8, return_inverse=True)
+    twos, in_two = np.unique(threes >> 8, return_inverse=True)
+    pairs = np.zeros(65536, np.int32)
+    pairs[twos] = np.arange(1, len(twos) + 1)
+    every = np.arange(65536)
+    bits = np.zeros((Model.ORDER2 + len(threes) + len(grams), len(languages)), np.float32)
+    leave_two, leave_three = (np.zeros((len(x) + 1, len(languages)), np.float32) for x in (twos, contexts))
     for k in range(len(languages)):
-        n = table[k]
-        zero, out = _context_costs(np.bincount(byte, n, 256)[None])
-        zero = np.where(np.isinf(zero), out[:, None] + 8, zero)[0]
-        one, out = _context_costs(np.bincount(last * 256 + byte, n, 65536).reshape(256, 256))
-        one = np.where(np.isfinite(one), one, out[:, None] + zero)
-        second, out = _context_costs(np.bincount(two * 256 + byte, n, (len(pairs) + 1) * 256).reshape(-1, 256))
-        lower = np.zeros_like(second)
-        lower[1:] = one[pairs & 255]
-        second = np.where(np.isfinite(second), second, out[:, None] + lower)
-        c = context_id[of[own]]
-        sums, kinds = np.bincount(c, n[own], len(kept) + 1), np.bincount(c, n[own] > 0, len(kept) + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.where(sums > 0, np.log2((sums + kinds) / np.maximum(kinds, 1)), 0)
-            third = np.log2((sums + kinds)[c] / n[own])
-        third = np.where(np.isfinite(third), third, out[c] + second[two[own], byte[own]])
-        bits[:, k] = np.concatenate([zero, one.ravel(), second.ravel(), third])
-        escapes[:, k] = out
-    return Model(languages, pair_id, triple_id, seen, bits, escapes)
+        n3 = np.bincount(in_three, table[k], len(threes))
+        n1 = np.bincount(threes & 0xFFFF, n3, 65536)
+        zero, _ = _ppm(np.zeros(256, np.int64), 1, np.bincount(threes & 0xFF, n3, 256), np.full(256, 8.0))
+        one, _ = _ppm(every >> 8, 256, n1, zero[every & 0xFF])
+        three, leave_two[1:, k] = _ppm(in_two, len(twos), n3, one[threes & 0xFFFF])
+        four, leave_three[1:, k] = _ppm(in_context, len(contexts), table[k], three[in_three])
+        bits[:, k] = np.concatenate([zero, one, three, four])
+    return Model(languages, _Index(threes), _Index(grams), pairs, _Index(contexts), bits, leave_two, leave_three)
 
 
 def _count(batches):

@@ -63,6 +63,26 @@ def test_code_lengths_are_ppm():
             assert abs(got[k, j] - code_length(counts, lang, b)) < 1e-3, (texts[k], lang)
 
 
+def test_every_context_is_kept():
+    """Over 8,192 contexts of three bytes, in several scripts; a text longer than a piece of four megabytes."""
+    rng = random.Random(5)
+    scripts = {"aa": "abcdefghijklmnopqrstuvwxyz ", "bb": "".join(map(chr, range(0x400, 0x450))) + " ", "cc": "".join(map(chr, range(0x4E00, 0x4F80)))}
+    counts = grams({k: ["".join(rng.choice(v) for _ in range(400)) for _ in range(60)] for k, v in scripts.items()})
+    assert len({g >> 8 for g in counts.gram}) > 8192
+    model = L.build(counts)
+    texts = ["".join(rng.choice(v) for _ in range(80)) for v in scripts.values() for _ in range(4)] + ["abc \u4e05\u0410", "\U0001f642" * 5]
+    data = [t.encode() for t in texts]
+    got = model.code_lengths(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for k, b in enumerate(data):
+        for j, lang in enumerate(model.languages):
+            assert abs(got[k, j] - code_length(counts, lang, b)) < 1e-2, (texts[k], lang)
+    long = ("abc def " * ((9 << 20) // 8)).encode()
+    whole = model.code_lengths(np.frombuffer(long, np.uint8), np.array([0, len(long)]))[0]
+    half = model.code_lengths(np.frombuffer(long[: 4 << 20], np.uint8), np.array([0, 4 << 20]))[0]
+    one = model.code_lengths(np.frombuffer(long[:80], np.uint8), np.array([0, 80]))[0] - model.code_lengths(np.frombuffer(long[:72], np.uint8), np.array([0, 72]))[0]
+    assert np.allclose(whole - half, one * ((5 << 20) // 8), rtol=1e-4)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     rows = op1_language_id(spark, sf_dir).where("held_out").toPandas()
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").toPandas()
