@@ -18,7 +18,11 @@ There is no shuffle: a task packs the rows it reads.  sequence_id holds the task
 its upper bits, so ids are unique without a count over tasks.
 
 Defined cases
-    A null or empty text is a document of the end id alone.  A document longer than a
+    Control strings of the vocabulary in a text have their own ids, as the tokenizers
+    library gives them.  doc_id may have any plain type and be null or repeated.
+    A null or empty text is a document of the end id alone.  A very long text is
+    encoded in parts; its pieces leave as they are cut.  Equally cheap cuts: the
+    earlier one.  Columns besides doc_id and text aren't read.  A document longer than a
     window is cut at sentences.  Rows with equal ids are documents of their own.  An
     empty table gives no rows.
 """
@@ -166,7 +170,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END)
     """
     encoder = Encoder(vocabulary)
     kind = docs.schema["doc_id"].dataType
-    schema = pa.schema([("doc_id", pa.int64() if kind.simpleString() == "bigint" else pa.int32()), *((n, pa.int64()) for n in ("start", "length")), ("ids", pa.binary()), *((n, pa.int64()) for n in ("doc_tokens", "sequence_id", "offset"))])
+    rest = [*((n, pa.int64()) for n in ("start", "length")), ("ids", pa.binary()), *((n, pa.int64()) for n in ("doc_tokens", "sequence_id", "offset"))]
 
     def run(batches):
         from pyspark import TaskContext
@@ -174,6 +178,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END)
         ends, opens = sentence_tables(encoder)
         packer = _Packer(length, ends, opens, TaskContext.get().partitionId() << 40)
         for batch in batches:
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), *rest])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end))
                 for rows in packer.add(doc_id, ids):

@@ -15,6 +15,8 @@ Defined cases
     A document without tokens counts 0.  Ids after a file's last separator are a
     document with complete = false.  A file without blocks, or with empty blocks
     only, has no documents.  A null text is written as an empty document.
+    A file with an odd byte at its end is an error.  Equal separators in a row are
+    empty documents.  Columns besides file, block and data aren't read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphmill.llm.tokens import Encoder
 from graphmill.workspace import checkpointed
@@ -33,13 +36,39 @@ BLOCK, GROUP = 1 << 16, 1 << 12
 BLOCKS = "file long, block long, data binary"
 
 
+def read_flat(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+    """Blocks (file, block, data) and the `name` of each, of the flat token files under a path that Spark can read.
+
+    The files' number is a hash of their names.  A file is read by one task, a block at a time goes on, and Spark's
+    own limit of 2 GB for a binary row holds for a file: longer ones are written as several.
+    """
+    step = BLOCK * (4 if wide else 2)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select(F.xxhash64("path").alias("file"), F.col("path").alias("name"), F.col("content"))
+
+    def run(batches):
+        for batch in batches:
+            for file, name, content in zip(batch.column("file"), batch.column("name"), batch.column("content")):
+                data = content.as_buffer()
+                if data.size % (step // BLOCK):
+                    raise ValueError(f"{name} does not end with a whole id")
+                for at in range(0, data.size, step):
+                    part = data.slice(at, min(step, data.size - at)).to_pybytes()
+                    yield pa.RecordBatch.from_pydict({"file": [file.as_py()], "block": [at // step], "data": pa.array([part], pa.binary()), "name": [name.as_py()]})
+
+    return files.mapInArrow(tidy(run), f"{BLOCKS}, name string")
+
+
 def write_flat(docs: DataFrame, vocabulary: str, separator: int, path: str) -> None:
     """Tokenises every text and writes flat token files, one for each task, as a table at `path`.
 
     Rows of kind `ids` are the blocks.  Rows of kind `names` say which doc_id each document of a file has, in
-    order, for callers that want names; the scan doesn't read them.
+    order, for callers that want names; the scan doesn't read them.  doc_id is a column of whole numbers; another type
+    is an error.
     """
-    encoder = Encoder(vocabulary)
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be a column of whole numbers")
+    encoder = Encoder(vocabulary, plain=True)  # the separator stands nowhere but at ends
 
     def run(batches):
         from pyspark import TaskContext

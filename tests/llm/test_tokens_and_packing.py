@@ -11,20 +11,23 @@ from graphmill.workspace import folder
 from tests.llm.common import SCHEMA, awkward, documents
 
 
-def reference(text: str | None) -> list[int]:
+def reference(text: str | None, plain: bool = False) -> list[int]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
     return t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_ids_are_the_vocabularys(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("plain", [False, True])
+def test_ids_are_the_vocabularys(spark, sf_dir, monkeypatch, plain):
     monkeypatch.setattr(tokens, "PART", 2000)
-    encoder = tokens.Encoder(VOCABULARY)
+    encoder = tokens.Encoder(VOCABULARY, plain)
     texts = [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext| >", "word <|endoftext|>\n" * 1500]
     for t in [*texts, *(r[1] for r in awkward()), "<|endoftext|> a  b\n\n\tc 's d'll é漢字🙂 " * 300]:
-        assert encoder.encode(t or "").tolist() == reference(t)
+        assert encoder.encode(t or "").tolist() == reference(t, plain)
+    assert (50256 in encoder.encode("hello <|endoftext|> world")) == (not plain)
 
 
 def test_separator_scan_by_hand(spark, monkeypatch):
@@ -44,11 +47,44 @@ def test_separator_scan_by_hand(spark, monkeypatch):
     assert got == want
 
 
+def test_flat_files_are_read(spark, monkeypatch, tmp_path):
+    """Real files of ids, some longer than a block, one empty."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rng = np.random.Generator(np.random.PCG64(6))
+    want = []
+    for k, sizes in enumerate([[3, 0, 40, 5], [100], [], [0, 0, 1]]):
+        ids = np.concatenate([np.zeros(0, "<u2"), *(np.append(rng.integers(0, 9, n), 99).astype("<u2") for n in sizes)])
+        (tmp_path / f"f{k}.bin").write_bytes(ids.astype("<u2").tobytes())
+        want += [(f"f{k}.bin", i, n) for i, n in enumerate(sizes)]
+    blocks = S.read_flat(spark, str(tmp_path))
+    names = blocks.select("file", "name").distinct()
+    got = S.scan(blocks, 99).join(names, "file").collect()
+    assert sorted((r.name.rsplit("/", 1)[1], r.ordinal, r.n_tokens) for r in got) == want
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole id"):
+        S.read_flat(spark, str(tmp_path)).count()
+
+
+def test_clashing_columns_and_other_ids(spark):
+    docs = spark.createDataFrame([("a", "one two", 1, 2), (None, "three <|endoftext|>", 3, 4)], "doc_id string, text string, sequence_id long, ids int")
+    rows = P.pack(docs, VOCABULARY, length=64).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in rows} == {("a", 3), (None, len(reference("three <|endoftext|>")) + 1)}
+    with pytest.raises(TypeError):
+        S.write_flat(docs, VOCABULARY, END_OF_DOCUMENT, folder(spark, "t"))
+
+
+def test_a_very_long_text_is_packed_whole(spark):
+    text = "word and word. " * 200_000
+    rows = P.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), VOCABULARY).toPandas().sort_values("start")
+    ids = np.concatenate([np.frombuffer(x, "<u4") for x in rows.ids])
+    assert ids.tolist() == [*tokens.Encoder(VOCABULARY).encode(text).tolist(), 1] and rows.length.max() <= 2048
+
+
 def test_token_counts(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 64)
     docs = documents(spark)
     out = S.count_tokens(spark, docs, VOCABULARY, END_OF_DOCUMENT, folder(spark, "t")).toPandas()
-    want = sorted((-1 if r[0] is None else r[0], len(reference(r[1]))) for r in awkward())
+    want = sorted((-1 if r[0] is None else r[0], len(reference(r[1], True))) for r in awkward())
     assert sorted((int(a) if a == a else -1, n) for a, n in zip(out.doc_id, out.n_tokens)) == want
     empty = S.count_tokens(spark, spark.createDataFrame([], SCHEMA), VOCABULARY, END_OF_DOCUMENT, folder(spark, "t"))
     assert empty.count() == 0
