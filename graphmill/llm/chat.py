@@ -1,18 +1,19 @@
 """Chat formatting by event-sourced reconstruction.
 
-A conversation is a log of events, ordered by `seq`:
+A conversation is a log of events, ordered by `seq`, each of one message:
 
-    message     a whole message of its own                (role, text)
+    message     a whole message                           (role, text)
     start       opens message `message_id`                (role)
     delta       adds text to it
     edit        puts a text in place of what it has, and a role if one is given
     regenerate  empties it; later deltas fill it again
-    delete      takes it out
+    delete      takes it out; later events open it anew
 
-`fold` keys the streamed events by conversation and message, finds the last event
-that replaces the text (edit, regenerate) and adds the deltas after it, in order;
-messages then stand in the order of their first event.  Whole messages need no key
-and pass.  `render` writes a message as one segment
+`fold` deals the events by conversation and message and puts those of a message in
+order of seq.  What follows its last delete counts: of that, the last event that sets
+the whole text (message, edit, regenerate) and the deltas after it make the text, and
+the first event gives the message its place.  Events of kind `message` without a
+message_id are messages of their own.  `render` writes a message as one segment
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -21,16 +22,19 @@ doubled and `<|` becomes `<\\|`, and in roles a line end becomes `\\n`, so the c
 strings stand only where the template puts them and the text can be read back.  The
 loss mask is the escaped text of each assistant message.
 
-A conversation is never gathered: messages are dealt by conversation and message,
-segments are sorted within partitions by conversation and position, and `read_back`
-passes over them as a stream with one running digest for a conversation.
+A conversation is never gathered: events are dealt by conversation and message, so a
+task holds the events of a message at most, which are its text; segments are sorted
+within partitions by conversation and position, and `read_back` passes over them as a
+stream with one running digest for a conversation.
 
 Defined cases
-    A null text is empty, a null role is an empty role.  Events with equal seq keep
-    the order of kind, role and text.  A message with no text is rendered empty; a
-    deleted one, or one that only has a delete, isn't rendered.  Unknown kinds are
-    ignored.  Rows with a null conversation id are one conversation of their own.
-    Deltas before any start open the message.
+    A null text is empty, a null role is an empty role.  Events with equal seq have
+    the order of kind, role and text; messages with equal seq that of role and text.
+    A message with no text is rendered empty; a deleted one isn't rendered.  Unknown
+    kinds are ignored.  Rows with a null conversation id are one conversation of
+    their own; so are events with a null message_id, whole messages aside, one
+    message.  Deltas before any start open the message.  Repeated rows are events
+    each.  Columns besides those named aren't read.  No events, no rows.
 """
 
 from __future__ import annotations
@@ -45,32 +49,52 @@ from pyspark.sql import functions as F
 from graphmill.llm.textarrays import tidy
 
 
+KINDS = ("message", "start", "delta", "edit", "regenerate", "delete")
 OPEN, CLOSE, LOSS_ROLE = "<|im_start|>", "<|im_end|>\n", "assistant"
 _ESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
 
 def fold(events: DataFrame) -> DataFrame:
     """conv_id, seq, role, text of the final messages of events (conv_id, seq, kind, message_id, role, text)."""
-    events = events.select("conv_id", "seq", "kind", "message_id", "role", F.coalesce("text", F.lit("")).alias("text"))
-    whole = events.where("kind = 'message'").select("conv_id", "seq", "role", "text")
-    parts = events.where(F.col("kind").isin("start", "delta", "edit", "regenerate", "delete"))
-    key = ["conv_id", "message_id"]
-    rank = F.struct("seq", "kind", "role", "text")
-    replaces = F.col("kind").isin("edit", "regenerate")
-    heads = parts.groupBy(*key).agg(
-        F.min("seq").alias("first"),
-        F.max(F.when(replaces, rank)).alias("reset"),
-        F.max_by("role", F.when(F.col("role").isNotNull() & F.col("kind").isin("start", "edit"), rank)).alias("role"),
-        F.max(F.when(F.col("kind") != "delete", F.lit(1))).isNull().alias("empty"),
-        F.bool_or(F.col("kind") == "delete").alias("deleted"),
-    )
-    deltas = parts.where("kind = 'delta'").groupBy(*key).agg(F.sort_array(F.collect_list(rank)).alias("deltas"))
-    joined = heads.join(deltas, (heads["conv_id"].eqNullSafe(deltas["conv_id"])) & (heads["message_id"].eqNullSafe(deltas["message_id"])), "left").drop(deltas["conv_id"]).drop(deltas["message_id"])
-    later = F.filter("deltas", lambda d: F.col("reset").isNull() | (d > F.col("reset")))
-    base = F.when(F.col("reset.kind") == "edit", F.col("reset.text")).otherwise("")
-    text = F.concat(base, F.coalesce(F.array_join(F.transform(later, lambda d: d["text"]), ""), F.lit("")))
-    streamed = joined.where(~F.col("empty") & ~F.col("deleted")).select("conv_id", F.col("first").alias("seq"), "role", text.alias("text"))
-    return whole.unionByName(streamed)
+    events = events.select("conv_id", "seq", "kind", "message_id", "role", F.coalesce("text", F.lit("")).alias("text")).where(F.col("kind").isin(*KINDS))
+    own = (F.col("kind") == "message") & F.col("message_id").isNull()
+    whole = events.where(own).select("conv_id", "seq", "role", "text")
+    log = events.where(~own).groupBy("conv_id", "message_id").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log"))
+    last = lambda name, *kinds: F.coalesce(F.array_max(F.transform(name, lambda e, i: F.when(e["kind"].isin(*kinds), i + 1))), F.lit(0))
+    after = lambda name, at: F.slice(name, at + 1, F.size(name))
+    log = log.withColumn("log", after("log", last("log", "delete"))).where(F.size("log") > 0)
+    log = log.withColumn("_set", last("log", "message", "edit", "regenerate"))
+    base = F.when(F.col("_set") > 0, F.element_at("log", F.greatest("_set", F.lit(1))))
+    deltas = F.filter(after("log", F.col("_set")), lambda e: e["kind"] == "delta")
+    text = F.concat(F.when(base["kind"].isin("message", "edit"), base["text"]).otherwise(""), F.array_join(F.transform(deltas, lambda e: e["text"]), ""))
+    roles = F.filter("log", lambda e: e["role"].isNotNull() & e["kind"].isin("message", "start", "edit"))
+    role = F.when(F.size(roles) > 0, F.element_at(roles, -1)["role"])
+    return whole.unionByName(log.select("conv_id", F.element_at("log", 1)["seq"].alias("seq"), role.alias("role"), text.alias("text")))
+
+
+def streamed(rows: DataFrame) -> DataFrame:
+    """The log of a chat service in which the messages of rows (conv_id, turn, role, text) came to be, for fold().
+
+    A hash of each row's conversation, turn and text chooses how: in two deltas; with a first answer thrown away and
+    regenerated; with a text that was edited; deleted and written again.  seq is (turn, step).  Equal rows are messages
+    each: they are counted before they are dealt out, and then have a number.
+    """
+    rows = rows.select("conv_id", "turn", "role", "text").groupBy("conv_id", "turn", "role", "text").count()
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    event = lambda kind, role=None, body=None: F.struct(F.lit(kind).alias("kind"), (F.col("role") if role else F.lit(None).cast("string")).alias("role"), (F.lit(None).cast("string") if body is None else body).alias("text"))
+    start, first, second = event("start", True), event("delta", None, F.substring(text, 1, half)), event("delta", None, F.substring(text, half + 1, F.length(text)))
+    ways = [
+        F.array(start, first, second),
+        F.array(start, second, event("regenerate"), first, second),
+        F.array(start, first, event("edit", None, text)),
+        F.array(start, second, event("delete"), start, first, second),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(len(ways)))
+    chosen = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    named = rows.withColumn("_copy", copy).withColumn("message_id", F.concat_ws("-", "turn", F.xxhash64("role", "text"), "_copy"))
+    steps = named.select("conv_id", "turn", "message_id", F.posexplode(chosen).alias("step", "event"))
+    return steps.select("conv_id", F.struct("turn", "step").alias("seq"), "event.kind", "message_id", "event.role", "event.text")
 
 
 def escape(text: Column) -> Column:
@@ -127,9 +151,13 @@ _DIGESTS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "
 def read_back(segments: DataFrame) -> DataFrame:
     """Per conversation, what its formatted text holds when it is parsed again; segments as render() gives them."""
 
+    kind = segments.schema["conv_id"].dataType.simpleString()
+    rest = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+
     def run(batches):
-        own, out = None, []
+        own, out, schema = None, [], None
         for batch in batches:
+            schema = pa.schema([("conv_id", batch.schema.field("conv_id").type), *rest])
             for conv_id, segment, start, length in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_length"))):
                 if own is None or own.conv_id != conv_id:
                     if own is not None:
@@ -142,9 +170,6 @@ def read_back(segments: DataFrame) -> DataFrame:
         if own is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(_DIGESTS, own.row()))], schema)
 
-    kind = segments.schema["conv_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    schema = pa.schema([("conv_id", arrow), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     return segments.select("conv_id", "segment", "loss_start", "loss_length").mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
