@@ -23,6 +23,49 @@ def test_factor_one_is_exact(spark):
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == exact(np.arange(600), x, q, x[q], 7)
 
 
+def test_ties_are_exact_at_factor_one(spark, monkeypatch):
+    """Small whole numbers: very many equal inner products and equal vectors."""
+    monkeypatch.setattr(V, "BLOCK", 7)
+    rng = np.random.Generator(np.random.PCG64(3))
+    x = rng.integers(-1, 2, (800, 4)).astype(float)
+    x[(x == 0).all(1)] = 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = V.search(df, F.col("vec_id") % 20 == 0, k=9, relax=1.0, shard_rows=60).toPandas()
+    for q in range(0, 800, 20):
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.vec_id.tolist() == exact(np.arange(800), x, q, x[q], 9) and own.score.tolist() == [float(x[i] @ x[q]) for i in own.vec_id]
+    one = spark.createDataFrame([(i, [1.0, 1.0 / (1 + i % 5)]) for i in range(400)], "vec_id long, embedding array<double>")
+    got = V.search(one, F.col("vec_id") % 20 == 0, k=5, relax=1.0, shard_rows=50).toPandas()
+    y = np.array([[1.0, 1.0 / (1 + i % 5)] for i in range(400)])
+    for q in range(0, 400, 20):
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == exact(np.arange(400), y, q, y[q], 5)
+
+
+def test_repeated_ids(spark):
+    """A query's id in many rows: none of its own vectors is in its answer, and the answer is full."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    x = rng.normal(size=(60, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, v.tolist()) for v in x[1:25]] + [(0, x[0].tolist())] * 3 + [(30, x[30].tolist())] * 2
+    got = V.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=6, relax=1.0, shard_rows=20).toPandas()
+    assert len(got) == 25 * 6 and 0 not in set(got.vec_id)
+    keys = got.sort_values(["rank"]).groupby("rank").score.max()
+    for r in range(1, 7):
+        assert r in keys.index
+    best = {tuple(exact(np.arange(60), x, 0, x[i], 6)) for i in range(25)}
+    lists = got.sort_values(["score"], ascending=False).groupby("rank").vec_id.apply(set)
+    assert lists[1] == {b[0] for b in best}
+
+
+def test_clashing_columns_floats_and_negative_ids(spark):
+    rng = np.random.Generator(np.random.PCG64(9))
+    x = rng.normal(size=(100, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i - 50, v.tolist(), 1, 2, 3) for i, v in enumerate(x)], "vec_id int, embedding array<float>, _vector int, _key int, _region int")
+    got = V.search(df, F.col("vec_id") % 20 == 0, k=4, relax=1.0, shard_rows=30).toPandas()
+    ids = np.arange(100) - 50
+    for q in (-40, -20, 0, 20, 40):
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == exact(ids, x.astype(float), q, x[ids == q][0].astype(float), 4)
+
+
 def test_recall_of_the_production_factor(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     got = V.search(df, F.col("vec_id") % 20 == 0, shard_rows=200).toPandas()
