@@ -3,25 +3,35 @@
 Texts are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII
 characters.  A fingerprint is a k-gram hash that is the smallest in some run of w
 neighbouring k-gram hashes; two texts that share k + w - 1 words share a fingerprint
-at the same place in these words.  Documents and benchmark items are joined on
-fingerprints, and each hit is extended: the item's windows around it are compared
-with the document's words, word by word.
+at the same place in these words.
 
 A window is WINDOW consecutive words of an item, or the whole item if it is shorter.
-Items are put in classes by length, and each class that occurs is searched with the
-longest k + w - 1 that its shortest item allows, so no window is too short to be
-found; a benchmark without short items is one pass over the documents.
-
-Documents aren't shuffled for the join: what is broadcast are the benchmark's
-fingerprints, if there are at most BROADCAST of them; beyond that the fingerprints
-are joined by shuffle.  The texts of documents with a hit are read again for the
-extension.
+Equal windows of all items are one, with the set of items that have it.  A window is
+found by the fingerprint of its first k + w - 1 words.  Windows are put in classes by
+length, and each class that occurs is searched with the longest k + w - 1 that its
+shortest window allows, so no window is too short to be found; a benchmark without
+short items is one pass over the documents.
+
+1. Documents are cut to fingerprints and joined with those of the benchmark.  What is
+   kept of a document is its number of words and the places of fingerprints hit.
+2. Only documents with a hit are read again, with their words around each place, and
+   each window that has the fingerprint is compared word by word.
+3. Covered words are counted by start, and found windows are turned into items by
+   their sets, each set once for a document.
+
+Texts aren't shuffled, but for those with hits.  Broadcast are the benchmark's
+fingerprints and windows, if there are at most BROADCAST of them, and the keys of
+documents with hits, if there are at most KEYS; beyond these bounds the same is joined
+by shuffle.
 
 Defined cases
     A null text has no words, n_words 0 and no items.  Rows with equal doc_id and
-    text get a row each, with equal values.  A null doc_id is a value like others.
-    Items without words are left out; repeated items count once for an item_id.
-    Empty tables: no documents give no rows, no items give no hits.
+    text get a row each, with equal values.  A null doc_id is a value like others;
+    doc_id may have any plain type.  Items without words are left out; repeated items
+    count once for an item_id; an item with a null id hits words but is in no list.
+    Very long texts: a text has under 2^28 words, as Spark's arrays hold no more.
+    Columns besides doc_id and text aren't read.  Empty tables: no documents give no
+    rows, no items give no hits.
 """
 
 from __future__ import annotations
@@ -30,15 +40,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphmill.llm.textarrays import free_name
 from graphmill.workspace import checkpointed
 
 WINDOW = 13
 #: Shortest item of a class, k, w; k + w - 1 is the first of these.
 CLASSES = [(13, 6, 8), (8, 4, 5), (4, 2, 3), (2, 2, 1), (1, 1, 1)]
-#: Most fingerprints of a benchmark that are broadcast: 40 bytes each.
-BROADCAST = 500_000
+#: Most windows of a benchmark that are broadcast (about 250 bytes each), and keys of documents (16 bytes).
+BROADCAST, KEYS = 200_000, 1_000_000
 _POSITION = 28  # bits of a packed fingerprint that hold its place
-_NO_ID = -(1 << 63)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SEPARATORS = "".join(chr(c) for c in range(0x80) if not (chr(c).isdigit() or chr(c).isalpha()))
 
@@ -82,75 +92,89 @@ def _place(packed: Column) -> Column:
     return packed.bitwiseAND((1 << _POSITION) - 1).cast("int")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the key (_a, _b) of rows that are equal in these."""
+    return docs.select("doc_id", "text").withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.xxhash64(F.lit(1), "text", "doc_id")})
+
+
+def _windows(items: DataFrame, low: int, longest: int, top: bool, k: int, w: int) -> DataFrame:
+    """_win, _fp, _q, _size, _set, _items of the different windows of items (item_id, _item) of low to longest words.
+
+    top: longer items, too, in windows of `longest` words.
+    _fp: fingerprint of the first k + w - 1 words, at _q; _set names the items that have the window.
+    """
+    own = items.where(F.size("_item") >= low) if top else items.where(F.size("_item").between(low, longest))
+    size = F.least(F.size("_item"), F.lit(longest))
+    starts = F.sequence(F.lit(0), F.size("_item") - size)
+    cut = own.select("item_id", F.explode_outer(F.transform(starts, lambda i: F.slice("_item", i + 1, size))).alias("_win"))
+    sets = cut.groupBy("_win").agg(F.array_sort(F.collect_set("item_id")).alias("_items")).withColumn("_set", F.sha2(F.to_json("_items"), 256))
+    first = fingerprints(sets.withColumn("_words", F.slice("_win", 1, k + w - 1)), k, w)
+    mark = F.element_at("_fps", 1)
+    return first.where(F.size("_fps") > 0).select("_win", _hash(mark).alias("_fp"), _place(mark).alias("_q"), F.size("_win").alias("_size"), "_set", "_items")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items of every row of docs.
+    """doc_id, n_words, n_hit, items of every row of docs; _a, _b are keys of rows that are equal in doc_id and text.
 
     items: sorted array of the item_ids, as text, that have a window in the document; n_hit: words in any of these.
     """
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
+    keyed, key = _keyed(docs), ["_a", "_b"]
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("_item")).where(F.size("_item") > 0).distinct()
     classes = [c for c in CLASSES if c[0] <= window]
     bounds = [(low, min(window, high - 1), k, w) for (low, k, w), high in zip(classes, [1 << 31, *(c[0] for c in classes)])]
-    length = F.size("_item")
-    kind = F.coalesce(*(F.when(length >= low, F.lit(low)) for low, _, _, _ in bounds))
-    present = {r[0]: r[1] for r in items.select(kind.alias("kind"), length.alias("n")).groupBy("kind").agg(F.sum("n")).collect()}
-    counted = None
-    found = []
+    kind = F.coalesce(*(F.when(F.size("_item") >= low, F.lit(low)) for low, _, _, _ in bounds))
+    present = {r[0] for r in items.select(kind.alias("kind")).distinct().collect()}  # at most one row a class
+    counted, found, sets = None, None, None
     for low, longest, k, w in [b for n, b in enumerate(bounds) if b[0] in present or n == 0]:
-        own = items.where(kind == low)
-        # explode_outer: for explode, Spark would infer a filter that evaluates all the array expressions once more.
-        marks = fingerprints(own.withColumn("_words", F.col("_item")), k, w).select("item_id", "_item", F.explode_outer("_fps").alias("_v")).where("_v IS NOT NULL")
-        marks = marks.select(_hash(F.col("_v")).alias("_fp"), F.col("item_id"), F.xxhash64("_item").alias("_item_key"), _place(F.col("_v")).alias("_q"))
-        small = present.get(low, 0) <= BROADCAST
+        marks = checkpointed(_windows(items, low, longest, longest == window, k, w))
+        small = marks.count() <= BROADCAST
         cut = fingerprints(keyed.withColumn("_words", words(F.col("text"))), k, w)
         # One packed row for each fingerprint, and for the document itself one below zero with its number of words.
-        packed = cut.select("doc_id", "_id", "_text", F.explode(F.concat(F.array(-(F.size("_words").cast("long") + 1)), "_fps")).alias("_v"))
+        packed = cut.select("doc_id", *key, F.explode(F.concat(F.array(-(F.size("_words").cast("long") + 1)), "_fps")).alias("_v"))
         packed = packed.withColumn("_fp", F.when(F.col("_v") >= 0, _hash(F.col("_v"))))
-        hits = packed.join(F.broadcast(marks) if small else marks, "_fp", "left").where((F.col("_v") < 0) | F.col("item_id").isNotNull())
-        hit = F.when(F.col("_v") >= 0, F.struct(_place(F.col("_v")).alias("p"), "item_id", "_item_key", F.col("_q").alias("q")))
-        seen = hits.groupBy("_id", "_text").agg(F.count_if(F.col("_v") < 0).alias("_rows"), F.min("_v").alias("_least"), F.collect_set(hit).alias("_hits"))
+        wanted = marks.select("_fp", F.lit(True).alias("_hit")).distinct()
+        hits = packed.join(F.broadcast(wanted) if small else wanted, "_fp", "left").where((F.col("_v") < 0) | F.col("_hit"))
+        seen = hits.groupBy(*key).agg(F.first("doc_id").alias("doc_id"), F.count_if(F.col("_v") < 0).alias("_rows"), F.min("_v").alias("_least"), F.collect_set(F.when(F.col("_v") >= 0, F.col("_v"))).alias("_places"))
         seen = checkpointed(seen)  # read by two branches below; small beside the texts
         if counted is None:
-            counted = seen.select("_id", "_text", "_rows", (-F.col("_least") - 1).cast("long").alias("n_words"))
+            counted = seen.select("doc_id", *key, "_rows", (-F.col("_least") - 1).cast("long").alias("n_words"))
         if low in present:
-            found.append(_extend(keyed, seen, own, longest, k, small))
-    spans = None
-    for part in found:
-        spans = part if spans is None else spans.unionByName(part)
-    if spans is None:
+            part = _extend(keyed, seen, marks, longest, k, small)
+            found = part if found is None else found.unionByName(part)
+            own = marks.select("_set", "_items").distinct()
+            sets = own if sets is None else sets.unionByName(own)
+    if found is None:
         return _expand(counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")}))
-    spans = checkpointed(spans.distinct())  # read twice below, and the texts are gone from here on
-    key = ["_id", "_text"]
+    found = checkpointed(found)  # read twice below, and the texts are gone from here on
     before = F.max("_end").over(W.partitionBy(*key).orderBy("_start", "_end").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.col("_end") - F.greatest(F.col("_start"), F.coalesce(before, F.lit(0))), F.lit(0))
-    cover = spans.select(*key, "_start", "_end").distinct().withColumn("_fresh", fresh).groupBy(*key).agg(F.sum("_fresh").cast("long").alias("n_hit"))
-    by_item = spans.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    cover = found.select(*key, "_start", "_end").distinct().withColumn("_fresh", fresh).groupBy(*key).agg(F.sum("_fresh").cast("long").alias("n_hit"))
+    listed = found.select(*key, "_set").distinct().join(sets.distinct(), "_set").select(*key, F.explode("_items").alias("item_id")).distinct()
+    by_item = listed.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     out = counted.join(cover, key, "left").join(by_item, key, "left")
     return _expand(out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}))
 
 
 def _expand(out: DataFrame) -> DataFrame:
-    doc_id = F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id")
-    return out.select(doc_id, "_text", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_k")).drop("_k")
+    return out.select("doc_id", "_a", "_b", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_k")).drop("_k")
 
 
-def _extend(keyed: DataFrame, seen: DataFrame, items: DataFrame, longest: int, k: int, small: bool) -> DataFrame:
-    """_id, _text, _start, _end, item_id of every window of an item at a hit that the document has word for word."""
-    key = ["_id", "_text"]
-    hit_docs = seen.where(F.size("_hits") > 0).select(*key, "_hits")
-    texts = keyed.select(*key, "text").join(hit_docs, key).dropDuplicates(key).select(*key, "_hits", words(F.col("text")).alias("_words"))
+def _extend(keyed: DataFrame, seen: DataFrame, marks: DataFrame, longest: int, k: int, small: bool) -> DataFrame:
+    """_a, _b, _start, _end, _set of every window that a document has word for word at one of its places."""
+    key = ["_a", "_b"]
+    hit = seen.where(F.size("_places") > 0).select(*key, "_places")
+    ids = hit.select(*key)
+    # The texts of other documents go before the join that shuffles.
+    texts = keyed.select(*key, "text").join(F.broadcast(ids), key, "left_semi") if ids.count() <= KEYS else keyed.select(*key, "text")
+    texts = texts.join(hit, key).dropDuplicates(key).select(*key, "_places", words(F.col("text")).alias("_words"))
     reach = longest - k
-    near = F.transform("_hits", lambda h: F.struct(h["p"].alias("p"), h["q"].alias("q"), h["item_id"].alias("item_id"), h["_item_key"].alias("_item_key"), F.slice("_words", F.greatest(h["p"] - reach, F.lit(0)) + 1, F.lit(longest + reach)).alias("part")))
-    rows = texts.select(*key, F.explode_outer(near).alias("h")).select(*key, "h.*").withColumn("_base", F.greatest(F.col("p") - reach, F.lit(0)))
-    whole = items.select("item_id", F.xxhash64("_item").alias("_item_key"), "_item")
-    rows = rows.join(F.broadcast(whole) if small else whole, ["item_id", "_item_key"])
-    size = F.least(F.size("_item"), F.lit(longest))
-    rows = rows.withColumn("_size", size)
-    first, last = F.greatest(F.col("q") - (F.col("_size") - k), F.lit(0)), F.least(F.col("q"), F.size("_item") - F.col("_size"))
-    rows = rows.where(first <= last).withColumn("_s", F.explode(F.sequence(first, last)))
-    at = F.col("p") - F.col("q") + F.col("_s")
-    same = (at >= F.col("_base")) & (F.slice("part", F.greatest(at - F.col("_base"), F.lit(0)) + 1, F.col("_size")) == F.slice("_item", F.col("_s") + 1, F.col("_size")))
-    return rows.where(same).select(*key, at.alias("_start"), (at + F.col("_size")).alias("_end"), "item_id")
+    around = F.transform("_places", lambda v: F.struct(_hash(v).alias("_fp"), _place(v).alias("p"), F.slice("_words", F.greatest(_place(v) - reach, F.lit(0)) + 1, F.lit(longest + reach)).alias("part")))
+    rows = texts.select(*key, F.explode_outer(around).alias("h")).select(*key, "h.*")
+    windows = marks.select("_fp", "_q", "_size", "_win", "_set")
+    rows = rows.join(F.broadcast(windows) if small else windows, "_fp")
+    at, base = F.col("p") - F.col("_q"), F.greatest(F.col("p") - reach, F.lit(0))
+    same = (at >= 0) & (F.slice("part", F.greatest(at - base, F.lit(0)) + 1, F.col("_size")) == F.col("_win"))
+    return rows.where(same).select(*key, at.alias("_start"), (at + F.col("_size")).alias("_end"), "_set")
 
 
 def contaminated() -> Column:
@@ -160,6 +184,8 @@ def contaminated() -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, all columns, that the rule does not call contaminated."""
-    bad = checkpointed(find(docs.select("doc_id", "text"), benchmark).where(contaminated()).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_bad_id"), F.col("_text").alias("_bad_text")).distinct())
-    match = (F.coalesce(docs["doc_id"], F.lit(_NO_ID)) == F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_text"))
-    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST else bad, match, "left_anti")
+    bad = checkpointed(find(docs, benchmark).where(contaminated()).select("_a", "_b").distinct())
+    own = [free_name(docs, "_a"), free_name(docs, "_b")]
+    keys = dict(zip(own, (F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id"))))
+    bad = bad.toDF(*own)
+    return docs.withColumns(keys).join(F.broadcast(bad) if bad.count() <= KEYS else bad, own, "left_anti").select(docs.columns)

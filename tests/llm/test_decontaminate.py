@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphmill.llm import decontaminate as D
 from tests.llm.common import SCHEMA, WORDS, awkward, documents
@@ -49,6 +50,30 @@ def test_against_brute_force(spark, lengths):
     assert got == brute(rows, items)
 
 
+def test_one_passage_in_many_items_and_ids_of_any_type(spark, monkeypatch):
+    """A boilerplate passage that all items and many documents have; nothing broadcast; clashing columns; string ids."""
+    monkeypatch.setattr(D, "BROADCAST", 0)
+    monkeypatch.setattr(D, "KEYS", 0)
+    rng = random.Random(11)
+    passage = " ".join(rng.choice(WORDS) for _ in range(40))
+    items = [(f"i{i}", passage + f" {i} " + " ".join(rng.choice(WORDS) for _ in range(15))) for i in range(30)] + [("rep", "la " * 60)]
+    rows = [(f"d{i}", f"{i} " + passage if i % 2 else "la " * (40 + i)) for i in range(20)] + [(None, passage), (None, passage), ("d1", "other")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(7) for c in ("_a", "_b", "_words", "_fp", "item_id", "n_hit")})
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = sorted(("-" if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in D.find(docs, bench).collect())
+    assert got == sorted(("-" if d == -1 else d, *rest) for (d, *rest) in [brute([r], items)[0] for r in rows])
+    kept = D.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {"d1"}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(12)
+    item = " ".join(rng.choice(WORDS) for _ in range(13))
+    text = "filler word " * 150_000 + item + " more" * 10
+    (row,) = D.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert (row.n_words, row.n_hit, row["items"]) == (300_023, 13, ["5"])
+
+
 def test_main_path_is_native(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = D.find(docs, bench)._jdf.queryExecution().executedPlan().toString()
