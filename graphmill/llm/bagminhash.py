@@ -314,9 +314,9 @@ def _ties(shared: DataFrame, signs: DataFrame, labels: DataFrame) -> DataFrame:
 
     shared: bucket, node, centre.  A bucket's main class is that of its smallest document.
     """
-    rows = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("label", "node").alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high").select("bucket", "n", "main")
-    rows = checkpointed(rows.join(checkpointed(mixed), "bucket"))
+    rows = shared.join(labels, "node", "left").select("bucket", "node", (F.col("node") != F.col("centre")).alias("_far"), F.coalesce("component", "node").alias("label"))
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("label", "_far").alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high").select("bucket", "n", "main")
+    rows = checkpointed(rows.drop("_far").join(checkpointed(mixed), "bucket"))
     blocks_of = rows.groupBy("bucket").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / SIDE).alias("ni"), F.ceil(F.count("*") / SIDE).alias("nj"))
     cells = checkpointed(_in_cells(rows.drop("n"), "bucket", blocks_of))
     bins = max(1, math.ceil(cells.count() / (8 * SIDE)))
@@ -365,12 +365,13 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
     if not named.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         docs = docs.select("doc_id", "text").dropDuplicates()  # so that a row that is there many times is compared once
 
-    buckets = texts.where(F.col("sign").isNotNull()).select("node", F.explode("bands").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
+    buckets = texts.where(F.col("sign").isNotNull()).select("node", "doc", F.explode("bands").alias("bucket"))
+    centres = buckets.groupBy("bucket").agg(F.min(F.struct("doc", "node")).alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("least.node").alias("centre"))
+    buckets = buckets.drop("doc")
     shared = checkpointed(buckets.join(checkpointed(centres), "bucket"))
     pairs = checkpointed(shared.where("node <> centre").select("centre", "node").distinct())
     labels = checkpointed(connected_components(_links(docs, pairs, nodes, similarity), "a", "b"))
-    ties = checkpointed(_ties(shared.select("bucket", "node"), texts.select("node", "sign"), labels))
+    ties = checkpointed(_ties(shared, texts.select("node", "sign"), labels))
     if not ties.isEmpty():
         more = checkpointed(_held(docs, nodes, ties, labels, similarity))
         if not more.isEmpty():
