@@ -129,13 +129,20 @@ def billed_means(calls: DataFrame, billed: Column, duration: str, cost: str) ->
 def ewma(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.2) -> DataFrame:
     """Exponentially weighted mean of a value per key, in order, started at the first value.
 
-    sum over i of alpha * (1 - alpha)^(n - i) * x(i), with weight (1 - alpha)^(n - 1) for the first: an aggregate over
-    row numbers, so a hot key is sorted, not folded in Python.
+    sum over i of alpha * (1 - alpha)^(n - i) * x(i), with weight (1 - alpha)^(n - 1) for the first.  The first of
+    `order` is a time: rows are numbered and summed within its days, and a day's sum counts (1 - alpha)^(rows after it),
+    so a task holds a key's rows of one day, or its days.
     """
-    own = Window.partitionBy(key)
-    placed = rows.withColumns({"_i": F.row_number().over(own.orderBy(*order)), "_n": F.count("*").over(own)})
-    weight = F.pow(F.lit(1 - alpha), F.col("_n") - F.col("_i")) * F.when(F.col("_i") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    return placed.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(weight * F.col(value)), 6).alias("ewma"))
+    day = F.to_date(order[0])
+    cell = Window.partitionBy(key, "_day")
+    placed = rows.withColumn("_day", day).withColumns({"_i": F.row_number().over(cell.orderBy(*order)), "_n": F.count("*").over(cell)})
+    weight = F.pow(F.lit(1 - alpha), F.col("_n") - F.col("_i"))
+    days = placed.groupBy(key, "_day").agg(F.count("*").alias("_n"), F.sum(weight * F.col(value)).alias("_sum"), F.max(F.when(F.col("_i") == 1, F.col(value))).alias("_first"))
+    later = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.withColumns({"_later": later, "_k": F.row_number().over(Window.partitionBy(key).orderBy("_day"))})
+    part = F.lit(alpha) * F.pow(F.lit(1 - alpha), "_later") * F.coalesce("_sum", F.lit(0.0))
+    start = F.when((F.col("_k") == 1) & F.col("_first").isNotNull(), F.lit(1 - alpha) * F.pow(F.lit(1 - alpha), F.col("_later") + F.col("_n") - 1) * F.col("_first"))
+    return days.groupBy(key).agg(F.sum("_n").alias("n"), F.round(F.sum(part) + F.coalesce(F.sum(start), F.lit(0.0)), 6).alias("ewma"))
 
 
 def document_status(n_images: Column, done: Column, good: Column, long: Column, high: float = 0.9, high_long: float = 0.7) -> Column:

@@ -39,7 +39,7 @@ def search_nodes(nodes: DataFrame, text: str, k: int = 8, priority: tuple[str, .
 
 def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """id, dist of all nodes within depth of the seeds (id)."""
-    both = undirected(edges).select("a", "b")
+    both = checkpointed(undirected(edges).select("a", "b"))  # read at every level
     reached = checkpointed(seeds.select("id").distinct().withColumn("dist", F.lit(0)))
     for level in range(1, depth + 1):
         front = reached.where(F.col("dist") == level - 1).select(F.col("id").alias("a"))
@@ -52,31 +52,35 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """src, rel, dst of the edges on a walk of at most depth edges from a seed: those with an end within depth - 1."""
+    edges = checkpointed(edges.select("src", "rel", "dst"))
     near = distances(edges, seeds, depth - 1).select("id")
     out = edges.join(near.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "rel", "dst")).distinct()
     return out if most is None else out.orderBy("src", "rel", "dst").limit(most)
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
-    """step, id of one shortest undirected path; no rows if there is none.  Of several parents the smallest id counts."""
+    """step, id of one shortest undirected path; no rows if there is none.  Of several parents the smallest id counts.
+
+    The edges are written once, and each level as a table of its own; a frontier is broadcast while its counted size
+    allows.  The way back reads one level a step.
+    """
     spark = edges.sparkSession
-    both = undirected(edges).select("a", "b")
-    reached = spark.createDataFrame([(start, None, 0)], "id string, parent string, dist int")
-    for level in range(1, most + 1):
-        if not reached.where(F.col("id") == end).isEmpty():
-            break
-        front = reached.where(F.col("dist") == level - 1).select(F.col("id").alias("a"))
-        new = both.join(front, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")).join(reached, "id", "left_anti").withColumn("dist", F.lit(level))
-        reached = reached.unionByName(checkpointed(new))
+    both = checkpointed(undirected(edges).select("a", "b"))
+    first = spark.createDataFrame([(start, None)], "id string, parent string")
+    levels, reached = [first], first.select("id")
+    while len(levels) <= most and (end != start if len(levels) == 1 else levels[-1].where(F.col("id") == end).isEmpty()):
+        front = levels[-1].select(F.col("id").alias("a"))
+        small = front.limit(BROADCAST + 1).count() <= BROADCAST
+        new = both.join(F.broadcast(front) if small else front, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")).join(reached, "id", "left_anti")
+        levels.append(checkpointed(new))
+        reached = reached.unionByName(levels[-1].select("id"))
     path, at = [], end
-    for _ in range(most + 1):  # one row a step
-        row = reached.where(F.col("id") == at).first()
-        if row is None:
+    for dist in range(len(levels) - 1, -1, -1):
+        row = levels[dist].where(F.col("id") == at).first()
+        if row is None:  # not reached
             break
-        path.append((int(row["dist"]), at))
+        path.append((dist, at))
         at = row["parent"]
-        if at is None:
-            break
     return spark.createDataFrame(path, "step int, id string")
 
 

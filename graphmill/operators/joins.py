@@ -37,6 +37,22 @@ def common_neighbours(edges: DataFrame, ids: DataFrame, least: int) -> DataFrame
     return first.join(second, "mid").where("a <> b").groupBy("a", "b").agg(F.countDistinct("mid").alias("common")).where(F.col("common") >= least)
 
 
+def sharing_pairs(links: DataFrame, least: int, cell: int = 2048) -> DataFrame:
+    """a, b, common: pairs a < b of nodes with at least `least` shared ones; links (node, shared) are distinct.
+
+    Nodes with fewer links go first, then what only one of the others has.  A shared one of more than `cell` nodes is
+    dealt to cells, and each cell meets each cell under its own key.
+    """
+    wide = links.groupBy("node").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("node")
+    kept = links.join(wide, "node", "left_semi")
+    cells = kept.groupBy("shared").agg(F.count("*").alias("_n")).where("_n > 1").select("shared", F.ceil(F.col("_n") / cell).cast("int").alias("_cells"))
+    rows = kept.join(cells, "shared").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_cells")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    a = rows.select("shared", F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col("node").alias("a"))
+    b = rows.select("shared", F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col("node").alias("b"))
+    return a.join(b, ["shared", "_x", "_y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
     """Pairs of rows with equal keys whose positions lie at most `width` apart, right columns suffixed _r.
 

@@ -67,6 +67,20 @@ def layout(nodes: DataFrame, layer: str, order: list[str], width: int = 200, hei
     return nodes.withColumns({"x": (-F.count("*").over(own) * width / 2 + i * width).cast("double"), "y": (F.col(layer) * height).cast("long")})
 
 
+def running_sum(rows: DataFrame, keys: list[str], at: str, order: list[str], value: str, width: int) -> DataFrame:
+    """The rows with `running`, the sum of value up to and with each row of its keys in order.
+
+    at: a whole number that the order starts with.  Rows are summed within cells of `width` of its values and the cells'
+    totals are carried over, so a task holds one cell of a key, or a key's totals.
+    """
+    celled = rows.withColumn("_cell", F.floor(F.col(at) / width))
+    totals = celled.groupBy(*keys, "_cell").agg(F.sum(value).alias("_total"))
+    carried = F.sum("_total").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*keys, "_cell", F.coalesce(carried, F.lit(0)).alias("_carry"))
+    own = F.sum(value).over(Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return celled.withColumn("_own", own).join(totals, [*keys, "_cell"]).withColumn("running", F.col("_carry") + F.col("_own")).drop("_cell", "_own", "_carry")
+
+
 def keywords_by_length(words: Column, k: int = 8) -> Column:
     """Distinct words, longest first, equal lengths in order of appearance."""
     distinct = F.array_distinct(words)

@@ -82,7 +82,7 @@ def rule_augmentation(c: Catalog) -> DataFrame:
     return c.table("part").join(F.broadcast(rules), F.upper("p_name").contains(F.col("_k"))).select(F.col("p_partkey").alias("partkey"), "nationkey")
 
 
-@query(f"""WITH {EDGES}, m AS (SELECT src AS doc_id, dst AS entity, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM edges WHERE rel = 'REQUIRES'), x AS (SELECT * FROM m WHERE r <= 6)
+@query(f"""WITH {EDGES}, x AS (SELECT src AS doc_id, dst AS entity FROM edges WHERE rel = 'REQUIRES')
 SELECT a.entity AS a, b.entity AS b, count(*) AS docs FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL ORDER BY docs DESC, a, b LIMIT 100""")
 def latent_candidates(c: Catalog) -> DataFrame:
     edges = c.edges()

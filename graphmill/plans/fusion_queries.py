@@ -64,7 +64,7 @@ def diagnostics_merge(c: Catalog) -> DataFrame:
     return c.table("documents").select("doc_id", F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]")).alias("diagnostics"))
 
 
-@query(f"""WITH {CHUNKS}, t AS (SELECT doc_id, unnest(regexp_extract_all(lower(content), '[a-z]{{4,}}')) AS w FROM chunks WHERE sequence = 1), d AS (SELECT DISTINCT doc_id, w FROM t WHERE w NOT IN ('that', 'with')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS k FROM d) SELECT doc_id, string_agg(w, ',' ORDER BY w) AS entities FROM r WHERE k <= 20 GROUP BY doc_id""")
+@query(f"""WITH {CHUNKS}, t AS (SELECT doc_id, sequence, unnest(regexp_extract_all(lower(content), '[a-z]{{4,}}')) AS w FROM chunks), d AS (SELECT DISTINCT doc_id, sequence, w FROM t WHERE w NOT IN ('that', 'with')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sequence ORDER BY w) AS k FROM d) SELECT doc_id, sequence, string_agg(w, ',' ORDER BY w) AS entities FROM r WHERE k <= 20 GROUP BY doc_id, sequence""")
 def chunk_entities(c: Catalog) -> DataFrame:
     words = F.slice(F.array_sort(X.tokens(F.col("content"), "[a-z]{4,}", ("that", "with"))), 1, 20)
     return c.chunks().select("doc_id", "sequence", F.array_join(words, ",").alias("entities")).where("entities <> ''")
@@ -125,7 +125,7 @@ def insert_if_absent(c: Catalog) -> DataFrame:
     return rows.agg(F.count("*").alias("_n")).join(F.broadcast(new)).select("inserted", (F.col("_n") - F.col("inserted")).alias("skipped"))
 
 
-@query("""SELECT page_id, md5(url || md5(html)) AS signature FROM pages WHERE page_id % 3 <> 0 OR page_id NOT IN (SELECT doc_id FROM labels)""")
+@query("""SELECT page_id, md5(url || md5(html)) AS signature FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)""")
 def manifest_skip(c: Catalog) -> DataFrame:
     """Files whose signature the manifest has are skipped."""
     signature = F.md5(F.concat("url", F.md5(F.col("html").cast("binary"))).cast("binary"))

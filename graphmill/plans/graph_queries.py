@@ -139,7 +139,11 @@ def components(c: Catalog) -> DataFrame:
     return found.groupBy("component").agg(F.count("*").alias("size"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH}, e AS (SELECT src AS a, dst AS b FROM edges WHERE rel = 'CONTAINS'), up AS (SELECT b AS node, a AS parent FROM e UNION ALL SELECT up.node, e.a FROM up JOIN e ON e.b = up.parent),
+t AS (SELECT node, max(CASE WHEN parent LIKE 'region:%' THEN parent END) AS root FROM up GROUP BY node UNION ALL SELECT DISTINCT a, a FROM e WHERE a LIKE 'region:%'),
+s AS (SELECT t.root, t.node, length(n.name) / 100 AS score FROM t JOIN nodes n ON n.id = t.node), z AS (SELECT root, count(*) AS n, min(node) AS component FROM s GROUP BY root), main AS (SELECT root FROM z ORDER BY n DESC, component LIMIT 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, node) AS r FROM s), h AS (SELECT node, score FROM b WHERE r = 1 AND root IN (SELECT root FROM main))
+SELECT b.node AS src, h.node AS dst, round(b.score + h.score, 4) AS score FROM b, h WHERE b.r = 1 AND b.root NOT IN (SELECT root FROM main)""")
 def component_bridges(c: Catalog) -> DataFrame:
     found = G.components_of(c.edges().where("rel = 'CONTAINS'"))
     scores = c.nodes().select(F.col("id").alias("node"), (F.length("name") / 100).alias("score"))
@@ -151,7 +155,7 @@ def sample_triples(c: Catalog) -> DataFrame:
     return c.triplets().select("subject", "relation", "object").distinct().orderBy("subject", "relation", "object").limit(30)
 
 
-@query(f"""WITH {GRAPH}, d AS (SELECT a.src AS region, b.dst AS supplier FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel = 'CONTAINS' AND b.rel = 'CONTAINS' AND b.dst LIKE 'supplier:%') SELECT region AS src, 'SERVED_BY' AS rel, supplier AS dst FROM d WHERE (region, supplier) NOT IN (SELECT (src, dst) FROM edges)""")
+@query(f"""WITH {GRAPH}, d AS (SELECT a.src AS region, b.dst AS supplier FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel = 'CONTAINS' AND b.rel = 'CONTAINS' AND b.dst LIKE 'supplier:%') SELECT region AS src, 'SERVED_BY' AS rel, supplier AS dst FROM d LEFT JOIN edges e ON e.src = d.region AND e.dst = d.supplier WHERE e.src IS NULL""")
 def hierarchy_enhancement(c: Catalog) -> DataFrame:
     """A rule edge two levels down, where there is none."""
     edges = c.edges()

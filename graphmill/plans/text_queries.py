@@ -12,14 +12,14 @@ from graphmill.plans.oracle import CHUNKS, TRIPLETS
 from graphmill.plans.registry import query
 
 
-@query("SELECT doc_id, translate(substr(text, 1, 60), 'abcxyz', 'ABCXYZ') AS folded, length(text) AS n FROM documents")
+@query("SELECT doc_id, translate(text, 'abcxyz', 'ABCXYZ') AS folded, length(text) AS n FROM documents")
 def half_width(c: Catalog) -> DataFrame:
     """Full-width letters made from the text's own come back as plain ones."""
     wide = F.translate("text", "abcxyz", "ＡＢＣＸＹＺ")
     return c.table("documents").select("doc_id", X.half_width(wide).alias("folded"), F.length("text").cast("long").alias("n"))
 
 
-@query("""SELECT p_partkey AS partkey, regexp_replace(p_size || 'level ' || (p_partkey % 10) || ' ' || p_brand, '\\s+', '', 'g') AS plain FROM part WHERE p_size BETWEEN 1 AND 10""")
+@query("""SELECT p_partkey AS partkey, regexp_replace(p_size || 'level ' || (p_partkey % 10) || ' ' || p_brand, '\\s+', '', 'g') AS plain FROM part""")
 def normalize_numbers(c: Catalog) -> DataFrame:
     """Sizes up to ten are written as Roman numerals first; others are Arabic as they stand."""
     roman = F.create_map(*(F.lit(x) for kv in {v: k for k, v in X.ROMAN.items()}.items() for x in kv))
@@ -45,10 +45,15 @@ def stable_id(c: Catalog) -> DataFrame:
     return c.table("supplier").select(F.col("s_suppkey").alias("suppkey"), X.stable_id(F.lit("Supplier"), F.col("s_name"), F.col("s_nationkey").cast("string")).alias("id"))
 
 
-@query("SELECT source, substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)), 1, 16) AS signature, 'schema-' || substr(sha256(source), 1, 16) || '_model-stub' AS version FROM documents GROUP BY source")
+@query("""WITH i AS (SELECT source, doc_id::VARCHAR AS id, substr(sha256(doc_id::VARCHAR), 1, 3) AS cell FROM documents), c AS (SELECT source, cell, sha256(string_agg(id, ',' ORDER BY id)) AS h FROM i GROUP BY ALL)
+SELECT source, substr(sha256(string_agg(h, ',' ORDER BY cell)), 1, 16) AS signature, 'schema-' || substr(sha256(source), 1, 16) || '_model-stub' AS version FROM c GROUP BY source""")
 def build_signature(c: Catalog) -> DataFrame:
-    ids = F.array_join(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))), ",")
-    return c.table("documents").groupBy("source").agg(X.text_hash(ids).alias("signature")).select("source", "signature", F.concat(F.lit("schema-"), X.text_hash(F.col("source")), F.lit("_model-stub")).alias("version"))
+    """Hash of a source's sorted ids in two levels: of 4096 cells by the ids' hashes, then of the cells."""
+    ids = c.table("documents").select("source", F.col("doc_id").cast("string").alias("id"))
+    cell = F.substring(F.sha2("id", 256), 1, 3)
+    cells = ids.groupBy("source", cell.alias("cell")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("id")), ","), 256).alias("h"))
+    signature = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "h"))), lambda s: s["h"]), ",")
+    return cells.groupBy("source").agg(X.text_hash(signature).alias("signature")).select("source", "signature", F.concat(F.lit("schema-"), X.text_hash(F.col("source")), F.lit("_model-stub")).alias("version"))
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, sequence, md5(source || sequence || content) AS chunk_id FROM chunks")
@@ -154,7 +159,14 @@ def query_kind(c: Catalog) -> DataFrame:
     return c.table("benchmark").select("item_id", X.first_contained(t, ["the", "and"]).alias("focus"), X.query_kind(t, ["ther"], ["hand"], ["eron"]).alias("kind"))
 
 
-@query(r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{3,}')[1:4] AS w FROM benchmark) SELECT item_id, w[1] || w[2] AS g1, w[2] || w[3] AS g2, w[1] || w[2] || w[3] AS t1 FROM w WHERE len(w) >= 4""")
+def _keywords(least: int) -> str:
+    """Common table expressions that end in g: item_id, k (the eight longest different words) and grams."""
+    return f"""w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{{least},}}')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{{{least},}}'), 1) AS i FROM benchmark),
+f AS (SELECT item_id, w, min(i) AS i FROM w GROUP BY ALL), o AS (SELECT item_id, list(w ORDER BY length(w) DESC, i)[1:8] AS k FROM f GROUP BY item_id), k AS (SELECT b.item_id, coalesce(o.k, []::VARCHAR[]) AS k FROM benchmark b LEFT JOIN o USING (item_id)),
+g AS (SELECT item_id, k, list_concat(list_transform(range(1, least(5, len(k) - 1) + 1), lambda i: k[i] || k[i + 1]), list_transform(range(1, least(5, len(k) - 2) + 1), lambda i: k[i] || k[i + 1] || k[i + 2])) AS grams FROM k)"""
+
+
+@query(f"""WITH {_keywords(3)} SELECT item_id, array_to_string(grams, ' ') AS grams FROM g""")
 def ngrams(c: Catalog) -> DataFrame:
     """All n-grams of the keywords of the whole text; empty where there are fewer than two."""
     rows = c.table("benchmark").select("item_id", keywords_by_length(X.tokens(F.col("text"), "[a-z]{3,}")).alias("w"))
@@ -167,7 +179,7 @@ def synonym_lookup(c: Catalog) -> DataFrame:
     return c.table("nation").select(F.col("n_nationkey").alias("k"), F.array_join(s, ",").alias("found"))
 
 
-@query(r"""WITH w AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')))[1:3] AS w FROM benchmark) SELECT item_id, array_to_string(list_concat(w, CASE WHEN len(w) >= 2 THEN [w[1] || w[2]] ELSE [] END, CASE WHEN len(w) >= 3 THEN [w[2] || w[3], w[1] || w[2] || w[3]] ELSE [] END, ['extra']), ' ') AS terms FROM w""")
+@query(f"""WITH {_keywords(5)}, l AS (SELECT item_id, list_concat(k, grams, ['extra']) AS l FROM g) SELECT item_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:20], ' ') AS terms FROM l""")
 def query_expand(c: Catalog) -> DataFrame:
     rows = c.table("benchmark").select("item_id", keywords_by_length(X.tokens(F.col("text"), "[a-z]{5,}")).alias("w"))
     return rows.select("item_id", F.array_join(X.expansion(F.col("w"), X.ngrams(F.col("w")), F.array(F.lit("extra"))), " ").alias("terms"))
@@ -270,11 +282,11 @@ def retry_delays(c: Catalog) -> DataFrame:
 
 @query(f"""WITH {CHUNKS}, s AS (SELECT source, doc_id, sequence, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id, sequence ROWS UNBOUNDED PRECEDING) - n_chars AS before FROM chunks) SELECT source, (before // 20000)::BIGINT AS batch, count(*) AS n FROM s GROUP BY ALL""")
 def embedding_batches(c: Catalog) -> DataFrame:
-    """Batches of about 20000 characters in order."""
-    from pyspark.sql import Window
+    """Batches of about 20000 characters in order; running sums in two levels, so no task has all chunks of a source."""
+    from graphmill.operators.windows import running_sum
 
-    before = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id", "sequence").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_chars")
-    return c.chunks().select("source", F.floor(before / 20000).alias("batch")).groupBy("source", "batch").agg(F.count("*").alias("n"))
+    rows = running_sum(c.chunks().select("source", "doc_id", "sequence", "n_chars"), ["source"], "doc_id", ["doc_id", "sequence"], "n_chars", 1000)
+    return rows.select("source", F.floor((F.col("running") - F.col("n_chars")) / 20000).alias("batch")).groupBy("source", "batch").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey AS k, list_sort(list_distinct(list_concat([1], range(3, 6), [(l_orderkey % 7)::BIGINT + 1]))) AS pages FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
@@ -289,7 +301,7 @@ def intent_flags(c: Catalog) -> DataFrame:
     return c.table("benchmark").select("item_id", X.contains_any(t, ["now", "this"]).alias("time_sensitive"), X.contains_any(t, ["image", "fig"]).alias("wants_images"))
 
 
-@query("""SELECT page_id, 'page' || page_id || '.pdf' AS title, page_id || ',4' AS pages, 'alpha,beta' AS must FROM pages WHERE page_id BETWEEN 5 AND 5000""")
+@query("""SELECT page_id, 'page' || page_id || '.pdf' AS title, CASE WHEN page_id BETWEEN 1 AND 10000 AND page_id <> 4 THEN page_id || ',4' ELSE '4' END AS pages, 'alpha,beta' AS must FROM pages""")
 def query_hints(c: Catalog) -> DataFrame:
     """Ids that are no page number (1 to 10000) leave p.4 as the only page."""
     i = F.col("page_id").cast("string")

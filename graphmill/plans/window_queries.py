@@ -246,8 +246,7 @@ def new_edges_absent(c: Catalog) -> DataFrame:
 @query(f"""WITH {EDGES}, p AS (SELECT src, dst FROM edges WHERE rel = 'PROVIDES') SELECT a.src AS a, b.src AS b, count(DISTINCT a.dst) AS common FROM p a JOIN p b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(DISTINCT a.dst) >= 8""")
 def common_standard_pairs(c: Catalog) -> DataFrame:
     p = c.edges().where("rel = 'PROVIDES'")
-    a, b = p.select(F.col("src").alias("a"), "dst"), p.select(F.col("src").alias("b"), "dst")
-    return a.join(b, "dst").where("a < b").groupBy("a", "b").agg(F.countDistinct("dst").alias("common")).where("common >= 8")
+    return J.sharing_pairs(p.select(F.col("src").alias("node"), F.col("dst").alias("shared")), 8)
 
 
 @query("SELECT a.doc_id AS a, b.item_id AS b FROM documents a JOIN benchmark b ON a.doc_id % 100 = b.item_id AND a.lang = 'en'")
