@@ -241,11 +241,59 @@ def citations(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), F.lit(1)))
 
 
+def _replaced(text: Column, opening: str, pattern: str, render) -> Column:
+    """The text with what the pattern matches, which begins with `opening`, replaced by render(match)."""
+    pieces = F.split(text, f"(?={opening})")
+    found = lambda p: F.regexp_extract(p, f"^(?:{pattern})", 0)
+    put = lambda p: F.concat(render(found(p)), F.substr(p, F.length(found(p)) + 1))
+    return F.array_join(F.transform(pieces, lambda p: F.when(found(p) != "", put(p)).otherwise(p)), "")
+
+
+def _bracketed(numbers: Column) -> Column:
+    return F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")
+
+
+def _digits(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"([0-9]+)"), F.lit(1))
+
+
 def split_citation_groups(text: Column) -> Column:
-    """[1,2] as [1][2]; groups of up to four, repeated for longer ones."""
-    out = F.regexp_replace(text, r"\[\s*([0-9]+)\s*[,;]\s*([0-9]+)\s*[,;]\s*([0-9]+)\s*[,;]\s*([0-9]+)\s*\]", "[$1][$2][$3][$4]")
-    out = F.regexp_replace(out, r"\[\s*([0-9]+)\s*[,;]\s*([0-9]+)\s*[,;]\s*([0-9]+)\s*\]", "[$1][$2][$3]")
-    return F.regexp_replace(out, r"\[\s*([0-9]+)\s*[,;]\s*([0-9]+)\s*\]", "[$1][$2]")
+    """[1,2] as [1][2]: groups of any length, with plain or full-width separators."""
+    return _replaced(text, r"\[", r"\[\s*[0-9]+(?:\s*[,;，、；]\s*[0-9]+)+\s*\]", lambda m: _bracketed(_digits(m)))
+
+
+def expanded_citation_ranges(text: Column, most: int = 30) -> Column:
+    """[1-3] as [1][2][3]; a range over more than `most` steps as its two ends.  Numbers have up to nine digits."""
+
+    def spread(m: Column) -> Column:
+        ends = F.transform(_digits(m), lambda n: n.cast("int"))
+        low, high = F.least(ends[0], ends[1]), F.greatest(ends[0], ends[1])
+        return _bracketed(F.when(high - low > most, F.array(low, high)).otherwise(F.sequence(low, F.least(high, low + most))))
+
+    return _replaced(text, r"\[", r"\[[0-9]{1,9}\s*[-–—~～]\s*[0-9]{1,9}\]", spread)
+
+
+def _runs(text: Column, render) -> Column:
+    """Runs of two citations and more, with the white space in and after them, replaced by render(sorted numbers)."""
+    marked = F.regexp_replace(text, r"((?:\[[0-9]{1,9}\]\s*){2,})", "\uffff$1\uffff")
+    run = lambda p: F.array_sort(F.array_distinct(F.transform(_digits(p), lambda n: n.cast("int"))))
+    # Marks come in pairs, so every second piece is a run.
+    return F.array_join(F.transform(F.split(marked, "\uffff"), lambda p, i: F.when(i % 2 == 1, render(run(p))).otherwise(p)), "")
+
+
+def sorted_citation_runs(text: Column) -> Column:
+    """Neighbouring citations in rising order, each once.  The text has no U+FFFF, which is no character."""
+    return _runs(text, _bracketed)
+
+
+def collapsed_citation_runs(text: Column) -> Column:
+    """The same, and three and more numbers without a gap as [first-last]."""
+
+    def short(n: Column) -> Column:
+        whole = (F.size(n) > 2) & (F.array_max(n) - F.array_min(n) == F.size(n) - 1)
+        return F.when(whole, F.concat(F.lit("["), F.array_min(n).cast("string"), F.lit("-"), F.array_max(n).cast("string"), F.lit("]"))).otherwise(_bracketed(n))
+
+    return _runs(text, short)
 
 
 def renumbered_citations(text: Column) -> Column:
@@ -344,3 +392,43 @@ def tidy_layout(text: Column) -> Column:
 def evidence_line(number: Column, snippet: Column, source: Column, page: Column, most: int = 80) -> Column:
     """One line of a Markdown list of evidence."""
     return F.concat(F.lit("- ["), number.cast("string"), F.lit("] "), shortened(snippet, most), F.lit(" ("), source, F.lit(", p. "), page.cast("string"), F.lit(")"))
+
+
+# Words that name a perspective or an entity type, tried in this order.
+PERSPECTIVES = [
+    (("规范", "标准", "gb", "code"), "规范要求"),
+    (("案例", "项目", "图集", "参考", "方案"), "案例数据"),
+    (("论文", "学术", "研究", "journal"), "学术观点"),
+    (("运营", "管理", "指南", "流程"), "运营建议"),
+]
+SOURCE_PERSPECTIVES = {"规范标准": "规范要求", "学术文献": "学术观点", "图集书籍": "案例数据", "会议纪要": "会议纪要"}
+ENTITY_TYPES = [
+    (("间", "室", "走廊", "卫生间", "候诊", "护士站", "办公室", "诊室", "复苏室", "库房", "机房", "缓冲", "刷手", "配餐"), "空间"),
+    (("方法", "原则", "策略", "工艺", "流程"), "设计方法"),
+    (("案例", "项目", "工程"), "案例"),
+    (("规范", "标准", "文件", "文献", "指南", "图集", "手册", "资料集"), "资料来源"),
+    (("部", "中心", "科", "区"), "功能分区"),
+]
+
+
+def first_group(text: Column, groups: list[tuple[tuple[str, ...], str]], otherwise: Column) -> Column:
+    """The value of the first group of which the text contains a word; case is ignored."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    out = otherwise
+    for words, value in reversed(groups):
+        out = F.when(contains_any(lower, list(words)), F.lit(value)).otherwise(out)
+    return out
+
+
+def perspective(category: Column, source_type: Column, groups=PERSPECTIVES, by_source=None, otherwise: str = "现状调研") -> Column:
+    """By the category's words (the source type stands in for an empty one), then by the source type."""
+    by_source = SOURCE_PERSPECTIVES if by_source is None else by_source
+    known = F.when(F.coalesce(category, F.lit("")) != "", category).otherwise(source_type)
+    return first_group(known, groups, mapped(source_type, by_source, F.lit(otherwise)) if by_source else F.lit(otherwise))
+
+
+def soft_type(name: Column, groups=ENTITY_TYPES, document: str = "资料来源", otherwise: str = "空间") -> Column:
+    """Entity type by a name's words; file names and titles in book marks are documents; no name, the default."""
+    lower = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    file = lower.contains(".pdf") | lower.endswith(".doc") | lower.endswith(".docx") | (lower.contains("《") & lower.contains("》"))
+    return F.when(lower == "", F.lit(otherwise)).when(file, F.lit(document)).otherwise(first_group(lower, groups, F.lit(otherwise)))

@@ -7,26 +7,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_pack(parts: Column, most: int, overlap: int) -> Column:
-    """Array of chunks: parts joined by a line end while they fit; a new chunk begins with the last `overlap` characters of the one before.
-
-    One fold over a document's parts, in the JVM.
-    """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc, part):
-        fits = (acc["open"] == "") | (F.length(acc["open"]) + 1 + F.length(part) <= most)
-        joined = F.when(acc["open"] == "", part).otherwise(F.concat(acc["open"], F.lit("\n"), part))
-        seed = F.when(F.lit(overlap) > 0, F.concat(F.right(acc["open"], F.lit(overlap)), F.lit("\n"), part)).otherwise(part)
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"), F.when(fits, joined).otherwise(seed).alias("open"))
-
-    return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+def simple_cuts(text: str, most: int, overlap: int, separator: str) -> list[str]:
+    """Chunks of a text: parts, each with the separator after it, while they fit; the next begins with the last
+    `overlap` characters of a chunk that was full.  Chunks are stripped, empty ones go.  A part is never cut."""
+    out, parts, size = [], [], 0
+    for part in text.split(separator) if text else []:
+        if size and size + len(part) + len(separator) > most:
+            chunk = "".join(parts).strip()
+            seed = ""
+            if chunk:
+                out.append(chunk)
+                seed = chunk[-overlap:] if overlap else ""
+            parts, size = [seed], len(seed)
+        parts += [part, separator]
+        size += len(part) + len(separator)
+    chunk = "".join(parts).strip()
+    return [*out, chunk] if chunk else out
+
+
+def simple_chunks(docs: DataFrame, most: int = 1200, overlap: int = 100, separator: str = "\n\n") -> DataFrame:
+    """doc_id, sequence, content: documents of text alone, cut at blank lines.  A null text has no chunks."""
 
+    def run(batches):
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                cuts = simple_cuts(text.as_py() or "", most, overlap, separator)
+                if cuts:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(cuts), doc_id.type), pa.array(range(1, len(cuts) + 1), pa.int32()), pa.array(cuts, pa.string())], ["doc_id", "sequence", "content"])
 
-def simple_chunks(docs: DataFrame, most: int = 1200, overlap: int = 100, separator: str = "\n") -> DataFrame:
-    """doc_id, sequence, content: documents of text alone."""
-    parts = F.filter(F.split("text", separator), lambda p: F.trim(p) != "")
-    return docs.select("doc_id", F.posexplode(greedy_pack(parts, most, overlap)).alias("_i", "content")).select("doc_id", (F.col("_i") + 1).alias("sequence"), "content")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sequence int, content string")
 
 
 def hierarchical_chunks(items: DataFrame, most: int = 1200, overlap: int = 100) -> DataFrame:
@@ -80,14 +89,20 @@ def hierarchical_chunks(items: DataFrame, most: int = 1200, overlap: int = 100)
 
 
 def merged_small(chunks: DataFrame, least: int = 100) -> DataFrame:
-    """doc_id, sequence, content, n: runs of chunks shorter than `least` become one; tables break runs and stay."""
+    """doc_id, sequence, content, content_type, first_page, last_page, n: runs of chunks shorter than `least` become one.
+
+    chunks: doc_id, sequence, content, content_type, first_page, last_page.  Images break runs and stay; a run has the
+    type of its first chunk and all pages of its chunks; contents are joined by a blank line and stripped.
+    """
     own = Window.partitionBy("doc_id").orderBy("sequence")
-    small = (F.length("content") < least) & (F.col("content_type") != "table")
+    small = (F.length("content") < least) & (F.col("content_type") != "image")
     starts = F.when(small & F.coalesce(F.lag("_small").over(own), F.lit(False)), 0).otherwise(1)
     rows = chunks.withColumn("_small", small).withColumn("_starts", starts)
     rows = rows.withColumn("_run", F.sum("_starts").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.sort_array(F.collect_list(F.struct("sequence", "content")))
-    return rows.groupBy("doc_id", F.col("_run").cast("int").alias("sequence")).agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"), F.count("*").alias("n"))
+    text = F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n")
+    stripped = F.when(F.max("_small"), F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(text)
+    return rows.groupBy("doc_id", F.col("_run").cast("int").alias("sequence")).agg(stripped.alias("content"), F.min_by("content_type", "sequence").alias("content_type"), F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"), F.count("*").alias("n"))
 
 
 def windows(text: Column, size: int = 800, overlap: int = 120) -> Column:

@@ -85,10 +85,13 @@ def chunk_simple(c: Catalog) -> DataFrame:
     return C.simple_chunks(c.table("documents"))
 
 
-@query(f"""WITH {CHUNKS}, s AS (SELECT *, length(content) < 100 AND content_type <> 'table' AS small FROM chunks), o AS (SELECT *, CASE WHEN small AND coalesce(lag(small) OVER (PARTITION BY doc_id ORDER BY sequence), false) THEN 0 ELSE 1 END AS st FROM s), r AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)::INT AS run FROM o)
-SELECT doc_id, run AS sequence, string_agg(content, chr(10) ORDER BY r.sequence) AS content, count(*) AS n FROM r GROUP BY doc_id, run""")
+@query(f"""WITH {CHUNKS}, s AS (SELECT *, length(content) < 100 AND content_type <> 'image' AS small, sequence // 40 + 1 AS page FROM (SELECT doc_id, sequence, content, CASE WHEN content_type = 'table' THEN 'image' ELSE content_type END AS content_type FROM chunks)), o AS (SELECT *, CASE WHEN small AND coalesce(lag(small) OVER (PARTITION BY doc_id ORDER BY sequence), false) THEN 0 ELSE 1 END AS st FROM s), r AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)::INT AS run FROM o)
+SELECT doc_id, run AS sequence, CASE WHEN bool_or(small) THEN regexp_replace(string_agg(content, chr(10) || chr(10) ORDER BY r.sequence), '^\\s+|\\s+$', '', 'g') ELSE min(content) END AS content, arg_min(content_type, r.sequence) AS content_type, min(page) AS first_page, max(page) AS last_page, count(*) AS n FROM r GROUP BY doc_id, run""")
 def chunk_merge_small(c: Catalog) -> DataFrame:
-    return C.merged_small(c.chunks().select("doc_id", "sequence", "content", "content_type"))
+    """Lines with a bar stand for images here, and forty lines are a page."""
+    page = F.floor(F.col("sequence") / 40).cast("int") + 1
+    kind = F.when(F.col("content_type") == "table", "image").otherwise(F.col("content_type"))
+    return C.merged_small(c.chunks().select("doc_id", "sequence", "content", kind.alias("content_type"), page.alias("first_page"), page.alias("last_page")))
 
 
 @query("""SELECT doc_id, s // 680 + 1 AS sequence, substr(text, s + 1, 800) AS content FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 120, 1), 680)) AS s FROM documents)""")

@@ -101,9 +101,18 @@ def relation_refine(c: Catalog) -> DataFrame:
     return c.table("part").select(F.col("p_partkey").alias("partkey"), r.alias("r")).select("partkey", "r.rel", "r.conf")
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'design' WHEN lang = 'de' THEN 'technical' ELSE 'general' END AS perspective FROM documents")
+@query("""SELECT doc_id, CASE WHEN contains(lower(coalesce(source, '')), '1') OR contains(lower(coalesce(source, '')), 'gb') THEN 'rules' WHEN contains(lower(coalesce(source, '')), '2') OR contains(lower(coalesce(source, '')), 'case') THEN 'cases' WHEN coalesce(source, '') = '' AND contains(coalesce(lang, ''), '1') THEN 'rules'
+WHEN lang = 'de' THEN 'papers' ELSE 'survey' END AS perspective FROM documents""")
 def perspective(c: Catalog) -> DataFrame:
-    return c.table("documents").select("doc_id", F.when(F.col("lang") == "en", "design").when(F.col("lang") == "de", "technical").otherwise("general").alias("perspective"))
+    """By words of a document's category, its source; then by its source type, its language."""
+    groups = [(("1", "gb"), "rules"), (("2", "case"), "cases")]
+    return c.table("documents").select("doc_id", X.perspective(F.col("source"), F.col("lang"), groups, {"de": "papers"}, "survey").alias("perspective"))
+
+
+@query("""SELECT p_partkey AS partkey, CASE WHEN contains(lower(p_type), 'brass') OR contains(lower(p_type), 'tin') THEN 'space' WHEN contains(lower(p_type), 'steel') THEN 'method' ELSE 'other' END AS kind FROM part""")
+def soft_types(c: Catalog) -> DataFrame:
+    groups = [(("brass", "tin"), "space"), (("steel",), "method")]
+    return c.table("part").select(F.col("p_partkey").alias("partkey"), X.soft_type(F.col("p_type"), groups, "document", "other").alias("kind"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, text, list_filter(string_split(replace(replace(replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || chr(1), chr(1)), '', ''), '', ''), chr(1)), lambda x: contains(x, 'the'))[1] AS hit FROM documents)
@@ -241,13 +250,36 @@ def page_span(c: Catalog) -> DataFrame:
     return c.table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(X.page_span(F.collect_set(F.concat(F.lit("p. "), F.col("l_linenumber").cast("string")))).alias("span"))
 
 
-@query("""SELECT o_orderkey AS k, 'see [1] and [2][1], also [3]' AS renumbered, 3 AS n_cited, '4' AS missing FROM orders""")
+_CITED = """o AS (SELECT l_orderkey AS k, list(l_suppkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS s, min(l_suppkey % 50) AS lo, max(l_suppkey % 50) AS hi FROM lineitem GROUP BY l_orderkey),
+d AS (SELECT k, s, lo, hi, list_filter(s, lambda x, i: list_position(s, x) = i) AS firsts FROM o),
+r AS (SELECT *, CASE WHEN hi - lo > 30 THEN [lo, hi] ELSE range(lo, hi + 1) END AS spread, array_to_string(list_transform(s, lambda x: '[' || list_position(firsts, x) || ']'), '') AS numbered FROM d)"""
+
+
+def _cited(c: Catalog) -> DataFrame:
+    """A text for each order that cites its suppliers in one group, with the separators in turn, and then a range."""
+    rows = c.table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("s"), F.min(F.col("l_suppkey") % 50).alias("lo"), F.max(F.col("l_suppkey") % 50).alias("hi"))
+    marks = F.array(*map(F.lit, (", ", ",", "，", "、", " ; ")))
+    group = F.array_join(F.transform("s", lambda x, i: F.concat(F.when(i > 0, F.element_at(marks, F.pmod(F.col("k") + i, F.lit(5)).cast("int") + 1)).otherwise(""), x["l_suppkey"].cast("string"))), "")
+    return rows.select("k", F.concat(F.lit("see ["), group, F.lit("] and")).alias("text"), F.concat(F.lit("also ["), F.col("hi").cast("string"), F.lit(" – "), F.col("lo").cast("string"), F.lit("].")).alias("ranged"))
+
+
+@query(f"""WITH {_CITED} SELECT k, 'see ' || numbered || ' and' AS renumbered, len(firsts)::INT AS n_cited, array_to_string(list_transform(range(len(firsts) + 1, 6), lambda i: i::VARCHAR), ',') AS missing,
+'also ' || array_to_string(list_transform(spread, lambda n: '[' || n || ']'), '') || '.' AS spread FROM r""")
 def citation_rewrite(c: Catalog) -> DataFrame:
-    a, b, d = ((F.col("o_orderkey") % 5 + i).cast("string") for i in (7, 1, 20))
-    text = F.concat(F.lit("see ["), a, F.lit("] and ["), b, F.lit(", "), a, F.lit("], also ["), d, F.lit("]"))
-    fixed = X.renumbered_citations(X.split_citation_groups(text))
-    rows = c.table("orders").select(F.col("o_orderkey").alias("k"), fixed.alias("renumbered"))
-    return rows.select("k", "renumbered", F.size(X.citations(F.col("renumbered"))).alias("n_cited"), F.array_join(X.missing_citations(F.col("renumbered"), F.lit(4)), ",").alias("missing"))
+    """Groups split and renumbered by first appearance; ranges spread; what of five sources isn't cited."""
+    fixed = X.renumbered_citations(X.split_citation_groups(F.col("text")))
+    rows = _cited(c).select("k", fixed.alias("renumbered"), X.expanded_citation_ranges(F.col("ranged")).alias("spread"))
+    return rows.select("k", "renumbered", F.size(X.citations(F.col("renumbered"))).alias("n_cited"), F.array_join(X.missing_citations(F.col("renumbered"), F.lit(5)), ",").alias("missing"), "spread")
+
+
+@query(f"""WITH {_CITED}, n AS (SELECT k, s, list_sort(list_distinct(s)) AS u FROM r),
+j AS (SELECT k, s, u, array_to_string(list_transform(u, lambda x: '[' || x || ']'), '') AS own FROM n)
+SELECT k, CASE WHEN len(s) = 1 THEN 'see ' || own || ' and' ELSE 'see ' || own || 'and' END AS sorted,
+CASE WHEN len(s) = 1 THEN 'see ' || own || ' and' WHEN len(u) > 2 AND u[-1] - u[1] = len(u) - 1 THEN 'see [' || u[1] || '-' || u[-1] || ']and' ELSE 'see ' || own || 'and' END AS collapsed FROM j""")
+def citation_runs(c: Catalog) -> DataFrame:
+    """Runs of citations in order, and closed runs as ranges."""
+    text = X.split_citation_groups(F.col("text"))
+    return _cited(c).select("k", X.sorted_citation_runs(text).alias("sorted"), X.collapsed_citation_runs(text).alias("collapsed"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'no citation,empty' WHEN length(text) > 200 THEN 'no citation,too long' ELSE 'no citation' END AS problems FROM conversations WHERE role = 'assistant' AND NOT regexp_matches(coalesce(text, ''), '\\[[0-9]+\\]')""")
