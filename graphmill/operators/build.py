@@ -19,9 +19,68 @@ from graphmill.operators.joins import band_join, without
 
 
 def merged_entities(mentions: DataFrame, key: list[str]) -> DataFrame:
-    """One row a key: mentions, sorted distinct chunk ids, the longest description (ties to the smaller)."""
+    """One row a key: mentions, sorted distinct chunk ids, the longest description (ties to the smaller).
+
+    Where mentions have `attributes`, an array, those of all mentions are united, sorted.
+    """
     longest = F.min_by("description", F.struct(-F.length("description"), F.col("description")))
-    return mentions.groupBy(*key).agg(F.count("*").alias("mentions"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), longest.alias("description"))
+    out = mentions.groupBy(*key).agg(F.count("*").alias("mentions"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), longest.alias("description"))
+    if "attributes" not in mentions.columns:
+        return out
+    listed = mentions.select(*key, F.explode("attributes").alias("_a")).groupBy(*key).agg(F.array_sort(F.collect_set("_a")).alias("attributes"))
+    return out.join(listed, key, "left").withColumn("attributes", F.coalesce("attributes", F.array().cast(mentions.schema["attributes"].dataType)))
+
+
+def scope_chains(mentions: DataFrame, parents: dict[str, tuple[str, ...]]) -> DataFrame:
+    """chunk, entity, scope: for entities of a type with parent types, the sorted names of these types in the chunk.
+
+    mentions: chunk, entity, type.  The names are gathered once for a chunk and type, not for each entity.
+    """
+    rows = mentions.select("chunk", "entity", "type").distinct()
+    table = mentions.sparkSession.createDataFrame([(t, p) for t, own in parents.items() for p in own], "type string, parent string")
+    names = rows.select("chunk", F.col("type").alias("parent"), F.col("entity").alias("name")).join(F.broadcast(table.select("parent").distinct()), "parent", "left_semi")
+    above = names.join(F.broadcast(table), "parent").groupBy("chunk", "type").agg(F.array_sort(F.collect_set("name")).alias("scope"))
+    kinds = table.select("type").distinct()
+    wanted = rows.join(F.broadcast(kinds), "type", "left_semi")
+    return wanted.join(above, ["chunk", "type"], "left").select("chunk", "entity", F.coalesce("scope", F.array().cast("array<string>")).alias("scope"))
+
+
+def reviewed(rows: DataFrame, constraints: dict, synonyms: dict, levels: list, accepted: dict, rejected: dict, fallback: bool = True, mention: str = "MENTIONED_IN", holder: str = "CONTAINS") -> DataFrame:
+    """rows (subject, subject_type, relation, object, object_type) with action and reason.
+
+    An end that is a page reference is rejected; a relation without a constraint, or ends of the types that it allows,
+    need no review.  Of the others, without a fallback, all are rejected; else mentions are accepted, parts of a holder
+    that look like a measure are rejected, and pairs of levels decide: `accepted` and `rejected` have them by relation.
+    What is left goes to review.  levels: groups of words that name a level, by name, then by name and type.
+    """
+    from graphmill.functions.text import first_group, mapped
+
+    name = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    kind = lambda c: mapped(F.col(c), synonyms, F.col(c)) if synonyms else F.col(c)
+    page = r"^(p{1,2}\.?\s*\d+|\d+\s*页|page\s*\d+)$"
+    relation = F.upper(F.trim("relation"))
+    known = F.array(*map(F.lit, constraints)) if constraints else F.array().cast("array<string>")
+    fits = F.lit(False)
+    for r, (subjects, objects) in constraints.items():
+        fits = fits | ((relation == r) & kind("subject_type").isin(*subjects) & kind("object_type").isin(*objects))
+    measure = name("object").rlike(r"[:：]|不小于|不大于|>=|<=|≥|≤|\d+\s*(m²|㎡|m|mm|cm|%|℃|°c)$|\d+\s*[x×]\s*\d+")
+    level = lambda n, t: first_group(F.col(n), levels, first_group(F.concat_ws(" ", F.col(n), kind(t)), levels, F.lit("")))
+    pair = F.concat_ws(">", relation, level("subject", "subject_type"), level("object", "object_type"))
+    pairs = lambda table: pair.isin(*(f"{r}>{a}>{b}" for r, own in table.items() for a, b in own)) if table else F.lit(False)
+    rules = [
+        (name("subject").rlike(page) | name("object").rlike(page), "reject", "page_reference"),
+        (~F.array_contains(known, relation), "skip", "no_constraint"),
+        (F.coalesce(fits, F.lit(False)), "skip", "schema_match"),
+        (F.lit(not fallback), "reject", "schema_mismatch"),
+        (relation == mention, "accept", "mention"),
+        ((relation == holder) & measure, "reject", "attribute_fragment"),
+        (pairs(accepted), "accept", "levels"),
+        (pairs(rejected), "reject", "levels"),
+    ]
+    action, reason = F.lit("review"), F.lit("ambiguous")
+    for cond, what, why in reversed(rules):
+        action, reason = F.when(cond, what).otherwise(action), F.when(cond, why).otherwise(reason)
+    return rows.withColumns({"action": action, "reason": reason})
 
 
 def with_inverse(edges: DataFrame, confidence: float = 0.85) -> DataFrame:
@@ -53,6 +112,55 @@ def cooccurrence(mentions: DataFrame, existing: DataFrame | None = None, window:
     return out if existing is None else without(out, existing.select("a", "b"), ["a", "b"], both_ways=("a", "b"))
 
 
+def cooccurrence_edges(mentions: DataFrame, existing: DataFrame, rules: dict, window: int = 3, least: int = 2, plain: bool = True) -> DataFrame:
+    """a, rel, b, confidence, support, doc_id, is_inverse: edges from entities that stand near one another.
+
+    mentions: doc_id, sequence, entity, type; existing: src, rel, dst.  Chunks without entities don't count as distance,
+    and each ordered pair of near chunks counts.  rules: (type of a, type of b) -> (relation, confidence), at least 0.6;
+    other pairs are CO_OCCUR with 0.5, or 0.6 from three on, and only if `plain`.  No edge is made beside a stronger one
+    of the same two, or twice.  Of several documents, and of both directions of a rule, the first by doc_id, a, b counts.
+    Relations that have an inverse get that edge, too.
+    """
+    rows = mentions.select("doc_id", "sequence", "entity", "type").distinct()
+    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("sequence"))
+    rows = rows.withColumn("at", place).drop("sequence")
+    near = band_join(rows, rows, ["doc_id"], "at", window).where((F.col("at") != F.col("at_r")) & (F.col("entity") != F.col("entity_r")))
+    pairs = near.groupBy("doc_id", F.col("entity").alias("a"), F.col("entity_r").alias("b")).agg(F.count("*").alias("support"), F.max("type").alias("_ta"), F.max("type_r").alias("_tb")).where(F.col("support") >= max(1, least))
+    table = mentions.sparkSession.createDataFrame([(a, b, r, float(c)) for (a, b), (r, c) in rules.items()], "_ta string, _tb string, rel string, _c double")
+    pairs = pairs.join(F.broadcast(table), ["_ta", "_tb"], "left").withColumn("rel", F.coalesce("rel", F.lit("CO_OCCUR")))
+    common = F.col("rel") == "CO_OCCUR"
+    base = F.coalesce("_c", F.lit(0.5))
+    confidence = F.when(~common | (F.col("support") >= max(least, 3)), F.greatest(base, F.lit(0.6))).otherwise(base)
+    pairs = pairs.withColumn("confidence", confidence)
+    if not plain:
+        pairs = pairs.where(~common)
+    strong = existing.where("rel <> 'CO_OCCUR'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = without(pairs, strong, ["a", "b"], both_ways=("a", "b"))
+    pairs = without(pairs, existing.select(F.col("src").alias("a"), "rel", F.col("dst").alias("b")), ["a", "rel", "b"])
+    order = F.struct("doc_id", "a", "b")
+    two = {"_x": F.least("a", "b"), "_y": F.greatest("a", "b")}
+    first = pairs.withColumns(two).where(~common).groupBy("_x", "_y").agg(F.min(order).alias("_first"))
+    pairs = pairs.withColumns(two).join(first, ["_x", "_y"], "left")
+    kept = pairs.where(F.when(common, F.col("_first").isNull() | (order < F.col("_first"))).otherwise(order == F.col("_first")))
+    row = F.min(F.struct("doc_id", "confidence", "support")).alias("_row")
+    out = kept.groupBy("a", "rel", "b").agg(row).select("a", "rel", "b", "_row.confidence", "_row.support", "_row.doc_id", F.lit(False).alias("is_inverse"))
+    back = out.where(F.col("rel").isin(*INVERSE)).select(F.col("b").alias("a"), inverse_relation(F.col("rel")).alias("rel"), F.col("a").alias("b"), "confidence", "support", "doc_id", F.lit(True).alias("is_inverse"))
+    return out.unionByName(back)
+
+
+def optimized(triplets: DataFrame, names: DataFrame, relation: Column, order: list[str], least: float = 0.3) -> DataFrame:
+    """Triplets (subject, relation, object, confidence) with names (old, new) and the relation in their standard form.
+
+    relation: the standard form of column `relation`; SKIP or nothing leaves it as it is.  Statements about oneself,
+    without a relation or of little confidence go; of equal ones, case aside, the first in order stays.
+    """
+    moved = renamed(triplets, names).withColumn("relation", F.when(F.coalesce(relation, F.lit("")).isin("", "SKIP"), F.col("relation")).otherwise(relation))
+    valid = moved.where((F.col("subject") != F.col("object")) & ~F.coalesce("relation", F.lit("")).isin("", "SKIP") & (F.col("confidence") >= least))
+    key = {f"_{c}": F.lower(c) for c in ("subject", "relation", "object")}
+    own = Window.partitionBy(*key).orderBy(*order)
+    return valid.withColumns(key).withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k", *key)
+
+
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / total length of the longest matching blocks, as difflib counts them."""

@@ -27,6 +27,33 @@ def merged_items(items: DataFrame, key: str = "entity_id", vector: str = "vector
     return out.unionByName(alone)
 
 
+#: What makes two citations one.
+CITATION_KEY = ("source", "chunk_id", "location", "page_number", "section", "image_url")
+
+
+def merged_details(items: DataFrame, order: list[str], key: str = "entity_id", text: str = "text") -> DataFrame:
+    """key, snippet, attrs, edges, citations: what the items of an entity have, put together.
+
+    items: key, source, snippet, attrs (map), edges (array of type, target), citations (array with CITATION_KEY) and the
+    columns of order.  The first item of the text source comes first, then the others in order.  Of an attribute the
+    first value that isn't blank counts; edges are one by type and target, citations by their key, in order; the longest
+    snippet counts, of equal ones the first.  A null key merges with none and is left out.
+    """
+    named = items.where(F.col(key).isNotNull()).withColumn("_o", F.struct(*order))
+    lead = named.groupBy(key).agg(F.min(F.when(F.col("source") == text, F.col("_o"))).alias("_lead"))
+    rows = named.join(lead, key).withColumn("_p", F.struct(F.when(F.col("_o") == F.col("_lead"), 0).otherwise(1).alias("late"), F.col("_o").alias("o")))
+    snippet = rows.groupBy(key).agg(F.min_by("snippet", F.struct(-F.length(F.coalesce("snippet", F.lit(""))), F.col("_p"))).alias("snippet"))
+    values = rows.select(key, "_p", F.explode("attrs").alias("k", "v")).where(F.trim("v") != "").groupBy(key, "k").agg(F.min_by("v", "_p").alias("v"))
+    attrs = values.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attrs"))
+
+    def listed(name: str, fields: tuple[str, ...]) -> DataFrame:
+        each = rows.select(key, "_p", F.posexplode(name).alias("_i", "_e")).select(key, F.struct("_p", "_i").alias("_at"), *(F.col("_e")[f].alias(f) for f in fields))
+        one = each.groupBy(key, *fields).agg(F.min("_at").alias("_at"))
+        return one.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", F.struct(*fields).alias("e")))), lambda s: s["e"]).alias(name))
+
+    return snippet.join(attrs, key, "left").join(listed("edges", ("type", "target")), key, "left").join(listed("citations", CITATION_KEY), key, "left")
+
+
 def unified_hints(items: DataFrame, most: int = 20) -> DataFrame:
     """One row of sorted distinct values, cut: entities, documents, pages, sources.
 

@@ -17,12 +17,14 @@ def _listed(x: str, name: str):
     return F.array_join(F.transform(x, lambda i: i.cast("string")), ",").alias(name)
 
 
-@query(f"""WITH {TRIPLETS}, m AS (SELECT object AS id, count(*) AS mentions, string_agg(DISTINCT chunk_id::VARCHAR, ',' ORDER BY chunk_id::VARCHAR) AS chunk_ids, max(length(subject)) AS l FROM triplets GROUP BY object)
-SELECT m.id, mentions, chunk_ids, min(subject) AS description FROM m JOIN triplets t ON t.object = m.id AND length(t.subject) = m.l GROUP BY ALL""")
+@query(f"""WITH {TRIPLETS}, m AS (SELECT object AS id, count(*) AS mentions, string_agg(DISTINCT chunk_id::VARCHAR, ',' ORDER BY chunk_id::VARCHAR) AS chunk_ids, max(length(subject)) AS l FROM triplets GROUP BY object),
+a AS (SELECT id, string_agg(a, ',' ORDER BY a) AS attributes FROM (SELECT DISTINCT object AS id, unnest([relation, 'd' || (doc_id % 5)]) AS a FROM triplets) GROUP BY id)
+SELECT m.id, mentions, chunk_ids, min(subject) AS description, attributes FROM m JOIN triplets t ON t.object = m.id AND length(t.subject) = m.l JOIN a ON a.id = m.id GROUP BY ALL""")
 def entity_merge(c: Catalog) -> DataFrame:
-    """Mentions of an entity merged: chunk ids united, the longest description kept."""
-    mentions = c.triplets().select(F.col("object").alias("id"), "chunk_id", F.col("subject").alias("description"))
-    return B.merged_entities(mentions, ["id"]).select("id", "mentions", _listed("chunk_ids", "chunk_ids"), "description")
+    """Mentions of an entity merged: chunk ids and attributes united, the longest description kept."""
+    attributes = F.array("relation", F.concat(F.lit("d"), (F.col("doc_id") % 5).cast("string")))
+    mentions = c.triplets().select(F.col("object").alias("id"), "chunk_id", F.col("subject").alias("description"), attributes.alias("attributes"))
+    return B.merged_entities(mentions, ["id"]).select("id", "mentions", _listed("chunk_ids", "chunk_ids"), "description", F.array_join("attributes", ",").alias("attributes"))
 
 
 @query(f"""WITH {NODES}, i AS (SELECT label, lower(regexp_replace(name, '\\s+', '', 'g')) AS canonical, min(id) AS id, count(*) AS n FROM nodes WHERE label <> 'Order' GROUP BY ALL) SELECT label, canonical, id, n FROM i""")
@@ -153,11 +155,14 @@ def relation_merge(c: Catalog) -> DataFrame:
     return B.strongest_statements(c.triplets())
 
 
-@query(f"""WITH {TRIPLETS}, v AS (SELECT * FROM triplets WHERE subject <> object AND confidence >= 0.3), r AS (SELECT *, row_number() OVER (PARTITION BY subject, relation, object ORDER BY chunk_id, doc_id, confidence) AS k FROM v) SELECT subject, relation, object, confidence FROM r WHERE k = 1""")
+@query(f"""WITH {TRIPLETS}, m AS (SELECT subject, CASE relation WHEN 'CONTAINS' THEN 'CONTAINS' WHEN 'REQUIRES' THEN 'REQUIRES' ELSE 'n/a' END AS relation, coalesce('Kind:' || p_brand, object) AS object, confidence, chunk_id, doc_id FROM triplets LEFT JOIN part ON object = 'part:' || p_partkey AND p_size > 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY lower(subject), lower(relation), lower(object) ORDER BY chunk_id, doc_id, confidence, object) AS k FROM m WHERE subject <> object AND confidence >= 0.92) SELECT subject, relation, object, confidence FROM r WHERE k = 1""")
 def stage_three(c: Catalog) -> DataFrame:
-    """Validation, then the first statement of each triple."""
-    v = c.triplets().where("subject <> object AND confidence >= 0.3")
-    return B.first_statements(v, ["chunk_id", "doc_id", "confidence"]).select("subject", "relation", "object", "confidence")
+    """Names and relations in their standard form, validation, then the first statement of each triple, case aside."""
+    names = c.table("part").where("p_size > 10").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("old"), F.concat(F.lit("Kind:"), "p_brand").alias("new"))
+    raw = c.triplets().withColumn("relation", F.when(F.col("relation") == "CONTAINS", "includes").when(F.col("relation") == "REQUIRES", " Requires ").otherwise("n/a"))
+    standard = X.normalized_relation(F.col("relation"), ("CONTAINS", "REQUIRES"), {"includes": "CONTAINS"}, ("n/a",))
+    return B.optimized(raw, names, standard, ["chunk_id", "doc_id", "confidence", "object"], 0.92).select("subject", "relation", "object", "confidence")
 
 
 @query(f"WITH {TRIPLETS} SELECT object AS entity, count(DISTINCT doc_id) AS sources FROM triplets GROUP BY object HAVING count(DISTINCT doc_id) >= 2 ORDER BY sources DESC, entity LIMIT 500")
@@ -236,10 +241,28 @@ def entity_sources(c: Catalog) -> DataFrame:
     return m.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("mentions")).withColumn("shared", F.col("docs") >= 2)
 
 
-@query(f"""WITH {CHUNKS}, t AS (SELECT doc_id, content FROM chunks WHERE sequence = 1 AND content_type = 'title'), o AS (SELECT source AS doc_id, 1 FROM documents WHERE false) SELECT doc_id, content AS scope FROM t""")
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS chunk, entity, type FROM (SELECT l_orderkey, unnest(['part:' || l_partkey, 'supplier:' || l_suppkey, 'nation:' || s_nationkey]) AS entity, unnest(['space', 'unit', 'department']) AS type FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)),
+s AS (SELECT DISTINCT a.chunk, a.entity, b.entity AS parent FROM m a LEFT JOIN m b ON a.chunk = b.chunk AND ((a.type = 'space' AND b.type IN ('unit', 'department')) OR (a.type = 'unit' AND b.type = 'department')) WHERE a.type IN ('space', 'unit'))
+SELECT chunk, entity, coalesce(string_agg(parent, ',' ORDER BY parent), '') AS scope FROM s GROUP BY chunk, entity""")
 def scope_inference(c: Catalog) -> DataFrame:
-    """The title that opens a document is the scope of what is named in it."""
-    return c.chunks().where("sequence = 1 AND content_type = 'title'").select("doc_id", F.col("content").alias("scope"))
+    """The entities of a parent type that an order names are the scope of its parts and suppliers."""
+    nation = c.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    lines = c.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(nation, "l_suppkey")
+    named = lambda kind, column, label: F.struct(F.concat(F.lit(f"{label}:"), F.col(column).cast("string")).alias("entity"), F.lit(kind).alias("type"))
+    ents = F.array(named("space", "l_partkey", "part"), named("unit", "l_suppkey", "supplier"), named("department", "s_nationkey", "nation"))
+    mentions = lines.select(F.col("l_orderkey").alias("chunk"), F.explode(ents).alias("e")).select("chunk", "e.*")
+    found = B.scope_chains(mentions, {"space": ("unit", "department"), "unit": ("department",)})
+    return found.select("chunk", "entity", F.array_join("scope", ",").alias("scope"))
+
+
+@query()
+def cooccurrence_edges(c: Catalog) -> DataFrame:
+    """Parts of neighbouring orders, with rules by their brands' types and the graph's own edges as the stronger ones."""
+    kind = c.table("part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity"), F.substring_index("p_type", " ", -1).alias("type"))
+    k = F.substring_index("subject", ":", -1).cast("long")
+    mentions = c.triplets().select(F.floor(k / 8).alias("doc_id"), (k % 8).alias("sequence"), F.col("object").alias("entity")).join(kind, "entity")
+    known = c.edges().where("rel = 'PROVIDES'")
+    return B.cooccurrence_edges(mentions, known, {("BRASS", "STEEL"): ("REQUIRES", 0.7), ("TIN", "TIN"): ("ADJACENT", 0.5)})
 
 
 @query(f"""WITH {TRIPLETS}, a AS (SELECT object AS id, max(confidence) AS score, list(DISTINCT chunk_id) AS l FROM triplets WHERE relation = 'REQUIRES' GROUP BY object), b AS (SELECT object AS id, min(confidence) AS score, list(DISTINCT chunk_id) AS l FROM triplets WHERE relation = 'CONTAINS' GROUP BY object)

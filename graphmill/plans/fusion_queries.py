@@ -21,6 +21,22 @@ def merge_items(c: Catalog) -> DataFrame:
     return M.merged_items(c.items())
 
 
+@query(f"""WITH {ITEMS}, o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY pos, page, doc_id, source, snippet) AS i FROM items), l AS (SELECT entity_id, min(i) FILTER (source = 'text') AS lead FROM o GROUP BY entity_id),
+p AS (SELECT o.*, row_number() OVER (PARTITION BY o.entity_id ORDER BY CASE WHEN i = lead THEN 0 ELSE 1 END, i) AS k FROM o JOIN l USING (entity_id))
+SELECT entity_id, arg_min(snippet, (-length(snippet), k)) AS snippet, 'page=' || arg_min(page, k) || coalesce(',text=' || (arg_min(doc_id, k) FILTER (source = 'text')), '') AS attrs,
+string_agg(DISTINCT pos::VARCHAR, ',' ORDER BY pos::VARCHAR) AS targets, count(DISTINCT (source, doc_id, page)) AS n_citations FROM p GROUP BY entity_id""")
+def merge_item_details(c: Catalog) -> DataFrame:
+    """Attributes, edges to orders and citations of a part's items; a blank attribute gives way to a later one."""
+    none = F.lit(None).cast("string")
+    attrs = F.create_map(F.lit("page"), F.col("page").cast("string"), F.lit("text"), F.when(F.col("source") == "text", F.col("doc_id").cast("string")).otherwise(" "))
+    edge = F.array(F.struct(F.lit("IN").alias("type"), F.col("pos").cast("string").alias("target")))
+    cite = F.struct("source", F.col("doc_id").cast("string").alias("chunk_id"), none.alias("location"), F.col("page").alias("page_number"), none.alias("section"), none.alias("image_url"))
+    rows = c.items().withColumns({"attrs": attrs, "edges": edge, "citations": F.array(cite, cite)})
+    out = M.merged_details(rows, ["pos", "page", "doc_id", "source", "snippet"])
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select("entity_id", "snippet", shown.alias("attrs"), F.array_join(F.array_sort(F.transform("edges", lambda e: e["target"])), ",").alias("targets"), F.size("citations").cast("long").alias("n_citations"))
+
+
 @query(f"""WITH {ITEMS}, a AS (SELECT 'entities' AS hint, v::VARCHAR AS v, rank FROM (SELECT v, row_number() OVER (ORDER BY v) AS rank FROM (SELECT DISTINCT entity_id AS v FROM items)) UNION ALL SELECT 'documents', v::VARCHAR, rank FROM (SELECT v, row_number() OVER (ORDER BY v) AS rank FROM (SELECT DISTINCT doc_id AS v FROM items))
 UNION ALL SELECT 'pages', v::VARCHAR, rank FROM (SELECT v, row_number() OVER (ORDER BY v) AS rank FROM (SELECT DISTINCT page AS v FROM items)) UNION ALL SELECT 'sources', v, rank FROM (SELECT v, row_number() OVER (ORDER BY v) AS rank FROM (SELECT DISTINCT source AS v FROM items)))
 SELECT hint, string_agg(v, ',' ORDER BY rank) AS values FROM a WHERE rank <= 20 GROUP BY hint""")

@@ -203,12 +203,20 @@ def triple_validation(c: Catalog) -> DataFrame:
     return c.triplets().where((F.col("subject") != F.col("object")) & ~F.col("relation").isin("", "SKIP") & (F.col("confidence") >= 0.92)).select("subject", "relation", "object", "confidence")
 
 
-@query(f"""WITH {TRIPLETS} SELECT CASE WHEN relation = 'RELATED_TO' AND confidence < 0.93 THEN 'reject' WHEN relation IN ('REQUIRES', 'CONTAINS') THEN 'accept' ELSE 'review' END AS action,
-CASE WHEN relation = 'RELATED_TO' AND confidence < 0.93 THEN 'weak' WHEN relation IN ('REQUIRES', 'CONTAINS') THEN 'schema' ELSE 'level' END AS reason, count(*) AS n FROM triplets GROUP BY ALL""")
+@query(f"""WITH {TRIPLETS}, t AS (SELECT relation, p_size, p_type, CASE WHEN p_size = 12 THEN 'page 12' WHEN p_size = 13 THEN '>= 13 mm' ELSE p_type END AS name FROM triplets JOIN part ON object = 'part:' || p_partkey),
+r AS (SELECT CASE WHEN p_size = 12 THEN 'reject:page_reference' WHEN relation = 'RELATED_TO' THEN 'skip:no_constraint' WHEN relation = 'REQUIRES' AND p_size > 5 THEN 'skip:schema_match' WHEN relation = 'CONTAINS' AND p_size = 13 THEN 'reject:attribute_fragment'
+WHEN relation = 'CONTAINS' AND contains(lower(name), 'brass') THEN 'accept:levels' WHEN relation = 'CONTAINS' AND contains(lower(name), 'steel') THEN 'reject:levels' ELSE 'review:ambiguous' END AS x FROM t)
+SELECT split_part(x, ':', 1) AS action, split_part(x, ':', 2) AS reason, count(*) AS n FROM r GROUP BY ALL""")
 def relation_review(c: Catalog) -> DataFrame:
-    weak = (F.col("relation") == "RELATED_TO") & (F.col("confidence") < 0.93)
-    fits = F.col("relation").isin("REQUIRES", "CONTAINS")
-    return c.triplets().groupBy(F.when(weak, "reject").when(fits, "accept").otherwise("review").alias("action"), F.when(weak, "weak").when(fits, "schema").otherwise("level").alias("reason")).agg(F.count("*").alias("n"))
+    """Orders with their parts, whose type words name a level; small parts have a type that no relation allows."""
+    from graphmill.operators.build import reviewed
+
+    part = c.table("part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("object"), "p_size", "p_type")
+    name = F.when(F.col("p_size") == 12, "page 12").when(F.col("p_size") == 13, ">= 13 mm").otherwise(F.col("p_type"))
+    rows = c.triplets().join(part, "object").select("subject", F.lit("order").alias("subject_type"), "relation", name.alias("object"), F.when(F.col("p_size") > 5, "piece").otherwise("scrap").alias("object_type"))
+    levels = [(("order",), "zone"), (("brass",), "space"), (("steel",), "equipment")]
+    out = reviewed(rows, {"REQUIRES": (("order",), ("part",)), "CONTAINS": (("order",), ("box",))}, {"piece": "part"}, levels, {"CONTAINS": [("zone", "space")]}, {"CONTAINS": [("zone", "equipment")]})
+    return out.groupBy("action", "reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {NODES} SELECT CASE label WHEN 'Customer' THEN 'Party' WHEN 'Supplier' THEN 'Party' ELSE label END AS kind, count(*) AS n FROM nodes WHERE label NOT IN ('Order') AND length(trim(name, ' ')) > 1 GROUP BY 1""")

@@ -60,25 +60,25 @@ def test_latent_candidates_pair_all_entities(spark):
         assert [tuple(r) for r in B.latent_candidates(mentions, existing, 30, cell).collect()] == want[:30]
 
 
-def fold(parts, most, overlap):
+def blank_line_chunks(text, most, overlap):
+    """The simple chunker's rule over one growing string: parts end in a blank line, a full buffer leaves its tail."""
     done, open_ = [], ""
-    for p in parts:
-        if not open_ or len(open_) + 1 + len(p) <= most:
-            open_ = open_ + "\n" + p if open_ else p
-        else:
-            done.append(open_)
-            open_ = open_[-overlap:] + "\n" + p if overlap else p
-    return done + ([open_] if open_ else [])
+    for part in (p + "\n\n" for p in text.split("\n\n")):
+        if open_ and len(open_) + len(part) > most:
+            done.append(open_.strip())
+            open_ = done[-1][-overlap:]
+        open_ += part
+    return [c for c in [*done, open_.strip()] if c]
 
 
 def test_simple_and_hierarchical_chunks(spark):
     rng = random.Random(2)
-    docs = [(i, "\n".join("w" * rng.randrange(0, 60) for _ in range(rng.randrange(0, 30)))) for i in range(20)] + [(99, None), (98, "")]
+    docs = [(i, "\n\n".join("w" * rng.randrange(0, 60) for _ in range(rng.randrange(0, 30)))) for i in range(20)] + [(99, None), (98, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {}
     for r in C.simple_chunks(df, 100, 10).orderBy("sequence").collect():
         got.setdefault(r.doc_id, []).append(r.content)
-    assert got == {i: c for i, t in docs if t and (c := fold([p for p in t.split("\n") if p.strip()], 100, 10))}
+    assert got == {i: c for i, t in docs if t and (c := blank_line_chunks(t, 100, 10))}
     items = spark.createDataFrame([(1, 0, "title", "T"), (1, 1, "text", "a" * 60), (1, 2, "text", "b" * 60), (1, 3, "table", "tab"), (1, 4, "text", "end"), (2, 0, "text", None)], "doc_id long, pos long, kind string, text string")
     rows = [tuple(r)[1:] for r in C.hierarchical_chunks(items, 100, 5).orderBy("doc_id", "sequence").collect()]
     assert rows == [(1, "T", "text", "T\n" + "a" * 60, 0, 1), (2, "T", "text", "aaaaa\n" + "b" * 60, 2, 2), (3, "T", "table", "tab", 3, 3), (4, "T", "text", "end", 4, 4)]
