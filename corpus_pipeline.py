@@ -2,6 +2,13 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame.  All but the last return the columns of documents; run()
 writes each stage's result as Parquet in the shared folder and hands what it reads again to the next.
+
+Defined cases.  An empty table goes through all stages and gives no rows.  A null or letterless text goes at the first
+stage.  Rows with a null doc_id are never copies of others, so near-dedup keeps them, and substring dedup counts them as
+larger than every id.  Rows equal in doc_id and text are one document for near-dedup; rows with one doc_id and different
+texts are documents each.  Among equal texts the smallest doc_id stays.  Texts that lose all words stay as empty rows;
+packing makes them a document of the end id alone.  Very long texts are read whole by every stage.  doc_id is a column of
+whole numbers.  Columns besides doc_id, text, lang and n_chars are carried along unread, whatever their names.
 """
 
 from __future__ import annotations
