@@ -50,3 +50,23 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_awkward_and_empty_tables(spark, sf_dir, tmp_path):
+    """Null and repeated ids, null texts, ties, clashing columns: each stage keeps the columns and the defined rows."""
+    from tests.llm.common import SCHEMA, awkward
+
+    rows = [*awkward(), (5, "another text under an id that is there already, in words enough", "en", *[None] * 7)]
+    for name, own in (("rows", rows), ("none", [])):
+        docs = spark.createDataFrame(own, SCHEMA)
+        for stage, run in P.STAGES:
+            out = run(spark, docs, sf_dir)
+            if stage != "packing":
+                assert out.columns == docs.columns
+            path = str(tmp_path / f"{name}-{stage}")
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+            if stage == "near_dedup":
+                texts = [r.text for r in docs.where("doc_id = 5").collect()]
+                assert not own or sorted(t[:7] for t in texts) == sorted([rows[5][1][:7], "another"])
+        assert docs.isEmpty() == (not own)
