@@ -17,6 +17,9 @@ HALF_WIDTH = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
 # Numerals that are read as digits before a suffix.
 ROMAN = {"I": "1", "II": "2", "III": "3", "IV": "4", "V": "5", "VI": "6", "VII": "7", "VIII": "8", "IX": "9", "X": "10"}
+FULL_ROMAN = {"Ⅰ": "1", "Ⅱ": "2", "Ⅲ": "3", "Ⅳ": "4", "Ⅴ": "5"}
+CHINESE = {"一": "1", "二": "2", "三": "3", "四": "4", "五": "5"}
+NUMBERED = "级|类|型|室|间|区"
 #: Relations that have an inverse.
 INVERSE = {"CONTAINS": "BELONGS_TO", "BELONGS_TO": "CONTAINS", "REQUIRES": "REQUIRED_BY", "REQUIRED_BY": "REQUIRES"}
 
@@ -25,11 +28,17 @@ def half_width(s: Column) -> Column:
     return F.translate(s, FULL_WIDTH, HALF_WIDTH)
 
 
-def normalize_numbers(s: Column, suffixes: str = "level|type|room|grade") -> Column:
-    """Half width; Roman numerals before a suffix as digits; no white space."""
+def normalize_numbers(s: Column, suffixes: str = f"level|type|room|grade|{NUMBERED}") -> Column:
+    """Half width; Roman and Chinese numerals before a suffix as digits; no white space.
+
+    A Roman numeral of Latin letters counts only where no letter or digit stands before it.
+    """
     out = half_width(s)
+    before = rf"(?=\s*(?:{suffixes}))"
     for roman in sorted(ROMAN, key=lambda r: (-len(r), r)):
-        out = F.regexp_replace(out, rf"\b{roman}(?=\s*(?:{suffixes}))", ROMAN[roman])
+        out = F.regexp_replace(out, rf"\b{roman}{before}", ROMAN[roman])
+    for sign, digit in (FULL_ROMAN | CHINESE).items():
+        out = F.regexp_replace(out, sign + before, digit)
     return F.regexp_replace(out, r"\s+", "")
 
 
@@ -188,6 +197,17 @@ def distinct_ignoring_case(words: Column) -> Column:
     return F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_position(lower, F.lower(s["w"])) == s["i"] + 1), lambda s: s["w"])
 
 
+def concept_expansion(term: Column, equal: Column, related: Column, narrower: Column, broader: Column, most: int = 15) -> Column:
+    """The term, 5 synonyms, 8 related, 3 narrower and 2 broader concepts; trimmed, distinct ignoring case, cut.
+
+    Each array is in its provider's order; a null one is empty.
+    """
+    first = lambda words, n: F.slice(F.coalesce(words, F.array().cast("array<string>")), 1, n)
+    words = F.concat(F.array(term), first(equal, 5), first(related, 8), first(narrower, 3), first(broader, 2))
+    clean = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w.isNotNull() & (w != ""))
+    return F.slice(distinct_ignoring_case(clean), 1, most)
+
+
 def query_kind(text: Column, relation: list[str], community: list[str], mixed: list[str]) -> Column:
     return F.when(contains_any(text, mixed), "mixed").when(contains_any(text, relation), "relation").when(contains_any(text, community), "community").otherwise("entity")
 
@@ -209,6 +229,11 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
 
 
+def web_key(url: Column, title: Column, snippet: Column) -> Column:
+    """What tells web results apart: the address, else the title and the first 80 characters."""
+    return F.when(url != "", url).otherwise(F.concat(title, F.lit("|"), F.substring(snippet, 1, 80)))
+
+
 def web_relevance(domain: Column, topic: Column, case: Column, query: Column, raw: Column) -> Column:
     score = F.lit(0.55) + F.when(domain, 0.25).otherwise(0.0) + F.when(topic, 0.10).otherwise(0.0) + F.when(case, 0.05).otherwise(0.0) + F.when(query, 0.05).otherwise(0.0)
     return F.round(F.least(F.greatest(score, F.coalesce(raw, F.lit(0.0))), F.lit(0.95)), 4)
@@ -220,6 +245,25 @@ def entity_relevance(text: Column, name: Column, attributes: Column, description
     return by_name + by_attribute + F.when((F.length(description) < 80) & text.contains(description), 20).otherwise(0)
 
 
+def _share(*rules: tuple[Column, float]) -> Column:
+    return F.round(F.least(F.lit(1.0), reduce(lambda a, b: a + b, [F.when(c, w).otherwise(0.0) for c, w in rules])), 4)
+
+
+def case_quality(media: Column, parameters: Column, novel: Column, length: Column) -> Column:
+    """Quality of a case, 0 to 1: media, detailed parameters, novelty, and the length of its content in two steps."""
+    return _share((media, 0.3), (parameters, 0.3), (novel, 0.2), (length >= 200, 0.1), (length >= 500, 0.1))
+
+
+def method_quality(description: Column, spaces: Column, supported: Column) -> Column:
+    """Quality of a design method: described, meant for named spaces, backed by a source, with a figure and its unit."""
+    return _share((F.length(description) >= 50, 0.3), (F.size(spaces) > 0, 0.2), (supported, 0.3), (description.rlike("[0-9][m²㎡Pa%级]"), 0.2))
+
+
+def plain_quality(measured: Column, description: Column, regulated: Column, applied: Column, media: Column) -> Column:
+    """Quality of any other entity: figures, a description, rules, uses, media."""
+    return _share((measured, 0.2), (F.length(description) >= 30, 0.3), (regulated, 0.2), (applied, 0.2), (media, 0.1))
+
+
 def retrieval_quality(n: Column, top: Column, mean: Column, cites: Column) -> Column:
     return F.least(F.lit(1.0), 0.3 * F.least(n / 5, F.lit(1.0)) + 0.4 * top + 0.3 * mean + 0.3 * F.least(cites / 3, F.lit(1.0)))
 
@@ -249,6 +293,11 @@ def _replaced(text: Column, opening: str, pattern: str, render) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.when(found(p) != "", put(p)).otherwise(p)), "")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once, where `use` names it often or in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _bracketed(numbers: Column) -> Column:
     return F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")
 
@@ -330,6 +379,53 @@ def aligned_images(text: Column, n_images: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.when(number(p) == "", p).when(valid(p), F.concat(F.lit("[IMG:"), F.array_position(kept, number(p)).cast("string"), F.regexp_replace(p, r"^\[IMG:[0-9]+", ""))).otherwise(F.regexp_replace(p, r"^\[IMG:[0-9]+\]", ""))), "")
 
 
+def _image(i: Column, caption: Column, label: str) -> Column:
+    return F.concat(F.lit(f"({label} "), i.cast("string"), F.lit(": "), caption, F.lit(")\n[IMG:"), i.cast("string"), F.lit("]"))
+
+
+def appended_images(text: Column, captions: Column, label: str = "Figure") -> Column:
+    """The text, and after it a captioned placeholder for every image that it has none of."""
+    here = F.transform(F.regexp_extract_all(text, F.lit(r"\[IMG:([0-9]{1,9})\]"), F.lit(1)), lambda n: n.cast("int"))
+    all_images = F.transform(captions, lambda c, i: F.struct((i + 1).alias("i"), c.alias("c")))
+    missing = F.filter(all_images, lambda s: ~F.array_contains(here, s["i"]))
+    block = F.array_join(F.transform(missing, lambda s: _image(s["i"], s["c"], label)), "\n\n")
+    return F.when(F.size(missing) > 0, F.concat(F.rtrim(text), F.lit("\n\n"), block)).otherwise(text)
+
+
+def injected_images(text: Column, captions: Column, heading: str, catalogue: str, label: str = "Figure") -> Column:
+    """Captioned placeholders after the paragraphs of the section of that heading, else after those from the second on.
+
+    Image k follows paragraph k, those beyond the last paragraph the last one.  The list of sources under the heading
+    `catalogue` stays as it is, and so does a text with placeholders or without images.
+    """
+    clean = lambda c: F.regexp_replace(c, r"\s+\z", "")
+
+    def cut(head: Column) -> Column:
+        """struct(before, body, later) of the text before the list of sources."""
+        named = F.regexp_extract(head, rf"(?ms)\A(.*?^### *\Q{heading}\E *\n)", 1)
+        before = F.when(named != "", named).otherwise(F.regexp_extract(head, r"(?s)\A(.*?\n\n)", 1))
+        rest = _let(before, lambda b: F.struct(b.alias("before"), F.substr(head, F.length(b) + 1).alias("rest")))
+        later = lambda r: F.when(head.rlike(rf"(?m)^### *\Q{heading}\E *$"), F.regexp_extract(r["rest"], r"(?ms)(^### .*)\z", 1)).otherwise("")
+        return _let(rest, lambda r: _let(later(r), lambda x: F.struct(r["before"].alias("before"), F.substr(r["rest"], F.lit(1), F.length(r["rest"]) - F.length(x)).alias("body"), x.alias("later"))))
+
+    def filled(body: Column) -> Column:
+        found = F.filter(F.split(body, "\n{2,}"), lambda p: F.trim(p) != "")
+        whole = _let(found, lambda f: F.when(F.size(f) > 0, F.transform(f, clean)).otherwise(F.array(F.lit(""))))
+        images = F.transform(captions, lambda c, i: F.concat(F.lit("\n\n"), _image(i + 1, c, label)))
+
+        def placed(both: Column) -> Column:
+            p, images = both["p"], both["images"]
+            own = lambda at: F.when(at < F.size(p) - 1, F.slice(images, at + 1, 1)).otherwise(F.slice(images, at + 1, F.size(images)))
+            return F.array_join(F.transform(p, lambda x, at: F.concat(x, F.array_join(own(at), ""))), "\n\n")
+
+        return _let(F.struct(whole.alias("p"), images.alias("images")), placed)
+
+    end = F.regexp_instr(text, F.lit(rf"(?m)^### *\Q{catalogue}\E *$"))
+    halves = _let(end, lambda e: F.struct(F.when(e > 0, F.substr(text, F.lit(1), e - 1)).otherwise(text).alias("head"), F.when(e > 0, F.concat(F.lit("\n\n"), F.substr(text, e))).otherwise("").alias("tail")))
+    joined = lambda c: clean(F.concat(c["before"], filled(c["body"]), F.when(c["later"] != "", F.concat(F.lit("\n\n"), c["later"])).otherwise("")))
+    return F.when((F.size(captions) <= 0) | text.contains("[IMG:"), text).otherwise(_let(halves, lambda h: F.concat(_let(cut(h["head"]), joined), h["tail"])))
+
+
 def relative_path(path: Column, root: str) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^" + "\\Q" + root.rstrip("/") + "\\E" + "/?", "")
 
@@ -389,6 +485,23 @@ def tidy_layout(text: Column) -> Column:
     return F.regexp_replace(out, r"(?m)^((?:\[[0-9]+\])+)[ \t]*([^\n\[][^\n]*)$", "$2$1")
 
 
+def moved_table_citations(text: Column, note: str = "Sources of the table: ") -> Column:
+    """Citations in the rows of a Markdown table go to a note below it, each once, in order of appearance.
+
+    A table is a line with a bar, a line of dashes and bars, and the lines with bars that follow.  The text has no U+FFFF.
+    """
+    row = r"[^\n\uFFFF]*\|[^\n\uFFFF]*"
+    rule = r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*"
+    marked = F.regexp_replace(text, rf"(?m)(^{row}\n{rule}\n)({row}(?:\n{row})*)", "$1\uffff$2\uffff")
+
+    def moved(body: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(body, r"\[[0-9]+\]", ""), r"[ \t]{2,}", " ")
+        sources = F.array_join(F.transform(citations(body), lambda n: F.concat(F.lit("["), n, F.lit("]"))), "")
+        return F.when(sources != "", F.concat(plain, F.lit("\n\n" + note), sources, F.lit("\n"))).otherwise(body)
+
+    return F.array_join(F.transform(F.split(marked, "\uffff"), lambda p, i: F.when(i % 2 == 1, moved(p)).otherwise(p)), "")
+
+
 def evidence_line(number: Column, snippet: Column, source: Column, page: Column, most: int = 80) -> Column:
     """One line of a Markdown list of evidence."""
     return F.concat(F.lit("- ["), number.cast("string"), F.lit("] "), shortened(snippet, most), F.lit(" ("), source, F.lit(", p. "), page.cast("string"), F.lit(")"))

@@ -37,6 +37,16 @@ def search_nodes(nodes: DataFrame, text: str, k: int = 8, priority: tuple[str, .
     return top.withColumn("_any", any_ok).where(F.col("_ok") | (F.col("_any") == 0)).select("id", "label", "name", "score")
 
 
+def related(nodes: DataFrame, edges: DataFrame, seeds: list[str], labels: tuple[str, ...], text: str, k: int = 5) -> DataFrame:
+    """The first k nodes (id, label, name) of the labels by id that are next to a seed, else whose name contains the text."""
+    wanted = nodes.where(F.col("label").isin(*labels))
+    near = undirected(edges).where(F.col("b").isin(*seeds)).select(F.col("a").alias("id")).distinct()
+    first = wanted.join(near, "id", "left_semi").withColumn("_tier", F.lit(1)).orderBy("id").limit(k)
+    other = wanted.where(F.lower("name").contains(text.lower())).withColumn("_tier", F.lit(2)).orderBy("id").limit(k)
+    best = F.min("_tier").over(Window.partitionBy())  # over at most 2 k rows
+    return first.unionByName(other).withColumn("_best", best).where("_tier = _best").select("id", "label", "name")
+
+
 def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """id, dist of all nodes within depth of the seeds (id)."""
     both = checkpointed(undirected(edges).select("a", "b"))  # read at every level

@@ -117,9 +117,23 @@ def first_hits(hits: DataFrame, key: str, tier: str) -> DataFrame:
     return hits.join(best, key).where(F.col(tier) == F.col("_best")).drop("_best")
 
 
-def bm25(terms: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def with_phrases(hits: DataFrame, phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """Hits (query_id, doc_id) whose text contains all phrases of the query, case ignored; without phrases all of them.
+
+    phrases: query_id, phrase, a few for each query; texts: doc_id, text.  Only hits of queries with phrases meet texts.
+    """
+    asked = phrases.groupBy("query_id").agg(F.collect_set(F.lower("phrase")).alias("_phrases"))
+    marked = hits.join(asked, "query_id", "left")
+    own = marked.where("_phrases IS NOT NULL").join(texts.select("doc_id", F.lower("text").alias("_text")), "doc_id")
+    kept = own.where(F.forall("_phrases", lambda p: F.col("_text").contains(p)))
+    return marked.where("_phrases IS NULL").select(hits.columns).unionByName(kept.select(hits.columns))
+
+
+def bm25(terms: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, phrases: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, rank.  terms: doc_id, term with repeats; queries: query_id, term, distinct.
 
+    With phrases (query_id, phrase) and texts (doc_id, text), only documents that contain a query's phrases are ranked.
+
     Only terms that a query has are kept before the counts by document are shuffled, and a document's length and the
     document frequencies are partial aggregates.
     """
@@ -132,6 +146,8 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weight = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
     scored = rows.select("term", "doc_id", weight.alias("_w")).join(queries, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("_w"), 4).alias("score"))
+    if phrases is not None:
+        scored = with_phrases(scored, phrases, texts)
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 

@@ -64,6 +64,16 @@ def related_specs(c: Catalog) -> DataFrame:
     return c.nodes().where("label = 'Part'").join(near, "id").select("id", "name")
 
 
+@query(f"""WITH {GRAPH}, near AS (SELECT 'seeds' AS found, n.id, n.name FROM nodes n WHERE n.label = 'Part' AND n.id IN (SELECT dst FROM edges WHERE src IN ('supplier:1', 'supplier:2') UNION SELECT src FROM edges WHERE dst IN ('supplier:1', 'supplier:2')) ORDER BY n.id LIMIT 5),
+named AS (SELECT 'text' AS found, id, name FROM nodes WHERE label = 'Part' AND contains(lower(name), 'widget') ORDER BY id LIMIT 5) SELECT * FROM near UNION ALL SELECT * FROM named""")
+def related_or_named(c: Catalog) -> DataFrame:
+    """Parts next to the seeds; where a seed has none, those that the question names."""
+    nodes, edges = c.nodes(), c.edges()
+    near = G.related(nodes, edges, ["supplier:1", "supplier:2"], ("Part",), "widget").withColumn("found", F.lit("seeds"))
+    named = G.related(nodes, edges, ["no such seed"], ("Part",), "Widget").withColumn("found", F.lit("text"))
+    return near.unionByName(named).select("found", "id", "name")
+
+
 @query(f"""WITH {GRAPH}, t AS (SELECT * FROM (VALUES (0, 'no such name'), (1, 'FRANCE'), (2, 'ASIA')) v(tier, term)), h AS (SELECT t.tier, t.term, n.id FROM t JOIN nodes n ON contains(lower(n.name), lower(t.term))), m AS (SELECT min(tier) AS tier FROM h),
 s AS (SELECT id FROM h JOIN m USING (tier) ORDER BY id LIMIT 3) SELECT DISTINCT e.src, e.rel, e.dst FROM edges e WHERE e.src IN (SELECT id FROM s) OR e.dst IN (SELECT id FROM s)""")
 def graph_search(c: Catalog) -> DataFrame:

@@ -107,6 +107,17 @@ def text_score(c: Catalog) -> DataFrame:
     return R.bm25(c.doc_terms().select("doc_id", "term"), _questions(c), 5)
 
 
+@query(f"""WITH {DOC_TERMS}, {_QUESTION}, l AS (SELECT doc_id, count(*) AS len FROM doc_terms GROUP BY doc_id), c AS (SELECT count(*) AS n, avg(len) AS a FROM l),
+tf AS (SELECT term, doc_id, count(*) AS tf FROM doc_terms WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * len / a))), 4) AS score FROM tf JOIN df USING (term) JOIN l USING (doc_id) JOIN q USING (term), c GROUP BY ALL),
+p AS (SELECT item_id AS query_id, regexp_extract(lower(text), '[a-z]+ [a-z]+') AS phrase FROM benchmark),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN p USING (query_id) JOIN documents USING (doc_id) WHERE contains(lower(text), phrase)) SELECT query_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def text_phrases(c: Catalog) -> DataFrame:
+    """The same among documents that contain the first two neighbouring words of the question as a phrase."""
+    phrases = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract(F.lower("text"), "[a-z]+ [a-z]+", 0).alias("phrase")).where("phrase <> ''")
+    return R.bm25(c.doc_terms().select("doc_id", "term"), _questions(c), 5, phrases=phrases, texts=c.table("documents"))
+
+
 @query(f"WITH {CHUNKS} SELECT doc_id, sequence FROM chunks WHERE regexp_matches(lower(content), 'worth|\\$\\$|a\\.b')")
 def kw_regex_or(c: Catalog) -> DataFrame:
     """Escaped terms, any of them, case ignored: plain containment, no pattern is built."""

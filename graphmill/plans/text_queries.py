@@ -194,10 +194,17 @@ def query_expand(c: Catalog) -> DataFrame:
     return rows.select("item_id", F.array_join(X.expansion(F.col("w"), X.ngrams(F.col("w")), F.array(F.lit("extra"))), " ").alias("terms"))
 
 
-@query("SELECT doc_id, lower(lang) || ',' || source AS concepts FROM documents")
+@query("""WITH w AS (SELECT doc_id, source, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS w FROM documents),
+g AS (SELECT doc_id, source, list_filter(w, lambda x: length(x) = 6) AS six, list_filter(w, lambda x: length(x) > 8) AS long, list_filter(w, lambda x: length(x) = 4) AS short FROM w)
+SELECT doc_id, array_to_string(list_concat([source], list_transform(six[1:5], lambda x: upper(x)), six[6:8], long[1:3], short[1:2]), ',') AS concepts FROM g""")
 def concept_expand(c: Catalog) -> DataFrame:
-    words = F.array(F.lower("lang"), F.upper("lang"), F.col("source"), F.initcap("source"))
-    return c.table("documents").select("doc_id", F.array_join(X.distinct_ignoring_case(words), ",").alias("concepts"))
+    """A document's words of six letters stand in for synonyms (in capitals) and related concepts, long ones for narrower."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))
+    of = lambda test: F.filter("w", lambda x: test(F.length(x)))
+    rows = c.table("documents").select("doc_id", "source", words.alias("w"))
+    six = of(lambda n: n == 6)
+    terms = X.concept_expansion(F.col("source"), F.transform(six, lambda x: F.upper(x)), six, of(lambda n: n > 8), of(lambda n: n == 4))
+    return rows.select("doc_id", F.array_join(terms, ",").alias("concepts"))
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages")
@@ -211,12 +218,18 @@ def web_relevance(c: Catalog) -> DataFrame:
     return c.table("pages").select("page_id", X.web_relevance(i % 2 == 0, h.contains("the"), i % 3 == 0, h.contains("and"), (i % 100) / 100).alias("score"))
 
 
-@query("""WITH k AS (SELECT page_id, url, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE substr(html, 1, 80) END ORDER BY page_id) AS r FROM pages) SELECT page_id, url FROM k WHERE r = 1 ORDER BY page_id LIMIT 30""")
+@query("""WITH p AS (SELECT page_id, trim(coalesce(url, ''), ' ') AS url, trim(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), ' ') AS title, trim(coalesce(regexp_extract(html, '<p>([^<]*)', 1), ''), ' ') AS snippet FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE title || '|' || substr(snippet, 1, 80) END ORDER BY page_id) AS r FROM p)
+SELECT page_id, url, round(least(0.55 + CASE WHEN contains(url, '/en/') THEN 0.25 ELSE 0 END + CASE WHEN contains(lower(title), 'the') THEN 0.1 ELSE 0 END + CASE WHEN contains(snippet, 'and') THEN 0.05 ELSE 0 END, 0.95)::DOUBLE, 4) AS score FROM k WHERE r = 1 ORDER BY score DESC, page_id LIMIT 30""")
 def web_dedup(c: Catalog) -> DataFrame:
+    """The 30 best pages, one of each address, or of each title and first 80 characters where there is none."""
     from graphmill.operators.windows import first_by_key
 
-    key = F.when(F.col("url") != "", F.col("url")).otherwise(F.substring("html", 1, 80))
-    return first_by_key(c.table("pages").select("page_id", "url", key.alias("_k")), ["_k"], ["page_id"]).select("page_id", "url").orderBy("page_id").limit(30)
+    part = lambda pattern: F.trim(F.coalesce(F.regexp_extract("html", pattern, 1), F.lit("")))
+    rows = c.table("pages").select("page_id", F.trim(F.coalesce("url", F.lit(""))).alias("url"), part("<title>([^<]*)</title>").alias("title"), part("<p>([^<]*)").alias("snippet"))
+    found = first_by_key(rows.withColumn("_k", X.web_key(F.col("url"), F.col("title"), F.col("snippet"))), ["_k"], ["page_id"])
+    score = X.web_relevance(F.col("url").contains("/en/"), F.lower("title").contains("the"), F.lit(False), F.col("snippet").contains("and"), F.lit(0.0))
+    return found.select("page_id", "url", score.alias("score")).orderBy(F.desc("score"), "page_id").limit(30)
 
 
 @query("""SELECT p_partkey AS partkey, (CASE WHEN contains(p_type, p_brand) THEN 1000 + least(length(p_brand), 50) ELSE 0 END + CASE WHEN contains(p_type, 'BRASS') THEN 80 ELSE 0 END + CASE WHEN contains(p_type, 'LARGE') THEN 80 ELSE 0 END + CASE WHEN contains(p_type, p_name) AND length(p_name) < 80 THEN 20 ELSE 0 END)::INT AS score FROM part""")
@@ -239,6 +252,19 @@ def entity_quality(c: Catalog) -> DataFrame:
     return c.table("part").select(F.col("p_partkey").alias("partkey"), F.least(F.lit(1.0), part(F.length("p_name") > 5, 0.4) + part(F.col("p_size") > 10, 0.3) + part(F.col("p_retailprice") > 1000, 0.4)).alias("quality"))
 
 
+@query("""SELECT doc_id, round(CASE WHEN lang = 'en' THEN CASE WHEN contains(text, 'image') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.3 ELSE 0 END + CASE WHEN contains(text, 'new') THEN 0.2 ELSE 0 END + CASE WHEN length(text) >= 500 THEN 0.2 WHEN length(text) >= 200 THEN 0.1 ELSE 0 END
+WHEN lang = 'de' THEN CASE WHEN length(text) >= 50 THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0 END + CASE WHEN source = 'src0' THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9][m²㎡Pa%级]') THEN 0.2 ELSE 0 END
+ELSE CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0 END + CASE WHEN length(text) >= 30 THEN 0.3 ELSE 0 END + CASE WHEN contains(text, 'law') THEN 0.2 ELSE 0 END + CASE WHEN source = 'src0' THEN 0.2 ELSE 0 END + CASE WHEN contains(text, 'image') THEN 0.1 ELSE 0 END END::DOUBLE, 4) AS quality FROM documents""")
+def typed_quality(c: Catalog) -> DataFrame:
+    """English documents scored as cases, German ones as design methods, the others as plain entities."""
+    t = F.col("text")
+    figures, media, backed = t.rlike("[0-9]"), t.contains("image"), F.col("source") == "src0"
+    case = X.case_quality(media, figures, t.contains("new"), F.length(t))
+    method = X.method_quality(t, F.regexp_extract_all(t, F.lit("[0-9]"), F.lit(0)), backed)
+    plain = X.plain_quality(figures, t, t.contains("law"), backed, media)
+    return c.table("documents").select("doc_id", F.when(F.col("lang") == "en", case).when(F.col("lang") == "de", method).otherwise(plain).alias("quality"))
+
+
 @query("""SELECT l_suppkey AS doc, round(least(1, 0.3 * least(count(*) / 5, 1) + 0.4 * max(1 - l_discount) + 0.3 * avg(1 - l_discount) + 0.3 * least(count(DISTINCT l_partkey) / 3, 1))::DOUBLE, 4) AS retrieval, round((0.3 * least(count(DISTINCT l_partkey) / 10, 1) + 0.3 * least(count(*) / 15, 1) + 0.2 * least(count(DISTINCT l_returnflag) / 10, 1) + 0.2 * 0.5)::DOUBLE, 2) AS fusion FROM lineitem GROUP BY l_suppkey""")
 def quality_scores(c: Catalog) -> DataFrame:
     g = c.table("lineitem").groupBy(F.col("l_suppkey").alias("doc")).agg(F.count("*").alias("n"), F.max(1 - F.col("l_discount")).alias("top"), F.avg(1 - F.col("l_discount")).alias("mean"), F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_returnflag").alias("rels"))
@@ -295,6 +321,37 @@ def image_alignment(c: Catalog) -> DataFrame:
     return c.table("documents").select("doc_id", X.aligned_images(raw, F.lit(3)).alias("aligned"))
 
 
+_LINES = """l AS (SELECT l_orderkey AS k, l_suppkey AS s, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS i FROM lineitem)"""
+
+
+def _lines(c: Catalog) -> DataFrame:
+    """k and its lines (n, s) in order, an array."""
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    return c.table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+
+
+@query(f"""WITH {_LINES} SELECT k, 'Start' || chr(10) || chr(10) || '### Evidence' || chr(10) || string_agg('line ' || n || chr(10) || chr(10) || '(Figure ' || i || ': by ' || s || ')' || chr(10) || '[IMG:' || i || ']', chr(10) || chr(10) ORDER BY i)
+|| chr(10) || chr(10) || '(Figure ' || (count(*) + 1) || ': more)' || chr(10) || '[IMG:' || (count(*) + 1) || ']' || chr(10) || chr(10) || '### Sources' || chr(10) || '- [1] x' AS injected,
+'see [IMG:1]' || coalesce(chr(10) || chr(10) || string_agg('(Figure ' || i || ': by ' || s || ')' || chr(10) || '[IMG:' || i || ']', chr(10) || chr(10) ORDER BY i) FILTER (WHERE i > 1), '') AS appended FROM l GROUP BY k""")
+def image_placement(c: Catalog) -> DataFrame:
+    """An order's suppliers as images: after the paragraphs of a section, and at the end where a text has them not."""
+    captions = F.transform("lines", lambda x: F.concat(F.lit("by "), x["s"].cast("string")))
+    paragraphs = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("line "), x["n"].cast("string"))), "\n\n")
+    text = F.concat(F.lit("Start\n\n### Evidence\n"), paragraphs, F.lit("\n\n### Sources\n- [1] x"))
+    rows = _lines(c).select("k", text.alias("text"), captions.alias("captions"))
+    return rows.select("k", X.injected_images(F.col("text"), F.array_append("captions", F.lit("more")), "Evidence", "Sources").alias("injected"), X.appended_images(F.lit("see [IMG:1]"), F.col("captions")).alias("appended"))
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT k, s, min(i) AS i FROM l GROUP BY k, s), g AS (SELECT k, string_agg('[' || s || ']', '' ORDER BY i) AS note FROM f GROUP BY k),
+t AS (SELECT k, string_agg('| ' || n || ' | x |', chr(10) ORDER BY i) AS body FROM l GROUP BY k)
+SELECT k, 'as [7] says' || chr(10) || '| line | part [8] |' || chr(10) || '|---|:-:|' || chr(10) || body || chr(10) || chr(10) || 'Sources of the table: ' || note || chr(10) || chr(10) || 'end [9]' AS moved FROM t JOIN g USING (k)""")
+def table_citations(c: Catalog) -> DataFrame:
+    """Suppliers cited in the rows of a table of an order's lines move below it."""
+    body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("| "), x["n"].cast("string"), F.lit(" ["), x["s"].cast("string"), F.lit("] | x |"))), "\n")
+    text = F.concat(F.lit("as [7] says\n| line | part [8] |\n|---|:-:|\n"), body, F.lit("\nend [9]"))
+    return _lines(c).select("k", X.moved_table_citations(text).alias("moved"))
+
+
 @query("SELECT page_id, 'docs/' || page_id || '.html' AS path FROM pages")
 def relative_paths(c: Catalog) -> DataFrame:
     raw = F.concat(F.lit("C:\\data\\docs\\"), F.col("page_id").cast("string"), F.lit(".html"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphmill.functions.text import html_text
+from graphmill.functions.text import canonical, html_text, normalize_numbers
 from graphmill.functions.vectors import fitted, normalized
 
 SUPPORTED = ("txt", "md", "html", "json", "csv", "pdf")
@@ -65,6 +65,21 @@ def read_ocr(spark: SparkSession, path: str) -> DataFrame:
     return ocr_details(raw.select("doc_id", F.from_json("value", T.ArrayType(OCR_ITEM)).alias("items")))
 
 
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """type, key, name from JSON files {type: {alias: name}}, both sides normalised; of one key the least name."""
+    maps = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
+    rows = maps.select(F.explode("m").alias("type", "names")).select("type", F.explode("names").alias("key", "name"))
+    plain = lambda c: F.lower(normalize_numbers(F.col(c)))
+    return rows.select("type", plain("key").alias("key"), plain("name").alias("name")).groupBy("type", "key").agg(F.min("name").alias("name"))
+
+
+def canonicalized(entities: DataFrame, aliases: DataFrame, name: str = "name", kind: str = "type") -> DataFrame:
+    """Entities with a column `canonical`: the alias table's name for the type and the normalised name, else that name."""
+    own = entities.withColumn("_key", canonical(F.col(name)))
+    table = aliases.select(F.col("type").alias(kind), F.col("key").alias("_key"), F.col("name").alias("_name"))
+    return own.join(table, [kind, "_key"], "left").withColumn("canonical", F.coalesce("_name", "_key")).drop("_name", "_key")
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", multiLine=True, escape='"')
 

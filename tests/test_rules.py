@@ -134,3 +134,47 @@ def test_citations(spark):
     runs = {"a [3] [1][2] b [7]": ("a [1][2][3]b [7]", "a [1-3]b [7]"), "[5][5]": ("[5]", "[5]"), "[1][3][4]": ("[1][3][4]", "[1][3][4]"), "none": ("none", "none")}
     rows = spark.createDataFrame([(t,) for t in runs], "t string").select("t", X.sorted_citation_runs(F.col("t")).alias("s"), X.collapsed_citation_runs(F.col("t")).alias("c")).collect()
     assert {r.t: (r.s, r.c) for r in rows} == runs
+
+
+def test_numerals_before_suffixes(spark):
+    rows = [("Ⅲ级 手术 室",), ("二类", ), ("III 级",), ("一二三",), ("XIV level",), (None,), ("第三 区",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string").select(X.normalize_numbers(F.col("s"))).collect()]
+    assert got == ["3级手术室", "2类", "3级", "一二三", "XIVlevel", None, "第3区"]
+
+
+def test_aliases_by_type(spark, tmp_path):
+    from graphmill.sources.files import canonicalized, read_aliases
+
+    (tmp_path / "alias.json").write_text('{"Room": {"OR  II level": "Theatre", "ＯＲ": "theatre"}, "Zone": {"or": "sector"}}', encoding="utf-8")
+    table = read_aliases(spark, str(tmp_path / "alias.json"))
+    assert {tuple(r) for r in table.collect()} == {("Room", "or2level", "theatre"), ("Room", "or", "theatre"), ("Zone", "or", "sector")}
+    rows = spark.createDataFrame([(1, "Or", "Room"), (2, "OR", "Zone"), (3, "or", "Else"), (4, None, "Room")], "id int, name string, type string")
+    got = {r["id"]: r["canonical"] for r in canonicalized(rows, table).collect()}
+    assert got == {1: "theatre", 2: "sector", 3: "or", 4: ""}
+
+
+def test_images_where_a_text_has_no_place_for_them(spark):
+    rows = [
+        ("one", ["a"], "one\n\n(Figure 1: a)\n[IMG:1]"),
+        ("one\n\ntwo\n\nthree", ["a", "b", "c"], "one\n\ntwo\n\n(Figure 1: a)\n[IMG:1]\n\nthree\n\n(Figure 2: b)\n[IMG:2]\n\n(Figure 3: c)\n[IMG:3]"),
+        ("has [IMG:1]", ["a", "b"], "has [IMG:1]"),
+        ("none", [], "none"),
+        ("x\n### E\np\n### F\nq", ["a"], "x\n### E\np\n\n(Figure 1: a)\n[IMG:1]\n\n### F\nq"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "t string, c array<string>")
+    assert [r[0] for r in df.select(X.injected_images(F.col("t"), F.col("c"), "E", "S")).collect()] == [r[2] for r in rows]
+
+
+def test_tables_without_citations_stay(spark):
+    rows = ["a | b\nno rule | here [1]\n", "| a |  b |\n|---|---|\n| x |  y |", "[1]\n|a|b|\n|-|-|\n|x [2]|y [2][3]|\n|z|w|\nafter [4]"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(X.moved_table_citations(F.col("t"), "by ")).collect()]
+    assert got == [*rows[:2], "[1]\n|a|b|\n|-|-|\n|x |y |\n|z|w|\n\nby [2][3]\n\nafter [4]"]
+
+
+def test_hits_have_all_phrases(spark):
+    from graphmill.operators.retrieval import with_phrases
+
+    hits = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (1, 3)], "query_id int, doc_id int")
+    phrases = spark.createDataFrame([(1, "Big dog"), (1, "a cat")], "query_id int, phrase string")
+    texts = spark.createDataFrame([(1, "A cat and a BIG dog"), (2, "a big brown dog, a cat"), (3, None)], "doc_id int, text string")
+    assert {tuple(r) for r in with_phrases(hits, phrases, texts).collect()} == {(1, 1), (2, 1), (2, 2)}
