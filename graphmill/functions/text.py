@@ -430,6 +430,32 @@ def relative_path(path: Column, root: str) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^" + "\\Q" + root.rstrip("/") + "\\E" + "/?", "")
 
 
+def page_location(page: Column, chapter: Column, title: Column, section: Column) -> Column:
+    """Where a passage stands, as `12|Chapter 3 Wards|3.1 Rooms`; what is null or empty is left out, a chapter without title too."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.concat_ws("|", page.cast("string"), F.nullif(F.concat_ws(" ", F.when(filled(title).isNotNull(), filled(chapter)), filled(title)), F.lit("")), filled(section))
+
+
+def complete_citation(fields: dict[str, Column], root: str, unknown: str = "unknown source", api: str = "/api/v1") -> Column:
+    """A citation struct with its required fields source, location and snippet never null, other fields as given.
+
+    A missing source is `unknown`; paths are made relative to the root; pdfUrl stands in for a missing pdf_url, which
+    loses the prefix of the service.
+    """
+    text = lambda name, default: F.coalesce(fields.get(name, F.lit(None).cast("string")), F.lit(default)).alias(name)
+    out = {name: text(name, "") for name in ("location", "snippet")}
+    out["source"] = F.coalesce(F.nullif(fields["source"], F.lit("")), F.lit(unknown)).alias("source")
+    for name, value in fields.items():
+        if name in ("file_path", "document_path"):
+            out[name] = relative_path(value, root).alias(name)
+        elif name not in out and name not in ("pdf_url", "pdfUrl"):
+            out[name] = value.alias(name)
+    links = [F.nullif(fields[name], F.lit("")) for name in ("pdf_url", "pdfUrl") if name in fields]
+    if links:
+        out["pdf_url"] = F.regexp_replace(F.coalesce(*links), f"^\\Q{api}\\E(?=/)", "").alias("pdf_url")
+    return F.struct(*out.values())
+
+
 def json_in(text: Column) -> Column:
     """The outermost JSON object in a messy text, or null."""
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.text import is_reasonable_match
 from graphmill.operators.components import connected_components
+from graphmill.operators.joins import containing
 from graphmill.workspace import checkpointed
 
 BROADCAST = 100_000
@@ -160,3 +161,49 @@ def bridges(components: DataFrame, scores: DataFrame, candidates: int = 8) -> Da
 
 def components_of(edges: DataFrame) -> DataFrame:
     return connected_components(edges)
+
+
+def space_edges(points: DataFrame, spaces: DataFrame) -> DataFrame:
+    """answer, src, rel, dst, weight: which knowledge points (answer, id, text, applies) guide which spaces (answer, id, name).
+
+    A point that names spaces guides those with an equal, longer or shorter name (0.9).  One that names none guides those
+    whose name, or a word of two letters and more of it, is in its text (0.7).  Case is ignored; nulls match nothing.
+    """
+    own = points.select("answer", F.col("id").alias("text_id"), F.lower("text").alias("text"), F.coalesce("applies", F.array().cast("array<string>")).alias("applies"))
+    named = spaces.select("answer", F.col("id").alias("word_id"), F.lower("name").alias("word"))
+    said = own.where(F.size("applies") > 0).select("answer", "text_id", F.explode("applies").alias("said")).select("answer", "text_id", F.lower("said").alias("text"))
+    longer = containing(said, named, ["answer"])
+    turned = containing(named.select("answer", F.col("word_id").alias("text_id"), F.col("word").alias("text")), said.select("answer", F.col("text_id").alias("word_id"), F.col("text").alias("word")), ["answer"])
+    explicit = longer.unionByName(turned.select("answer", F.col("word_id").alias("text_id"), F.col("text_id").alias("word_id"))).distinct()
+    words = F.filter(F.split("word", r"\s+"), lambda w: F.length(w) > 1)
+    terms = named.select("answer", "word_id", F.explode(F.array_distinct(F.concat(F.array("word"), words))).alias("word"))
+    implied = containing(own.where(F.size("applies") == 0).select("answer", "text_id", "text"), terms, ["answer"])
+    edges = lambda found, weight: found.select("answer", F.col("text_id").alias("src"), F.lit("GUIDES").alias("rel"), F.col("word_id").alias("dst"), F.lit(weight).alias("weight"))
+    return edges(explicit, 0.9).unionByName(edges(implied, 0.7))
+
+
+def inferred_methods(questions: DataFrame, items: DataFrame, methods: list[tuple[str, str]], most: int = 3) -> DataFrame:
+    """answer, method, place: the first methods (keyword, name) of an answer, those of its question before its items'.
+
+    questions: answer, text; items: answer, id, name.  Within both, and over items by id, the list's order holds.
+    """
+    hits = lambda text: F.filter(F.array(*(F.when(F.lower(text).contains(k.lower()), F.struct(F.lit(i).alias("i"), F.lit(m).alias("m"))) for i, (k, m) in enumerate(methods))), lambda h: h.isNotNull())
+    asked = questions.select("answer", F.lit(0).alias("tier"), F.lit(None).cast(items.schema["id"].dataType).alias("id"), F.explode(hits(F.col("text"))).alias("h"))
+    found = asked.unionByName(items.select("answer", F.lit(1).alias("tier"), "id", F.explode(hits(F.col("name"))).alias("h")))
+    first = found.groupBy("answer", F.col("h.m").alias("method")).agg(F.min(F.struct("tier", "id", "h.i")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("answer").orderBy("at", "method"))
+    return first.withColumn("place", place).where(F.col("place") <= most).select("answer", "method", "place")
+
+
+def method_edges(methods: DataFrame, points: DataFrame, spaces: DataFrame) -> DataFrame:
+    """answer, src, rel, dst, weight of methods (answer, method): GUIDES to the answer's spaces (answer, id), and
+    MENTIONED_IN to its points (answer, id, text) whose text contains a word of the method's name, case ignored.
+
+    An answer has a few methods, so its points and spaces meet a small array of them.
+    """
+    own = methods.groupBy("answer").agg(F.collect_set("method").alias("_m"))
+    guided = spaces.select("answer", "id").distinct().join(own, "answer").select("answer", F.explode("_m").alias("src"), F.lit("GUIDES").alias("rel"), F.col("id").alias("dst"), F.lit(0.8).alias("weight"))
+    known = points.select("answer", "id", F.lower("text").alias("_text")).join(own, "answer")
+    said = F.filter("_m", lambda m: F.exists(F.split(F.lower(m), r"\s+"), lambda w: F.col("_text").contains(w)))
+    told = known.select("answer", F.explode(said).alias("src"), F.lit("MENTIONED_IN").alias("rel"), F.col("id").alias("dst"), F.lit(0.9).alias("weight"))
+    return guided.unionByName(told.distinct())

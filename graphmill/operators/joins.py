@@ -79,3 +79,17 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def last_before(rows: DataFrame, keys: list[str], order: list[str], value: Column) -> Column:
     """As-of link within one stream of rows: the value of the last row up to here that has one."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def containing(texts: DataFrame, words: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
+    """keys, text_id, word_id: texts (keys, text_id, text) and the words (keys, word_id, word) of the same keys in them.
+
+    An equi join finds candidates: a word's first `most` characters, or all of a shorter one, are among a text's runs of
+    that length.  The runs travel without the text, which only candidates meet again.  Words are not empty; a null text,
+    word, key or id gives no row.
+    """
+    parts = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, most + 1)]
+    places = texts.where("text IS NOT NULL").select(*keys, "text_id", F.explode(F.array_distinct(F.concat(*parts))).alias("_run"))
+    starts = words.where("word <> ''").withColumn("_run", F.substring("word", 1, most)).distinct()
+    near = places.join(starts, [*keys, "_run"]).select(*keys, "text_id", "word_id", "word")
+    return near.join(texts, [*keys, "text_id"]).where(F.col("text").contains(F.col("word"))).select(*keys, "text_id", "word_id").distinct()

@@ -172,3 +172,39 @@ def hierarchy_enhancement(c: Catalog) -> DataFrame:
     down = edges.where("rel = 'CONTAINS'")
     pairs = down.select("src", F.col("dst").alias("mid")).join(down.select(F.col("src").alias("mid"), "dst"), "mid").where("dst LIKE 'supplier:%'").select("src", F.lit("SERVED_BY").alias("rel"), "dst")
     return J.without(pairs, edges, ["src", "dst"])
+
+
+_ANSWER = """pt AS (SELECT doc_id AS id, lang AS answer, lower(text) AS text, CASE WHEN doc_id % 4 = 0 THEN [substr(b.w, 1, 6), 'no such space'] END AS applies FROM documents LEFT JOIN (SELECT item_id, regexp_extract(lower(text), '[a-z]{8,}') AS w FROM benchmark) b ON b.item_id = doc_id),
+sp AS (SELECT DISTINCT 'en' AS answer, w AS id FROM (SELECT regexp_extract(lower(text), '[a-z]{8,}') AS w FROM benchmark) WHERE w <> '')"""
+
+
+def _answer(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    """Points and spaces of one answer a language: documents, and the first long words of benchmark texts (English)."""
+    word = c.table("benchmark").select("item_id", F.regexp_extract(F.lower("text"), "[a-z]{8,}", 0).alias("w"))
+    spaces = word.where("w <> ''").select(F.lit("en").alias("answer"), F.col("w").alias("id"), F.upper("w").alias("name")).distinct()
+    docs = c.table("documents").join(word, F.col("doc_id") == F.col("item_id"), "left")
+    applies = F.when(F.col("doc_id") % 4 == 0, F.array(F.substring("w", 1, 6), F.lit("no such space")))
+    return docs.select(F.col("lang").alias("answer"), F.col("doc_id").alias("id"), "text", applies.alias("applies")), spaces
+
+
+@query(f"""WITH {_ANSWER} SELECT pt.answer, pt.id AS src, 'GUIDES' AS rel, sp.id AS dst, CASE WHEN applies IS NULL THEN 0.7 ELSE 0.9 END::DOUBLE AS weight FROM pt JOIN sp USING (answer)
+WHERE CASE WHEN applies IS NULL THEN contains(text, sp.id) ELSE len(list_filter(applies, lambda a: a <> '' AND (contains(a, sp.id) OR contains(sp.id, a)))) > 0 END""")
+def space_edges(c: Catalog) -> DataFrame:
+    """Documents, some with a list of the spaces that they are meant for, and the spaces that they guide."""
+    points, spaces = _answer(c)
+    return G.space_edges(points, spaces).withColumn("weight", F.col("weight").cast("double"))
+
+
+@query(f"""WITH {_ANSWER}, k AS (SELECT * FROM (VALUES (0, 'zone', 'three zones'), (1, 'the', 'the plain way'), (2, 'or', 'split flow'), (3, 'an', 'single units')) v(i, k, m)),
+h AS (SELECT answer, m, min((0, NULL::BIGINT, i)) AS pos FROM (SELECT DISTINCT answer FROM pt) JOIN k ON contains(answer, k) GROUP BY ALL UNION ALL SELECT answer, m, min((1, id, i)) FROM pt JOIN k ON contains(text, k) GROUP BY ALL),
+f AS (SELECT answer, m, min(pos) AS pos FROM h WHERE answer IS NOT NULL GROUP BY ALL), r AS (SELECT answer, m, row_number() OVER (PARTITION BY answer ORDER BY pos, m) AS place FROM f), t AS (SELECT answer, m FROM r WHERE place <= 3)
+SELECT answer, m AS src, 'GUIDES' AS rel, sp.id AS dst, 0.8::DOUBLE AS weight FROM t JOIN sp USING (answer) UNION ALL
+SELECT answer, m, 'MENTIONED_IN', pt.id::VARCHAR, 0.9::DOUBLE FROM t JOIN pt USING (answer) WHERE len(list_filter(string_split(m, ' '), lambda w: contains(text, w))) > 0""")
+def method_edges(c: Catalog) -> DataFrame:
+    """The methods that documents of a language suggest, with the spaces that they guide and the documents that tell of them."""
+    points, spaces = _answer(c)
+    rules = [("zone", "three zones"), ("the", "the plain way"), ("or", "split flow"), ("an", "single units")]
+    asked = points.select("answer", F.col("answer").alias("text")).distinct()
+    found = G.inferred_methods(asked, points.select("answer", "id", F.col("text").alias("name")), rules)
+    edges = G.method_edges(found, points.withColumn("id", F.col("id").cast("string")), spaces)
+    return edges.withColumn("weight", F.col("weight").cast("double"))

@@ -358,6 +358,20 @@ def relative_paths(c: Catalog) -> DataFrame:
     return c.table("pages").select("page_id", X.relative_path(raw, "C:/data").alias("path"))
 
 
+@query(r"""SELECT page_id, 'unknown source' AS source, CASE WHEN page_id % 2 = 0 THEN page_id || '|Chapter 2 Wards|2.1' ELSE page_id || '|2.1' END AS location, '' AS snippet, 'docs/' || page_id || '.pdf' AS file_path, CASE WHEN page_id % 3 = 0 THEN '/files/' || page_id ELSE url END AS pdf_url FROM pages""")
+def complete_citations(c: Catalog) -> DataFrame:
+    """Citations of pages with defaults for what is missing, relative paths and the older name of a field."""
+    i, even = F.col("page_id").cast("string"), F.col("page_id") % 2 == 0
+    fields = {
+        "source": F.lit(""),
+        "location": X.page_location(F.col("page_id"), F.lit("Chapter 2"), F.when(even, "Wards"), F.lit("2.1")),
+        "file_path": F.concat(F.lit("C:\\data\\docs\\"), i, F.lit(".pdf")),
+        "pdf_url": F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/api/v1/files/"), i)),
+        "pdfUrl": F.col("url"),
+    }
+    return c.table("pages").select("page_id", X.complete_citation(fields, "C:/data").alias("x")).select("page_id", "x.source", "x.location", "x.snippet", "x.file_path", "x.pdf_url")
+
+
 @query("SELECT event_id, props AS object FROM events WHERE props IS NOT NULL AND props LIKE '{%}'")
 def json_extract(c: Catalog) -> DataFrame:
     messy = F.concat(F.lit("answer: ```json "), "props", F.lit(" ``` done"))

@@ -178,3 +178,42 @@ def test_hits_have_all_phrases(spark):
     phrases = spark.createDataFrame([(1, "Big dog"), (1, "a cat")], "query_id int, phrase string")
     texts = spark.createDataFrame([(1, "A cat and a BIG dog"), (2, "a big brown dog, a cat"), (3, None)], "doc_id int, text string")
     assert {tuple(r) for r in with_phrases(hits, phrases, texts).collect()} == {(1, 1), (2, 1), (2, 2)}
+
+
+def test_containing_is_all_pairs_that_contain(spark):
+    from graphmill.operators.joins import containing
+
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choice("ab室é \n") for _ in range(n))
+    texts = [(rng.choice("xy"), i, made(rng.randrange(0, 40))) for i in range(60)] + [("x", 99, None), (None, 98, "ab")]
+    words = [(rng.choice("xy"), i, made(rng.randrange(0, 8))) for i in range(60)] + [("x", 99, None), (None, 98, "ab")]
+    got = containing(spark.createDataFrame(texts, "k string, text_id int, text string"), spark.createDataFrame(words, "k string, word_id int, word string"), ["k"])
+    want = {(k, i, j) for k, i, t in texts for q, j, w in words if k is not None and k == q and t is not None and w and w in t}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 200
+
+
+def test_spaces_methods_and_points(spark):
+    from graphmill.operators import graph as G
+
+    points = spark.createDataFrame([("a", "p1", "An Operating room plan", None), ("a", "p2", "x", ["theatre"]), ("a", "p3", None, []), ("b", "p4", "ward", [])], "answer string, id string, text string, applies array<string>")
+    spaces = spark.createDataFrame([("a", "s1", "operating Room"), ("a", "s2", "Theatre 2"), ("a", "s3", "a lobby"), ("b", "s4", "WARD")], "answer string, id string, name string")
+    got = {(r["src"], r["dst"], float(r["weight"])) for r in G.space_edges(points, spaces).collect()}
+    assert got == {("p1", "s1", 0.7), ("p2", "s2", 0.9), ("p4", "s4", 0.7)}
+    rules = [("k1", "one way"), ("k2", "two"), ("k3", "three"), ("k4", "four")]
+    questions = spark.createDataFrame([("a", "K3 please"), ("b", None)], "answer string, text string")
+    items = spark.createDataFrame([("a", 2, "k1 k3"), ("a", 1, "k4"), ("a", 3, "k2"), ("b", 1, None)], "answer string, id int, name string")
+    found = G.inferred_methods(questions, items, rules)
+    assert {tuple(r) for r in found.collect()} == {("a", "three", 1), ("a", "four", 2), ("a", "one way", 3)}
+    known = spark.createDataFrame([("a", "p1", "a long WAY"), ("a", "p2", None), ("b", "p3", "three")], "answer string, id string, text string")
+    edges = {tuple(r) for r in G.method_edges(found, known, spaces.where("id = 's1'")).collect()}
+    assert {(e[1], e[2], e[3]) for e in edges} == {("three", "GUIDES", "s1"), ("four", "GUIDES", "s1"), ("one way", "GUIDES", "s1"), ("one way", "MENTIONED_IN", "p1")}
+
+
+def test_citations_have_their_fields(spark):
+    df = spark.createDataFrame([("s", None, "/api/v1/f", "old"), (None, "x", "", "/api/v1x"), ("", "y", None, None)], "source string, snippet string, pdf_url string, pdfUrl string")
+    fields = {n: F.col(n) for n in df.columns} | {"chunk_id": F.lit(7)}
+    rows = [r[0].asDict() for r in df.select(X.complete_citation(fields, "/r")).collect()]
+    assert [(r["source"], r["location"], r["snippet"], r["pdf_url"], r["chunk_id"]) for r in rows] == [("s", "", "", "/f", 7), ("unknown source", "", "x", "/api/v1x", 7), ("unknown source", "", "y", None, 7)]
+    where = [r[0] for r in spark.createDataFrame([(1, "c", "t", "s"), (None, "c", None, "s"), (2, "", "t", " ")], "p int, c string, t string, s string").select(X.page_location(*map(F.col, "pcts"))).collect()]
+    assert where == ["1|c t|s", "s", "2|t"]
