@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bagminhash, chat, decontaminate, language_id, packing, quality, separator_scan, sharding, substring_dedup, vptree
+from graphmill.llm import bagminhash, chat, collocation, decontaminate, language_id, packing, quality, separator_scan, sharding, substring_dedup, vptree
 from graphmill.partitioning import spread
 from graphmill.workspace import folder
 
@@ -83,6 +83,10 @@ def op10_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.pack(_documents(spark, sf_dir), VOCABULARY))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_language_id,
@@ -95,12 +99,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bradley_terry_quality,
         op9_bagminhash,
         op10_dynamic_packing,
+        op13_collocations,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_winnowing_decontamination": OP7_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_winnowing_decontamination": OP7_SQL, "op13_collocations": OP13_SQL}
 
 
 OP4_SQL = r"""
@@ -142,3 +147,19 @@ SELECT d.doc_id, len(d.words) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesc
   coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.words) AS contaminated
 FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
 """
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+t AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, array_to_string(list_slice(words, i + 1, i + k), ' ') AS g FROM (SELECT lang, words, k, unnest(range(len(words) - k + 1)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3)) s(k) WHERE len(words) >= k)),
+f AS (SELECT lang, g, string_split(g, ' ') AS words, count(*) AS a FROM g GROUP BY lang, g HAVING count(*) >= 10),
+cut AS (SELECT lang, g, a, k, array_to_string(list_slice(words, 1, k), ' ') AS x, array_to_string(list_slice(words, k + 1, len(words)), ' ') AS y FROM f CROSS JOIN (VALUES (1), (2)) s(k) WHERE len(words) > k),
+c AS (SELECT cut.lang, cut.g, cut.a, k, x.a AS l, y.a AS r, ((1000000::HUGEINT * cut.a * cut.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.x JOIN f y ON y.lang = cut.lang AND y.g = cut.y),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT lang, s AS g, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS s FROM f WHERE len(words) = 3) GROUP BY lang, s),
+kept AS (SELECT b.*, b.g AS phrase FROM b LEFT JOIN o USING (lang, g) WHERE longer IS NULL OR 100 * longer < 50 * b.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r.r AS r, n, score FROM r JOIN t USING (lang) WHERE rank <= 2000
+"""
