@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bagminhash, chat, collocation, decontaminate, language_id, packing, quality, separator_scan, sharding, substring_dedup, vptree
+from graphmill.llm import bagminhash, chat, collocation, decontaminate, language_id, packing, prefix_trie, quality, separator_scan, sharding, substring_dedup, vptree
 from graphmill.partitioning import spread
-from graphmill.workspace import folder
+from graphmill.workspace import checkpointed, folder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_OF_DOCUMENT = 50256
@@ -83,6 +83,11 @@ def op10_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.pack(_documents(spark, sf_dir), VOCABULARY))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(checkpointed(prefix_trie.rebuilt(checkpointed(prefix_trie.turns(rows)))))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id"))
 
@@ -99,13 +104,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bradley_terry_quality,
         op9_bagminhash,
         op10_dynamic_packing,
+        op12_prefix_trie,
         op13_collocations,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_winnowing_decontamination": OP7_SQL, "op13_collocations": OP13_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_winnowing_decontamination": OP7_SQL, "op12_prefix_trie": OP12_SQL, "op13_collocations": OP13_SQL}
 
 
 OP4_SQL = r"""
@@ -148,6 +154,23 @@ SELECT d.doc_id, len(d.words) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
 """
 
+OP12_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, turn, role, octet_length(encode(text)) || '-' || sha256(octet_length(encode(role)) || ':' || role || ':' || text) AS id FROM r),
+o AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, role, split_part(id, '-', 2)) AS own FROM i GROUP BY conv_id),
+c AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h FROM o),
+b AS (SELECT c.conv_id, coalesce(list_slice(o.own, 1, h), []) || coalesce(list_slice(c.own, h + 1, len(c.own)), []) AS path FROM c LEFT JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5),
+m AS (SELECT conv_id, len(path) AS turns, d, list_slice(path, 1, d) AS node FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM b)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(turns) = d AS leaf,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = d), '') AS ends,
+  CASE d WHEN 0 THEN 0 ELSE (count(*) - 1) * split_part(node[-1], '-', 1)::BIGINT END AS saved FROM m GROUP BY node, d),
+u AS (SELECT list_slice(node, 1, k) AS node, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (d = k + 1) AS n_children
+  FROM (SELECT *, unnest(range(d + 1)) AS k FROM n) GROUP BY list_slice(node, 1, k))
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN u USING (node) LEFT JOIN n p ON n.d > 0 AND p.node = list_slice(n.node, 1, n.d - 1)
+"""
+
 OP13_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
