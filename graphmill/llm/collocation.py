@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.textarrays import blocks, flat, mix2, spans, tidy, word_hashes
+from graphmill.llm.textarrays import blocks, flat, mix2, numbered, spans, tidy, word_hashes
 from graphmill.workspace import checkpointed
 
 #: Entries of a container before it bursts; entries of a task's tries before subtrees leave.
@@ -131,16 +131,14 @@ class _Counter:
         start, end, first = spans(low, offsets, _SEPARATOR)
         if not len(start):
             return
-        sizes = np.zeros(len(start) + 1, np.int64)
-        np.cumsum(end - start, out=sizes[1:])
-        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(sizes), pa.py_buffer(low[~_SEPARATOR[low]])]).dictionary_encode()
-        if len(self.ids) + len(words.dictionary) > VOCABULARY or self.bytes > VOCABULARY_BYTES:
+        indices, words = numbered(low, start, end, _SEPARATOR)
+        if len(self.ids) + len(words) > VOCABULARY or self.bytes > VOCABULARY_BYTES:
             yield from self.rest()
-        new = words.dictionary.to_pylist()
+        new = words.to_pylist()
         known = len(self.ids)
         ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in new], np.int64)
         self.bytes += sum(len(w) for w, i in zip(new, ids.tolist()) if i > known)
-        ids = ids[words.indices.to_numpy()]
+        ids = ids[indices]
 
         before = np.zeros(len(low) + 1, np.int32)
         np.cumsum(_PIECE[low], out=before[1:])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bagminhash, chat, collocation, decontaminate, language_id, packing, prefix_trie, quality, separator_scan, sharding, substring_dedup, vptree
+from graphmill.llm import bagminhash, chat, collocation, decontaminate, language_id, packing, prefix_trie, quality, separator_scan, sharding, substring_dedup, vptree, weak_rules
 from graphmill.partitioning import spread
 from graphmill.workspace import checkpointed, folder
 
@@ -83,6 +83,11 @@ def op10_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.pack(_documents(spark, sf_dir), VOCABULARY))
 
 
+def op11_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = weak_rules.judged(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return prefix_trie.trie(checkpointed(prefix_trie.rebuilt(checkpointed(prefix_trie.turns(rows)))))
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bradley_terry_quality,
         op9_bagminhash,
         op10_dynamic_packing,
+        op11_weak_supervision,
         op12_prefix_trie,
         op13_collocations,
     ]

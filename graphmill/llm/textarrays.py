@@ -131,6 +131,14 @@ def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, seed: in
     return out
 
 
+def numbered(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word that spans() found, equal for equal words alone, and the words by number."""
+    at = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=at[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(buffer[~separator[buffer]])]).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary
+
+
 def window_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """64-bit hash of every k consecutive word hashes, rows disregarded: len(words) - k + 1 of them."""
     if len(words) < k:
