@@ -88,6 +88,12 @@ def probes(n_lists: Column, share: float = 0.05, low: int = 8, high: int = 128)
     return F.greatest(F.lit(low), F.least(F.lit(high), F.round(n_lists * share).cast("int")))
 
 
+def probes_for(k: Column, filtered: bool) -> Column:
+    """Lists to probe for k hits: twice as many, within 30 and 64 under a filter, which thins out lists, else 10 and 32."""
+    low, high = (30, 64) if filtered else (10, 32)
+    return F.greatest(F.lit(low), F.least(F.lit(high), 2 * F.greatest(F.lit(1), k))).cast("int")
+
+
 def clustered(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """Vectors with the id of their nearest centroid: the column that an inverted-file search filters on.
 
