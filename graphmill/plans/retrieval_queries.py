@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphmill.catalog import Catalog
 from graphmill.functions import text as X
 from graphmill.functions import vectors as V
-from graphmill.operators import ivf
+from graphmill.operators import ivf, postings
 from graphmill.operators import retrieval as R
 from graphmill.operators.joins import overlapping
 from graphmill.operators.sets import ordered_union
@@ -141,6 +141,38 @@ def text_phrases(c: Catalog) -> DataFrame:
     return R.bm25(c.doc_terms().select("doc_id", "term"), _questions(c), 5, phrases=phrases, texts=c.table("documents"))
 
 
+def _bm25_sql(docs: str) -> str:
+    """BM25 of the questions over the documents that a condition keeps."""
+    return f"""WITH {DOC_TERMS}, {_QUESTION}, kept AS (SELECT doc_id FROM documents d WHERE {docs}), dt AS (SELECT * FROM doc_terms JOIN kept USING (doc_id)),
+l AS (SELECT doc_id, count(*) AS len FROM dt GROUP BY doc_id), c AS (SELECT (SELECT count(*) FROM kept) AS n, (SELECT sum(len) FROM l) / (SELECT count(*) FROM kept) AS a),
+tf AS (SELECT term, doc_id, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * len / a))), 4) AS score FROM tf JOIN df USING (term) JOIN l USING (doc_id) JOIN q USING (term), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 5"""
+
+
+def _indexed(c: Catalog) -> postings.Index:
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
+    index = postings.create(c.spark, folder(c.spark, "postings"))
+    postings.add(index, c.table("documents").select("doc_id", words.alias("terms")))
+    return index
+
+
+@query(_bm25_sql("true"))
+def text_index_score(c: Catalog) -> DataFrame:
+    """BM25 off stored postings: only blocks that can reach the fifth best score are read."""
+    return postings.search(_indexed(c), _questions(c), 5)
+
+
+@query(_bm25_sql("NOT EXISTS (SELECT 1 FROM documents o WHERE o.text = d.text AND o.doc_id < d.doc_id)"))
+def text_index_without_copies(c: Catalog) -> DataFrame:
+    """The same after later copies of a text have been removed from the index, which is not rebuilt."""
+    docs = c.table("documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
+    first = docs.groupBy("key").agg(F.min("doc_id").alias("first"))
+    index = _indexed(c)
+    postings.remove(index, docs.where("key IS NOT NULL").join(first, "key").where("doc_id > first").select("doc_id"))
+    return postings.search(index, _questions(c), 5)
+
+
 @query(f"WITH {CHUNKS} SELECT doc_id, sequence FROM chunks WHERE regexp_matches(lower(content), 'worth|\\$\\$|a\\.b')")
 def kw_regex_or(c: Catalog) -> DataFrame:
     """Escaped terms, any of them, case ignored: plain containment, no pattern is built."""
