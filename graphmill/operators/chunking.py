@@ -30,10 +30,10 @@ def simple_chunks(docs: DataFrame, most: int = 1200, overlap: int = 100, separat
 
     def run(batches):
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                cuts = simple_cuts(text.as_py() or "", most, overlap, separator)
-                if cuts:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(cuts), doc_id.type), pa.array(range(1, len(cuts) + 1), pa.int32()), pa.array(cuts, pa.string())], ["doc_id", "sequence", "content"])
+            cuts = [simple_cuts(text or "", most, overlap, separator) for text in batch.column("text").to_pylist()]
+            rows = pa.array([i for i, own in enumerate(cuts) for _ in own], pa.int64())
+            columns = [batch.column("doc_id").take(rows), pa.array([k + 1 for own in cuts for k in range(len(own))], pa.int32()), pa.array([c for own in cuts for c in own], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sequence", "content"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sequence int, content string")
 
@@ -46,9 +46,10 @@ def hierarchical_chunks(items: DataFrame, most: int = 1200, overlap: int = 100)
     the open chunk is in memory, however long a document is.
     """
     rows = items.select("doc_id", "pos", "kind", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
-    schema = pa.schema([("doc_id", pa.int64()), ("sequence", pa.int32()), ("section", pa.string()), ("content_type", pa.string()), ("content", pa.string()), ("first_item", pa.int64()), ("last_item", pa.int64())])
+    rest = [("sequence", pa.int32()), ("section", pa.string()), ("content_type", pa.string()), ("content", pa.string()), ("first_item", pa.int64()), ("last_item", pa.int64())]
 
     def run(batches):
+        schema = None
         doc, sequence, section, text, first, last = None, 0, None, "", None, None
         out = []
 
@@ -60,6 +61,7 @@ def hierarchical_chunks(items: DataFrame, most: int = 1200, overlap: int = 100)
             text = ""
 
         for batch in batches:
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), *rest])
             for own, pos, kind, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "kind", "text"))):
                 if own != doc:
                     flush()
@@ -85,7 +87,7 @@ def hierarchical_chunks(items: DataFrame, most: int = 1200, overlap: int = 100)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, sequence int, section string, content_type string, content string, first_item long, last_item long")
+    return rows.mapInArrow(run, f"doc_id {items.schema['doc_id'].dataType.simpleString()}, sequence int, section string, content_type string, content string, first_item long, last_item long")
 
 
 def merged_small(chunks: DataFrame, least: int = 100) -> DataFrame:

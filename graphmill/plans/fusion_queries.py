@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphmill.catalog import Catalog
 from graphmill.functions import text as X
 from graphmill.operators import chunking as C
+from graphmill.operators import page_chunks as PC
 from graphmill.operators import fusion as M
 from graphmill.plans.oracle import CHUNKS, EDGES, GRAPH, ITEMS
 from graphmill.plans.registry import query
@@ -96,6 +97,18 @@ def chunk_by_hierarchy(c: Catalog) -> DataFrame:
     return C.hierarchical_chunks(items)
 
 
+@query()
+def chunk_pages(c: Catalog) -> DataFrame:
+    """Chunks with the page and box of every stretch of text.  Forty lines are a page, a line is a strip of it."""
+    line = (F.col("sequence") - 1) % 40
+    strip = F.array(F.lit(0.0), F.round(line / 40, 4), F.lit(1.0), F.round((line + 1) / 40, 4))
+    kind = F.when(F.col("content_type") == "table", "table").otherwise("paragraph")
+    level = F.when(F.col("content_type") == "title", 0).otherwise(-1)
+    none = F.lit(None).cast("string")
+    items = c.chunks().select("doc_id", F.col("sequence").alias("pos"), kind.alias("kind"), level.alias("level"), F.col("content").alias("text"), (F.floor((F.col("sequence") - 1) / 40) + 1).alias("page"), strip.alias("box"), none.alias("url"), none.alias("caption"))
+    return PC.chunks_with_pages(items)
+
+
 @query()
 def chunk_simple(c: Catalog) -> DataFrame:
     return C.simple_chunks(c.table("documents"))
