@@ -72,44 +72,82 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, most: int | No
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
     """step, id of one shortest undirected path; no rows if there is none.  Of several parents the smallest id counts.
 
-    The edges are written once, and each level as a table of its own; a frontier is broadcast while its counted size
-    allows.  The way back reads one level a step.
+    Two searches, from the start and from the end, go level by level, always the one with the fewer nodes in its last
+    level, until these levels share nodes; so neither goes wider than half the path needs.  Those nodes' way to the end
+    follows the end's levels back, and the path is read off in one job.
     """
     spark = edges.sparkSession
+    if start == end:
+        return spark.createDataFrame([(0, start)], "step int, id string")
     both = checkpointed(undirected(edges).select("a", "b"))
-    first = spark.createDataFrame([(start, None)], "id string, parent string")
-    levels, reached = [first], first.select("id")
-    while len(levels) <= most and (end != start if len(levels) == 1 else levels[-1].where(F.col("id") == end).isEmpty()):
-        front = levels[-1].select(F.col("id").alias("a"))
-        small = front.limit(BROADCAST + 1).count() <= BROADCAST
-        new = both.join(F.broadcast(front) if small else front, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")).join(reached, "id", "left_anti")
-        levels.append(checkpointed(new))
-        reached = reached.unionByName(levels[-1].select("id"))
-    path, at = [], end
-    for dist in range(len(levels) - 1, -1, -1):
-        row = levels[dist].where(F.col("id") == at).first()
-        if row is None:  # not reached
-            break
-        path.append((dist, at))
-        at = row["parent"]
-    return spark.createDataFrame(path, "step int, id string")
+    seed = lambda node: spark.createDataFrame([(node, None)], "id string, parent string")
+    sides = [[seed(start)], [seed(end)]]
+    reached, widths = [sides[0][0].select("id"), sides[1][0].select("id")], [1, 1]
+
+    def stepped(front: DataFrame, width: int) -> DataFrame:
+        ids = front.select(F.col("id").alias("a"))
+        return both.join(F.broadcast(ids) if width <= BROADCAST else ids, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+
+    met = None
+    while met is None and all(widths) and len(sides[0]) + len(sides[1]) - 2 < most:
+        k = 0 if widths[0] <= widths[1] else 1
+        level = checkpointed(stepped(sides[k][-1], widths[k]).join(reached[k], "id", "left_anti"))
+        sides[k].append(level)
+        reached[k] = reached[k].unionByName(level.select("id"))
+        widths[k] = level.count()
+        shared = sides[0][-1].join(sides[1][-1].select("id"), "id", "left_semi")
+        met = None if shared.isEmpty() else shared
+    if met is None:
+        return spark.createDataFrame([], "step int, id string")
+    levels = [*sides[0][:-1], met]
+    for back in reversed(sides[1][:-1]):
+        last = checkpointed(levels[-1])
+        levels[-1] = last
+        levels.append(stepped(last, last.count()).join(back.select("id"), "id", "left_semi"))
+    # The chain of parents: one row, a join for each step back.
+    path = levels[-1].where(F.col("id") == end).select(F.array("id").alias("path"), "parent")
+    for level in reversed(levels[:-1]):
+        own = level.select(F.col("id").alias("parent"), F.col("parent").alias("_next"))
+        path = own.join(F.broadcast(path), "parent").select(F.concat(F.array("parent"), "path").alias("path"), F.col("_next").alias("parent"))
+    return path.select(F.posexplode("path").alias("step", "id"))
 
 
 def trails(edges: DataFrame, starts: list[str], ends: list[str] | None, low: int, high: int, most: int) -> DataFrame:
     """hops, path: undirected trails, no edge twice, by hops and path.
 
-    Walked from the ends' side at the last hop, so the widest level is filtered as it is made.
+    With ends, trails are walked from both sides and meet: none is built beyond half the hops, and one goes on only
+    while its tip is near enough to the other side by exact distance.  Without ends they are walked from the starts.
     """
     key = F.concat_ws("|", "src", "rel", "dst")
-    both = undirected(edges).select("a", "b", key.alias("e"))
-    walk = both.where(F.col("a").isin(starts)).select(F.array("a", "b").alias("path"), F.array("e").alias("used"), F.col("b").alias("at"))
+    ways = undirected(edges).select("a", "b", key.alias("e"), (F.col("src") == F.col("dst")).alias("_loop"))
+    both = checkpointed(ways.where("NOT _loop").drop("_loop").unionByName(ways.where("_loop").drop("_loop").distinct()))
+
+    def walked(seeds: list[str], hops: int, near: DataFrame | None) -> list[DataFrame]:
+        """Trails of 0 to `hops` hops from the seeds: path, used, at.  near: id, left, the fewest hops from a node to the other side."""
+        nodes = edges.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "at string")
+        out = [nodes.join(both.select(F.col("a").alias("at")).distinct(), "at", "left_semi").select(F.array("at").alias("path"), F.array().cast("array<string>").alias("used"), "at")]
+        for hop in range(1, hops + 1):
+            step = out[-1].join(both, F.col("at") == F.col("a")).where(~F.array_contains("used", F.col("e")))
+            step = step.select(F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("e")).alias("used"), F.col("b").alias("at"))
+            if near is not None:
+                step = step.join(near.where(F.col("left") <= high - hop).select(F.col("id").alias("at")), "at", "left_semi").select("path", "used", "at")
+            out.append(checkpointed(step) if near is not None or hop < hops else step)
+        return out
+
     found = []
-    for hop in range(1, high + 1):
-        if hop > 1:
-            walk = walk.join(both, walk["at"] == both["a"]).where(~F.array_contains("used", F.col("e"))).select(F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("e")).alias("used"), F.col("b").alias("at"))
-        if hop >= low:
-            done = walk if ends is None else walk.where(F.col("at").isin(ends))
-            found.append(done.select(F.lit(hop).alias("hops"), F.array_join("path", " - ").alias("path")))
+    if ends is None:
+        levels = walked(starts, high, None)
+        found = [levels[h].select(F.lit(h).alias("hops"), F.array_join("path", " - ").alias("path")) for h in range(low, high + 1)]
+    else:
+        ids = lambda names: edges.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "id string")
+        half = high // 2
+        to_end = distances(edges, ids(ends), high - 1).withColumnRenamed("dist", "left")
+        to_start = distances(edges, ids(starts), high - 1).withColumnRenamed("dist", "left")
+        front, back = walked(starts, high - half, to_end), walked(ends, half, to_start)
+        for h in range(low, high + 1):
+            other = back[h // 2].select(F.col("at"), F.reverse("path").alias("_rest"), F.col("used").alias("_used"))
+            own = front[h - h // 2].join(other, "at").where(~F.arrays_overlap("used", "_used"))
+            found.append(own.select(F.lit(h).alias("hops"), F.array_join(F.concat("path", F.slice("_rest", 2, high + 1)), " - ").alias("path")))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
