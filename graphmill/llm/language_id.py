@@ -206,23 +206,24 @@ def _count(batches):
 def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """A model from rows (doc_id, text, lang); None if no row has a label.
 
-    Of each language, the rows_per_language rows whose doc_id hashes lowest are counted, whole.
+    Of each language, the rows_per_language distinct rows (doc_id, text) whose hashes are lowest are counted, whole;
+    equal rows count once.  However many rows share an id or have none, no language is left out and none has more.
     """
-    labelled = labelled.where(F.col("text").isNotNull() & (F.trim("lang") != "")).select("text", "lang", F.xxhash64(F.col("doc_id")).alias("_hash"))
-    spread = 2.0**64
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    labelled = labelled.where(F.col("text").isNotNull() & (F.trim("lang") != "")).select("text", "lang", F.xxhash64("doc_id", "text").alias("_hash"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("n")).collect()  # a row for each language
     if not sizes:
         return None
     near = F.lit(None).cast("double")
-    for row in sizes:
-        near = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, 1.5 * rows_per_language / row["n"]))).otherwise(near)
-    low = (F.col("_hash").cast("double") / spread + 0.5) <= near
+    for row in sizes:  # three times as many as are wanted, so that these aren't ranked among all
+        near = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, 3.0 * rows_per_language / max(1, row["n"])))).otherwise(near)
+    low = (F.col("_hash").cast("double") / 2.0**64 + 0.5) <= near
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
-    cuts = labelled.select("lang", "_hash").where(low).withColumn("_rank", rank).where(F.col("_rank") <= rows_per_language).groupBy("lang").agg(F.max("_hash").alias("cut")).collect()
+    distinct = labelled.select("lang", "_hash").where(low).distinct()
+    cuts = distinct.withColumn("_rank", rank).where(F.col("_rank") <= rows_per_language).groupBy("lang").agg(F.max("_hash").alias("cut")).collect()
     cut = F.lit(None).cast("long")
     for row in cuts:
         cut = F.when(F.col("lang") == row["lang"], F.lit(row["cut"])).otherwise(cut)
-    sample = labelled.where(F.col("_hash") <= cut).select("lang", "text")
+    sample = labelled.where(F.col("_hash") <= cut).groupBy("lang", "_hash").agg(F.min("text").alias("text")).select("lang", "text")
     counts = sample.mapInArrow(tidy(_count), _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return build(counts) if len(counts) else None
 

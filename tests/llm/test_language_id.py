@@ -109,3 +109,22 @@ def test_no_labels_and_empty(spark):
     assert {r.lang_pred for r in L.predict(spark, docs, None).collect()} == {"und"}
     empty = spark.createDataFrame([], SCHEMA)
     assert L.train(empty) is None and L.keep_known(spark, empty, None).count() == 0
+
+
+def test_no_language_is_lost_and_none_is_over_the_bound(spark, monkeypatch):
+    """Rows that share one doc_id or have none, rows that are all equal, and an id whose hash is low."""
+    read = []
+    monkeypatch.setattr(L, "build", lambda counts: read.append(counts))
+    german = [(i, f"der kurze satz {i}", "de") for i in range(50)]
+    schema = "doc_id long, text string, lang string"
+    for english in ([(None, f"words {i} of", "en") for i in range(600)], [(7, f"words {i} of", "en") for i in range(600)], [(7, "words of", "en")] * 600):
+        L.train(spark.createDataFrame(german + english, schema).repartition(3), rows_per_language=40)
+        counts = read.pop()
+        assert set(counts["lang"]) == {"de", "en"}
+        texts = {lang: {t for _, t, k in german + english if k == lang} for lang in ("de", "en")}
+        for lang, own in texts.items():  # each text has one gram more than bytes - 4, each is read once at most
+            assert 0 < counts[counts.lang == lang].n.sum() <= 40 * max(len(t.encode()) for t in own)
+    L.train(spark.createDataFrame(german, schema), rows_per_language=10_000)
+    want = grams({"de": [t for _, t, _ in german]})
+    got = read.pop()
+    assert sorted(map(tuple, got[["lang", "gram", "n"]].values.tolist())) == sorted(map(tuple, want.values.tolist()))
