@@ -1,9 +1,9 @@
 """Collocations: phrases of two and three words, counted in HAT-tries and ranked by how firmly they hold together.
 
 A task cuts its texts to words, numbers the words it meets, and counts the three words from each place on in a trie
-of each language: a container is a hash table of whole keys; one that grows over BURST entries bursts into a container
-for each first word, and those into one for each second word.  When a task's tries hold SPILL entries, their largest
-subtrees leave as sorted runs.  A run is dealt to cells by a hash of language and first two words, the prefix, so that a
+of each language: a container is a hash table of whole keys; one that grows over BURST entries bursts into FAN containers
+by its keys' first word, and those by the second, so that rare words share a container and a common prefix gets its own.
+When a task's tries hold SPILL entries, their largest subtrees leave as sorted runs.  A run is dealt to cells by a hash of language and first two words, the prefix, so that a
 prefix's counts meet in one cell and a common first word is spread over many.  A cell's runs are merged to exact counts:
 of three words, and by summing over the third of two.  Single words travel as runs of their own.
 
@@ -37,11 +37,13 @@ from graphmill.llm.textarrays import blocks, flat, mix2, numbered, spans, tidy,
 from graphmill.workspace import checkpointed
 
 #: Entries of a container before it bursts; entries of a task's tries before subtrees leave.
-BURST, SPILL = 4096, 1_000_000
+BURST, SPILL = 16_384, 1_000_000
+#: Children of a container that has burst: a word goes to the one of its number's remainder.
+FAN = 64
 #: Words, and bytes of words, that a task numbers before it empties its tries and begins anew.
 VOCABULARY, VOCABULARY_BYTES = 400_000, 32 << 20
-#: Cells a shuffle partition: a merging task holds one cell at a time.
-CELLS = 16
+#: Cells a shuffle partition: a merging task holds one cell at a time.  A task sends a row to a cell at most for each spill.
+CELLS = 4
 #: Bits of a word's number in a key of three.
 BITS = 21
 MASK = (1 << BITS) - 1
@@ -52,12 +54,13 @@ _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _SEPARATOR = _PIECE.copy()
 _SEPARATOR[[0x20, 0x09]] = True
-_RUNS = pa.schema([("cell", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())])
+_RUN = pa.struct([("lang", pa.string()), ("words", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())])
+_RUNS = pa.schema([("cell", pa.int32()), ("runs", pa.list_(_RUN))])
 _COUNTED = pa.schema([("lang", pa.string()), ("first", pa.string()), ("second", pa.string()), ("third", pa.string()), ("n", pa.int64())])
 
 
 class Trie:
-    """Counts of keys, three word ids each: a container until it bursts, then a child for each next id."""
+    """Counts of keys, three word ids each: a container until it bursts, then children that each take a share of the next ids."""
 
     __slots__ = ("depth", "entries", "children", "size")
 
@@ -65,7 +68,7 @@ class Trie:
         self.depth, self.entries, self.children, self.size = depth, {}, None, 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """keys ascend and are distinct."""
+        """keys are distinct."""
         if self.children is None:
             entries = self.entries
             for key, n in zip(keys.tolist(), counts.tolist()):
@@ -74,21 +77,18 @@ class Trie:
             if self.size > BURST and self.depth < 2:
                 self._burst()
             return
-        ids = keys >> BITS * (2 - self.depth) & MASK
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-        for child, a, b in zip(ids[cuts[:-1]].tolist(), cuts, cuts[1:]):
-            node = self.children.get(child)
-            if node is None:
-                node = self.children[child] = Trie(self.depth + 1)
-            self.size -= node.size
-            node.add(keys[a:b], counts[a:b])
-            self.size += node.size
+        child = (keys >> BITS * (2 - self.depth) & MASK) % FAN
+        order = np.argsort(child, kind="stable")
+        keys, counts, cuts = keys[order], counts[order], np.searchsorted(child[order], np.arange(FAN + 1))
+        for k, node in enumerate(self.children):
+            if cuts[k] < cuts[k + 1]:
+                node.add(keys[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]])
+        self.size = sum(node.size for node in self.children)
 
     def _burst(self) -> None:
         keys, counts = self.taken()
-        self.children, self.size = {}, 0
-        order = np.argsort(keys)
-        self.add(keys[order], counts[order])
+        self.children = [Trie(self.depth + 1) for _ in range(FAN)]
+        self.add(keys, counts)
 
     def taken(self) -> tuple[np.ndarray, np.ndarray]:
         """All keys and counts, in no order; the trie is empty afterwards."""
@@ -97,8 +97,8 @@ class Trie:
             out = np.fromiter(self.entries.keys(), np.int64, n), np.fromiter(self.entries.values(), np.int64, n)
             self.entries, self.size = {}, 0
             return out
-        parts = [child.taken() for child in self.children.values()]
-        self.children, self.size = {}, 0
+        parts = [child.taken() for child in self.children]
+        self.children, self.size = None, 0
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def spilled(self, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +106,11 @@ class Trie:
         if self.children is None:
             return self.taken()
         parts = []
-        for child in sorted(self.children, key=lambda c: -self.children[c].size):
+        for child in sorted(self.children, key=lambda c: -c.size):
             if self.size <= most:
                 break
-            node = self.children.pop(child)
-            self.size -= node.size
-            parts.append(node.taken())
+            self.size -= child.size
+            parts.append(child.taken())
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
@@ -173,20 +172,23 @@ class _Counter:
         buffer = np.frombuffer(b"".join(words), np.uint8)
         hashes = word_hashes(buffer, at - size, at)
         rank = np.zeros(len(words) + 1, np.int64)
-        rank[np.array(sorted(range(len(words)), key=words.__getitem__), np.int64) + 1] = np.arange(1, len(words) + 1)
         text = pa.array([b"", *words], pa.binary())
+        rank[pc.array_sort_indices(text).to_numpy()] = np.arange(len(words) + 1)
+        runs: dict[int, list[dict]] = {}
         for lang, (keys, counts) in tries.items():
             order = np.argsort(rank[keys >> 2 * BITS] << 2 * BITS | rank[keys >> BITS & MASK] << BITS | rank[keys & MASK])
             keys, counts = keys[order], counts[order]
             first, second = keys >> 2 * BITS, keys >> BITS & MASK
             phrases = pc.binary_join_element_wise(text.take(pa.array(first)), text.take(pa.array(second)), text.take(pa.array(keys & MASK)), b" ")
-            yield self._run(lang, 3, mix2(hashes[first], hashes[second]), phrases, counts)
+            self._cut(runs, lang, 3, mix2(hashes[first], hashes[second]), phrases, counts)
         for lang, counts in single.items():
             ids = np.flatnonzero(counts)
             ids = ids[np.argsort(rank[ids])]
-            yield self._run(lang, 1, hashes[ids], text.take(pa.array(ids)), counts[ids])
+            self._cut(runs, lang, 1, hashes[ids], text.take(pa.array(ids)), counts[ids])
+        yield pa.RecordBatch.from_arrays([pa.array(runs.keys(), pa.int32()), pa.array(runs.values(), pa.list_(_RUN))], schema=_RUNS)
 
-    def _run(self, lang: str, words: int, prefix: np.ndarray, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    def _cut(self, runs: dict, lang: str, words: int, prefix: np.ndarray, phrases: pa.Array, counts: np.ndarray) -> None:
+        """Adds what each cell gets of a language's phrases, in order."""
         own = np.full(len(prefix), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
         cell = (mix2(prefix, own) % np.uint64(self.cells)).astype(np.int32)
         order = np.argsort(cell, kind="stable")
@@ -194,14 +196,8 @@ class _Counter:
         cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
         lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), phrases), b"\n")
         packed = zstandard.ZstdCompressor(level=3).compress
-        columns = [
-            pa.array(cell[cuts[:-1]]),
-            pa.array([lang] * len(lines), pa.string()),
-            pa.array([words] * len(lines), pa.int32()),
-            pa.array([packed(x) for x in lines.to_pylist()], pa.binary()),
-            pa.array([packed(counts[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, schema=_RUNS)
+        for c, x, a, b in zip(cell[cuts[:-1]].tolist(), lines.to_pylist(), cuts[:-1], cuts[1:]):
+            runs.setdefault(c, []).append({"lang": lang, "words": words, "phrases": packed(x), "counts": packed(counts[a:b].tobytes())})
 
 
 def _count(cells: int):
@@ -236,6 +232,7 @@ def _merge(least: int):
     @tidy
     def run(table):
         out = []
+        table = pa.Table.from_struct_array(table["runs"].combine_chunks().flatten())
 
         def found(lang, n, *words):
             size = len(n)
@@ -272,7 +269,7 @@ def counted(docs: DataFrame, least: int = 10) -> DataFrame:
     """
     cells = CELLS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
-    runs = texts.mapInArrow(_count(cells), "cell int, lang string, words int, phrases binary, counts binary")
+    runs = texts.mapInArrow(_count(cells), "cell int, runs array<struct<lang string, words int, phrases binary, counts binary>>")
     return checkpointed(runs.groupBy("cell").applyInArrow(_merge(least), "lang string, first string, second string, third string, n long"))
 
 
