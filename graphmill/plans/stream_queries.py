@@ -9,6 +9,7 @@ from graphmill.catalog import Catalog
 from graphmill.plans.oracle import MESSAGES
 from graphmill.plans.registry import query
 from graphmill.streaming import progress as P
+from graphmill.streaming import tasks as S
 from graphmill.workspace import folder
 
 
@@ -57,3 +58,33 @@ def resumable_tasks(c: Catalog) -> DataFrame:
 @query(f"WITH {MESSAGES} SELECT session_id, count(*) AS n, max(sequence) AS last_sequence, count(*) FILTER (role = 'assistant') AS answers FROM messages GROUP BY session_id")
 def session_counters(c: Catalog) -> DataFrame:
     return c.messages().groupBy("session_id").agg(F.count("*").alias("n"), F.max("sequence").alias("last_sequence"), F.count_if(F.col("role") == "assistant").alias("answers"))
+
+
+@query()
+def stream_retries(c: Catalog) -> DataFrame:
+    """Retries a day after an error and later, failures, ends and expiries of users' tasks, up to the last event.
+
+    Tests hold the stream against a replay by hand.  A last row beyond the others moves the watermark past them.
+    """
+    path = folder(c.spark, "events")
+    events = c.table("events")
+    events.write.parquet(path)
+    last = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    closing = last.select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(None).cast("long").alias("user_id"), *(F.lit(None).cast(t).alias(n) for n, t in (("event_type", "string"), ("value", "double"), ("props", "string"))))
+    closing.coalesce(1).write.mode("append").parquet(path)
+    stream = P.progress_source(c.spark, path).select(F.coalesce("user_id", F.lit(-1)).alias("task_id"), "event_id", "ts", F.col("event_type").alias("status"))
+    policy = S.Policy(ended=("purchase",), delay=86_400, expiry=10 * 86_400)
+    with S.state_store(c.spark):
+        return P.drained(S.retries(stream, policy, late="1 day"), folder(c.spark, "retries"), folder(c.spark, "state")).where("task_id >= 0")
+
+
+@query(f"WITH {MESSAGES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence DESC, role DESC, content DESC) AS back, count(*) OVER (PARTITION BY session_id) AS n FROM messages) SELECT session_id, (least(n, 4) - back + 1)::INT AS place, sequence, role FROM r WHERE back <= 4")
+def stream_histories(c: Catalog) -> DataFrame:
+    """The last four messages of each session, kept in state."""
+    path = folder(c.spark, "messages")
+    c.messages().write.parquet(path)
+    schema = c.messages().schema
+    with S.state_store(c.spark):
+        found = P.drained(S.histories(c.spark.readStream.schema(schema).parquet(path), 4), folder(c.spark, "histories"), folder(c.spark, "state"), "update")
+    newest = found.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
+    return found.join(newest, ["session_id", "batch_id"]).select("session_id", "place", "sequence", "role")
