@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from graphmill.catalog import Catalog
 from graphmill.functions import text as X
 from graphmill.operators import build as B
+from graphmill.operators import graph_store as GS
 from graphmill.operators.joins import first_rule, without
 from graphmill.plans.oracle import CHUNKS, DOC_TERMS, EDGES, GRAPH, NODES, TRIPLETS
 from graphmill.plans.registry import query
+from graphmill.workspace import folder
 
 
 def _listed(x: str, name: str):
@@ -273,3 +275,44 @@ def graph_upsert(c: Catalog) -> DataFrame:
     a = t.where("relation = 'REQUIRES'").groupBy(F.col("object").alias("id")).agg(F.max("confidence").alias("score"), F.collect_set("chunk_id").alias("l"))
     b = t.where("relation = 'CONTAINS'").groupBy(F.col("object").alias("id")).agg(F.min("confidence").alias("score"), F.collect_set("chunk_id").alias("l"))
     return B.upserted(a, b, "id", "score", "l").select("id", "score", _listed("l", "chunk_ids"))
+
+
+# -- a stored graph that loses documents ----------------------------------------------------------------------------
+
+#: Suppliers play the documents; those in debt are removed.
+_GONE = "SELECT s_suppkey FROM supplier WHERE s_acctbal < 0"
+
+
+def _without_debtors(c: Catalog) -> GS.Store:
+    store = GS.create(c.spark, folder(c.spark, "graph"))
+    GS.add(store, c.triplets())
+    GS.remove(store, c.table("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("doc_id")))
+    return store
+
+
+@query(f"WITH {TRIPLETS} SELECT subject AS src, relation AS rel, object AS dst, count(*) AS support FROM triplets WHERE doc_id NOT IN ({_GONE}) GROUP BY ALL")
+def cascade_delete_edges(c: Catalog) -> DataFrame:
+    """Edges that a document still supports after others were removed from a stored graph."""
+    return _without_debtors(c).edges()
+
+
+@query(f"""WITH {TRIPLETS}, k AS (SELECT * FROM triplets WHERE doc_id NOT IN ({_GONE})), n AS (SELECT id, count(*) AS support FROM (SELECT subject AS id FROM k UNION ALL SELECT object FROM k) GROUP BY id), s AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_size = 1)
+SELECT coalesce(n.id, s.id) AS id, coalesce(support, 0) AS support, s.id IS NOT NULL AS seed FROM n FULL JOIN s ON n.id = s.id""")
+def cascade_delete_nodes(c: Catalog) -> DataFrame:
+    """Nodes that are still supported, and seeds, which stay anyway."""
+    return _without_debtors(c).nodes(c.table("part").where("p_size = 1").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id")))
+
+
+@query("SELECT unnest(['edges_support', 'nodes_support', 'dangling_ends']) AS problem, 0::BIGINT AS n")
+def cascade_delete_verified(c: Catalog) -> DataFrame:
+    """What is left holds together."""
+    return GS.verified(_without_debtors(c))
+
+
+@query(f"""WITH {TRIPLETS}, b AS (SELECT count(DISTINCT doc_id) AS documents, (SELECT count(*) FROM (SELECT subject FROM triplets UNION SELECT object FROM triplets)) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT subject, relation, object FROM triplets)) AS edges FROM triplets)
+SELECT unnest(['documents', 'nodes', 'edges']) AS store, unnest([documents, nodes, edges]) AS before, unnest([documents, nodes, edges]) AS after FROM b""")
+def rebuild_documents(c: Catalog) -> DataFrame:
+    """Counts before and after the debtors' documents are taken out and built again."""
+    store = GS.create(c.spark, folder(c.spark, "graph"))
+    GS.add(store, c.triplets())
+    return GS.rebuilt(store, c.triplets(), c.table("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("doc_id")))
