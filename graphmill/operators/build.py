@@ -152,13 +152,17 @@ def optimized(triplets: DataFrame, names: DataFrame, relation: Column, order: li
     """Triplets (subject, relation, object, confidence) with names (old, new) and the relation in their standard form.
 
     relation: the standard form of column `relation`; SKIP or nothing leaves it as it is.  Statements about oneself,
-    without a relation or of little confidence go; of equal ones, case aside, the first in order stays.
+    without a relation or of little confidence go; of equal ones, case aside, the first in order stays.  Each distinct
+    relation is put in its form once.
     """
-    moved = renamed(triplets, names).withColumn("relation", F.when(F.coalesce(relation, F.lit("")).isin("", "SKIP"), F.col("relation")).otherwise(relation))
-    valid = moved.where((F.col("subject") != F.col("object")) & ~F.coalesce("relation", F.lit("")).isin("", "SKIP") & (F.col("confidence") >= least))
+    valid = triplets.where(F.col("confidence") >= least)
+    form = F.when(F.coalesce(relation, F.lit("")).isin("", "SKIP"), F.col("relation")).otherwise(relation)
+    forms = triplets.select("relation").distinct().select(F.col("relation").alias("_raw"), form.alias("_form")).where(~F.coalesce("_form", F.lit("")).isin("", "SKIP"))
+    columns = triplets.columns
+    moved = renamed(valid.join(forms, F.col("relation").eqNullSafe(F.col("_raw"))).withColumn("relation", F.col("_form")).select(columns), names)
     key = {f"_{c}": F.lower(c) for c in ("subject", "relation", "object")}
-    own = Window.partitionBy(*key).orderBy(*order)
-    return valid.withColumns(key).withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k", *key)
+    first = F.min_by(F.struct(*columns), F.struct(*order))
+    return moved.where("subject <> object").withColumns(key).groupBy(*key).agg(first.alias("_row")).select("_row.*")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -220,8 +224,8 @@ def renamed(triplets: DataFrame, names: DataFrame) -> DataFrame:
 
 def first_statements(triplets: DataFrame, order: list[str]) -> DataFrame:
     """Keep-first de-duplication of (subject, relation, object)."""
-    own = Window.partitionBy("subject", "relation", "object").orderBy(*order)
-    return triplets.withColumn("_r", F.row_number().over(own)).where("_r = 1").drop("_r")
+    first = F.min_by(F.struct(*triplets.columns), F.struct(*order))
+    return triplets.groupBy("subject", "relation", "object").agg(first.alias("_row")).select("_row.*")
 
 
 def strongest_statements(triplets: DataFrame) -> DataFrame:
