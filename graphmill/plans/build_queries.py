@@ -9,6 +9,7 @@ from graphmill.catalog import Catalog
 from graphmill.functions import text as X
 from graphmill.operators import build as B
 from graphmill.operators import graph_store as GS
+from graphmill.operators import provider as PR
 from graphmill.operators.joins import first_rule, without
 from graphmill.plans.oracle import CHUNKS, DOC_TERMS, EDGES, GRAPH, NODES, TRIPLETS
 from graphmill.plans.registry import query
@@ -277,6 +278,15 @@ def graph_upsert(c: Catalog) -> DataFrame:
     return B.upserted(a, b, "id", "score", "l").select("id", "score", _listed("l", "chunk_ids"))
 
 
+@query(f"WITH {TRIPLETS}, k AS (SELECT DISTINCT relation, object FROM triplets) SELECT relation, CASE relation WHEN 'RELATED_TO' THEN 'review' ELSE 'accept' END AS verdict, count(*) AS n FROM k GROUP BY ALL")
+def relations_by_provider(c: Catalog) -> DataFrame:
+    """Each distinct relation of an object is judged once, the surest first; a rule stands in for the model."""
+    t = c.triplets().groupBy("relation", "object").agg(F.max("confidence").alias("confidence"))
+    rows = t.select(F.concat_ws("|", "relation", "object").alias("key"), (-F.col("confidence")).alias("rank"), F.concat_ws("|", "relation", "object").alias("payload"))
+    done, _ = PR.answered(rows, lambda payloads: ["review" if p.startswith("RELATED_TO|") else "accept" for p in payloads], folder(c.spark, "provider"), size=200)
+    return done.groupBy(F.substring_index("key", "|", 1).alias("relation"), F.col("answer").alias("verdict")).agg(F.count("*").alias("n"))
+
+
 # -- a stored graph that loses documents ----------------------------------------------------------------------------
 
 #: Suppliers play the documents; those in debt are removed.

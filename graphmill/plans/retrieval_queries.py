@@ -9,6 +9,7 @@ from graphmill.catalog import Catalog
 from graphmill.functions import text as X
 from graphmill.functions import vectors as V
 from graphmill.operators import ivf, postings
+from graphmill.operators import provider as PR
 from graphmill.operators import retrieval as R
 from graphmill.operators.joins import overlapping
 from graphmill.operators.sets import ordered_union
@@ -163,6 +164,15 @@ def text_index_score(c: Catalog) -> DataFrame:
     return postings.search(_indexed(c), _questions(c), 5)
 
 
+@query(f"""WITH hits AS ({_bm25_sql("true")}), d AS (SELECT DISTINCT doc_id FROM hits) SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 80) AS point FROM d JOIN documents USING (doc_id)""")
+def points_of_hits(c: Catalog) -> DataFrame:
+    """A knowledge point of each document that is hit, asked in batches by its best rank; its head stands in for the model's."""
+    best = postings.search(_indexed(c), _questions(c), 5).groupBy("doc_id").agg(F.min("rank").alias("rank"))
+    rows = best.join(c.table("documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").cast("string").alias("key"), "rank", F.col("text").alias("payload"))
+    done, _ = PR.answered(rows, lambda payloads: [p.split("\n")[0][:80] for p in payloads], folder(c.spark, "provider"))
+    return done.select(F.col("key").cast("long").alias("doc_id"), F.col("answer").alias("point"))
+
+
 @query(_bm25_sql("NOT EXISTS (SELECT 1 FROM documents o WHERE o.text = d.text AND o.doc_id < d.doc_id)"))
 def text_index_without_copies(c: Catalog) -> DataFrame:
     """The same after later copies of a text have been removed from the index, which is not rebuilt."""
