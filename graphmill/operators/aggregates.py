@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.workspace import checkpointed
+
 
 def share(count: Column, total: Column, digits: int = 4) -> Column:
     return F.round(count / F.when(total != 0, total), digits)
@@ -111,11 +113,49 @@ def mean_of_ratios(builds: DataFrame, key: str, amount: str, units: str, name: s
     return builds.where((F.col(units) > 0) & (F.col(amount) > 0)).groupBy(key).agg(F.count("*").alias("builds"), F.round(F.avg(F.col(amount) / F.col(units)), 6).alias(name))
 
 
+#: Distinct values of a key that one task puts in order, at most about.
+RANKED = 100_000
+
+
+def quantiles(values: DataFrame, key: str, value: str, q: float, ranked: int = RANKED, accuracy: int = 10_000) -> DataFrame:
+    """key, n, top, quantile: the value at index floor((n - 1) * q) of each key's values in order, exactly.
+
+    No key's values are sorted by one task.  A sketch brackets the quantile by rank, the values below are counted, and
+    those within are bracketed again until a key has at most `ranked` distinct ones left, each round a few thousandths
+    of the last; equal values are one.  Rows without key or value are left out.
+    """
+    rows = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    state = rows.groupBy("_k").agg(F.count("*").alias("n"), F.max("_v").alias("top"), F.min("_v").alias("_low"))
+    state = checkpointed(state.select("_k", "n", "top", "_low", F.col("top").alias("_high"), F.floor((F.col("n") - 1) * q).alias("_at")))
+    left, before = rows, None
+    while True:
+        # Within the bracket: how many distinct values (about), and where a narrower bracket would be.
+        part = F.col("_at") / F.greatest(F.col("_m") - 1, F.lit(1))
+        inside = left.join(state.select("_k", "_low", "_high"), "_k").where("_v BETWEEN _low AND _high").select("_k", "_v")
+        sizes = inside.groupBy("_k").agg(F.approx_count_distinct("_v").alias("_d"), F.count("*").alias("_m"), F.percentile_approx("_v", [i / 200 for i in range(201)], accuracy).alias("_p"))
+        sizes = checkpointed(sizes)
+        widest = sizes.agg(F.max("_d")).first()[0]
+        if not widest or widest <= ranked or widest == before:
+            break
+        before = widest
+        place = F.least(F.greatest(F.floor(part * 200).cast("int"), F.lit(1)), F.lit(199))
+        low, high = F.get("_p", place - 1), F.get("_p", F.least(place + 2, F.lit(200)))
+        narrow = state.join(sizes, "_k").withColumns({"_l": F.when(place <= 1, F.col("_low")).otherwise(low), "_h": F.when(place >= 198, F.col("_high")).otherwise(high)})
+        narrow = narrow.select("_k", "n", "top", "_low", "_high", "_at", "_l", "_h")
+        counts = inside.join(narrow.select("_k", "_l", "_h"), "_k").groupBy("_k").agg(F.count_if(F.col("_v") < F.col("_l")).alias("_below"), F.count_if(F.col("_v").between(F.col("_l"), F.col("_h"))).alias("_in"))
+        moved = narrow.join(counts, "_k")
+        fits = (F.col("_at") >= F.col("_below")) & (F.col("_at") < F.col("_below") + F.col("_in"))  # else the sketch was off: stay
+        state = checkpointed(moved.select("_k", "n", "top", F.when(fits, F.col("_l")).otherwise(F.col("_low")).alias("_low"), F.when(fits, F.col("_h")).otherwise(F.col("_high")).alias("_high"), F.when(fits, F.col("_at") - F.col("_below")).otherwise(F.col("_at")).alias("_at")))
+        left = checkpointed(inside)
+    distinct = inside.groupBy("_k", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = distinct.withColumn("_to", upto).join(state, "_k").where("_to > _at").groupBy("_k", "n", "top").agg(F.min("_v").alias("quantile"))
+    return found.withColumnRenamed("_k", key)
+
+
 def robust_scale(values: DataFrame, key: str, value: str, q: float = 0.95, outlier_ratio: float = 1.5) -> DataFrame:
     """Scale per key: the quantile at index floor((n - 1) * q) if the maximum exceeds it by the ratio, else the maximum; 1 at least."""
-    own = Window.partitionBy(key)
-    placed = values.where(F.col(value).isNotNull()).withColumns({"_at": F.row_number().over(own.orderBy(value)) - 1, "_n": F.count("*").over(own)})
-    out = placed.groupBy(key).agg(F.max(value).alias("top"), F.max(F.when(F.col("_at") == F.floor((F.col("_n") - 1) * q), F.col(value))).alias("quantile"))
+    out = quantiles(values, key, value, q)
     scale = F.when(F.col("top") > F.col("quantile") * outlier_ratio, F.col("quantile")).otherwise(F.col("top"))
     return out.select(key, F.greatest(scale, F.lit(1.0)).alias("scale"))
 
