@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphmill.operators.retrieval import best_places
+
 BROADCAST = 5_000
 #: Most lists, and most sampled vectors that train them.
 LISTS, SAMPLE = 4096, 32_768
@@ -114,19 +116,11 @@ def build(vectors: DataFrame, path: str, lists: int | None = None) -> Index:
     return index
 
 
-def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k largest of s, ties to the smaller id."""
-    if len(s) > 4 * k:  # all that reach the k-th score, then their order
-        at = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1])
-        return at[np.lexsort((ids[at], -s[at]))][:k]
-    return np.lexsort((ids, -s))[:k]
-
-
 def _hits(query_ids, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
     """(query_id, ids, scores) of the k best of some vectors for each query."""
     s = np.round(q @ vectors.T, 10)
     for i, query in enumerate(query_ids):
-        at = _best(s[i], ids, k)
+        at = best_places(s[i], ids, k)
         yield query, ids[at], s[i][at]
 
 
@@ -154,7 +148,7 @@ def _scan(shared, k: int):
                 for i, (_, ids, s) in zip(rows, _hits(query_ids[rows], q[rows], own["id"].to_numpy(), np.stack(own["vector"]).astype(float), k)):
                     if i in best:
                         ids, s = np.concatenate([best[i][0], ids]), np.concatenate([best[i][1], s])
-                        at = _best(s, ids, k)
+                        at = best_places(s, ids, k)
                         ids, s = ids[at], s[at]
                     best[i] = ids, s
         yield _frame([(query_ids[i], *b) for i, b in best.items()])

@@ -45,28 +45,51 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column |
     return out.select("query_id", "id", F.round("_s", digits).alias("score"), "rank")
 
 
-def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """For each row of s the places of its k largest, ties to the smaller id."""
-    return np.lexsort((ids, -s), axis=1)[:, :k]
+def best_places(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest scores, ties to the smaller id; only those that reach the k-th are put in order."""
+    if len(s) > 4 * k:
+        at = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1])
+        return at[np.lexsort((ids[at], -s[at]))][:k]
+    return np.lexsort((ids, -s))[:k]
 
 
-def _scores(q: np.ndarray, vectors: pd.Series) -> np.ndarray:
-    """Inner products; the 10th decimal is the last, so equal vectors tie wherever they stand in a product."""
-    return np.round(q @ np.stack(vectors).astype(float).T, 10)
+#: Queries whose scores are in memory at a time.
+QUERIES = 256
+
+
+def _hits(q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+    """For each query, in order, the ids and scores of its k best of some vectors.
+
+    The 10th decimal of a score is the last, so equal vectors tie wherever they stand in a product.
+    """
+    for first in range(0, len(q), QUERIES):
+        for row in np.round(q[first : first + QUERIES] @ vectors.T, 10):
+            at = best_places(row, ids, k)
+            yield ids[at], row[at]
+
+
+def _found(query_ids, hits: list) -> pd.DataFrame:
+    sizes = [len(ids) for ids, _ in hits]
+    joined = lambda i, kind: np.concatenate([h[i] for h in hits]) if hits else np.zeros(0, kind)
+    return pd.DataFrame({"query_id": np.repeat(query_ids, sizes) if hits else np.zeros(0, np.int64), "id": joined(0, np.int64), "_s": joined(1, float)})
 
 
 def _scan(shared, k: int):
     def run(batches):
         query_ids, q = shared.value
-        best, best_ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        best: list = []
         for batch in batches:
             if batch.empty or not len(q):
                 continue
-            s = np.concatenate([best, _scores(q, batch["vector"])], 1)
-            ids = np.concatenate([best_ids, np.broadcast_to(batch["id"].to_numpy(), (len(q), len(batch)))], 1)
-            order = _best(s, ids, k)
-            best, best_ids = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-        yield pd.DataFrame({"query_id": np.repeat(query_ids, best.shape[1]), "id": best_ids.ravel(), "_s": best.ravel()})
+            new = _hits(q, batch["id"].to_numpy(), np.stack(batch["vector"]).astype(float), k)
+            if not best:
+                best = list(new)
+                continue
+            for i, (ids, s) in enumerate(new):
+                ids, s = np.concatenate([best[i][0], ids]), np.concatenate([best[i][1], s])
+                at = best_places(s, ids, k)
+                best[i] = ids[at], s[at]
+        yield _found(query_ids, best)
 
     return run
 
@@ -74,11 +97,9 @@ def _scan(shared, k: int):
 def _block(k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or queries.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "_s": pd.Series(dtype="float64")})
-        s = _scores(np.stack(queries["q"]).astype(float), rows["vector"])
-        ids = np.broadcast_to(rows["id"].to_numpy(), s.shape)
-        order = _best(s, ids, k)
-        return pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), order.shape[1]), "id": np.take_along_axis(ids, order, 1).ravel(), "_s": np.take_along_axis(s, order, 1).ravel()})
+            return _found([], [])
+        hits = _hits(np.stack(queries["q"]).astype(float), rows["id"].to_numpy(), np.stack(rows["vector"]).astype(float), k)
+        return _found(queries["query_id"].to_numpy(), list(hits))
 
     return run
 

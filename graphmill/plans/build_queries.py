@@ -106,8 +106,8 @@ def fuzzy_pairs(c: Catalog) -> DataFrame:
 def fusion_suggestions(c: Catalog) -> DataFrame:
     """The fifty best fuzzy pairs, with a bonus of 0.02 for each relation type that both have."""
     parts = c.table("part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    rels = c.edges().groupBy(F.col("dst").alias("id")).agg(F.collect_set("rel").alias("rels"))
-    byname = parts.join(rels, "id", "left").groupBy("p_brand", "name").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("rels", F.array().cast("array<string>"))))).alias("rels"))
+    rels = c.edges().select(F.col("dst").alias("id"), "rel").distinct()
+    byname = parts.join(rels, "id", "left").groupBy("p_brand", "name").agg(F.collect_set("rel").alias("rels"))
     pairs = B.fuzzy_pairs(parts, "p_brand", "name")
     a, b = byname.select("p_brand", F.col("name").alias("a"), F.col("rels").alias("_ra")), byname.select("p_brand", F.col("name").alias("b"), F.col("rels").alias("_rb"))
     scored = pairs.join(a, ["p_brand", "a"]).join(b, ["p_brand", "b"]).withColumn("score", F.round(F.col("score") + 0.02 * F.size(F.array_intersect("_ra", "_rb")), 4))
@@ -198,8 +198,8 @@ def zone_relabel(c: Catalog) -> DataFrame:
 @query("""WITH g AS (SELECT p_name AS name, list_sort(list(p_partkey)) AS ids FROM part GROUP BY p_name) SELECT name, ids[1] AS kept, len(ids)::INT AS merged, CASE WHEN len(ids) = 1 THEN ids[1] END AS only FROM g""")
 def same_name_merge(c: Catalog) -> DataFrame:
     """Same names merged into the smallest id; lists of one element unwrapped."""
-    g = c.table("part").groupBy(F.col("p_name").alias("name")).agg(F.array_sort(F.collect_list("p_partkey")).alias("ids"))
-    return g.select("name", F.get("ids", F.lit(0)).alias("kept"), F.size("ids").alias("merged"), B.unwrapped(F.col("ids")).alias("only"))
+    g = c.table("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("kept"), F.count("p_partkey").cast("int").alias("merged"))
+    return g.select("name", "kept", "merged", F.when(F.col("merged") == 1, F.col("kept")).alias("only"))
 
 
 @query("""SELECT c_custkey AS custkey, CASE WHEN c_mktsegment LIKE '%BUILD%' THEN 'group:construction' WHEN c_mktsegment LIKE '%AUTO%' THEN 'group:vehicles' ELSE 'group:other' END AS parent FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
