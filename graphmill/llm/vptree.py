@@ -9,7 +9,8 @@ k-th best so far, the far side of a split at radius m is visited only if
     |d(query, vantage) - m| <= relax * t
 
 relax = 1 is the triangle inequality's own bound: the search is exact, ties included.
-Below 1 it prunes more than is safe.
+Below 1 it prunes more than is safe.  Without a factor given, the smallest is taken that finds RECALL of the true
+neighbours of TRIED queries in a tree of as many sampled vectors as a shard has.
 
 1. A top-level tree is made on the driver from a sample of at most SAMPLE vectors.  Its
    leaves are regions of about SHARD rows (at most SAMPLE / 16 regions).  Every vector is
@@ -52,7 +53,9 @@ from graphmill.workspace import checkpointed
 K = 20
 #: Rows of a shard, queries of a block, points of a leaf, vectors that the top-level tree is made from.
 SHARD, BLOCK, LEAF, SAMPLE = 8192, 16384, 128, 32768
-RELAX = 0.5
+#: Factors that are tried, the share of the true neighbours that the one chosen must find, and the queries that are tried.
+FACTORS = (0.03, 0.06, 0.09, 0.12, 0.15, 0.18, 0.21, 0.25, 0.3, 0.4, 0.5, 0.7)
+RECALL, TRIED = 0.96, 400
 #: Rounding of distances, relative to the largest.
 SLACK = 1e-9
 
@@ -96,7 +99,7 @@ class Tree:
         n = len(queries)
         self.q, self.q_ids, self.k, self.relax, self.most = queries, query_ids, k, relax, most
         self.base = (queries * queries).sum(1) + most * most
-        self.bound = bound.copy()
+        self.bound, self.compared = bound.copy(), 0
         self.score, self.found = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
         self._visit(self.root, np.arange(n))
         return self.found, self.score
@@ -116,6 +119,7 @@ class Tree:
             self._visit(far, mine[gap <= reach(self.base[mine], self.bound[mine], self.relax)])
 
     def _leaf(self, node: np.ndarray, own: np.ndarray) -> None:
+        self.compared += len(own) * len(node)
         count = self.first[node + 1] - self.first[node]
         ids = self.ids[np.repeat(self.first[node] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         x = np.ascontiguousarray(self.points[node, :-1])
@@ -223,14 +227,37 @@ def _search_cell(dim: int, k: int, relax: float, most: float):
     return run
 
 
+def calibrated(sample: np.ndarray, most: float, k: int = K, recall: float = RECALL, size: int = SHARD) -> float:
+    """The smallest of FACTORS that reaches the recall in a tree of sampled vectors (1, which is exact, if none does)."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    points = sample[rng.permutation(len(sample))[:size]]
+    ids = np.arange(len(points))
+    tree, asked = Tree(_lifted(points, most), np.arange(len(points) + 1), ids), ids[:TRIED]
+    known = np.full(len(asked), -np.inf)
+
+    def found(factor: float) -> np.ndarray:
+        return tree.search(_as_queries(points[asked]), asked, known, k, factor, most)[0]
+
+    best = found(1.0)
+    wanted = (best >= 0).sum()
+    for factor in FACTORS:
+        got = found(factor)
+        if sum(len(np.intersect1d(a[a >= 0], b[b >= 0])) for a, b in zip(best, got)) >= recall * wanted:
+            return factor
+    return 1.0
+
+
 def usable(vector: str = "embedding") -> Column:
     """Whether the vector can take part, length aside."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, relax: float = RELAX, shard_rows: int = SHARD) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row (vec_id, embedding) with is_query, about its k rows of largest inner product."""
+def search(vectors: DataFrame, is_query: Column, k: int = K, relax: float | None = None, shard_rows: int = SHARD) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row (vec_id, embedding) with is_query, about its k rows of largest inner product.
+
+    relax: the factor; by default one that is calibrated on a sample.
+    """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("_vector"), is_query.alias("_query"))
     rows = rows.withColumn("_dim", F.size("_vector"))
@@ -247,6 +274,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, relax: float = RELA
     if not len(drawn):
         drawn = rows.select("vec_id", "_vector").limit(1).toArrow()
     sample = np.unique(_vectors(drawn.column("_vector"), dim), axis=0)
+    relax = calibrated(sample, most, k) if relax is None else relax
     regions = spark.sparkContext.broadcast(Regions(sample, most, max(1, min(math.ceil(n / shard_rows), SAMPLE // 16))))
 
     def put(batches):

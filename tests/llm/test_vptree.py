@@ -86,3 +86,23 @@ def test_awkward_vectors(spark):
     few = V.search(df.where("vec_id IN (0, 20)"), F.col("vec_id") % 20 == 0, k=5).toPandas()
     assert sorted(zip(few.query_id, few.vec_id)) == [(0, 20), (20, 0)]
     assert V.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_the_calibrated_factor_compares_fewer_points_and_keeps_recall(spark):
+    """Vectors of few free dimensions: a tenth of the points are compared; of many, most are, and recall holds too."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    for free, share in ((3, 0.35), (24, 1.0)):
+        x = np.concatenate([rng.normal(size=(3000, free)), np.zeros((3000, 24 - free))], 1)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        most = 1.0 + 1e-9
+        factor = V.calibrated(x, most, 10)
+        assert factor < 1
+        tree, asked = V.Tree(V._lifted(x, most), np.arange(3001), np.arange(3000)), np.arange(1000, 1200)
+        got, _ = tree.search(V._as_queries(x[asked]), asked, np.full(200, -np.inf), 10, factor, most)
+        assert tree.compared < share * 200 * 3000
+        hits = sum(len(set(g) & set(exact(np.arange(3000), x, q, x[q], 10))) for g, q in zip(got.tolist(), asked))
+        assert hits >= 0.9 * 2000
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:1500])], "vec_id long, embedding array<double>")
+        found = V.search(df, F.col("vec_id") % 20 == 0, k=10, shard_rows=400).toPandas()
+        hits = sum(len(set(found[found.query_id == q].vec_id) & set(exact(np.arange(1500), x[:1500], q, x[q], 10))) for q in range(0, 1500, 20))
+        assert hits >= 0.9 * 750
