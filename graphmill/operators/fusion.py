@@ -90,3 +90,41 @@ def node_citations(nodes: DataFrame, links: DataFrame, fallback: str, most: int
     own = Window.partitionBy("id").orderBy("source")
     top = links.distinct().withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= most).groupBy("id").agg(F.array_sort(F.collect_list("source")).alias("_s"))
     return nodes.select("id").join(top, "id", "left").select("id", F.array_join(F.coalesce("_s", F.array(F.lit(fallback))), ",").alias("citations"))
+
+
+# Roles of documents by words of their names, best priority first; any other name is `other`.
+ROLES = (
+    ("guide", ("指南", "手册", "guide")),
+    ("detail_atlas", ("详图", "图集", "详解")),
+    ("code_spec", ("规范", "标准", "gb")),
+    ("macro_atlas", ("资料",)),
+)
+
+
+def with_roles(docs: DataFrame, name: str = "name", roles=ROLES) -> DataFrame:
+    """Documents with `role` and `priority` (0 is best) by the first role of which a word is in the name, case ignored."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    role, priority = F.lit("other"), F.lit(len(roles))
+    for i, (label, words) in reversed(list(enumerate(roles))):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | low.contains(w.lower())
+        role, priority = F.when(hit, label).otherwise(role), F.when(hit, i).otherwise(priority)
+    return docs.withColumns({"role": role, "priority": priority})
+
+
+def view_order(docs: DataFrame, keys: list[str], count: str = "n", tie: str = "doc_id") -> DataFrame:
+    """Documents (keys, tie, count, role, priority) with their `place` among those of their keys.
+
+    Of a role, the fullest come first; in a role of more than three the upper, middle and lower third by count take
+    turns.  Then the roles take turns, best priority first.
+    """
+    own = Window.partitionBy(*keys, "priority", "role")
+    rows = docs.withColumns({"_i": F.row_number().over(own.orderBy(F.desc(count), tie)) - 1, "_m": F.count("*").over(own)})
+    one, two = F.floor(F.col("_m") / 3), F.floor(F.col("_m") * 2 / 3)
+    third = F.when((F.col("_m") <= 3) | (F.col("_i") < one), 0).when(F.col("_i") < two, 1).otherwise(2)
+    turn = F.col("_i") - F.when(F.col("_m") <= 3, 0).when(F.col("_i") < one, 0).when(F.col("_i") < two, one).otherwise(two)
+    rows = rows.withColumns({"_third": third, "_turn": turn})
+    rows = rows.withColumn("_at", F.row_number().over(own.orderBy("_turn", "_third")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_at", "priority", "role"))
+    return rows.withColumn("place", place).drop("_i", "_m", "_third", "_turn", "_at")

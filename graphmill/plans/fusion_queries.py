@@ -87,6 +87,23 @@ def chunk_entities(c: Catalog) -> DataFrame:
     return c.chunks().select("doc_id", "sequence", F.array_join(words, ",").alias("entities")).where("entities <> ''")
 
 
+#: Words of supplying nations stand in for those of document names.
+_NATION_ROLES = (("guide", ("united", "china")), ("detail_atlas", ("france", "germany", "india")), ("code_spec", ("japan", "brazil", "kenya", "iran")), ("macro_atlas", ("peru", "egypt", "iraq")))
+
+
+@query(f"""WITH {ITEMS}, d AS (SELECT page AS answer, doc_id, n_name AS name, count(*) AS n FROM items JOIN supplier ON s_suppkey = doc_id JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL),
+r AS (SELECT *, CASE WHEN regexp_matches(lower(name), 'united|china') THEN 0 WHEN regexp_matches(lower(name), 'france|germany|india') THEN 1 WHEN regexp_matches(lower(name), 'japan|brazil|kenya|iran') THEN 2 WHEN regexp_matches(lower(name), 'peru|egypt|iraq') THEN 3 ELSE 4 END AS priority FROM d),
+i AS (SELECT *, row_number() OVER (PARTITION BY answer, priority ORDER BY n DESC, doc_id) - 1 AS i, count(*) OVER (PARTITION BY answer, priority) AS m FROM r),
+t AS (SELECT *, CASE WHEN m <= 3 OR i < m // 3 THEN 0 WHEN i < m * 2 // 3 THEN 1 ELSE 2 END AS third FROM i),
+a AS (SELECT *, row_number() OVER (PARTITION BY answer, priority ORDER BY i - CASE WHEN m <= 3 THEN 0 ELSE [0, m // 3, m * 2 // 3][third + 1] END, third) AS spot FROM t)
+SELECT answer, doc_id, ['guide', 'detail_atlas', 'code_spec', 'macro_atlas', 'other'][priority + 1] AS role, row_number() OVER (PARTITION BY answer ORDER BY spot, priority)::INT AS place FROM a""")
+def document_view_roles(c: Catalog) -> DataFrame:
+    """Documents of each answer in order: thirds by count take turns within a role, then the roles do."""
+    names = c.table("supplier").join(c.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("doc_id"), F.col("n_name").alias("name"))
+    docs = c.items().groupBy(F.col("page").alias("answer"), "doc_id").agg(F.count("*").alias("n")).join(names, "doc_id")
+    return M.view_order(M.with_roles(docs, roles=_NATION_ROLES), ["answer"]).select("answer", "doc_id", "role", "place")
+
+
 # -- chunking and ingestion -----------------------------------------------------------------------------------------
 
 
