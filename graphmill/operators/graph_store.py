@@ -104,6 +104,8 @@ def add(store: Store, triplets: DataFrame) -> None:
     name = f"segment-{uuid.uuid4().hex}"
     rows = triplets.where("doc_id IS NOT NULL AND subject IS NOT NULL AND object IS NOT NULL")
     rows = rows.select("doc_id", "chunk_id", F.col("subject").alias("src"), F.coalesce("relation", F.lit("")).alias("rel"), F.col("object").alias("dst"), "confidence")
+    if rows.isEmpty():  # partitioned files of no rows have no schema
+        return
     shuffles = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.withColumn("bucket", _bucket("doc_id")).repartition(shuffles, "bucket", F.pmod(F.xxhash64("doc_id", "chunk_id", "dst"), F.lit(max(1, shuffles // BUCKETS))))
     placed.write.partitionBy("bucket").parquet(f"{store.path}/{name}/forward")

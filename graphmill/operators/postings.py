@@ -50,7 +50,14 @@ class Index:
         return [r.asDict() for r in rows]
 
     def read(self, name: str, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/{part}")
+        """A part of a segment; partitioned parts may have no files, so their schema is given."""
+        reader = self.spark.read
+        if part == "terms":
+            reader = reader.schema("term string, df long, bucket int")
+        if part == "postings":
+            kind = self.read(name, "forward").schema["doc_id"].dataType.simpleString()
+            reader = reader.schema(f"term string, cell int, max_tf long, min_len long, docs array<struct<doc_id: {kind}, tf: long, len: long>>, bucket int")
+        return reader.parquet(f"{self.path}/{name}/{part}")
 
     def _gathered(self, part: str, *kinds: str) -> DataFrame | None:
         out = None

@@ -36,6 +36,9 @@ def test_random_changes_equal_a_build_from_scratch(spark):
     ids = lambda docs: spark.createDataFrame([(d,) for d in docs], "doc_id long")
     store = G.create(spark, folder(spark, "graph"))
     assert store.edges().collect() == [] and store.nodes().collect() == []
+    G.add(store, frame([]))
+    G.remove(store, ids([1]))
+    assert store.edges().collect() == []
     now = _rows(rng, range(20)) + [(None, 1, "lost", "r", "lost", 0.1), (5, 1, None, "r", "x", 0.1), (5, 1, "self", "r", "self", 0.1)]
     G.add(store, frame(now))
     _check(store, now)

@@ -59,6 +59,9 @@ def test_scores_before_and_after_changes(spark, monkeypatch):
     asked = spark.createDataFrame([(q, t) for q, terms in queries.items() for t in terms], "query_id long, term string")
     index = P.create(spark, folder(spark, "postings"))
     assert _got(index, asked, 5) == {}
+    P.add(index, frame({1000: []}))  # a segment without a term
+    assert _got(index, asked, 5) == {}
+    P.remove(index, spark.createDataFrame([(1000,)], "doc_id long"))
     P.add(index, frame(docs))
     skipped = []
     _same(_got(index, asked, 5, skipped), _want(docs, queries, 5))
