@@ -11,5 +11,5 @@ def test_oracle(spark, duck, sf_dir, name):
     assert same(queries()[name](spark, sf_dir), duck.sql(oracle_sql()[name])) == ""
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
