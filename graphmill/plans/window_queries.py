@@ -249,10 +249,11 @@ def common_standard_pairs(c: Catalog) -> DataFrame:
     return J.sharing_pairs(p.select(F.col("src").alias("node"), F.col("dst").alias("shared")), 8)
 
 
-@query("SELECT a.doc_id AS a, b.item_id AS b FROM documents a JOIN benchmark b ON a.doc_id % 100 = b.item_id AND a.lang = 'en'")
+@query("SELECT s_suppkey AS supplier, c_custkey AS customer, split_part(s_name, '#', 2) AS name FROM supplier JOIN customer ON split_part(s_name, '#', 2) = split_part(c_name, '#', 2)")
 def same_key_match(c: Catalog) -> DataFrame:
-    docs = c.table("documents").where("lang = 'en'").select(F.col("doc_id").alias("a"), (F.col("doc_id") % 100).alias("b"))
-    return docs.join(c.table("benchmark").select(F.col("item_id").alias("b")), "b").select("a", "b")
+    """Nodes of two labels with one name, the label's own part of it aside."""
+    own = lambda table, key, name, alias: c.table(table).select(F.col(key).alias(alias), F.split_part(F.col(name), F.lit("#"), F.lit(2)).alias("name"))
+    return own("supplier", "s_suppkey", "s_name", "supplier").join(own("customer", "c_custkey", "c_name", "customer"), "name").select("supplier", "customer", "name")
 
 
 @query("""SELECT p_partkey AS partkey, CASE WHEN contains(upper(p_type), 'BRASS') THEN 'metal' WHEN contains(upper(p_type), 'STEEL') THEN 'iron' WHEN contains(upper(p_name), 'A') THEN 'named' ELSE 'other' END AS zone FROM part""")
