@@ -7,6 +7,7 @@ over a whole type; rule tables are broadcast.
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from graphmill.functions.text import INVERSE, inverse_relation
 from graphmill.operators.components import connected_components
 from graphmill.operators.joins import band_join, without
+from graphmill.workspace import checkpointed
 
 
 def merged_entities(mentions: DataFrame, key: list[str]) -> DataFrame:
@@ -101,13 +103,30 @@ def evidence(edges: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def near_mentions(rows: DataFrame, at: str, window: int, least: int) -> DataFrame:
+    """Pairs of a document's rows (doc_id, entity, position `at`) at most `window` apart, both ways round, right columns suffixed _r.
+
+    Only pairs of entities that can be near `least` times are there: with n and m rows in the document they are so at most
+    n * m times.  One of the two has the root of `least` or more rows then, so these rows alone are held against all, and
+    pairs of entities that a document names once are neither built nor shuffled.
+    """
+    bar = math.isqrt(max(least, 1) - 1) + 1
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "entity")))
+    found = band_join(counted.where(F.col("_n") >= bar), counted, ["doc_id"], at, window)
+    found = found.where((F.col("entity") != F.col("entity_r")) & (F.col(at) != F.col(f"{at}_r")) & (F.col("_n") * F.col("_n_r") >= least))
+    own = [c for c in rows.columns if c != "doc_id"]
+    turn = lambda a, b: F.struct(*(F.col(f"{c}{a}").alias(c) for c in own), *(F.col(f"{c}{b}").alias(f"{c}_r") for c in own))
+    ways = F.when(F.col("_n_r") >= bar, F.array(turn("", "_r"))).otherwise(F.array(turn("", "_r"), turn("_r", "")))
+    return found.select("doc_id", F.explode(ways).alias("_w")).select("doc_id", "_w.*")
+
+
 def cooccurrence(mentions: DataFrame, existing: DataFrame | None = None, window: int = 3, least: int = 2) -> DataFrame:
     """doc_id, a, b, support: ordered pairs of entities in different chunks of a document at most `window` apart.
 
     mentions: doc_id, sequence, entity.  The range join is bucketed by position, and pairs with an edge either way go.
     """
     rows = mentions.select("doc_id", "sequence", "entity").distinct()
-    pairs = band_join(rows, rows, ["doc_id"], "sequence", window).where((F.col("sequence") < F.col("sequence_r")) & (F.col("entity") != F.col("entity_r")))
+    pairs = near_mentions(rows, "sequence", window, least).where(F.col("sequence") < F.col("sequence_r"))
     out = pairs.groupBy("doc_id", F.col("entity").alias("a"), F.col("entity_r").alias("b")).agg(F.count("*").alias("support")).where(F.col("support") >= least)
     return out if existing is None else without(out, existing.select("a", "b"), ["a", "b"], both_ways=("a", "b"))
 
@@ -124,7 +143,7 @@ def cooccurrence_edges(mentions: DataFrame, existing: DataFrame, rules: dict, wi
     rows = mentions.select("doc_id", "sequence", "entity", "type").distinct()
     place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("sequence"))
     rows = rows.withColumn("at", place).drop("sequence")
-    near = band_join(rows, rows, ["doc_id"], "at", window).where((F.col("at") != F.col("at_r")) & (F.col("entity") != F.col("entity_r")))
+    near = near_mentions(rows, "at", window, least)
     pairs = near.groupBy("doc_id", F.col("entity").alias("a"), F.col("entity_r").alias("b")).agg(F.count("*").alias("support"), F.max("type").alias("_ta"), F.max("type_r").alias("_tb")).where(F.col("support") >= max(1, least))
     table = mentions.sparkSession.createDataFrame([(a, b, r, float(c)) for (a, b), (r, c) in rules.items()], "_ta string, _tb string, rel string, _c double")
     pairs = pairs.join(F.broadcast(table), ["_ta", "_tb"], "left").withColumn("rel", F.coalesce("rel", F.lit("CO_OCCUR")))
@@ -136,7 +155,7 @@ def cooccurrence_edges(mentions: DataFrame, existing: DataFrame, rules: dict, wi
         pairs = pairs.where(~common)
     strong = existing.where("rel <> 'CO_OCCUR'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     pairs = without(pairs, strong, ["a", "b"], both_ways=("a", "b"))
-    pairs = without(pairs, existing.select(F.col("src").alias("a"), "rel", F.col("dst").alias("b")), ["a", "rel", "b"])
+    pairs = checkpointed(without(pairs, existing.select(F.col("src").alias("a"), "rel", F.col("dst").alias("b")), ["a", "rel", "b"]))  # read twice
     order = F.struct("doc_id", "a", "b")
     two = {"_x": F.least("a", "b"), "_y": F.greatest("a", "b")}
     first = pairs.withColumns(two).where(~common).groupBy("_x", "_y").agg(F.min(order).alias("_first"))

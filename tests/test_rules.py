@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -217,3 +218,14 @@ def test_citations_have_their_fields(spark):
     assert [(r["source"], r["location"], r["snippet"], r["pdf_url"], r["chunk_id"]) for r in rows] == [("s", "", "", "/f", 7), ("unknown source", "", "x", "/api/v1x", 7), ("unknown source", "", "y", None, 7)]
     where = [r[0] for r in spark.createDataFrame([(1, "c", "t", "s"), (None, "c", None, "s"), (2, "", "t", " ")], "p int, c string, t string, s string").select(X.page_location(*map(F.col, "pcts"))).collect()]
     assert where == ["1|c t|s", "s", "2|t"]
+
+
+def test_mentions_that_cannot_be_near_often_make_no_pairs(spark):
+    once = [(d, s, f"e{d}-{s}") for d in range(3) for s in range(40)]
+    rows = once + [(1, s, "often") for s in (3, 4, 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, at long, entity string")
+    pairs = lambda own, least: {(d, a, b, n) for d, a, b, n in B.near_mentions(own, "at", 3, least).groupBy("doc_id", "entity", "entity_r").count().collect() if n >= least}
+    assert B.near_mentions(frame.where("entity <> 'often'"), "at", 3, 2).isEmpty()
+    for least in (1, 2, 3, 4):
+        by_hand = Counter((d, a, b) for d, s, a in rows for e, t, b in rows if d == e and a != b and 0 < abs(s - t) <= 3)
+        assert pairs(frame, least) == {(*k, n) for k, n in by_hand.items() if n >= least}
