@@ -72,7 +72,7 @@ def stream_retries(c: Catalog) -> DataFrame:
     last = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
     closing = last.select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(None).cast("long").alias("user_id"), *(F.lit(None).cast(t).alias(n) for n, t in (("event_type", "string"), ("value", "double"), ("props", "string"))))
     closing.coalesce(1).write.mode("append").parquet(path)
-    stream = P.progress_source(c.spark, path).select(F.coalesce("user_id", F.lit(-1)).alias("task_id"), "event_id", "ts", F.col("event_type").alias("status"))
+    stream = P.progress_source(c.spark, path).where("user_id IS NOT NULL OR event_id = -1").select(F.coalesce("user_id", F.lit(-1)).alias("task_id"), "event_id", "ts", F.col("event_type").alias("status"))
     policy = S.Policy(ended=("purchase",), delay=86_400, expiry=10 * 86_400)
     with S.state_store(c.spark):
         return P.drained(S.retries(stream, policy, late="1 day"), folder(c.spark, "retries"), folder(c.spark, "state")).where("task_id >= 0")

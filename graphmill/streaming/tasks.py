@@ -8,6 +8,7 @@ Nothing in the state grows with a task's history: events go once they are applie
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -92,35 +93,42 @@ class _Retries(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "ids array<long>, statuses array<string>")
+        self.waiting = handle.getListState("waiting", "ats array<long>, ids array<long>, statuses array<string>")
         self.task = handle.getValueState("task", "errors int, due long, expires long, done long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Keeps the events by their time."""
+        """Keeps the events, and asks for one timer at the first of them: each call to the state store is a round trip."""
+        first = None
         for frame in rows:
-            for at, own in frame.groupby("at_ms"):
-                kept = self.waiting.getValue((int(at),)) if self.waiting.containsKey((int(at),)) else ([], [])
-                self.waiting.updateValue((int(at),), ([*kept[0], *map(int, own["event_id"])], [*kept[1], *own["status"]]))
-                self.handle.registerTimer(int(at))
+            ats = frame["at_ms"].tolist()
+            self.waiting.appendValue((ats, frame["event_id"].tolist(), frame["status"].tolist()))
+            first = min(ats) if first is None else min(first, *ats)
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Applies all events that the watermark has passed, and the clocks in between."""
         now, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
-        errors, due, expires, done = self.task.get() if self.task.exists() else (0, 0, 0, -1)
+        errors, due, expires, done = self.task.get() or (0, 0, 0, -1)
         if fired <= done:  # applied by an earlier timer of this batch
             return
+        events = sorted(e for ats, ids, statuses in self.waiting.get() for e in zip(ats, ids, statuses))
         task, out = Task(self.policy, errors, due, expires), []
-        for at in sorted(k[0] for k in self.waiting.keys() if k[0] <= now):
-            ids, statuses = self.waiting.getValue((at,))
-            for _, status in sorted(zip(ids, statuses)):
-                out += task.event(at, status)
-            self.waiting.removeKey((at,))
+        ready = bisect.bisect_right(events, now, key=lambda e: e[0])
+        for at, _, status in events[:ready]:
+            out += task.event(at, status)
         out += task.passed(now)
-        self.task.update((task.errors, task.due, task.expires, now))
-        if clock := min((x for x in (task.due, task.expires) if x), default=0):
-            self.handle.registerTimer(clock)
-        elif not any(True for _ in self.waiting.keys()):
+        left = events[ready:]
+        if left:
+            self.waiting.put([tuple(map(list, zip(*left)))])
+        elif events:
+            self.waiting.clear()
+        clocks = [x for x in (task.due, task.expires, left[0][0] if left else 0) if x]
+        if clocks:
+            self.task.update((task.errors, task.due, task.expires, now))
+            self.handle.registerTimer(min(clocks))
+        else:
             self.task.clear()
         if out:
             yield pd.DataFrame({"task_id": key[0], "at": pd.to_datetime([x[0] for x in out], unit="ms", utc=True), "action": [x[1] for x in out], "attempt": [x[2] for x in out]}).astype({"attempt": "int32"})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from graphmill.streaming import progress as P
@@ -97,3 +98,32 @@ def test_last_messages(stateful):
         own = own[own.batch_id == own.batch_id.max()].sort_values("place")
         want = sorted((r for r in rows if r[0] == session and r[1] is not None), key=lambda r: (r[1], r[2] or "", r[3] or ""))[-6:]
         assert list(own.sequence) == [r[1] for r in want] and list(own.place) == list(range(1, len(want) + 1))
+
+
+class _Counted:
+    """A task's state in memory, which counts the calls that would be round trips to the state store."""
+
+    def __init__(self):
+        self.calls, self.rows, self.value, self.timers = 0, [], None, set()
+
+    def getListState(self, name, schema):
+        return self
+
+    getMapState = getValueState = getListState
+
+    def appendValue(self, row):
+        self.calls += 1
+        self.rows.append(row)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+def test_a_tasks_events_of_a_batch_are_few_calls():
+    store = _Counted()
+    processor = S._Retries(POLICY)
+    processor.init(store)
+    frame = pd.DataFrame({"at_ms": range(5000, 15000), "event_id": range(10_000), "status": ["error"] * 10_000})
+    list(processor.handleInputRows((1,), iter([frame]), None))
+    assert store.calls == 2 and store.timers == {5000} and len(store.rows[0][0]) == 10_000
