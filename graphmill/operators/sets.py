@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.partitioning import dealt
+
 
 def ordered_union(*lists: Column) -> Column:
     """Distinct elements of the lists, first occurrence first, nulls and blanks left out."""
@@ -24,18 +26,25 @@ def difference(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 
 def merged_ranges(ranges: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Unions of ranges that overlap or touch (next start <= end + 1), by gaps and islands."""
+    """Unions of ranges that overlap or touch (next start <= end + 1), by gaps and islands.
+
+    One sort serves both windows: rows that open an island stay first among equal ones.
+    """
     own = Window.partitionBy(key).orderBy(start, end)
     before = F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0)
-    island = F.sum("_opens").over(Window.partitionBy(key).orderBy(start, end, F.desc("_opens")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranges.withColumn("_opens", opens).withColumn("_island", island).groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    island = F.sum("_opens").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    rows = dealt(ranges.select(key, start, end), key)
+    return rows.withColumn("_opens", opens).withColumn("_island", island).groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 def pending_ranges(done: DataFrame, totals: DataFrame, key: str, total: str = "total", start: str = "start", end: str = "end") -> DataFrame:
-    """What of 1..total the done ranges leave open; done as merged_ranges() gives it, so no two touch."""
+    """What of 1..total the done ranges leave open; done as merged_ranges() gives it, so no two touch.  One row a key in totals."""
     own = Window.partitionBy(key).orderBy(start)
     rows = totals.select(key, total).join(done, key, "left")
-    before = rows.select(key, (F.coalesce(F.lag(end).over(own), F.lit(0)) + 1).alias("_from"), F.coalesce(F.col(start) - 1, F.col(total)).alias("_to"))
-    last = done.groupBy(key).agg(F.max(end).alias("_end")).join(totals.select(key, total), key).select(key, (F.col("_end") + 1).alias("_from"), F.col(total).alias("_to"))
-    return before.unionByName(last).where("_from <= _to").select(key, F.col("_from").cast("long").alias(start), F.col("_to").cast("long").alias(end))
+    gap = lambda low, high: F.struct(low.cast("long").alias(start), high.cast("long").alias(end))
+    before = gap(F.coalesce(F.lag(end).over(own), F.lit(0)) + 1, F.coalesce(F.col(start) - 1, F.col(total)))
+    after = gap(F.max(end).over(own.rowsBetween(Window.unboundedPreceding, 0)) + 1, F.col(total))
+    is_last = F.lead(F.lit(True)).over(own).isNull()
+    rows = rows.select(key, F.when(is_last, F.array(before, after)).otherwise(F.array(before)).alias("_gaps"))
+    return rows.select(key, F.explode("_gaps").alias("_gap")).select(key, "_gap.*").where(F.col(start) <= F.col(end))
