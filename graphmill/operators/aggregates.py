@@ -40,6 +40,23 @@ def degree_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).groupBy("label").agg(F.min("degree").alias("min_degree"), F.round(F.avg("degree"), 4).alias("avg_degree"), F.max("degree").alias("max_degree"))
 
 
+#: Missing ids that are broadcast, at most.
+BROADCAST = 100_000
+
+
+def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """dangling: the number of edges (src, dst) with an end that is no node's id.
+
+    The distinct ends are held against the nodes, not the edges; these meet the few missing ids only.  A null end is none.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).where("id IS NOT NULL").distinct()
+    missing = checkpointed(ends.join(nodes.select("id"), "id", "left_anti"))
+    mark = F.broadcast if missing.count() <= BROADCAST else lambda x: x
+    side = lambda end: mark(missing.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")))
+    found = edges.select("src", "dst").join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    return found.agg(F.count_if(F.col("_src").isNotNull() | F.col("_dst").isNotNull()).alias("dangling"))
+
+
 def duplicates(triplets: DataFrame) -> DataFrame:
     """subject, relation, object, n of triplets stated more than once."""
     return counts(triplets, "subject", "relation", "object").where("n > 1")

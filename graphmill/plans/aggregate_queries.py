@@ -45,10 +45,7 @@ def dup_triplets(c: Catalog) -> DataFrame:
 
 @query(f"WITH {GRAPH} SELECT count(*) AS dangling FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)")
 def dangling_edges(c: Catalog) -> DataFrame:
-    ids = c.nodes().select("id")
-    edges = c.edges()
-    bad = edges.join(ids, edges["src"] == ids["id"], "left_anti").select("src", "rel", "dst").unionByName(edges.join(ids, edges["dst"] == ids["id"], "left_anti").select("src", "rel", "dst"))
-    return bad.distinct().agg(F.count("*").alias("dangling"))
+    return A.dangling(c.nodes(), c.edges())
 
 
 @query(f"""WITH {CHUNKS}, {GRAPH}, x AS (SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM nodes) AS entities, (SELECT count(*) FROM edges) AS relations),

@@ -145,3 +145,28 @@ def test_text_functions_on_literals(spark):
     df = spark.createDataFrame([("Ａ１　ＩＩ level 3", "see [1,2] and [7][2]", "1, 3-5,8", "x {\"a\": 1} y", "in 2024, was 1985")], "name string, cited string, pages string, messy string, years string")
     row = df.select(X.half_width(F.col("name")), X.split_citation_groups(F.col("cited")), X.renumbered_citations(F.col("cited")), X.page_spec(F.col("pages")), X.json_in(F.col("messy")), X.year(F.col("years"))).first()
     assert tuple(row) == ("A1 II level 3", "see [1][2] and [7][2]", "see [1,2] and [1][2]", [1, 3, 4, 5, 8], '{"a": 1}', 2024)
+
+
+def test_ranges_are_sorted_once_in_partitions_that_follow_the_rows(spark, monkeypatch):
+    from graphmill import partitioning
+    from graphmill.operators.sets import merged_ranges, pending_ranges
+
+    monkeypatch.setattr(partitioning, "ROWS", 10)
+    rows = [(k, s, s + (s * 7 + k) % 5) for k in range(6) for s in range(1, 90, 3 + k)] + [(1, 40, 40)] * 3 + [(7, 5, 2), (7, 5, 2)]
+    merged = merged_ranges(spark.createDataFrame(rows, "key long, start long, end long"), "key")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "REPARTITION_BY_NUM" in plan and merged._jdf.queryExecution().toRdd().getNumPartitions() >= len(rows) // 10
+    got = pending_ranges(merged, spark.createDataFrame([(k, 100) for k in range(9)], "key long, total int"), "key").collect()
+    for k in set(range(9)) - {7}:
+        covered = {p for key, s, e in rows if key == k for p in range(s, e + 1)}
+        assert sorted(p for r in got if r["key"] == k for p in range(r["start"], r["end"] + 1)) == sorted(set(range(1, 101)) - covered)
+
+
+def test_dangling_edges_by_either_end(spark):
+    from graphmill.operators import aggregates as A
+
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = [("a", "r", "b"), ("a", "r", "x"), ("y", "r", "b"), ("y", "r", "x"), (None, "r", "a"), ("z", "r", None)]
+    frame = spark.createDataFrame(edges, "src string, rel string, dst string")
+    assert A.dangling(nodes, frame).first()["dangling"] == 4  # a null end is unknown, as it is to SQL
+    assert A.dangling(nodes, frame.limit(1)).first()["dangling"] == 0
