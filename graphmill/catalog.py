@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.partitioning import dealt
+
 
 def _key(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix + ":"), F.col(column).cast("string"))
@@ -63,13 +65,14 @@ class Catalog:
             return rows.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
 
         nation, customer, supplier, orders, lineitem = (self.table(t) for t in ("nation", "customer", "supplier", "orders", "lineitem"))
+        pairs = lambda a, b: dealt(lineitem.select(a, b), a, b, scan=lineitem).distinct()
         return (
             one(nation, _key("region", "n_regionkey"), "CONTAINS", _key("nation", "n_nationkey"))
             .unionByName(one(customer, _key("nation", "c_nationkey"), "CONTAINS", _key("customer", "c_custkey")))
             .unionByName(one(supplier, _key("nation", "s_nationkey"), "CONTAINS", _key("supplier", "s_suppkey")))
             .unionByName(one(orders, _key("customer", "o_custkey"), "PLACED", _key("order", "o_orderkey")))
-            .unionByName(one(lineitem.select("l_orderkey", "l_partkey").distinct(), _key("order", "l_orderkey"), "REQUIRES", _key("part", "l_partkey")))
-            .unionByName(one(lineitem.select("l_suppkey", "l_partkey").distinct(), _key("supplier", "l_suppkey"), "PROVIDES", _key("part", "l_partkey")))
+            .unionByName(one(pairs("l_orderkey", "l_partkey"), _key("order", "l_orderkey"), "REQUIRES", _key("part", "l_partkey")))
+            .unionByName(one(pairs("l_suppkey", "l_partkey"), _key("supplier", "l_suppkey"), "PROVIDES", _key("part", "l_partkey")))
         )
 
     def triplets(self) -> DataFrame:

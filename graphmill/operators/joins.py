@@ -26,7 +26,7 @@ def without(rows: DataFrame, existing: DataFrame, keys: list[str], both_ways: tu
     if both_ways:
         a, b = both_ways
         have = have.unionByName(have.withColumnsRenamed({a: "_a"}).withColumnsRenamed({b: a}).withColumnsRenamed({"_a": b}).select(*keys))
-    return rows.join(have.distinct(), keys, "left_anti")
+    return rows.join(have, keys, "left_anti")
 
 
 def common_neighbours(edges: DataFrame, ids: DataFrame, least: int) -> DataFrame:
