@@ -1,9 +1,10 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 The model says that document a is preferred to b with probability
-sigmoid(w . x(a) - w . x(b)).  w minimises the logistic loss on the feature
+sigmoid(w . x(a) - w . x(b)).  Every labelled row trains: rows are dealt to cells by a
+hash, and within a cell each is in a pair with a row of the other label.  w minimises the logistic loss on the feature
 differences of preference pairs (one document labelled 1, one labelled 0) with an L2
-term, by Newton steps.  A document's rating is w . x; the threshold is the quantile
+term, by Newton steps over sums that the tasks return.  A document's rating is w . x; the threshold is the quantile
 of the labelled ratings that leaves the labelled share of 1 above it, and the score
 is sigmoid(rating - threshold), so 0.5 is the threshold.
 
@@ -30,9 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.llm.textarrays import blocks, flat, spans, tidy, word_hashes
+from graphmill.workspace import checkpointed
 
-#: Labelled rows of each kind, and preference pairs, that train the model: the only bounds on what it learns from.
-ROWS_PER_LABEL, PAIRS = 4000, 20_000
+#: Preference pairs at least, where the rows give as many; more rows give more.
+PAIRS = 20_000
+#: Rows of a cell, and rows of either label in it, about; a rare label's rows stand in several cells.
+CELL, LEAST = 8192, 64
+#: Ratings that the driver puts in order, at most, once the threshold's bracket is as narrow.
+RANKED = 100_000
 RIDGE = 1e-3
 _CLASSES = 20
 
@@ -133,37 +139,151 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = RID
 def _extract(batches):
     for batch in batches:
         x = features(*flat(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), N_FEATURES).cast(pa.list_(pa.float32()))], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("_hash"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), N_FEATURES).cast(pa.list_(pa.float32()))], ["label", "_hash", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model | None:
-    """A model from texts (doc_id, text) and labels (doc_id, label in 0, 1).
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
 
-    Of each label, the documents whose doc_id hashes lowest, about rows_per_label of them, with their whole texts; of
-    their distinct rows (doc_id, text) the rows_per_label whose hashes are lowest, however many rows an id has.
-    That sample of ids is what is broadcast.
+
+def _cells(batches):
+    """(cell, label, own, x) of each cell; rows are in order of their cell."""
+    kept = []
+    for batch in batches:
+        cell = batch.column("_cell").to_numpy()
+        label, own, x = batch.column("label").to_numpy(), batch.column("_own").to_numpy(zero_copy_only=False), _matrix(batch.column("x"))
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1), len(cell)]
+        for i, j in zip(cuts, cuts[1:]):
+            if kept and kept[0][0] != cell[i]:
+                yield kept[0][0], *(np.concatenate([k[m] for k in kept]) for m in (1, 2, 3))
+                kept = []
+            if j > i:
+                kept.append((cell[i], label[i:j], own[i:j], x[i:j]))
+    if kept:
+        yield kept[0][0], *(np.concatenate([k[m] for k in kept]) for m in (1, 2, 3))
+
+
+def _summed(table: DataFrame, of) -> list[np.ndarray]:
+    """The sum of arrays that `of` gives for each cell (label, own, x); tasks return one row each, a few for each core."""
+
+    def run(batches):
+        first, total = None, None
+        for cell, label, own, x in _cells(batches):
+            parts = of(label, own, x)
+            first = cell if first is None else first
+            total = parts if total is None else [a + b for a, b in zip(total, parts)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([int(first)]), pa.array([[np.asarray(t, np.float64).ravel() for t in total]], pa.list_(pa.list_(pa.float64())))], ["cell", "parts"])
+
+    few = table.coalesce(4 * table.sparkSession.sparkContext.defaultParallelism)
+    rows = sorted(few.mapInArrow(tidy(run), "cell long, parts array<array<double>>").toArrow().to_pylist(), key=lambda r: r["cell"])
+    return [sum(np.array(r["parts"][k]) for r in rows) for k in range(len(rows[0]["parts"]))] if rows else []
+
+
+def _pairs(label: np.ndarray, shifts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (good, poor) of a cell: each row of the commoner label with `shifts` rows of the other, all of these in turn."""
+    good, poor = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    few, many = sorted((good, poor), key=len)
+    if not len(few):
+        return few, few
+    i = np.arange(len(many))
+    j = np.concatenate([(i + k) % len(few) for k in range(min(shifts, len(few)))])
+    many, few = np.tile(many, min(shifts, len(few))), few[j]
+    return (many, few) if len(good) > len(poor) else (few, many)
+
+
+def _threshold(ratings: DataFrame, share: float) -> float:
+    """The middle between the first rating by whose order the labels' weights sum to more than 1 - share, and the one before it.
+
+    Each label weighs its share.  Ratings are counted in bins, and the bin that matters again, until few are left.
+    """
+    n = {r["label"]: r["n"] for r in ratings.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weigh, most = {1: share / n[1], 0: (1 - share) / n[0]}, 1 - share + 1e-9
+    low, high = ratings.agg(F.min("rating"), F.max("rating")).first()
+    below, before = 0.0, None  # weight and greatest rating below the bracket
+    while True:
+        inside = ratings.where(F.col("rating").between(low, high))
+        if low == high or inside.count() <= RANKED:
+            break
+        place = F.least(F.floor((F.col("rating") - low) / (high - low) * 4096), F.lit(4095))
+        bins = inside.groupBy(place.alias("bin")).agg(F.min("rating").alias("low"), F.max("rating").alias("high"), F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("poor")).orderBy("bin").collect()
+        for b in bins:
+            weight = b["good"] * weigh[1] + b["poor"] * weigh[0]
+            if below + weight > most or b is bins[-1]:
+                low, high = b["low"], b["high"]
+                break
+            below, before = below + weight, b["high"]
+    if low == high:  # very many equal ratings: the one before is the same unless the very first of them decides
+        first = weigh[inside.agg(F.min("label")).first()[0]]
+        return float((low + before) / 2 if before is not None and below + first > most else low)
+    got = sorted((r["rating"], r["label"]) for r in inside.collect())
+    reached = below + np.cumsum([weigh[label] for _, label in got])
+    k = min(int(np.searchsorted(reached, most, side="right")), len(got) - 1)
+    lower = got[k - 1][0] if k else got[0][0] if before is None else before
+    return float((got[k][0] + lower) / 2)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows_per_label: int | None = None) -> Model | None:
+    """A model from texts (doc_id, text) and labels (doc_id, label in 0, 1): from all distinct rows (doc_id, text) with a label.
+
+    rows_per_label: a caller's bound; then the model is fit on that many rows of each label at most, those whose hashes
+    are lowest, by fit().
     """
     labels = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_high")).where("label = _high").drop("_high")
     sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    place = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
-    sample = labels.where(place <= F.when(F.col("label") == 1, F.lit(rows_per_label / sizes[1])).otherwise(F.lit(rows_per_label / sizes[0])))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("_hash"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("_hash"))
-    ranked = rows.select("label", "_hash").distinct().withColumn("_rank", rank).where(F.col("_rank") <= rows_per_label)
-    cuts = {r["label"]: r["cut"] for r in ranked.groupBy("label").agg(F.max("_hash").alias("cut")).collect()}
-    cut = F.when(F.col("label") == 1, F.lit(cuts.get(1))).otherwise(F.lit(cuts.get(0)))
-    distinct = rows.where(F.col("_hash") <= cut).groupBy("label", "_hash").agg(F.min("text").alias("text"))
-    got = distinct.select("text", "label").mapInArrow(tidy(_extract), "label int, x array<float>").toArrow()
-    if not len(got):
+    prevalence = sizes[1] / (sizes[0] + sizes[1])
+    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("_hash"))
+    seen = rows.mapInArrow(tidy(_extract), "label int, _hash long, x array<float>")
+    seen = checkpointed(seen.groupBy("label", "_hash").agg(F.first("x").alias("x")))
+    if rows_per_label:
+        rank = F.row_number().over(Window.partitionBy("label").orderBy("_hash"))
+        got = seen.withColumn("_rank", rank).where(F.col("_rank") <= rows_per_label).orderBy("label", "_hash").select("label", "x").toArrow()
+        return fit(_matrix(got.column("x").combine_chunks()), got.column("label").to_numpy(), prevalence=prevalence) if len(got) else None
+    n = {r["label"]: r["n"] for r in seen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
         return None
-    x = got.column("x").combine_chunks()
-    x = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(-1, N_FEATURES)
-    label = got.column("label").to_numpy()
-    order = np.lexsort((*x[:, -5:].T, *x[:, :8].T, label))  # the same order whatever order the tasks ended in
-    return fit(x[order], label[order], prevalence=sizes[1] / (sizes[0] + sizes[1]))
+    cells = -(-sum(n.values()) // CELL)
+    copies = F.when(F.col("label") == 1, min(cells, -(-LEAST * cells // n[1]))).otherwise(min(cells, -(-LEAST * cells // n[0])))
+    placed = seen.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    placed = placed.select("label", "_hash", "x", (F.col("_copy") == 0).alias("_own"), F.pmod(F.xxhash64("_hash") % cells + F.col("_copy"), F.lit(cells)).alias("_cell"))
+    table = checkpointed(placed.repartition(cells, "_cell").sortWithinPartitions("_cell", "label", "_hash"))
+
+    count, total, squares = _summed(table, lambda label, own, x: [own.sum(), x[own].sum(0, np.float64), (x[own].astype(np.float64) ** 2).sum(0)])
+    mean = total / count
+    scale = np.sqrt(np.maximum(squares / count - mean**2, 0))
+    scale = np.where(scale > 1e-6, scale, np.inf)  # a constant feature says nothing
+    shifts = -(-PAIRS // max(n.values()))
+    w = np.zeros(N_FEATURES)
+
+    def sums(label, own, x):
+        z = (x - mean) / scale
+        a, b = _pairs(label, shifts)
+        gradient, hessian = np.zeros(N_FEATURES), np.zeros((N_FEATURES, N_FEATURES))
+        for i in range(0, len(a), CELL):
+            d = z[a[i : i + CELL]] - z[b[i : i + CELL]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))  # of the wrong order
+            gradient += (d * p[:, None]).sum(0)
+            hessian += (d * (p * (1 - p))[:, None]).T @ d
+        return [len(a), gradient, hessian]
+
+    for _ in range(25):
+        pairs, gradient, hessian = _summed(table, sums)
+        step = np.linalg.solve(hessian.reshape(N_FEATURES, -1) / pairs + RIDGE * np.eye(N_FEATURES), RIDGE * w - gradient / pairs)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    model = Model(w, mean, scale, 0.0)
+
+    def rated(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(model.ratings(_matrix(batch.column("x"))))], ["label", "rating"])
+
+    ratings = checkpointed(seen.select("label", "x").mapInArrow(tidy(rated), "label int, rating double"))
+    model.threshold = _threshold(ratings, prevalence)
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:

@@ -80,3 +80,29 @@ def test_an_id_with_many_rows_stays_within_the_bound(spark, monkeypatch):
     Q.train(make(docs, "doc_id long, text string").repartition(3), make(labels, "doc_id long, label int"), rows_per_label=20)
     label = read.pop()
     assert 0 < (label == 0).sum() <= 20 and 0 < (label == 1).sum() <= 20 and (label == 1).sum() == 20
+
+
+def test_every_labelled_row_trains(spark, monkeypatch):
+    """In small cells, too, each row is in a pair; a rare label's rows stand in several; the threshold is that of all rows."""
+    monkeypatch.setattr(Q, "CELL", 64)
+    monkeypatch.setattr(Q, "LEAST", 4)
+    monkeypatch.setattr(Q, "RANKED", 10)
+    rows = [(i, f"{'good words, many ' * (i % 7 + 1)} {i}" if i % 9 else f"$$ ## {i}", int(i % 9 > 0)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    model = Q.train(frame.select("doc_id", "text"), frame.select("doc_id", "label"))
+    predicted = {r.doc_id: r.predicted for r in Q.score(spark, frame, model).collect()}
+    assert sum(predicted[i] == label for i, _, label in rows) >= 590
+    assert abs(sum(predicted.values()) - sum(r[2] for r in rows)) <= 8
+    a, b = Q._pairs(np.array([1] * 10 + [0] * 3), 1)
+    assert sorted(a) == list(range(10)) and set(b) == {10, 11, 12}
+
+
+def test_threshold_by_brackets(spark, monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(2))
+    rows = [(int(rng.random() < 0.8), float(round(rng.normal(), 2))) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "label int, rating double")
+    whole = Q._threshold(frame, 0.7)
+    monkeypatch.setattr(Q, "RANKED", 5)
+    assert Q._threshold(frame, 0.7) == whole
+    weigh = {k: v / sum(r[0] == k for r in rows) for k, v in ((1, 0.7), (0, 0.3))}
+    assert abs(sum(weigh[label] for label, rating in rows if rating > whole) - 0.7) < 0.02
