@@ -223,6 +223,11 @@ def _threshold(ratings: DataFrame, share: float) -> float:
     return float((got[k][0] + lower) / 2)
 
 
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, label, _hash of the rows with a label (doc_id, label); a shuffle at any size, so that its cost grows as the input."""
+    return docs.select("doc_id", "text").join(labels.hint("merge"), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("_hash"))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows_per_label: int | None = None) -> Model | None:
     """A model from texts (doc_id, text) and labels (doc_id, label in 0, 1): from all distinct rows (doc_id, text) with a label.
 
@@ -235,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_label: int | None = None)
     if len(sizes) < 2:
         return None
     prevalence = sizes[1] / (sizes[0] + sizes[1])
-    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("_hash"))
+    rows = _labelled(docs, labels)
     seen = rows.mapInArrow(tidy(_extract), "label int, _hash long, x array<float>")
     seen = checkpointed(seen.groupBy("label", "_hash").agg(F.first("x").alias("x")))
     if rows_per_label:

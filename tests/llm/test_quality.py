@@ -106,3 +106,10 @@ def test_threshold_by_brackets(spark, monkeypatch):
     assert Q._threshold(frame, 0.7) == whole
     weigh = {k: v / sum(r[0] == k for r in rows) for k, v in ((1, 0.7), (0, 0.3))}
     assert abs(sum(weigh[label] for label, rating in rows if rating > whole) - 0.7) < 0.02
+
+
+def test_few_labels_are_joined_as_many_are(spark):
+    """By one plan at every size: no broadcast of labels, however few."""
+    labels = spark.createDataFrame([(5, 1), (11, 0)], "doc_id long, label int")
+    plan = Q._labelled(documents(spark), labels)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
