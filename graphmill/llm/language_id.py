@@ -102,8 +102,8 @@ class Model:
     def code_lengths(self, buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of every row under every language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        piece = 1 << 22
-        for i, j in blocks(offsets):
+        piece = 1 << 18
+        for i, j in blocks(offsets, piece):
             b, o = buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if len(b) <= piece:
                 self._add(b, o, 0, out[i:j])
@@ -190,7 +190,7 @@ def _count(batches):
             own = batch.column("text").filter(pa.array(lang == name))
             buffer, offsets = flat(own)
             codes = []
-            for i, j in blocks(offsets, 1 << 22):
+            for i, j in blocks(offsets, 1 << 20):
                 b = buffer[offsets[i] : offsets[j]].astype(np.int64)
                 if len(b) < 4:
                     continue
@@ -199,8 +199,10 @@ def _count(batches):
                 cross = (inner[:, None] - np.arange(1, 4)).ravel()
                 code = np.delete(code, np.unique(cross[(cross >= 0) & (cross < len(code))]))
                 codes.append(np.unique(code, return_counts=True))
-            if codes:
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * sum(len(c) for c, _ in codes)), "gram": np.concatenate([c for c, _ in codes]), "n": np.concatenate([n for _, n in codes])})
+            if codes:  # blocks are small, so that a task is; a batch has a row for each of its grams all the same
+                gram, at = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n for _, n in codes])).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(gram)), "gram": gram, "n": n})
 
 
 def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from graphmill.llm import language_id as L
 from graphmill.llm.queries import op1_language_id
@@ -128,3 +129,20 @@ def test_no_language_is_lost_and_none_is_over_the_bound(spark, monkeypatch):
     want = grams({"de": [t for _, t, _ in german]})
     got = read.pop()
     assert sorted(map(tuple, got[["lang", "gram", "n"]].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_a_task_holds_little_beside_its_batch():
+    """Short rows and one very long one: what scoring them takes doesn't grow with the batch."""
+    import tracemalloc
+
+    from graphmill.llm.textarrays import flat
+
+    counts = pd.DataFrame({"lang": ["a", "b"] * 50, "gram": [0x61626364 + i for i in range(100)], "n": [1] * 100})
+    model = L.build(counts)
+    for texts in (["some plain words of a text " * 80] * 2000, ["some plain words of a text " * 160_000]):
+        buffer, offsets = flat(pa.array(texts))
+        tracemalloc.start()
+        bits = model.code_lengths(buffer, offsets)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert bits.shape == (len(texts), 2) and (bits > 0).all() and peak < 40e6
