@@ -89,12 +89,11 @@ def add(index: Index, docs: DataFrame) -> None:
     """Adds documents (doc_id, terms: an array with repeats)."""
     name, at = f"segment-{uuid.uuid4().hex}", len(index.segments())
     terms = F.coalesce("terms", F.array().cast("array<string>"))
-    distinct = F.array_sort(F.array_distinct(terms))
-    # Counts by position in the sorted terms: a document's terms are one row's work.
-    forward = docs.select("doc_id", F.size(terms).cast("long").alias("len"), F.sort_array(terms).alias("_all"), distinct.alias("_distinct"))
-    places = F.transform("_distinct", lambda t: F.array_position("_all", t))
-    forward = forward.withColumn("_places", F.concat(places, F.array(F.col("len") + 1)))
-    counts = F.transform("_distinct", lambda t, i: F.struct(t.alias("term"), (F.col("_places")[i + 1] - F.col("_places")[i]).alias("tf")))
+    # Counts by the places where the sorted terms change: a document's terms are one row's work, in one pass.
+    forward = docs.select("doc_id", F.size(terms).cast("long").alias("len"), F.sort_array(terms).alias("_all"))
+    start = F.filter(F.transform("_all", lambda t, i: i), lambda i: (i == 0) | ~F.get("_all", i - 1).eqNullSafe(F.get("_all", i)))
+    forward = forward.withColumn("_start", start)
+    counts = F.transform("_start", lambda s, k: F.struct(F.get("_all", s).alias("term"), (F.coalesce(F.get("_start", k + 1).cast("long"), F.col("len")) - s).alias("tf")))
     forward.select("doc_id", "len", counts.alias("counts")).write.parquet(f"{index.path}/{name}/forward")
     rows = index.read(name, "forward")
     cells = max(1, -(-rows.count() // CELL))
