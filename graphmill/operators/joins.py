@@ -7,9 +7,16 @@ buckets of a fixed width.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.workspace import checkpointed
+
+#: Pairs that one task of a join makes, about.
+PAIRS = 1_000_000
+
 
 def first_rule(text: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
     """Value of the first rule (keyword, value) whose keyword the text contains, case ignored."""
@@ -44,12 +51,17 @@ def sharing_pairs(links: DataFrame, least: int, cell: int = 2048) -> DataFrame:
     dealt to cells, and each cell meets each cell under its own key.
     """
     wide = links.groupBy("node").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("node")
-    kept = links.join(wide, "node", "left_semi")
-    cells = kept.groupBy("shared").agg(F.count("*").alias("_n")).where("_n > 1").select("shared", F.ceil(F.col("_n") / cell).cast("int").alias("_cells"))
+    kept = checkpointed(links.join(wide, "node", "left_semi"))
+    sizes = kept.groupBy("shared").agg(F.count("*").alias("_n")).where("_n > 1")
+    cells = sizes.select("shared", F.ceil(F.col("_n") / cell).cast("int").alias("_cells"))
     rows = kept.join(cells, "shared").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_cells")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    # Partitions by pairs, not by bytes: what a task's join makes, and its sums hold, stays the same as the links grow.
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("_n") * (F.col("_n") - 1) / 2), F.lit(0.0)).alias("n")).first()["n"]
+    parts = max(links.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS))
     a = rows.select("shared", F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col("node").alias("a"))
     b = rows.select("shared", F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col("node").alias("b"))
+    a, b = (side.repartition(parts, "shared", "_x", "_y") for side in (a, b))
     return a.join(b, ["shared", "_x", "_y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
 
 

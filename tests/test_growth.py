@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections import Counter
 
+from graphmill.operators import joins as J
 from graphmill.operators import postings
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sharing_pairs_are_joined_in_parts_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(J, "PAIRS", 50)
+    rows = [(f"n{i:02d}", f"s{j}") for i in range(30) for j in range(6) if (i * 7 + j * 3) % 4]
+    got = J.sharing_pairs(spark.createDataFrame(rows, "node string, shared string"), 3, cell=8)
+    own = {n: {s for m, s in rows if m == n} for n, _ in rows}
+    want = {(a, b, len(own[a] & own[b])) for a, b in itertools.combinations(sorted(own), 2) if len(own[a] & own[b]) >= 3}
+    assert {tuple(r) for r in got.collect()} == want
+    pairs = sum(n * (n - 1) // 2 for n in Counter(s for _, s in rows).values())
+    assert f"{-(-pairs // 50)}), REPARTITION_BY_NUM" in _plan(got)
+    assert J.sharing_pairs(spark.createDataFrame(rows, "node string, shared string").limit(0), 3).count() == 0
+
+
 def test_terms_are_counted_in_one_pass(spark, tmp_path):
     docs = {1: ["b", "a", "b", "a", "b"], 2: [], 3: None, 4: ["c"], 5: [f"w{i:06d}" for i in range(150_000)]}
     index = postings.create(spark, str(tmp_path / "postings"))
