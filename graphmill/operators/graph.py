@@ -237,9 +237,10 @@ def method_edges(methods: DataFrame, points: DataFrame, spaces: DataFrame) -> Da
     """answer, src, rel, dst, weight of methods (answer, method): GUIDES to the answer's spaces (answer, id), and
     MENTIONED_IN to its points (answer, id, text) whose text contains a word of the method's name, case ignored.
 
-    An answer has a few methods, so its points and spaces meet a small array of them.
+    An answer has a few methods, so its points and spaces meet a small array of them.  Without a method there is no edge.
     """
-    own = methods.groupBy("answer").agg(F.collect_set("method").alias("_m"))
+    own = checkpointed(methods.groupBy("answer").agg(F.collect_set("method").alias("_m")))
+    own = F.broadcast(own) if own.count() <= BROADCAST else own  # so texts stay where they are: a few answers may have all points
     guided = spaces.select("answer", "id").distinct().join(own, "answer").select("answer", F.explode("_m").alias("src"), F.lit("GUIDES").alias("rel"), F.col("id").alias("dst"), F.lit(0.8).alias("weight"))
     known = points.select("answer", "id", F.lower("text").alias("_text")).join(own, "answer")
     said = F.filter("_m", lambda m: F.exists(F.split(F.lower(m), r"\s+"), lambda w: F.col("_text").contains(w)))

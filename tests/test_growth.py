@@ -6,6 +6,7 @@ import itertools
 import time
 from collections import Counter
 
+from graphmill.operators import graph as G
 from graphmill.operators import joins as J
 from graphmill.operators import postings
 
@@ -26,6 +27,19 @@ def test_sharing_pairs_are_joined_in_parts_by_their_number(spark, monkeypatch):
     assert J.sharing_pairs(spark.createDataFrame(rows, "node string, shared string").limit(0), 3).count() == 0
 
 
+def test_texts_meet_methods_where_they_are(spark):
+    """Few methods are broadcast whatever the session's threshold, so texts of few answers aren't gathered."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        methods = spark.createDataFrame([("x", "split flow")], "answer string, method string")
+        points = spark.createDataFrame([("x", "1", "A Flow"), ("x", "2", "none"), ("y", "3", "flow")], "answer string, id string, text string")
+        out = G.method_edges(methods, points, spark.createDataFrame([("x", "9", "n")], "answer string, id string, name string"))
+        assert "SortMergeJoin" not in _plan(out)
+        assert sorted((r.answer, r.rel, r.dst) for r in out.collect()) == [("x", "GUIDES", "9"), ("x", "MENTIONED_IN", "1")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_terms_are_counted_in_one_pass(spark, tmp_path):
     docs = {1: ["b", "a", "b", "a", "b"], 2: [], 3: None, 4: ["c"], 5: [f"w{i:06d}" for i in range(150_000)]}
     index = postings.create(spark, str(tmp_path / "postings"))
