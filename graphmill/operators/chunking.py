@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Texts of a batch that a task has as Python strings at a time, with their chunks.
+SLICE = 256
+
+
 def simple_cuts(text: str, most: int, overlap: int, separator: str) -> list[str]:
     """Chunks of a text: parts, each with the separator after it, while they fit; the next begins with the last
     `overlap` characters of a chunk that was full.  Chunks are stripped, empty ones go.  A part is never cut."""
@@ -29,7 +33,7 @@ def simple_chunks(docs: DataFrame, most: int = 1200, overlap: int = 100, separat
     """doc_id, sequence, content: documents of text alone, cut at blank lines.  A null text has no chunks."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             cuts = [simple_cuts(text or "", most, overlap, separator) for text in batch.column("text").to_pylist()]
             rows = pa.array([i for i, own in enumerate(cuts) for _ in own], pa.int64())
             columns = [batch.column("doc_id").take(rows), pa.array([k + 1 for own in cuts for k in range(len(own))], pa.int32()), pa.array([c for own in cuts for c in own], pa.string())]

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import itertools
 import time
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
+
+from graphmill.operators import chunking as C
 from graphmill.operators import graph as G
 from graphmill.operators import joins as J
 from graphmill.operators import postings
@@ -49,3 +53,18 @@ def test_terms_are_counted_in_one_pass(spark, tmp_path):
     got = {r.doc_id: r for r in index.read(index.segments()[0]["name"], "forward").collect()}
     for k, terms in docs.items():
         assert got[k].len == len(terms or []) and {c.term: c.tf for c in got[k].counts} == Counter(terms or [])
+
+
+def test_chunks_of_a_batch_are_cut_a_few_at_a_time():
+    class Docs:
+        schema = {"doc_id": type("F", (), {"dataType": type("T", (), {"simpleString": lambda self: "long"})()})}
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run
+
+    text = "\n\n".join("some plain words of a text " * 20 for _ in range(4))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10_000)), "text": [text] * 10_000})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in C.simple_chunks(Docs())(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 10_000 * len(C.simple_cuts(text, 1200, 100, "\n\n")) and peak < 8e6
