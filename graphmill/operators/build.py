@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from graphmill.functions.text import INVERSE, inverse_relation
 from graphmill.operators.components import connected_components
 from graphmill.operators.joins import band_join, without
+from graphmill.partitioning import dealt
 from graphmill.workspace import checkpointed
 
 
@@ -178,10 +179,10 @@ def optimized(triplets: DataFrame, names: DataFrame, relation: Column, order: li
     form = F.when(F.coalesce(relation, F.lit("")).isin("", "SKIP"), F.col("relation")).otherwise(relation)
     forms = triplets.select("relation").distinct().select(F.col("relation").alias("_raw"), form.alias("_form")).where(~F.coalesce("_form", F.lit("")).isin("", "SKIP"))
     columns = triplets.columns
-    moved = renamed(valid.join(forms, F.col("relation").eqNullSafe(F.col("_raw"))).withColumn("relation", F.col("_form")).select(columns), names)
+    moved = renamed(valid.join(forms, F.col("relation").eqNullSafe(F.col("_raw"))).withColumn("relation", F.col("_form")).select(columns), names, scan=triplets)
     key = {f"_{c}": F.lower(c) for c in ("subject", "relation", "object")}
     first = F.min_by(F.struct(*columns), F.struct(*order))
-    return moved.where("subject <> object").withColumns(key).groupBy(*key).agg(first.alias("_row")).select("_row.*")
+    return dealt(moved.where("subject <> object").withColumns(key), *key, scan=triplets).groupBy(*key).agg(first.alias("_row")).select("_row.*")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -235,10 +236,12 @@ def repointed(edges: DataFrame, moves: DataFrame) -> DataFrame:
     return out.where("src <> dst").distinct()
 
 
-def renamed(triplets: DataFrame, names: DataFrame) -> DataFrame:
-    """Triplets with one step of renaming (old, new) at both ends."""
+def renamed(triplets: DataFrame, names: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """Triplets with one step of renaming (old, new) at both ends.  scan: what to count for the partitions, see dealt()."""
     s, o = names.select(F.col("old").alias("subject"), F.col("new").alias("_s")), names.select(F.col("old").alias("object"), F.col("new").alias("_o"))
-    return triplets.join(s, "subject", "left").join(o, "object", "left").withColumns({"subject": F.coalesce("_s", "subject"), "object": F.coalesce("_o", "object")}).drop("_s", "_o")
+    scan = triplets if scan is None else scan
+    moved = dealt(dealt(triplets, "subject", scan=scan).join(s, "subject", "left"), "object", scan=scan).join(o, "object", "left")
+    return moved.withColumns({"subject": F.coalesce("_s", "subject"), "object": F.coalesce("_o", "object")}).drop("_s", "_o")
 
 
 def first_statements(triplets: DataFrame, order: list[str]) -> DataFrame:

@@ -8,7 +8,9 @@ import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from graphmill.operators import build as B
 from graphmill.operators import chunking as C
 from graphmill.operators import graph as G
 from graphmill.operators import joins as J
@@ -68,3 +70,11 @@ def test_chunks_of_a_batch_are_cut_a_few_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 10_000 * len(C.simple_cuts(text, 1200, 100, "\n\n")) and peak < 8e6
+
+
+def test_statements_are_put_in_form_in_partitions_by_their_number(spark):
+    rows = [("a", "r", "b", 0.9, 1), ("A", "R", "B", 0.8, 2), ("b", "r", "a", 0.9, 1), ("a", "r", "a", 0.9, 1), (None, "r", "b", 0.9, 1)]
+    triplets = spark.createDataFrame(rows, "subject string, relation string, object string, confidence double, chunk_id long")
+    out = B.optimized(triplets, spark.createDataFrame([("b", "c")], "old string, new string"), F.upper("relation"), ["chunk_id"])
+    assert _plan(out).count("REPARTITION_BY_NUM") == 3
+    assert sorted((r.subject, r.relation, r.object) for r in out.collect()) == [("A", "R", "B"), ("a", "R", "c"), ("c", "R", "a")]
