@@ -34,18 +34,20 @@ def merged_entities(mentions: DataFrame, key: list[str]) -> DataFrame:
     return out.join(listed, key, "left").withColumn("attributes", F.coalesce("attributes", F.array().cast(mentions.schema["attributes"].dataType)))
 
 
-def scope_chains(mentions: DataFrame, parents: dict[str, tuple[str, ...]]) -> DataFrame:
+def scope_chains(mentions: DataFrame, parents: dict[str, tuple[str, ...]], scan: DataFrame | None = None) -> DataFrame:
     """chunk, entity, scope: for entities of a type with parent types, the sorted names of these types in the chunk.
 
-    mentions: chunk, entity, type.  The names are gathered once for a chunk and type, not for each entity.
+    mentions: chunk, entity, type.  The names are gathered once for a chunk and type, not for each entity.  Rows are dealt
+    once, by their chunk; scan: what to count for the partitions, see dealt().
     """
-    rows = mentions.select("chunk", "entity", "type").distinct()
+    rows = dealt(mentions.select("chunk", "entity", "type"), "chunk", scan=scan).distinct()
     table = mentions.sparkSession.createDataFrame([(t, p) for t, own in parents.items() for p in own], "type string, parent string")
     names = rows.select("chunk", F.col("type").alias("parent"), F.col("entity").alias("name")).join(F.broadcast(table.select("parent").distinct()), "parent", "left_semi")
     above = names.join(F.broadcast(table), "parent").groupBy("chunk", "type").agg(F.array_sort(F.collect_set("name")).alias("scope"))
     kinds = table.select("type").distinct()
     wanted = rows.join(F.broadcast(kinds), "type", "left_semi")
-    return wanted.join(above, ["chunk", "type"], "left").select("chunk", "entity", F.coalesce("scope", F.array().cast("array<string>")).alias("scope"))
+    scopes = above.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("type", "scope"))).alias("_scopes"))
+    return wanted.join(scopes, "chunk", "left").select("chunk", "entity", F.coalesce(F.col("_scopes")[F.col("type")], F.array().cast("array<string>")).alias("scope"))
 
 
 def reviewed(rows: DataFrame, constraints: dict, synonyms: dict, levels: list, accepted: dict, rejected: dict, fallback: bool = True, mention: str = "MENTIONED_IN", holder: str = "CONTAINS") -> DataFrame:

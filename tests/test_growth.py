@@ -78,3 +78,16 @@ def test_statements_are_put_in_form_in_partitions_by_their_number(spark):
     out = B.optimized(triplets, spark.createDataFrame([("b", "c")], "old string, new string"), F.upper("relation"), ["chunk_id"])
     assert _plan(out).count("REPARTITION_BY_NUM") == 3
     assert sorted((r.subject, r.relation, r.object) for r in out.collect()) == [("A", "R", "B"), ("a", "R", "c"), ("c", "R", "a")]
+
+
+def test_scopes_are_found_where_a_chunks_rows_are(spark):
+    """One deal of the rows, by chunk, at any size: nothing is shuffled again by chunk and type."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(1, "p", "space"), (1, "p", "space"), (1, "u", "unit"), (1, "d", "department"), (2, "q", "space"), (None, "p", "space"), (3, "v", None)]
+        out = B.scope_chains(spark.createDataFrame(rows, "chunk long, entity string, type string"), {"space": ("unit", "department"), "unit": ("department",)})
+        plan = _plan(out)
+        assert "hashpartitioning(chunk" in plan and not [x for x in plan.split("hashpartitioning(chunk")[1:] if "type" in x.split(")")[0]]
+        assert sorted((r.chunk or 0, r.entity, tuple(r.scope)) for r in out.collect()) == [(0, "p", ()), (1, "p", ("d", "u")), (1, "u", ("d",)), (2, "q", ())]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
