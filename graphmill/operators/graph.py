@@ -2,8 +2,10 @@
 
 Searches go level by level: a level is a join of the frontier with the edges, the
 frontier is broadcast while its counted size allows, and each level is written once,
-so plans don't grow with depth.  Frontiers are bounded by the depth and, where an
-operator has one, by its edge limit.
+so plans don't grow with depth.  The edges are written once for a search, one way;
+a level reads them both ways, and shuffles them only where its frontier is too large
+to broadcast.  Frontiers are bounded by the depth and, where an operator has one, by
+its edge limit.
 """
 
 from __future__ import annotations
@@ -25,6 +27,16 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "rel", "dst", F.explode(ways).alias("w")).select("w.a", "w.b", "src", "rel", "dst")
 
 
+def _stored(edges: DataFrame) -> DataFrame:
+    """src, rel, dst, written once for all levels of a search."""
+    return checkpointed(edges.select("src", "rel", "dst"))
+
+
+def _light(rows: DataFrame) -> DataFrame:
+    """Written rows, to be broadcast while their counted number allows."""
+    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
+
+
 def search_nodes(nodes: DataFrame, text: str, k: int = 8, priority: tuple[str, ...] = (), least: float = 0.2) -> DataFrame:
     """id, label, name, score: reasonable matches by share of the length, else nodes that contain the text, score 0."""
     name = F.lower("name")
@@ -49,13 +61,12 @@ def related(nodes: DataFrame, edges: DataFrame, seeds: list[str], labels: tuple[
 
 
 def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """id, dist of all nodes within depth of the seeds (id)."""
-    both = checkpointed(undirected(edges).select("a", "b"))  # read at every level
+    """id, dist of all nodes within depth of the seeds (id).  The edges are read at every level: a stored table."""
+    both = undirected(edges).select("a", "b")
     reached = checkpointed(seeds.select("id").distinct().withColumn("dist", F.lit(0)))
     for level in range(1, depth + 1):
         front = reached.where(F.col("dist") == level - 1).select(F.col("id").alias("a"))
-        small = front.limit(BROADCAST + 1).count() <= BROADCAST
-        new = both.join(F.broadcast(front) if small else front, "a").select(F.col("b").alias("id")).distinct().join(reached, "id", "left_anti").withColumn("dist", F.lit(level))
+        new = both.join(_light(front), "a").select(F.col("b").alias("id")).distinct().join(reached, "id", "left_anti").withColumn("dist", F.lit(level))
         new = checkpointed(new)
         reached = reached.unionByName(new)
     return reached
@@ -63,8 +74,8 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """src, rel, dst of the edges on a walk of at most depth edges from a seed: those with an end within depth - 1."""
-    edges = checkpointed(edges.select("src", "rel", "dst"))
-    near = distances(edges, seeds, depth - 1).select("id")
+    edges = _stored(edges)
+    near = _light(distances(edges, seeds, depth - 1).select("id"))
     out = edges.join(near.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "rel", "dst")).distinct()
     return out if most is None else out.orderBy("src", "rel", "dst").limit(most)
 
@@ -79,7 +90,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 6) -> Data
     spark = edges.sparkSession
     if start == end:
         return spark.createDataFrame([(0, start)], "step int, id string")
-    both = checkpointed(undirected(edges).select("a", "b"))
+    both = undirected(_stored(edges)).select("a", "b")
     seed = lambda node: spark.createDataFrame([(node, None)], "id string, parent string")
     sides = [[seed(start)], [seed(end)]]
     reached, widths = [sides[0][0].select("id"), sides[1][0].select("id")], [1, 1]
@@ -118,19 +129,21 @@ def trails(edges: DataFrame, starts: list[str], ends: list[str] | None, low: int
     With ends, trails are walked from both sides and meet: none is built beyond half the hops, and one goes on only
     while its tip is near enough to the other side by exact distance.  Without ends they are walked from the starts.
     """
+    edges = _stored(edges)
     key = F.concat_ws("|", "src", "rel", "dst")
     ways = undirected(edges).select("a", "b", key.alias("e"), (F.col("src") == F.col("dst")).alias("_loop"))
-    both = checkpointed(ways.where("NOT _loop").drop("_loop").unionByName(ways.where("_loop").drop("_loop").distinct()))
+    both = ways.where("NOT _loop").drop("_loop").unionByName(ways.where("_loop").drop("_loop").distinct())
 
     def walked(seeds: list[str], hops: int, near: DataFrame | None) -> list[DataFrame]:
         """Trails of 0 to `hops` hops from the seeds: path, used, at.  near: id, left, the fewest hops from a node to the other side."""
         nodes = edges.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "at string")
-        out = [nodes.join(both.select(F.col("a").alias("at")).distinct(), "at", "left_semi").select(F.array("at").alias("path"), F.array().cast("array<string>").alias("used"), "at")]
+        there = undirected(edges).select(F.col("a").alias("at")).join(F.broadcast(nodes), "at", "left_semi").distinct()
+        out = [checkpointed(there.select(F.array("at").alias("path"), F.array().cast("array<string>").alias("used"), "at"))]
         for hop in range(1, hops + 1):
-            step = out[-1].join(both, F.col("at") == F.col("a")).where(~F.array_contains("used", F.col("e")))
+            step = both.join(_light(out[-1]), F.col("at") == F.col("a")).where(~F.array_contains("used", F.col("e")))
             step = step.select(F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("e")).alias("used"), F.col("b").alias("at"))
             if near is not None:
-                step = step.join(near.where(F.col("left") <= high - hop).select(F.col("id").alias("at")), "at", "left_semi").select("path", "used", "at")
+                step = step.join(_light(near.where(F.col("left") <= high - hop).select(F.col("id").alias("at"))), "at", "left_semi").select("path", "used", "at")
             out.append(checkpointed(step) if near is not None or hop < hops else step)
         return out
 

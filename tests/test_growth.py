@@ -8,6 +8,7 @@ import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from graphmill.operators import build as B
@@ -15,6 +16,7 @@ from graphmill.operators import chunking as C
 from graphmill.operators import graph as G
 from graphmill.operators import joins as J
 from graphmill.operators import postings
+from graphmill.workspace import checkpointed
 
 
 def _plan(df) -> str:
@@ -91,3 +93,32 @@ def test_scopes_are_found_where_a_chunks_rows_are(spark):
         assert sorted((r.chunk or 0, r.entity, tuple(r.scope)) for r in out.collect()) == [(0, "p", ()), (1, "p", ("d", "u")), (1, "u", ("d",)), (2, "q", ())]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("search", ["trails", "shortest_path", "neighbourhood"])
+def test_searches_write_the_edges_once_and_shuffle_none(spark, monkeypatch, search):
+    """A search from few nodes stores the edges one way, once; every other table it writes is of what it reached."""
+    chain = [("a", "r", "b"), ("b", "r", "c"), ("c", "r", "d")]
+    edges = spark.createDataFrame(chain + [(f"x{i}", "r", f"y{i}") for i in range(500)], "src string, rel string, dst string")
+    written, plans = [], []
+
+    def kept(df):
+        plans.append(_plan(df))
+        out = checkpointed(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "checkpointed", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        if search == "trails":
+            got = [r.path for r in G.trails(edges, ["a"], ["d"], 2, 3, 10).collect()]
+        elif search == "shortest_path":
+            got = [" - ".join(r.id for r in G.shortest_path(edges, "a", "d").orderBy("step").collect())]
+        else:
+            got = [" - ".join([r.src, r.dst]) for r in G.neighbourhood(edges, spark.createDataFrame([("a",)], "id string"), 1).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == (["a - b"] if search == "neighbourhood" else ["a - b - c - d"])
+    assert [n for n in written if n > 20] == [503]
+    assert not [p for p in plans if "SortMergeJoin" in p and "a#" in p.split("SortMergeJoin")[1].split("]")[0]]
