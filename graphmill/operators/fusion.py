@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from graphmill.partitioning import dealt
 
 
 def merged_items(items: DataFrame, key: str = "entity_id", vector: str = "vector", text: str = "text") -> DataFrame:
@@ -27,7 +30,8 @@ def merged_items(items: DataFrame, key: str = "entity_id", vector: str = "vector
     return out.unionByName(alone)
 
 
-#: What makes two citations one.
+#: What makes two edges, or two citations, one.
+EDGE_KEY = ("type", "target")
 CITATION_KEY = ("source", "chunk_id", "location", "page_number", "section", "image_url")
 
 
@@ -38,20 +42,50 @@ def merged_details(items: DataFrame, order: list[str], key: str = "entity_id", t
     columns of order.  The first item of the text source comes first, then the others in order.  Of an attribute the
     first value that isn't blank counts; edges are one by type and target, citations by their key, in order; the longest
     snippet counts, of equal ones the first.  A null key merges with none and is left out.
+
+    Items are dealt once, by their key, in partitions by their number.  There each gets its place, and what it has is one
+    row each: so equal ones are found by plain columns and the first place, a number.
     """
-    named = items.where(F.col(key).isNotNull()).withColumn("_o", F.struct(*order))
-    lead = named.groupBy(key).agg(F.min(F.when(F.col("source") == text, F.col("_o"))).alias("_lead"))
-    rows = named.join(lead, key).withColumn("_p", F.struct(F.when(F.col("_o") == F.col("_lead"), 0).otherwise(1).alias("late"), F.col("_o").alias("o")))
-    snippet = rows.groupBy(key).agg(F.min_by("snippet", F.struct(-F.length(F.coalesce("snippet", F.lit(""))), F.col("_p"))).alias("snippet"))
-    values = rows.select(key, "_p", F.explode("attrs").alias("k", "v")).where(F.trim("v") != "").groupBy(key, "k").agg(F.min_by("v", "_p").alias("v"))
-    attrs = values.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attrs"))
-
-    def listed(name: str, fields: tuple[str, ...]) -> DataFrame:
-        each = rows.select(key, "_p", F.posexplode(name).alias("_i", "_e")).select(key, F.struct("_p", "_i").alias("_at"), *(F.col("_e")[f].alias(f) for f in fields))
-        one = each.groupBy(key, *fields).agg(F.min("_at").alias("_at"))
-        return one.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", F.struct(*fields).alias("e")))), lambda s: s["e"]).alias(name))
-
-    return snippet.join(attrs, key, "left").join(listed("edges", ("type", "target")), key, "left").join(listed("citations", CITATION_KEY), key, "left")
+    own = Window.partitionBy(key).orderBy(*order)
+    is_text = F.col("source") == text
+    texts = F.count(F.when(is_text, 1)).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = dealt(items.where(F.col(key).isNotNull()), key).withColumns({"_n": F.row_number().over(own), "_texts": texts})
+    rows = rows.withColumn("_at", F.when(is_text & (F.col("_texts") == 1), 0).otherwise(F.col("_n")).cast("long"))
+
+    def inner(name: str, fields: tuple[str, ...]) -> StructType:
+        return StructType([StructField(f, items.schema[name].dataType.elementType[f].dataType) for f in fields])
+
+    types = {"kind": "int", "k": "string", "v": "string", "edge": inner("edges", EDGE_KEY), "cite": inner("citations", CITATION_KEY)}
+
+    def had(i: Column | int, **given: Column) -> Column:
+        return F.struct(*(given.get(name, F.lit(None)).cast(t).alias(name) for name, t in types.items()), (F.col("_at") * 2**32 + i).alias("at"))
+
+    def each(array: Column, one) -> Column:
+        return F.coalesce(F.transform(array, one), F.array())
+
+    told = F.concat(
+        F.array(had(0, kind=F.lit(0), v=F.col("snippet"))),
+        each(F.filter(F.map_entries("attrs"), lambda e: F.trim(e["value"]) != ""), lambda e: had(0, kind=F.lit(1), k=e["key"], v=e["value"])),
+        each(F.col("edges"), lambda e, i: had(i, kind=F.lit(2), edge=F.struct(*(e[f].alias(f) for f in EDGE_KEY)))),
+        each(F.col("citations"), lambda e, i: had(i, kind=F.lit(3), cite=F.struct(*(e[f].alias(f) for f in CITATION_KEY)))),
+    )
+    one = rows.select(key, F.inline(told)).groupBy(key, *types).agg(F.min("at").alias("at"))
+    listed = lambda kind, *columns: F.collect_list(F.when(F.col("kind") == kind, F.struct(*columns)))
+    out = one.groupBy(key).agg(
+        F.min_by("v", F.when(F.col("kind") == 0, F.struct(-F.length(F.coalesce("v", F.lit(""))), "at"))).alias("snippet"),
+        F.sort_array(listed(1, "k", "at", "v")).alias("_a"),
+        F.sort_array(listed(2, "at", "edge")).alias("_e"),
+        F.sort_array(listed(3, "at", "cite")).alias("_c"),
+    )
+    first = F.filter("_a", lambda x, i: ~x["k"].eqNullSafe(F.get("_a", i - 1)["k"]))
+    some = lambda name, value: F.when(F.size(name) > 0, value)
+    return out.select(
+        key,
+        "snippet",
+        some("_a", F.map_from_entries(F.transform(first, lambda x: F.struct(x["k"], x["v"])))).alias("attrs"),
+        some("_e", F.transform("_e", lambda x: x["edge"])).alias("edges"),
+        some("_c", F.transform("_c", lambda x: x["cite"])).alias("citations"),
+    )
 
 
 def unified_hints(items: DataFrame, most: int = 20) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphmill.operators import build as B
 from graphmill.operators import chunking as C
+from graphmill.operators import fusion as M
 from graphmill.operators import graph as G
 from graphmill.operators import joins as J
 from graphmill.operators import postings
@@ -122,3 +123,24 @@ def test_searches_write_the_edges_once_and_shuffle_none(spark, monkeypatch, sear
     assert got == (["a - b"] if search == "neighbourhood" else ["a - b - c - d"])
     assert [n for n in written if n > 20] == [503]
     assert not [p for p in plans if "SortMergeJoin" in p and "a#" in p.split("SortMergeJoin")[1].split("]")[0]]
+
+
+def test_details_of_an_entity_are_put_together_where_its_items_are(spark):
+    """One deal of the items by their key, and no join of an entity's parts; an item as early as the lead isn't the lead."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cite = "array<struct<source:string,chunk_id:string,location:string,page_number:int,section:string,image_url:string>>"
+        schema = f"entity_id string, source string, snippet string, attrs map<string,string>, edges array<struct<type:string,target:string>>, citations {cite}, pos long"
+        rows = [
+            ("a", "vector", None, {"p": "1", "q": " "}, [("IN", "x"), ("IN", "y")], None, 1),
+            ("a", "text", "bb", {"p": "2"}, [("IN", "y"), (None, None)], [], 2),
+            ("a", "graph", "cc", {"q": "3"}, None, [("s", "1", None, None, None, None)] * 2, 2),
+            ("b", "graph", None, None, None, None, 1),
+        ]
+        out = M.merged_details(spark.createDataFrame(rows, schema), ["pos"])
+        assert _plan(out).split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 and "Join" not in _plan(out)
+        got = {r.entity_id: (r.snippet, r.attrs, r.edges and [tuple(e) for e in r.edges], r.citations and [tuple(c) for c in r.citations]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got["a"] == ("bb", {"p": "2", "q": "3"}, [("IN", "y"), (None, None), ("IN", "x")], [("s", "1", None, None, None, None)])
+    assert got["b"] == (None, None, None, None)
