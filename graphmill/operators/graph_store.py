@@ -63,11 +63,15 @@ class Store:
             rows = rows.join(last, "doc_id", "left").where("_gone IS NULL OR _gone < at").drop("_gone")
         return rows.drop("at", "bucket")
 
-    def _support(self, name: str, keys: list[str]) -> DataFrame:
+    def changes(self, name: str, keys: list[str]) -> DataFrame:
+        """keys, n: all changes of support."""
         rows = self.part(name, "added", "removed")
         if rows is None:
-            return self.spark.createDataFrame([], ", ".join(f"{k} string" for k in keys) + ", support long")
-        return rows.groupBy(*keys).agg(F.sum("n").alias("support")).where("support > 0")
+            return self.spark.createDataFrame([], ", ".join(f"{k} string" for k in keys) + ", n long")
+        return rows.select(*keys, "n")
+
+    def _support(self, name: str, keys: list[str]) -> DataFrame:
+        return self.changes(name, keys).groupBy(*keys).agg(F.sum("n").alias("support")).where("support > 0")
 
     def edges(self) -> DataFrame:
         """src, rel, dst, support."""
@@ -137,17 +141,28 @@ def compacted(store: Store, path: str) -> Store:
 
 def verified(store: Store, chunks: DataFrame | None = None) -> DataFrame:
     """problem, n: edges and nodes whose support is not what their statements give, edges without a node at an end, and
-    statements whose chunk (doc_id, chunk_id) isn't there.  All zero in a store that is whole."""
-    there = store.statements()
+    statements whose chunk (doc_id, chunk_id) isn't there.  All zero in a store that is whole.
 
-    def off(name: str, keys: list[str], counted: DataFrame) -> DataFrame:
-        both = store._support(name, keys).join(counted, keys, "full")
-        return both.where(F.coalesce("support", F.lit(0)) != F.coalesce("n", F.lit(0))).agg(F.count("*").alias("n")).select(F.lit(f"{name}_support").alias("problem"), "n")
-
-    edges = there.groupBy(*EDGE).agg(F.count("*").alias("n"))
-    nodes = there.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    ends = store.edges().select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).join(store.nodes(), "id", "left_anti")
-    out = off("edges", EDGE, edges).unionByName(off("nodes", ["id"], nodes)).unionByName(ends.agg(F.count("*").alias("n")).select(F.lit("dangling_ends").alias("problem"), "n"))
+    Changes and statements meet once by edge; what an edge's statements give its ends, and these ends, then meet the
+    changes of nodes once by node.  A row without id counts the edges that are off.
+    """
+    there, none = store.statements(), F.lit(0).cast("long")
+    count = lambda when: F.when(when, 1).otherwise(0).cast("long")
+    edges = store.changes("edges", EDGE).select(*EDGE, F.col("n").alias("support"), none.alias("said"))
+    edges = edges.unionByName(there.select(*EDGE, none.alias("support"), F.lit(1).cast("long").alias("said")))
+    edges = edges.groupBy(*EDGE).agg(F.greatest(F.sum("support"), none).alias("support"), F.sum("said").alias("said"))
+    at = F.transform(F.array_distinct(F.array("src", "dst")), lambda i: F.struct(i.alias("id"), F.col("said"), count(F.col("support") > 0).alias("ends"), none.alias("off")))
+    off = F.struct(F.lit(None).cast("string").alias("id"), none.alias("said"), none.alias("ends"), F.lit(1).cast("long").alias("off"))
+    own = edges.select(F.inline(F.when(F.col("support") != F.col("said"), F.concat(at, F.array(off))).otherwise(at))).withColumn("support", none)
+    nodes = own.unionByName(store.changes("nodes", ["id"]).select("id", none.alias("said"), none.alias("ends"), none.alias("off"), F.col("n").alias("support")))
+    nodes = nodes.groupBy("id").agg(F.greatest(F.sum("support"), none).alias("support"), *(F.sum(x).alias(x) for x in ("said", "ends", "off")))
+    found = {
+        "edges_support": F.sum("off"),
+        "nodes_support": F.count_if(F.col("id").isNotNull() & (F.col("support") != F.col("said"))),
+        "dangling_ends": F.sum(F.when(F.col("id").isNotNull() & (F.col("support") == 0), F.col("ends"))),
+    }
+    total = nodes.agg(*(F.coalesce(n, none).alias(problem) for problem, n in found.items()))
+    out = total.select(F.inline(F.array(*(F.struct(F.lit(problem).alias("problem"), F.col(problem).alias("n")) for problem in found))))
     if chunks is None:
         return out
     lost = there.join(chunks.select("doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"], "left_anti")

@@ -79,3 +79,21 @@ def test_options_of_a_rebuild(spark):
     _check(store, [r for r in rows if r[0] < 4])
     G.clear(store)
     assert store.edges().collect() == [] and {(r["id"], r["support"]) for r in store.nodes(seeds).collect()} == {("n1", 0), ("only a seed", 0)}
+
+
+def test_faults_of_a_store_are_found_in_one_pass(spark):
+    """Every kind of fault is counted; statements are read once, and meet the changes once by edge and once by node."""
+    store = G.create(spark, folder(spark, "graph"))
+    assert {r["problem"]: r["n"] for r in G.verified(store).collect()} == {"edges_support": 0, "nodes_support": 0, "dangling_ends": 0}
+    G.add(store, spark.createDataFrame([(1, 1, "a", "r", "b", 0.5), (1, 2, "a", "r", "b", 0.5), (2, 1, "b", None, "b", 0.5), (2, 1, "b", "s", "c", 0.5)], SCHEMA))
+    # No statement says x-y, whose ends aren't there; a-b is said once more than it counts; c is gone.
+    for name, kind, edges, nodes in [("bad", "added", [("x", "r", "y", 1)], []), ("worse", "removed", [("a", "r", "b", -1)], [("c", -1)])]:
+        spark.createDataFrame(edges, "src string, rel string, dst string, n long").write.parquet(f"{store.path}/{name}/edges")
+        spark.createDataFrame(nodes, "id string, n long").write.parquet(f"{store.path}/{name}/nodes")
+        spark.createDataFrame([], "doc_id long, chunk_id long, src string, rel string, dst string, confidence double, bucket int").write.parquet(f"{store.path}/{name}/forward")
+        spark.createDataFrame([], "doc_id long").write.parquet(f"{store.path}/{name}/removed")
+        G._register(store, name, kind)
+    out = G.verified(store)
+    assert {r["problem"]: r["n"] for r in out.collect()} == {"edges_support": 2, "nodes_support": 1, "dangling_ends": 3}
+    plan = G.verified(store)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(src") == 1 and plan.count("Exchange hashpartitioning(id") == 1
