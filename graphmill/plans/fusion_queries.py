@@ -34,8 +34,8 @@ def merge_item_details(c: Catalog) -> DataFrame:
     cite = F.struct("source", F.col("doc_id").cast("string").alias("chunk_id"), none.alias("location"), F.col("page").alias("page_number"), none.alias("section"), none.alias("image_url"))
     rows = c.items().withColumns({"attrs": attrs, "edges": edge, "citations": F.array(cite, cite)})
     out = M.merged_details(rows, ["pos", "page", "doc_id", "source", "snippet"])
-    shown = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return out.select("entity_id", "snippet", shown.alias("attrs"), F.array_join(F.array_sort(F.transform("edges", lambda e: e["target"])), ",").alias("targets"), F.size("citations").cast("long").alias("n_citations"))
+    shown = F.array_join(F.transform(F.sort_array(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select("entity_id", "snippet", shown.alias("attrs"), F.array_join(F.sort_array(F.transform("edges", lambda e: e["target"])), ",").alias("targets"), F.size("citations").cast("long").alias("n_citations"))
 
 
 @query(f"""WITH {ITEMS}, a AS (SELECT 'entities' AS hint, v::VARCHAR AS v, rank FROM (SELECT v, row_number() OVER (ORDER BY v) AS rank FROM (SELECT DISTINCT entity_id AS v FROM items)) UNION ALL SELECT 'documents', v::VARCHAR, rank FROM (SELECT v, row_number() OVER (ORDER BY v) AS rank FROM (SELECT DISTINCT doc_id AS v FROM items))
@@ -231,10 +231,17 @@ def document_fetch(c: Catalog) -> DataFrame:
 
 @query(f"""WITH {EDGES}, {GRAPH.split(chr(10) + 'edges AS')[0].rstrip(', ')}, k AS (SELECT id FROM nodes WHERE label <> 'Part') SELECT (SELECT count(*) FROM k) AS kept_nodes, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM k) AS removed_nodes, count(*) FILTER (src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)) AS kept_edges, count(*) FILTER (NOT (src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k))) AS removed_edges FROM edges""")
 def clear_keep_skeleton(c: Catalog) -> DataFrame:
-    """Nodes outside the skeleton go, and with them their edges."""
+    """Nodes outside the skeleton go, and with them their edges.
+
+    One pass over the edges: they meet the nodes by one end, and then only their numbers by the other end, in which those
+    that are lost already are one row of a task.
+    """
     nodes, edges = c.nodes(), c.edges()
-    keep = nodes.where("label <> 'Part'").select("id")
-    left = edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi").agg(F.count("*").alias("kept_edges"))
+    keep = nodes.where("label <> 'Part'").select("id").distinct()
+    into = edges.select("src", "dst").join(keep.select(F.col("id").alias("dst"), F.lit(True).alias("_in")), "dst", "left")
+    out = into.groupBy(F.when(F.col("_in"), F.col("src")).alias("src")).agg(F.count("*").alias("_n"))
+    both = out.join(keep.select(F.col("id").alias("src"), F.lit(True).alias("_out")), "src", "left")
+    kept = F.coalesce(F.sum(F.when(F.col("_out"), F.col("_n"))), F.lit(0))
+    left = both.agg(kept.alias("kept_edges"), (F.coalesce(F.sum("_n"), F.lit(0)) - kept).alias("removed_edges"))
     n = nodes.agg(F.count_if(F.col("label") != "Part").alias("kept_nodes"), F.count_if(F.col("label") == "Part").alias("removed_nodes"))
-    total = edges.agg(F.count("*").alias("_e"))
-    return n.join(F.broadcast(left)).join(F.broadcast(total)).select("kept_nodes", "removed_nodes", "kept_edges", (F.col("_e") - F.col("kept_edges")).alias("removed_edges"))
+    return n.join(F.broadcast(left)).select("kept_nodes", "removed_nodes", "kept_edges", "removed_edges")

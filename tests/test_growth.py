@@ -11,12 +11,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from graphmill.catalog import Catalog
 from graphmill.operators import build as B
 from graphmill.operators import chunking as C
 from graphmill.operators import fusion as M
 from graphmill.operators import graph as G
 from graphmill.operators import joins as J
 from graphmill.operators import postings
+from graphmill.plans import QUERIES
 from graphmill.workspace import checkpointed
 
 
@@ -144,3 +146,13 @@ def test_details_of_an_entity_are_put_together_where_its_items_are(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got["a"] == ("bb", {"p": "2", "q": "3"}, [("IN", "y"), (None, None), ("IN", "x")], [("s", "1", None, None, None, None)])
     assert got["b"] == (None, None, None, None)
+
+
+def test_a_skeleton_is_kept_in_one_pass_over_the_edges(spark, sf_dir):
+    out = QUERIES["clear_keep_skeleton"](spark, sf_dir)
+    assert _plan(out).count("REPARTITION_BY_NUM") == 2  # the two kinds of distinct pairs, once each
+    catalog = Catalog(spark, sf_dir)
+    keep = {r.id for r in catalog.nodes().where("label <> 'Part'").collect()}
+    edges = catalog.edges().collect()
+    got, kept = out.first(), sum(e.src in keep and e.dst in keep for e in edges)
+    assert (got.kept_nodes, got.kept_edges, got.removed_edges) == (len(keep), kept, len(edges) - kept)
