@@ -58,14 +58,19 @@ class Catalog:
             .unionByName(one("orders", "order", "Order", "o_orderkey", _key("order", "o_orderkey")))
         )
 
+    def line_pairs(self, a: str, b: str) -> DataFrame:
+        """Distinct pairs of two keys of the order lines."""
+        lineitem = self.table("lineitem")
+        return dealt(lineitem.select(a, b), a, b, scan=lineitem).distinct()
+
     def edges(self) -> DataFrame:
         """src, rel, dst of the property graph, distinct."""
 
         def one(rows: DataFrame, src: Column, rel: str, dst: Column) -> DataFrame:
             return rows.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
 
-        nation, customer, supplier, orders, lineitem = (self.table(t) for t in ("nation", "customer", "supplier", "orders", "lineitem"))
-        pairs = lambda a, b: dealt(lineitem.select(a, b), a, b, scan=lineitem).distinct()
+        nation, customer, supplier, orders = (self.table(t) for t in ("nation", "customer", "supplier", "orders"))
+        pairs = self.line_pairs
         return (
             one(nation, _key("region", "n_regionkey"), "CONTAINS", _key("nation", "n_nationkey"))
             .unionByName(one(customer, _key("nation", "c_nationkey"), "CONTAINS", _key("customer", "c_custkey")))

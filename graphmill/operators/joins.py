@@ -12,9 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.partitioning import dealt
 from graphmill.workspace import checkpointed
 
-#: Pairs that one task of a join makes, about.
+#: Pairs that one task counts, about.
 PAIRS = 1_000_000
 
 
@@ -47,22 +48,31 @@ def common_neighbours(edges: DataFrame, ids: DataFrame, least: int) -> DataFrame
 def sharing_pairs(links: DataFrame, least: int, cell: int = 2048) -> DataFrame:
     """a, b, common: pairs a < b of nodes with at least `least` shared ones; links (node, shared) are distinct.
 
-    Nodes with fewer links go first, then what only one of the others has.  A shared one of more than `cell` nodes is
-    dealt to cells, and each cell meets each cell under its own key.
+    Nodes with fewer links go first.  Then each node gets, for each of its shared ones, the list of those with more links
+    there (among equals, the greater), and counts them where it is: lists are shuffled, not pairs, and a node of very
+    many links stands in the lists of the others.  A shared one of more than `cell` nodes is dealt to cells, and each
+    cell meets each cell.
     """
-    wide = links.groupBy("node").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("node")
-    kept = checkpointed(links.join(wide, "node", "left_semi"))
-    sizes = kept.groupBy("shared").agg(F.count("*").alias("_n")).where("_n > 1")
-    cells = sizes.select("shared", F.ceil(F.col("_n") / cell).cast("int").alias("_cells"))
-    rows = kept.join(cells, "shared").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_cells")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
-    # Partitions by pairs, not by bytes: what a task's join makes, and its sums hold, stays the same as the links grow.
+    links = links.where(F.col("shared").isNotNull())
+    wide = links.groupBy("node").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    kept = checkpointed(links.join(wide, "node"))
+    sizes = checkpointed(kept.groupBy("shared").agg(F.count("*").alias("_n")).where("_n > 1"))
+    hubs = F.broadcast(sizes.where(F.col("_n") > cell).select("shared", F.ceil(F.col("_n") / cell).cast("int").alias("_cells")))
+    # Partitions by pairs, not by bytes: what a task's sums hold stays the same as the links grow.
     pairs = sizes.agg(F.coalesce(F.sum(F.col("_n") * (F.col("_n") - 1) / 2), F.lit(0.0)).alias("n")).first()["n"]
     parts = max(links.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS))
-    a = rows.select("shared", F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col("node").alias("a"))
-    b = rows.select("shared", F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col("node").alias("b"))
-    a, b = (side.repartition(parts, "shared", "_x", "_y") for side in (a, b))
-    return a.join(b, ["shared", "_x", "_y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+    members = F.sort_array(F.collect_list(F.struct("_n", "node")))
+    whole = dealt(kept.join(hubs, "shared", "left_anti"), "shared", scan=kept).groupBy("shared").agg(members["node"].alias("_all"))
+    whole = whole.select(F.posexplode("_all").alias("_i", "a"), "_all").where(F.col("_i") + 1 < F.size("_all"))
+    whole = whole.select("a", F.slice("_all", F.col("_i") + 2, F.size("_all")).alias("_bs"))
+    cells = kept.join(hubs, "shared").withColumn("_y", F.pmod(F.xxhash64("node"), F.col("_cells")).cast("int"))
+    cells = cells.groupBy("shared", "_y", "_cells").agg(members.alias("_all"))
+    own = cells.select("shared", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_y"), F.col("_all").alias("_as"))
+    split = own.join(cells.select("shared", "_y", F.col("_all").alias("_bs")), ["shared", "_y"]).select(F.explode("_as").alias("_a"), "_bs")
+    split = split.select(F.col("_a.node").alias("a"), F.filter("_bs", lambda b: b > F.col("_a"))["node"].alias("_bs")).where(F.size("_bs") > 0)
+    met = whole.unionByName(split).repartition(parts, "a").select("a", F.explode("_bs").alias("b"))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common")
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import re
 import time
 import tracemalloc
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
@@ -38,6 +39,24 @@ def test_sharing_pairs_are_joined_in_parts_by_their_number(spark, monkeypatch):
     assert J.sharing_pairs(spark.createDataFrame(rows, "node string, shared string").limit(0), 3).count() == 0
 
 
+def test_sharing_pairs_are_counted_where_their_lists_are(spark):
+    """No pairs are shuffled; nulls, a node of very many links, shared ones of one and of several cells."""
+    rows = {(i, j) for i in range(40) for j in range(25) if (i * 7 + j * 3) % 4 and (j % 3 or i < 12)}
+    rows |= {(99, j) for j in range(200)} | {(200 + j % 3, j) for j in range(25, 200)}
+    nulls = [(i, None) for i in range(10)] + [(None, j) for j in range(25)]
+    links = spark.createDataFrame([*rows, *nulls], "node long, shared long")
+    own = defaultdict(set)
+    for node, shared in rows:
+        own[node].add(shared)
+    want = {(a, b, len(own[a] & own[b])) for a, b in itertools.combinations(sorted(own), 2) if len(own[a] & own[b]) >= 8}
+    for cell in (10, 2048):
+        got = J.sharing_pairs(links, 8, cell=cell)
+        assert not re.search(r"hashpartitioning\(a#\d+L?, b#", _plan(got))
+        rows_got = [tuple(r) for r in got.collect()]
+        assert len(rows_got) == len(want)
+        assert set(rows_got) == want
+
+
 def test_texts_meet_methods_where_they_are(spark):
     """Few methods are broadcast whatever the session's threshold, so texts of few answers aren't gathered."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
